@@ -3,40 +3,107 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from joblore.llm.decontamination import contamination
 from joblore.llm.jaccard_join import jaccard_groups
+from joblore.llm.scratch import new_path
+from joblore.llm.sentencepiece import decode, encode
 from joblore.llm.suffix_dedup import remove_repeats
+from joblore.llm.url_filter import filter_urls
+from joblore.llm.vector_search import build_index, search
+from joblore.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all other embeddings for each 20th one."""
+    index = build_index(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search(index, index.filter("vec_id % 20 = 0"), k=20)
+
+
 def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents that 50-byte strings of earlier documents cover."""
     return remove_repeats(_table(spark, sf_dir, "documents"), length=50, keep_text=False)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each whole document, and whether they decode to its text."""
+    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decode(coded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "score", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside 10-word windows of benchmark items."""
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+#: (host, path, verdict)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the rules on each page's url."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 def op9_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by J >= 0.9 of 3-word shingles."""
     return jaccard_groups(_table(spark, sf_dir, "documents"), ngram=3, num=90, den=100)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives in the shared folder and read back."""
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages"), path)
+    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return read_archives(spark, path, with_payload=False).select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to")
+    )
+
+
 QUERIES = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op3_remove_repeats": op3_remove_repeats,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
+    "op8_url_filter": op8_url_filter,
     "op9_jaccard_groups": op9_jaccard_groups,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_nearest_vectors": r"""
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+                     AND len([x FOR x IN embedding IF x <> 0]) > 0),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score
+              FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_url_filter": r"""
+        WITH u AS (SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+              FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+        SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)""",
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        t AS (SELECT d, max(page_id) AS target FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN target IS NULL OR target = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN target <> page_id THEN target END AS refers_to
+        FROM p LEFT JOIN t ON p.d = t.d AND n >= 1000""",
     "op3_remove_repeats": r"""
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, n - 49)) AS p)),
