@@ -31,7 +31,7 @@ BLOCKS, PICKS, WINDOWS = 0, 1, 2
 #: Bytes of a rank that are exchanged; the bucket fixes further bits.
 WIDTH = {BLOCKS: 8, PICKS: 5, WINDOWS: 8}
 #: A block of windows ends at one position in so many, chosen by content.
-BLOCK = 128
+BLOCK = 32
 
 
 class _Part:
@@ -47,7 +47,7 @@ class _Part:
         end = np.repeat(self.offs[1:], np.diff(self.offs))
         self.valid = (np.arange(windows) + length <= end[:windows]) if windows else np.zeros(0, bool)
         self.ids = ids
-        self.doc = np.repeat(np.arange(len(ids)), np.diff(self.offs))
+        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.offs))
 
     def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the blocks of windows, and two fingerprints of the bytes they span."""
@@ -59,6 +59,7 @@ class _Part:
         end = np.minimum(np.append(start[1:], len(self.data)), last) if len(start) else start
         a = fp.spans(self.sums, start, end + self.length - 1)
         b = fp.spans(fp.byte_sums(self.data, 1), start, end + self.length - 1)
+        del self.sums
         return start, end, a, b
 
     def picks(self) -> np.ndarray:
@@ -252,7 +253,7 @@ def _batch(ids: DataFrame, batches: int, coarse: int = 256) -> Column:
     return ((cell - 1) * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), part))).cast("long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, text.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document of smaller
