@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from joblore.llm import license_scan
 from joblore.llm.decontamination import contamination
 from joblore.llm.jaccard_join import jaccard_groups
+from joblore.llm.rule_ensemble import quality_scores
 from joblore.llm.scratch import new_path
 from joblore.llm.sentencepiece import decode, encode
 from joblore.llm.suffix_dedup import remove_repeats
+from joblore.llm.text_cnn import toxicity_scores
 from joblore.llm.url_filter import filter_urls
 from joblore.llm.vector_search import build_index, search
 from joblore.llm.warc import read_archives, write_archives
@@ -25,6 +29,11 @@ def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(index, index.filter("vec_id % 20 = 0"), k=20)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of whole documents by a sparse rule ensemble."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", parts=4, held_out=2, threshold=0.7)
+
+
 def op3_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents that 50-byte strings of earlier documents cover."""
     return remove_repeats(_table(spark, sf_dir, "documents"), length=50, keep_text=False)
@@ -43,6 +52,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of whole documents by a convolutional network."""
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", parts=5, held_out=0, threshold=0.5)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts in documents: one row for each match."""
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 #: (host, path, verdict)
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -70,12 +90,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
+    "op2_quality": op2_quality,
     "op3_remove_repeats": op3_remove_repeats,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_license_scan": op7_license_scan,
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_warc": op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """A new schema with further nullable fields (StructType.add would change the given one)."""
+    return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])

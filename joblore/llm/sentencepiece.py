@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import stash
+from joblore.llm.scratch import stash, with_fields
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
         raise ValueError(f"chunks must have at least {2 * longest} characters")
     docs = docs.drop("ids", "score")
     length = F.coalesce(F.char_length(text_col), F.lit(0))
-    small = docs.filter(length <= giant).mapInArrow(_short(path, text_col), docs.schema.add("ids", T.ArrayType(T.IntegerType())).add("score", "double"))
+    small = docs.filter(length <= giant).mapInArrow(_short(path, text_col), with_fields(docs.schema, ids=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
     giants = stash(docs.filter(length > giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
     chunks = giants.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
     chunks = stash(chunks.repartition(spark.sparkContext.defaultParallelism, "row", "number"), "chunks")
@@ -381,4 +381,4 @@ def decode(docs: DataFrame, ids_col: str = "ids", path: str = MODEL, out_col: st
                 keep = [i for i, c in enumerate(batch.schema.names) if c != out_col]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string())], [*(batch.schema.names[i] for i in keep), out_col])
 
-    return docs.drop(out_col).mapInArrow(run, docs.drop(out_col).schema.add(out_col, "string"))
+    return docs.drop(out_col).mapInArrow(run, with_fields(docs.drop(out_col).schema, **{out_col: T.StringType()}))

@@ -198,14 +198,14 @@ def _second(length: int, buckets: int):
     return run
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, rest "
 
 
 def _cut(length: int, buckets: int, keep_text: bool):
     """Per batch: the documents without the bytes that earlier ones hold."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows = []
+        rows, docs = [], docs.sort_by("doc_id")
         if docs.num_rows:
             replies = _replies(told)
             parts, covered, opened, ranks = _open_windows(docs, replies, length, buckets)
@@ -226,7 +226,8 @@ def _cut(length: int, buckets: int, keep_text: bool):
                     spans = int(np.count_nonzero(cut[1:] & ~cut[:-1]) + (len(cut) and cut[0]))
                     rows.append((doc, len(own), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), _text(own, cut) if keep_text else None))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"), kinds, strict=True))})
+        names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}).append_column("rest", docs["rest"])
 
     return run
 
@@ -253,31 +254,35 @@ def _batch(ids: DataFrame, batches: int, coarse: int = 256) -> Column:
     return ((cell - 1) * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), part))).cast("long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, text.
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = True, carry: tuple[str, ...] = (), batch_bytes: int = 4 << 20,
+) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; text if asked for; and a
+    struct `rest` of the columns to carry, if any.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document of smaller
     doc_id. The digest is of the remaining bytes; text keeps the characters of which a byte remains.
     A null text is empty. Rows that repeat a doc_id don't remove from each other, and rows without
     doc_id neither lose bytes nor make others lose them. A batch holds about batch_bytes of text.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
     known, unknown = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
     length_of = F.octet_length("text").cast("long")
     total = known.agg(F.sum(length_of)).first()[0]
-    alone = unknown.select(
+    out = unknown.select(
         "doc_id", length_of.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("text"),
+        F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("text"), "rest",
     )
-    if total is None:
-        return alone if keep_text else alone.drop("text")
-    batches = max(1, -(-total // batch_bytes))
-    buckets = max(1, -(-total // (16 << 20)))
-    known = known.withColumn("batch", _batch(known.select("doc_id"), batches))
-    sent, reply = "kind int, bucket int, batch long, ranks binary", "batch long, kind int, bucket int, bits binary"
-    judged = lambda ranks: ranks.groupBy("kind", "bucket").applyInArrow(_judge, reply)
-    first = judged(known.groupBy("batch").applyInArrow(_first(length, buckets), sent))
-    second = judged(known.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_second(length, buckets), sent))
-    out = known.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_cut(length, buckets, keep_text), OUT)
-    out = out.unionByName(alone)
-    return out if keep_text else out.drop("text")
+    if total is not None:
+        batches = max(1, -(-total // batch_bytes))
+        buckets = max(1, -(-total // (16 << 20)))
+        known = known.withColumn("batch", _batch(known.select("doc_id"), batches))
+        sent, reply = "kind int, bucket int, batch long, ranks binary", "batch long, kind int, bucket int, bits binary"
+        judged = lambda ranks: ranks.groupBy("kind", "bucket").applyInArrow(_judge, reply)
+        first = judged(known.groupBy("batch").applyInArrow(_first(length, buckets), sent))
+        second = judged(known.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_second(length, buckets), sent))
+        kind = rows.schema["rest"].dataType.simpleString()
+        cut = known.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_cut(length, buckets, keep_text), OUT + kind)
+        out = cut.unionByName(out)
+    return out.drop(*([] if keep_text else ["text"]), *([] if carry else ["rest"]))

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
+from joblore.llm.scratch import with_fields
 
 #: Bytes of all levels together; they are sent to every task.
 MOST_BYTES = 256 << 20
@@ -164,5 +166,5 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
             verdict[who] = np.where(listed(blocking, _prints(flat.take(pa.array(best)))), "block", "allow")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.cast(pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names[:-1], "rule", "verdict"])
 
-    schema = out.schema.add("rule", "string").add("verdict", "string")
+    schema = with_fields(out.schema, rule=T.StringType(), verdict=T.StringType())
     return out.withColumn("__keys", of_url).mapInArrow(decide, schema)
