@@ -12,7 +12,8 @@ Two sets of s >= u elements with J >= t share at least c = ceil(t (s + u) / (1 +
 Equal sets collapse before. Within a list, one pivot for each range of sizes is compared
 with the rest (linear), exact verification and components follow, and only pairs of documents
 that are still in different components are looked at again, in blocks of bounded size.
-A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them.
+A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them
+inside the tasks that hold the blocks, so that only pairs near the threshold become rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from joblore.llm.scratch import stash
 
 #: Every byte but those of space and of tab to carriage return.
 WORD = ~fp.byte_class((0x20, 0x20), (0x09, 0x0D))
-SKETCH_BITS = 1024
+#: Bits of a sketch: the next power of two from the size of the set on, in these bounds.
+SKETCH_BITS = 128, 1 << 14
 #: An element counts as frequent from this many lists on; at most this many are told to the tasks.
 FREQUENT, MOST_FREQUENT = 100, 100_000
 #: Documents of a block when pairs of a list are looked at again.
@@ -131,12 +133,11 @@ def _listed(n: int, num: int, den: int, small: int, told):
             keys = [element[e - c : e] for e, c in zip(ends, count, strict=True)]
             for i in np.flatnonzero((size > 0) & (size <= small)):
                 keys[i] = np.concatenate([keys[i], fp.signed(_subsets(hashes[bounds[i] : bounds[i + 1]], num, den))])
-            bits = np.bincount(who * SKETCH_BITS + (fp.mix(hashes ^ fp.U64(7)) % fp.U64(SKETCH_BITS)).astype(np.int64), minlength=batch.num_rows * SKETCH_BITS) & 1
-            sketch = np.packbits(bits.astype(np.uint8)).reshape(batch.num_rows, -1)
+            sketches = _parities(fp.mix(hashes ^ fp.U64(7)), who, size)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(size.astype(np.int32)), fp.lists(np.concatenate([*keys, element[:0]]), np.array([len(k) for k in keys]), pa.int64()),
-                    pa.array([x.tobytes() for x in sketch], pa.binary()),
+                    pa.array(sketches, pa.binary()),
                 ],
                 ["doc_id", "n", "keys", "sketch"],
             )
@@ -165,36 +166,93 @@ def _pivots(num: int, den: int):
     return run
 
 
-def _crossing(num: int, den: int):
-    """mapInArrow over rows sorted by (key, i, j): pairs of documents of blocks i and j of a list
-    that are in different components and whose sizes can link."""
+def _parities(hashes: np.ndarray, who: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For each set the parity of its elements in each of B buckets, B a power of two.
+
+    XOR-ing the halves of a sketch gives that of half as many buckets, so any two compare.
+    """
+    bits = 1 << np.ceil(np.log2(np.clip(size, *SKETCH_BITS))).astype(np.int64)
+    base = np.append(0, np.cumsum(bits))
+    odd = np.bincount(base[who] + (hashes.astype(np.int64) & (bits[who] - 1)), minlength=base[-1]) & 1
+    data = np.packbits(odd.astype(np.uint8), bitorder="little")
+    return [data[x:y].tobytes() for x, y in zip(base[:-1] // 8, base[1:] // 8, strict=True)]
+
+
+def _folded(sketch: bytes, size: int) -> bytes:
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+    return sketch
 
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        side, n, comp, doc = (np.array(x) for x in zip(*rows, strict=True))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: both, as i = j
-        ok = comp[left][:, None] != comp[right][None, :]
-        small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        ok &= num * large <= den * small
-        i, j = np.nonzero(ok)
-        return doc[left[i]], doc[right[j]]
+
+def _apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements that are in one of two sets only."""
+    size = min(len(x), len(y))
+    return (int.from_bytes(_folded(x, size), "little") ^ int.from_bytes(_folded(y, size), "little")).bit_count()
+
+
+def _crossing(num: int, den: int, nearest: bool):
+    """mapInArrow over rows sorted by (key, i, j): pairs of documents of blocks i and j of a list
+    that are in different components, and whose sizes and sketches allow a link; all of them, or
+    each document's nearest by sketch alone."""
+
+    def few(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[float, int, int]]:
+        for at, (n, comp, doc, sketch) in enumerate(left):
+            for m, other, mate, second in right[at + 1 :] if same else right:
+                if comp != other and num * max(n, m) <= den * min(n, m) and (apart := _apart(sketch, second)) * (num + den) <= (den - num) * (n + m):
+                    yield apart / (n + m), doc, mate
+
+    def many(left: list[tuple], right: list[tuple]) -> Iterator[tuple[float, int, int]]:
+        sizes = [sorted({len(r[3]) for r in side}) for side in (left, right)]
+        for x in sizes[0]:
+            for y in sizes[1]:
+                if max(x, y) > 4 * min(x, y):
+                    continue  # sizes that far apart don't link at t > 1/2; below, blocks are compared one by one
+                rows = [[r for r in side if len(r[3]) == z] for side, z in ((left, x), (right, y))]
+                n, comp, doc = ([np.array([r[c] for r in side]) for side in rows] for c in range(3))
+                sketch = [np.frombuffer(b"".join(_folded(r[3], min(x, y)) for r in side), np.uint64).reshape(len(side), -1) for side in rows]
+                for first in range(0, len(rows[0]), 32):
+                    some = slice(first, first + 32)
+                    small, large = (f(n[0][some, None], n[1][None]) for f in (np.minimum, np.maximum))
+                    i, j = np.nonzero((comp[0][some, None] != comp[1][None]) & (num * large <= den * small))
+                    apart = np.bitwise_count(sketch[0][some][i] ^ sketch[1][j]).sum(axis=1, dtype=np.int64)
+                    total = n[0][some][i] + n[1][j]
+                    near = apart * (num + den) <= (den - num) * total
+                    yield from zip((apart / total)[near].tolist(), doc[0][some][i[near]].tolist(), doc[1][j[near]].tolist(), strict=True)
+
+    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+        """rows: (side, n, component, doc_id, sketch); side 0, 1, or 2 where i = j."""
+        left, right = [r[1:] for r in rows if r[0] != 1], [r[1:] for r in rows if r[0] != 0]
+        if len({r[2] for r in rows}) < 2:
+            return []
+        same = rows[0][0] == 2
+        found = few(left, right, same) if len(rows) < 16 or 2 * num <= den else many(left, right)
+        if nearest:
+            best: dict[int, tuple] = {}
+            for far, a, b in found:
+                best[a], best[b] = min(best.get(a, (2.0,)), (far, a, b)), min(best.get(b, (2.0,)), (far, a, b))
+            found = best.values()
+        return [(min(a, b), max(a, b)) for _, a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
+        group, rows, seen = None, [], set()
 
-        def done():
-            a, b = pairs(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.int64()), pa.array([y for _, y in seen], pa.int64())], ["a", "b"])
+            seen.clear()
+            return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "n", "component", "doc_id")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "n", "component", "doc_id", "sketch")]
             for k, i, j, *row in zip(*columns, strict=True):
                 if (k, i, j) != group:
-                    if len(rows) > 1:
-                        yield done()
+                    seen.update(pairs(rows) if len(rows) > 1 else ())
+                    if len(seen) > 100_000:
+                        yield flush()
                     group, rows = (k, i, j), []
                 rows.append(tuple(row))
-        if len(rows) > 1:
-            yield done()
+        seen.update(pairs(rows) if len(rows) > 1 else ())
+        yield flush()
 
     return run
 
@@ -204,11 +262,8 @@ def _near(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy().astype(np.int64)
-                yield batch.filter(pa.array(apart * (num + den) <= (den - num) * total)).select(["a", "b"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")), strict=True)
+            yield batch.filter(pa.array([_apart(x, y) * (num + den) <= (den - num) * (n + m) for n, m, x, y in rows], pa.bool_())).select(["a", "b"])
 
     return run
 
@@ -280,25 +335,35 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     star = rows.select("key", "n", "doc_id").repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivots(num, den), "a long, b long")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stash(_verify(star, listed, texts, ngram, num, den), "links")
-    parts = stash(connected_components(links), "parts")
 
-    # Pairs that no pivot has joined, in lists that still span components.
-    member = rows.join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).filter("low != high and c > 2").select("key")
-    member = member.join(split, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = member.select("key", "n", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "n", "component", "doc_id",
-    )
-    more = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_crossing(num, den), "a long, b long").distinct()
-    more = stash(_verify(more.join(star, ["a", "b"], "left_anti"), listed, texts, ngram, num, den), "links")
+    # Pairs that no pivot has joined, in lists that still span components: first each document's
+    # nearest, which joins most of them, then all that are left.
+    tried = star
+    for nearest in (True, False):
+        parts = stash(connected_components(links), "parts")
+        crossing = stash(_dealt(rows, parts, listed).mapInArrow(_crossing(num, den, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
+        links = stash(links.unionByName(_verify(crossing, listed, texts, ngram, num, den)), "links")
+        tried = tried.unionByName(crossing)
 
-    parts = connected_components(links.unionByName(more))
+    parts = connected_components(links)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     own = full.select("doc_id", "k1", "k2").join(component, ["k1", "k2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _dealt(rows: DataFrame, parts: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows of lists that span components, for each pair of blocks of their list, sorted by it."""
+    member = rows.join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).filter("low != high and c > 2").select("key")
+    member = member.join(split, "key").join(listed.select("doc_id", "sketch"), "doc_id")
+    member = member.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = member.select("key", "n", "doc_id", "component", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "n", "component", "doc_id", "sketch",
+    )
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def _verify(pairs: DataFrame, listed: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b) those with J >= t: by sketch first, then by the texts themselves."""
     sketch = listed.select("doc_id", "n", "sketch")
