@@ -29,7 +29,7 @@ from joblore.llm import fingerprints as fp
 
 BLOCKS, PICKS, WINDOWS = 0, 1, 2
 #: Bytes of a rank that are exchanged; the bucket fixes further bits.
-WIDTH = {BLOCKS: 8, PICKS: 5, WINDOWS: 8}
+WIDTH = {BLOCKS: 8, PICKS: 4, WINDOWS: 8}
 #: A block of windows ends at one position in so many, chosen by content.
 BLOCK = 32
 
