@@ -21,7 +21,7 @@ from joblore.llm.labels import remainder, training_rows
 from joblore.llm.scratch import with_fields
 
 #: Labelled texts of each class that are fitted, at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 PREFIXES = (3, 4, 5, 6)
 #: Function words that tell a language.
@@ -98,10 +98,13 @@ class TextCnn:
             outs.append(np.maximum(z, 0, out=z))
         return e, np.concatenate(outs, axis=1)
 
-    def logits(self, tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        if len(bounds) < 2:
-            return np.zeros(0)
-        return np.maximum.reduceat(self.convolve(tokens)[1], bounds[:-1], axis=0) @ self.weight + self.bias
+    def logits(self, tokens: np.ndarray, bounds: np.ndarray, texts: int = 256) -> np.ndarray:
+        out = [np.zeros(0)]
+        for first in range(0, len(bounds) - 1, texts):
+            own = bounds[first : first + texts + 1]
+            pooled = np.maximum.reduceat(self.convolve(tokens[own[0] : own[-1]])[1], own[:-1] - own[0], axis=0)
+            out.append(pooled @ self.weight + self.bias)
+        return np.concatenate(out)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         tokens, bounds, language = features(column, len(self.embedding))
@@ -116,10 +119,14 @@ def _take(tokens: np.ndarray, bounds: np.ndarray, some: np.ndarray) -> tuple[np.
 
 def _initial(tokens: np.ndarray, bounds: np.ndarray, y: np.ndarray, buckets: int, dim: int, filters: int, random: np.random.Generator) -> TextCnn:
     """Random weights, but that the first coordinate of a bucket says how much more toxic texts it is in."""
-    owner = fp.owners(bounds).astype(np.int64)
-    pairs = np.unique((owner[:, None] * buckets + tokens).ravel())
-    doc, bucket = pairs // buckets, pairs % buckets
-    inside = [np.bincount(bucket[y[doc] == c], minlength=buckets) for c in (0, 1)]
+    inside = [np.zeros(buckets), np.zeros(buckets)]
+    for first in range(0, len(y), 64):
+        some = np.arange(first, min(len(y), first + 64))
+        own, ends = _take(tokens, bounds, some)
+        pairs = np.unique((fp.owners(ends).astype(np.int64)[:, None] * buckets + own).ravel())
+        toxic = y[first + pairs // buckets] == 1
+        inside[1] += np.bincount(pairs[toxic] % buckets, minlength=buckets)
+        inside[0] += np.bincount(pairs[~toxic] % buckets, minlength=buckets)
     odds = np.log((inside[1] + 1.0) / (y.sum() + 2)) - np.log((inside[0] + 1.0) / ((1 - y).sum() + 2))
     odds *= (inside[0] + inside[1]) / (inside[0] + inside[1] + 4.0)
     embedding = random.normal(0, 0.05, (buckets, dim)).astype(np.float32)
@@ -136,7 +143,10 @@ def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12,
     calibrates the cut-offs, together with the rest. Few texts are gone through more often, for
     least_steps steps at least."""
     random = np.random.default_rng(seed)
-    tokens, bounds, language = features(column, buckets)
+    parts_of = [features(column.slice(i, 256), buckets) for i in range(0, len(y), 256)] or [features(column, buckets)]
+    tokens, language = (np.concatenate([p[i] for p in parts_of]) for i in (0, 2))
+    bounds = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts_of])))
+    del parts_of
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         model = _initial(tokens, bounds, y, buckets, dim, filters, random) if len(y) else TextCnn(np.zeros((buckets, dim), np.float32), [np.zeros((w, dim, filters), np.float32) for w in WIDTHS], [np.zeros(filters, np.float32)] * 3, np.zeros(filters * 3, np.float32), 0.0)

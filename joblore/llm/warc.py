@@ -185,4 +185,5 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, spl
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("length"), F.col("start") + split_bytes).alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_records(with_payload), RECORD)
+    tasks = max(1, ranges.count())  # given, as the rows are small: adaptive execution would put them all in one task
+    return ranges.repartition(tasks, "path", "start").mapInArrow(_records(with_payload), RECORD)
