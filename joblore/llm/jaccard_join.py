@@ -25,6 +25,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
@@ -330,8 +331,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = texts.filter("doc_id is not null").mapInArrow(_listed(ngram, num, den, small, told), "doc_id long, n int, keys array<long>, sketch binary")
     listed = stash(listed.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "lists")
     rows = listed.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared_keys = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = stash(rows.join(shared_keys, "key"), "rows")
+    rows = stash(rows.withColumn("size", F.count("*").over(W.partitionBy("key"))).filter("size > 1"), "rows")
     star = rows.select("key", "n", "doc_id").repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_pivots(num, den), "a long, b long")
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stash(_verify(star, listed, texts, ngram, num, den), "links")
