@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -37,3 +39,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     """A new schema with further nullable fields (StructType.add would change the given one)."""
     return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
+def arrow_function(run, kind: str):
+    """A column function of one column, from Arrow arrays to Arrow arrays of the Spark type kind."""
+
+    def call(column: pa.Array) -> pa.Array:
+        return run(column)
+
+    return F.arrow_udf(call, kind)

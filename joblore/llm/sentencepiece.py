@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import stash, with_fields
+from joblore.llm.scratch import arrow_function, stash, with_fields
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -83,18 +83,28 @@ class Vocabulary:
             raise ValueError("a piece has a space after another character; words wouldn't be independent")
         self.longest = max(map(len, self.scores))
         self.unknown_score = min(s for s, _ in self.scores.values()) - 10
+        #: character -> [score or None, id, next characters or None]
+        self.trie: dict = {}
+        for piece, (score, number) in self.scores.items():
+            node = self.trie
+            for c in piece[:-1]:
+                entry = node.setdefault(c, [None, 0, None])
+                node = entry[2] = entry[2] if entry[2] is not None else {}
+            node.setdefault(piece[-1], [None, 0, None])[:2] = score, number
         self.id_byte = {v: k for k, v in self.byte_ids.items()}
         self.silent = {i for i, k in enumerate(kinds) if k in (2, 3, 5)}
 
     def ends(self, text: str, start: int) -> Iterator[tuple[int, float]]:
         """Ends and scores of the pieces that begin at start; a lone character always is one."""
-        scores, top = self.scores, min(len(text), start + self.longest)
-        for end in range(start + 1, top + 1):
-            found = scores.get(text[start:end])
-            if found is not None:
-                yield end, found[0]
+        node, end = self.trie, start
+        while node is not None and end < len(text):
+            entry = node.get(text[end])
+            end += 1
+            if entry is not None and entry[0] is not None:
+                yield end, entry[0]
             elif end == start + 1:
                 yield end, self.unknown_score
+            node = entry and entry[2]
 
     def ids(self, piece: str) -> list[int]:
         found = self.scores.get(piece)
@@ -102,24 +112,33 @@ class Vocabulary:
             return [found[1]]
         return [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
 
-    def best(self, text: str, entry: int = 0, exit: int | None = None) -> tuple[float, list[int]]:
-        """The score and the ids of the best path from entry to exit; of ties, the longest last piece."""
-        exit = len(text) if exit is None else exit
-        score, back = [NONE] * (exit + 1), [0] * (exit + 1)
-        score[entry] = 0.0
-        for at in range(entry, exit):
-            if score[at] == NONE:
-                continue
-            for end, gain in self.ends(text, at):
-                if end > exit:
+    def best(self, text: str) -> tuple[float, list[int]]:
+        """The score and the ids of the best path; of ties, the longest last piece."""
+        n, trie, unknown = len(text), self.trie, self.unknown_score
+        score, back, piece = [0.0] + [NONE] * n, [0] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            base, end = score[at], at
+            entry = trie.get(text[at])
+            if entry is None or entry[0] is None:
+                if base + unknown > score[at + 1]:
+                    score[at + 1], back[at + 1], piece[at + 1] = base + unknown, at, -1
+            while entry is not None:
+                end += 1
+                gain = entry[0]
+                if gain is not None and base + gain > score[end]:
+                    score[end], back[end], piece[end] = base + gain, at, entry[1]
+                node = entry[2]
+                if node is None or end == n:
                     break
-                if score[at] + gain > score[end]:
-                    score[end], back[end] = score[at] + gain, at
-        ids, at = [], exit
-        while at > entry:
-            ids.append(self.ids(text[back[at] : at]))
+                entry = node.get(text[end])
+        ids, at = [], n
+        while at:
+            ids.append(piece[at])
             at = back[at]
-        return score[exit], [i for own in reversed(ids) for i in own]
+            if ids[-1] < 0:
+                ids[-1:] = reversed(self.ids(text[at]))
+        ids.reverse()
+        return score[n], ids
 
     def decode(self, ids: list[int]) -> str:
         out, first = bytearray(), True
@@ -168,40 +187,48 @@ def _word_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(start, offs)
 
 
-def _solve(path: str, known: dict):
-    vocabulary_ = vocabulary(path)
+#: Solved words that a worker keeps for its next tasks: model file -> word -> (score, ids).
+_KNOWN: dict[str, dict[bytes, tuple[float, bytes]]] = {}
+MOST_KNOWN = 150_000
 
-    def solve(word: bytes) -> tuple[float, list[int]]:
+
+def _solve(path: str):
+    """A function from a word's bytes to its score and the ids as int32 bytes."""
+    v, known = vocabulary(path), _KNOWN.setdefault(path, {})
+
+    def solve(word: bytes) -> tuple[float, bytes]:
         found = known.get(word)
         if found is None:
-            if len(known) > 500_000:
+            if len(known) >= MOST_KNOWN:
                 known.clear()
-            found = known[word] = vocabulary_.best(word.decode().replace(" ", SPACE))
+            score, ids = v.best(word.decode().replace(" ", SPACE))
+            found = known[word] = score, struct.pack(f"{len(ids)}i", *ids)
         return found
 
     return solve
 
 
 def _short(path: str, text_col: str):
-    """mapInArrow: adds ids and score of each text, word by word."""
+    """A function from texts to ids and score of each, word by word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solve = _solve(path, {})
-        for batch in fp.pieces(batches, text_col):
+    def run(column: pa.Array) -> pa.Array:
+        solve, out = _solve(path), []
+        table = pa.RecordBatch.from_arrays([column], [text_col])
+        for batch in fp.pieces(iter([table]), text_col, 1 << 19):
             words, bounds = _word_column(batch.column(text_col))
             coded = words.dictionary_encode()
             solved = [solve(w) for w in coded.dictionary.to_pylist()]
             index = coded.indices.to_numpy()
-            length = np.array([len(ids) for _, ids in solved], np.int64)
-            flat = np.array([i for _, ids in solved for i in ids], np.int32)
+            length = np.array([len(ids) // 4 for _, ids in solved], np.int64)
+            flat = np.frombuffer(b"".join(ids for _, ids in solved), np.int32)
             first = np.cumsum(length) - length
             n = length[index]
             ends = np.append(0, np.cumsum(n))
             at = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(first[index], n)
             total = np.append(0, np.cumsum(np.array([s for s, _ in solved])[index]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, fp.lists(flat[at], np.diff(ends[bounds]), pa.int32()), pa.array(total[bounds[1:]] - total[bounds[:-1]])], [*batch.schema.names, "ids", "score"]
-            )
+            ids = fp.lists(flat[at], np.diff(ends[bounds]), pa.int32())
+            out.append(pa.StructArray.from_arrays([ids, pa.array(total[bounds[1:]] - total[bounds[:-1]])], ["ids", "score"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64())]))
 
     return run
 
@@ -346,7 +373,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
         raise ValueError(f"chunks must have at least {2 * longest} characters")
     docs = docs.drop("ids", "score")
     length = F.coalesce(F.char_length(text_col), F.lit(0))
-    small = docs.filter(length <= giant).mapInArrow(_short(path, text_col), with_fields(docs.schema, ids=T.ArrayType(T.IntegerType()), score=T.DoubleType()))
+    # Only the text goes to Python; the other columns wait in the JVM.
+    solved = arrow_function(_short(path, text_col), "struct<ids: array<int>, score: double>")
+    small = docs.filter(length <= giant).withColumn("__s", solved(F.col(text_col))).withColumns({"ids": F.col("__s.ids"), "score": F.col("__s.score")}).drop("__s")
     giants = stash(docs.filter(length > giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
     chunks = giants.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
     chunks = stash(chunks.repartition(spark.sparkContext.defaultParallelism, "row", "number"), "chunks")
@@ -355,7 +384,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     parts = chunks.join(ways, ["row", "number"]).mapInArrow(_trace(path), "row long, number int, ids array<int>, score double")
     large = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("p"), F.sum("score").alias("score"))
     large = large.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "score")
-    return small.unionByName(giants.join(large, giants["__row"] == large["row"]).drop("__row", "row"))
+    return small.unionByName(giants.join(large.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of")).drop("__row", "__of"))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str = MODEL, out_col: str = "decoded") -> DataFrame:

@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.labels import remainder, training_rows
-from joblore.llm.scratch import with_fields
+from joblore.llm.scratch import arrow_function
 
 #: Labelled texts of each class that are fitted, at most.
 PER_CLASS = 2000
@@ -233,14 +232,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 def with_toxicity(docs: DataFrame, model: TextCnn, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of each whole text in score_col (an existing column of that name is replaced)."""
     told = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(score_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in fp.pieces(batches, text_col, 1 << 20):
-            scores = told.value.scores(batch.column(text_col))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
+    def run(texts: pa.Array) -> pa.Array:
+        table = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [told.value.scores(b.column("text")) for b in fp.pieces(iter([table]), "text", 1 << 19)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return docs.mapInArrow(run, with_fields(docs.schema, **{score_col: T.DoubleType()}))
+    # Only the text goes to Python; the other columns wait in the JVM.
+    return docs.withColumn(score_col, arrow_function(run, "double")(F.col(text_col)))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, threshold: float = 0.5, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
