@@ -51,7 +51,7 @@ _FUNCTION_HASHES, _FUNCTION_LANGUAGES = _function_table()
 def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket numbers (tokens by 1 + prefixes; 0 is none), n + 1 bounds of the texts in them, and languages.
 
-    PAD empty tokens follow each text, so that filters neither cross texts nor lack room.
+    PAD empty tokens follow each text, so that filters that begin in it don't reach the next one.
     """
     data, offs = fp.flat(column)
     data = fp.LOWER[data]
@@ -84,8 +84,11 @@ class TextCnn:
     bias: float
     cutoffs: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
 
-    def convolve(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word vectors, and the filters' outputs where they begin (tokens by filters)."""
+    def convolve(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word vectors, and the filters' outputs where they begin (tokens by filters).
+
+        ends: where texts end. Filters that begin in the empty tokens before count 0.
+        """
         e = self.embedding[tokens[:, 0]]
         for i in range(1, tokens.shape[1]):
             e += self.embedding[tokens[:, i]]
@@ -95,13 +98,16 @@ class TextCnn:
             for i in range(1, len(k)):
                 z[:-i] += e[i:] @ k[i]
             outs.append(np.maximum(z, 0, out=z))
-        return e, np.concatenate(outs, axis=1)
+        out = np.concatenate(outs, axis=1)
+        for i in range(1, PAD + 1):
+            out[ends - i] = 0
+        return e, out
 
     def logits(self, tokens: np.ndarray, bounds: np.ndarray, texts: int = 256) -> np.ndarray:
         out = [np.zeros(0)]
         for first in range(0, len(bounds) - 1, texts):
             own = bounds[first : first + texts + 1]
-            pooled = np.maximum.reduceat(self.convolve(tokens[own[0] : own[-1]])[1], own[:-1] - own[0], axis=0)
+            pooled = np.maximum.reduceat(self.convolve(tokens[own[0] : own[-1]], own[1:] - own[0])[1], own[:-1] - own[0], axis=0)
             out.append(pooled @ self.weight + self.bias)
         return np.concatenate(out)
 
@@ -163,7 +169,7 @@ def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12,
         for low in range(0, len(order), batch):
             some = order[low : low + batch]
             own, ends = _take(tokens, bounds, some)
-            e, z = model.convolve(own)
+            e, z = model.convolve(own, ends[1:])
             pooled = np.maximum.reduceat(z, ends[:-1], axis=0)
             who = fp.owners(ends)
             place = np.where(z == pooled[who], np.arange(len(z), dtype=np.int32)[:, None], np.int32(1 << 30))

@@ -144,7 +144,7 @@ def test_scores_do_not_depend_on_other_columns(spark):
     assert np.allclose(at_once, one_by_one, atol=1e-5)
     changed = docs.withColumns({"lang": F.lit("xx"), "label": F.lit(0)})
     a, b = ({r.doc_id: r.score for r in text_cnn.with_toxicity(d, model).collect()} for d in (docs, changed))
-    assert a == b
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-5 for i in a)  # sums in single precision
 
 
 def test_statistics_are_finite(spark):
