@@ -166,8 +166,9 @@ def recursive_forecast(h: DataFrame, periods: int = 48, keys: Sequence[str] = ()
         pdf = pdf.sort_values("timestamp_hour")
         y = pdf["report_count"].astype(float).tolist()
         times = pd.to_datetime(pdf["timestamp_hour"]).tolist()
-        x = np.array([row(t, y[max(0, i - buffer) : i]) for i, t in enumerate(times)])
-        weight = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ np.array(y))
+        first = min(168, len(y) // 2)  # rows before lack most of their lags
+        x = np.array([row(t, y[max(0, i - buffer) : i]) for i, t in enumerate(times) if i >= first])
+        weight = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ np.array(y[first:]))
         past, out = y[-buffer:], []
         for step in range(periods):
             ts = times[-1] + pd.Timedelta(hours=step + 1)

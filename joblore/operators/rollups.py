@@ -15,7 +15,7 @@ def kpis(df: DataFrame) -> DataFrame:
     """total_runs, mean_success_seconds, failure_rate_pct."""
     return df.agg(
         F.count("*").alias("total_runs"), F.avg(F.when(success(), duration())).alias("mean_success_seconds"),
-        (F.count_if(F.col("execution_status") == "failed") * 100.0 / F.count("*")).alias("failure_rate_pct"),
+        F.try_divide(F.count_if(F.col("execution_status") == "failed") * 100.0, F.count("*")).cast("double").alias("failure_rate_pct"),
     )
 
 
