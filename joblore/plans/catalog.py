@@ -492,4 +492,6 @@ register("read_runs_csv", _runs_csv, "ex", "SELECT run_id, started_at, completed
 register("read_hourly_csv", _hourly_csv, "h", "SELECT * FROM h", "report_count", TS)
 _CLOSED = "SELECT date_trunc('hour', started_at) AS timestamp_hour, count(*) AS report_count FROM ex GROUP BY 1 HAVING date_trunc('hour', min(started_at)) + INTERVAL 1 HOUR <= (SELECT max(started_at) FROM ex) - INTERVAL 2 HOUR"
 register("stream_hourly_counts", lambda s, d: _streamed(s, d, jobs.stream_hourly_counts, "append"), "ex", _CLOSED, times=TS)
-register("stream_double_runs", lambda s, d: _streamed(s, d, jobs.stream_double_runs, "append"))
+register("stream_double_runs", lambda s, d: _streamed(s, d, jobs.stream_double_runs, "append"), "ex", """
+    SELECT report_name, run_id, previous_run, gap AS gap_seconds FROM (SELECT report_name, run_id, lag(run_id) OVER w AS previous_run, date_diff('microsecond', lag(started_at) OVER w, started_at) // 1000000 AS gap FROM ex
+        WHERE execution_status = 'success' WINDOW w AS (PARTITION BY report_name ORDER BY started_at, run_id)) WHERE gap BETWEEN 0 AND 60""")
