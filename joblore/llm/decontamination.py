@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import stash
+from joblore.llm.scratch import short_batches, stash
 
 #: 0-9, a-z after lower-casing, and every byte of a character beyond ASCII.
 WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -155,6 +155,7 @@ def contamination(
     otherwise the fingerprints of both sides are shuffled and joined.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     windows = stash(item_windows(items, item_col, item_text_col, span), "windows")
     sizes = sorted(r[0] for r in windows.filter(F.col("size") < span).select("size").distinct().collect())  # below span: at most 9
     prints = stash(item_prints(items, item_text_col, span, k), "prints")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.components import connected_components
-from joblore.llm.scratch import stash
+from joblore.llm.scratch import short_batches, stash
 
 #: Every byte but those of space and of tab to carriage return.
 WORD = ~fp.byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -311,6 +311,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     such row is returned; rows without id link with nothing and get a null component.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = stash(texts.mapInArrow(_sketches(ngram, num, den), "doc_id long, n long, k1 long, k2 long, first array<long>"), "sets")
     full = base.filter("n > 0 and doc_id is not null")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.license_texts import TEMPLATES
+from joblore.llm.scratch import short_batches
 
 WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 FOUND = "template string, coverage double, matched int, start int, end int, byte_start long, byte_end long"
@@ -125,6 +126,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     (their index is sent to every task); each must have k words. A match is found when it shares a
     kept run of k words, so any w + k - 1 equal words in a row suffice.
     """
+    short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, k, w))
     entry = pa.struct([("template", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64())])
 

@@ -48,3 +48,16 @@ def arrow_function(run, kind: str):
         return run(column)
 
     return F.arrow_udf(call, kind)
+
+
+#: Rows of an Arrow batch that goes to Python; texts are a few KB on average.
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: both sides of a Python worker's pipe hold
+    whole batches, and Spark bounds them by rows only, of which 10,000 texts are many MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import arrow_function, stash, with_fields
+from joblore.llm.scratch import arrow_function, short_batches, stash, with_fields
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -189,7 +189,7 @@ def _word_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 #: Solved words that a worker keeps for its next tasks: model file -> word -> (score, ids).
 _KNOWN: dict[str, dict[bytes, tuple[float, bytes]]] = {}
-MOST_KNOWN = 150_000
+MOST_KNOWN = 100_000
 
 
 def _solve(path: str):
@@ -368,6 +368,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     piece; in giant words a tie may fall otherwise at a chunk's border. Columns of docs named ids or score are replaced.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     longest = vocabulary(path).longest
     if chunk < 2 * longest:
         raise ValueError(f"chunks must have at least {2 * longest} characters")

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
+from joblore.llm.scratch import short_batches
 
 BLOCKS, PICKS, WINDOWS = 0, 1, 2
 #: Bytes of a rank that are exchanged; the bucket fixes further bits.
@@ -265,6 +266,7 @@ def remove_repeats(
     A null text is empty. Rows that repeat a doc_id don't remove from each other, and rows without
     doc_id neither lose bytes nor make others lose them. A batch holds about batch_bytes of text.
     """
+    short_batches(docs.sparkSession)
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
     known, unknown = rows.filter("doc_id is not null"), rows.filter("doc_id is null")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.labels import remainder, training_rows
-from joblore.llm.scratch import arrow_function
+from joblore.llm.scratch import arrow_function, short_batches
 
 #: Labelled texts of each class that are fitted, at most.
 PER_CLASS = 2000
@@ -237,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
 
 def with_toxicity(docs: DataFrame, model: TextCnn, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with the score of each whole text in score_col (an existing column of that name is replaced)."""
+    short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pa.Array) -> pa.Array:

@@ -22,6 +22,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joblore.llm.scratch import short_batches
+
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads under this many bytes are never replaced by a revisit.
 REVISIT_FROM = 1000
@@ -82,6 +84,7 @@ def write_archives(pages: DataFrame, path: str, **columns) -> None:
     A null body is an empty payload, a null url leaves out the target's header. Rows that repeat the
     largest page_id of a payload are each a response.
     """
+    short_batches(pages.sparkSession)
     rows = with_revisits(pages, **columns).mapInArrow(_members, "member binary")
     rows.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
 
