@@ -36,8 +36,8 @@ from joblore.llm.scratch import short_batches, stash
 WORD = ~fp.byte_class((0x20, 0x20), (0x09, 0x0D))
 #: Bits of a sketch: the next power of two from the size of the set on, in these bounds.
 SKETCH_BITS = 128, 1 << 14
-#: An element counts as frequent from this many lists on; at most this many are told to the tasks.
-FREQUENT, MOST_FREQUENT = 100, 100_000
+#: An element counts as frequent beyond this many lists; at most this many are told to the tasks (8 bytes each).
+FREQUENT, MOST_FREQUENT = 10, 1_000_000
 #: Documents of a block when pairs of a list are looked at again.
 BLOCK = 512
 
