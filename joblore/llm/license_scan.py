@@ -1,16 +1,17 @@
-"""License scan: winnowed fingerprints pick candidates, banded alignment measures them.
+"""License scan: chains of winnowed fingerprints pick candidates, banded alignment measures them.
 
 Each template's runs of k words are winnowed: of w neighbouring hashes the least is kept. The kept
 ones form an inverted index (hash to template and place). A hash that a text shares with a
 template says on which diagonal (place in the text less place in the template) they may run along;
-neighbouring diagonals of a template are one candidate. It is aligned with the template inside a
-band around its diagonals: matched words are counted by a longest common subsequence, and the
-candidate is reported if enough of the template's words match.
+hits that grow in both are chained across diagonals, over insertions of up to the template's length
+each and any deletions, to one candidate. It is aligned with the template inside a band that follows
+the chain: matched words are counted by a longest common subsequence, and the candidate is reported
+if enough of the template's words match.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,47 +57,92 @@ class Index:
         self.keys, self.owner, self.place = keys[order], self.owner[order], self.place[order]
 
 
-def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Of template words and text words with low <= text place - template place <= high: the
-    most that match in order, and the range [first, last + 1) of the text that the matches span.
+def align(template: np.ndarray, text: np.ndarray, low: int | np.ndarray, high: int | np.ndarray) -> tuple[int, int, int]:
+    """Of template words and text words with low <= text place - template place <= high (numbers, or
+    one for each template word): the most that match in order, and the range [first, last + 1) of the
+    text that the matches span.
 
     Of ties the match that begins last, then the one that ends first is taken.
     """
-    width = high - low + 1
-    best = np.zeros((width + 2, 2), np.int64)  # matches, and the place where the first of them is
-    best[:, 1] = -1
-    top = (0, -1, 0)
-    for i in range(len(template)):
-        new = np.zeros_like(best)
-        new[:, 1] = -1
-        for d in range(width):
-            j = i + low + d
-            # From a row above on the same text word, from the text word before, or by a match.
-            options = [(best[d + 2, 0], best[d + 2, 1]), (new[d, 0], new[d, 1])]
-            if 0 <= j < len(text) and template[i] == text[j]:
-                count, first = best[d + 1]
-                options.append((count + 1, first if count else j))
-                if (count + 1, first if count else j) > top[:2]:
-                    top = (int(count) + 1, int(first) if count else j, j + 1)
-            new[d + 1] = max(options)
-        best = new
-    return top[0], top[1], top[2]
-
-
-def _candidates(index: Index, runs: np.ndarray, band: int) -> Iterator[tuple[int, int, int]]:
-    """(template, lowest diagonal, highest diagonal), from all shared hashes of one text."""
+    n, m = len(text), len(template)
+    first = np.clip(np.arange(m) + low, 0, n)
+    last = np.maximum(first, np.clip(np.arange(m) + high + 1, 0, n))
+    places: dict[int, int] = dict.fromkeys(template.tolist(), 0)
+    for j, word in enumerate(text.tolist()):
+        if word in places:
+            places[word] |= 1 << j
+    rows = [places[word] & (1 << y) - (1 << x) for word, x, y in zip(template.tolist(), first.tolist(), last.tolist(), strict=True)]
+
+    def steps(rows: Iterable[int]) -> int:
+        """The text places at which the longest common subsequence of the rows so far grows, as bits."""
+        full = (1 << n) - 1
+        kept = full
+        for row in rows:
+            kept = (kept + (kept & row) | kept & ~row) & full
+        return kept ^ full
+
+    turned = steps(int(f"{row:0{n}b}"[::-1], 2) if row else 0 for row in reversed(rows))
+    if not turned:
+        return 0, -1, 0
+    start = n - turned.bit_length()
+    return turned.bit_count(), start, steps(row >> start << start for row in rows).bit_length()
+
+
+def _hits(index: Index, runs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(template, places in the text, places in the template) of the shared hashes of one text, by place in the text."""
     left, right = np.searchsorted(index.keys, runs, "left"), np.searchsorted(index.keys, runs, "right")
     count = right - left
     at = np.repeat(np.arange(len(runs)), count)
     entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-    if not len(at):
-        return
-    template, diagonal = index.owner[entry], at - index.place[entry]
-    order = np.lexsort((diagonal, template))
-    template, diagonal = template[order], diagonal[order]
-    cut = np.flatnonzero((np.diff(template) != 0) | (np.diff(diagonal) > band)) + 1
+    template, place = index.owner[entry], index.place[entry]
+    order = np.lexsort((place, at, template))
+    template, at, place = template[order], at[order], place[order]
+    cut = np.flatnonzero(np.diff(template)) + 1
     for x, y in zip(np.append(0, cut), np.append(cut, len(template)), strict=True):
-        yield int(template[x]), int(diagonal[x]), int(diagonal[y - 1])
+        if y > x:
+            yield int(template[x]), at[x:y], place[x:y]
+
+
+def _chains(at: np.ndarray, place: np.ndarray, size: int, step: int, loss: float) -> list[np.ndarray]:
+    """Chains of hits that grow in text and template, the best first, so that each hit is in one or more.
+
+    Between neighbours of a chain the text has at most size words more than the template. A chain is
+    worth its words, a hit counting up to step of them, less loss for each word more in the text.
+    """
+    worth, before = np.full(len(at), float(step)), np.full(len(at), -1)
+    left = np.searchsorted(at, at - 2 * size, "left")
+    for i in range(len(at)):
+        x = left[i]
+        down, along = place[i] - place[x:i], at[i] - at[x:i]
+        more = along - down
+        value = worth[x:i] + np.minimum(np.minimum(down, along), step) - np.where(more > 0, loss * more, -1e-6 * more)
+        value[(down <= 0) | (along <= 0) | (more > size)] = -1
+        if i > x and value.max() > worth[i]:
+            before[i] = i - 1 - int(np.argmax(value[::-1]))
+            worth[i] = value.max()
+    out, seen = [], np.zeros(len(at), bool)
+    for i in np.argsort(-worth, kind="stable").tolist():
+        if not seen[i]:
+            chain = [i]
+            while before[chain[-1]] >= 0:
+                chain.append(int(before[chain[-1]]))
+            seen[chain] = True
+            out.append(np.array(chain[::-1]))
+    return out
+
+
+def _measure(own: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarray, band: int) -> tuple[int, int, int]:
+    """Matched words and span of the template `own` along one chain.
+
+    A template word may stand on the diagonals of the hits before and after it, between them, and band beside them.
+    """
+    diagonal, row = at - place, np.arange(len(own))
+    before = diagonal[np.maximum(np.searchsorted(place, row, "right") - 1, 0)]
+    after = diagonal[np.minimum(np.searchsorted(place, row, "left"), len(place) - 1)]
+    low, high = np.minimum(before, after) - band, np.maximum(before, after) + band
+    first, last = max(0, int(low[0])), min(len(words), int(high[-1]) + len(own))
+    matched, start, end = align(own, words[first:last], low - first, high - first)
+    return matched, first + start, first + end
 
 
 def matches(index: Index, words: np.ndarray, runs: np.ndarray, band: int, coverage: float) -> list[tuple[int, float, int, int, int]]:
@@ -105,12 +151,14 @@ def matches(index: Index, words: np.ndarray, runs: np.ndarray, band: int, covera
     Of candidates of a template whose spans overlap, the one of the largest coverage, then the earliest, stays.
     """
     found = []
-    for template, low, high in _candidates(index, runs, band):
+    for template, at, place in _hits(index, runs):
         own = index.words[template]
-        first, last = max(0, low - band), min(len(words), high + band + len(own))
-        matched, start, end = align(own, words[first:last], low - band - first, high + band - first)
-        if matched >= coverage * len(own):
-            found.append((template, matched / len(own), matched, first + start, first + end))
+        # The first loss leaves copies apart that are whole enough, the second joins what one copy can hold.
+        for loss in (1 - coverage, 1e-6):
+            for chain in _chains(at, place, len(own), max(index.k, index.w), loss):
+                matched, start, end = _measure(own, words, at[chain], place[chain], band)
+                if matched >= coverage * len(own):
+                    found.append((template, matched / len(own), matched, start, end))
     kept: list[tuple] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1], x[3])):
         if all(x[0] != y[0] or x[4] <= y[3] or y[4] <= x[3] for y in kept[-64:]):
@@ -123,8 +171,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     template's words that match in order), matched words, their span in words and in bytes of the text.
 
     Null, empty and clean texts have an empty array. Templates are a parameter of the job and few
-    (their index is sent to every task); each must have k words. A match is found when it shares a
-    kept run of k words, so any w + k - 1 equal words in a row suffice.
+    (their index is sent to every task); each must have k words. Words count as matched on or between
+    the diagonals of kept runs of k words and up to band beside them; any w + k - 1 equal words in a
+    row hold a kept run. Between two runs at most a template's length of words may be inserted.
     """
     short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, k, w))

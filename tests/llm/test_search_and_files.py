@@ -181,3 +181,23 @@ def test_alignment_is_a_longest_common_subsequence():
         matched, start, end = license_scan.align(a, b, -len(a), len(b))
         assert matched == brute.longest_common(a.tolist(), b.tolist())
         assert brute.longest_common(a.tolist(), b[max(0, start) : end].tolist()) == matched
+
+
+def test_licences_with_long_edits(spark):
+    r = random.Random(9)
+    filler = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    mit = TEMPLATES["MIT"].split()
+    half = len(mit) // 2
+    cut = next(i for i in range(len(mit)) if mit[i : i + 3] == ["The", "above", "copyright"])
+    texts = [
+        mit[:half] + filler(12) + mit[half:],
+        mit[:half] + filler(len(mit) - 10) + mit[half:],
+        mit[:cut] + mit[cut + 25 :],  # the condition of MIT-0 is left out
+        [w for i in range(0, len(mit), 30) for w in mit[i : i + 30] + filler(40)],
+    ]
+    rows = [(i, " ".join(filler(50) + t + filler(50))) for i, t in enumerate(texts)]
+    got = {row.doc_id: [m for m in row.matches if m.template == "MIT"] for row in scan(spark, rows)}
+    whole = brute.leak_words(TEMPLATES["MIT"])
+    for i, text in rows:
+        assert [m.matched for m in got[i]] == [brute.longest_common(whole, brute.leak_words(text))], i
+    assert [got[i][0].coverage for i in (0, 1, 3)] == [1.0] * 3 and 0.8 < got[2][0].coverage < 0.9
