@@ -11,6 +11,7 @@ if enough of the template's words match.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -145,25 +146,43 @@ def _measure(own: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarr
     return matched, first + start, first + end
 
 
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (matched, start, end) that overlap, the one of the most matched words, then the earliest; by start."""
+    kept: list[tuple[int, int, int]] = []
+    for x in sorted(set(found), key=lambda x: (-x[0], x[1], x[2])):
+        i = bisect_left(kept, x[1], key=lambda y: y[1])
+        if (not i or kept[i - 1][2] <= x[1]) and (i == len(kept) or x[2] <= kept[i][1]):
+            kept.insert(i, x)
+    return kept
+
+
 def matches(index: Index, words: np.ndarray, runs: np.ndarray, band: int, coverage: float) -> list[tuple[int, float, int, int, int]]:
     """(template, coverage, matched words, first word, last word + 1) of one text.
 
-    Of candidates of a template whose spans overlap, the one of the largest coverage, then the earliest, stays.
+    Of candidates of a template whose spans overlap, the one of the largest coverage, then the earliest,
+    stays. The words between those that stay are searched again, until they hold no more.
     """
-    found = []
+    out = []
     for template, at, place in _hits(index, runs):
         own = index.words[template]
-        # The first loss leaves copies apart that are whole enough, the second joins what one copy can hold.
-        for loss in (1 - coverage, 1e-6):
-            for chain in _chains(at, place, len(own), max(index.k, index.w), loss):
-                matched, start, end = _measure(own, words, at[chain], place[chain], band)
-                if matched >= coverage * len(own):
-                    found.append((template, matched / len(own), matched, start, end))
-    kept: list[tuple] = []
-    for x in sorted(found, key=lambda x: (x[0], -x[1], x[3])):
-        if all(x[0] != y[0] or x[4] <= y[3] or y[4] <= x[3] for y in kept[-64:]):
-            kept.append(x)
-    return sorted(kept, key=lambda x: (x[3], x[0]))
+        parts = [(0, len(words))]
+        while parts:
+            low, high = parts.pop()
+            x, y = np.searchsorted(at, low), np.searchsorted(at, high - index.k, "right")
+            found = []
+            # The first loss leaves copies apart that are whole enough, the second joins what one copy can hold.
+            for loss in (1 - coverage, 1e-6) if x < y else ():
+                for chain in _chains(at[x:y], place[x:y], len(own), max(index.k, index.w), loss):
+                    matched, start, end = _measure(own, words[low:high], at[x:y][chain] - low, place[x:y][chain], band)
+                    if matched >= coverage * len(own):
+                        found.append((matched, low + start, low + end))
+                if found:
+                    break
+            kept = _apart(found)
+            out += [(template, matched / len(own), matched, start, end) for matched, start, end in kept]
+            if kept:
+                parts += zip([low, *(end for *_, end in kept)], [*(start for _, start, _ in kept), high], strict=True)
+    return sorted(out, key=lambda x: (x[3], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", k: int = 3, w: int = 4, band: int = 8, coverage: float = 0.8) -> DataFrame:

@@ -201,3 +201,26 @@ def test_licences_with_long_edits(spark):
     for i, text in rows:
         assert [m.matched for m in got[i]] == [brute.longest_common(whole, brute.leak_words(text))], i
     assert [got[i][0].coverage for i in (0, 1, 3)] == [1.0] * 3 and 0.8 < got[2][0].coverage < 0.9
+
+
+def test_licences_side_by_side(spark):
+    r = random.Random(10)
+    notice, mit = TEMPLATES["MIT notice"], TEMPLATES["MIT"]
+    rows = [
+        (0, f"{notice} {notice}"),
+        (1, " ".join([notice] * 500)),
+        (2, " ".join([TEMPLATES["all rights reserved"]] * 300)),
+        (3, " ".join(f"{notice} w{r.randrange(99)}" for _ in range(100)) + " Released under the Released under the MIT License"),
+        (4, " ".join([mit] * 70)),
+        (5, f"Released under the MIT {notice}"),
+    ]
+    names = ["MIT notice", "MIT notice", "all rights reserved", "MIT notice", "MIT", "MIT notice"]
+    got = {row.doc_id: sorted((m.start, m.end, m.coverage) for m in row.matches if m.template == names[row.doc_id]) for row in scan(spark, rows)}
+    assert {i: len(own) for i, own in got.items()} == {0: 2, 1: 500, 2: 300, 3: 101, 4: 70, 5: 2}
+    assert all(x[1] <= y[0] for own in got.values() for x, y in zip(own, own[1:]))
+    assert got[1] == [(5 * i, 5 * i + 5, 1.0) for i in range(500)] and got[2] == [(3 * i, 3 * i + 3, 1.0) for i in range(300)]
+
+
+def test_licence_spans_that_overlap():
+    found = [(5, 10 * i, 10 * i + 8) for i in range(100)]
+    assert license_scan._apart([*found, (4, 3, 8), (4, 4, 12), (5, 8, 10), (3, 985, 999)]) == [(5, 0, 8), (5, 8, 10), *found[1:]]
