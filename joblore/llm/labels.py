@@ -12,11 +12,14 @@ def remainder(doc_id: Column, parts: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, label, text): at most per_class labelled documents of each class, least hash of the id
-    first, and none whose id has the held-out remainder. Of several labels of a document the
-    greatest counts; null labels don't. The result has at most 2 * per_class ids, so it is broadcast."""
+    """(doc_id, label, weight, text): at most per_class labelled documents of each class, least hash of
+    the id first, and none whose id has the held-out remainder. Of several labels of a document the
+    greatest counts; null labels don't. weight: how many labelled documents of its class a sampled one
+    stands for. The result has at most 2 * per_class ids, so it is broadcast."""
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (remainder(F.col("doc_id"), parts) != held_out))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
     some = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
+    counts = rows.groupBy("label").agg(F.count("*").alias("weight")).select("label", F.greatest(F.col("weight") / per_class, F.lit(1.0)).alias("weight"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("doc_id", "label", "text")
+    sample = some[0].unionByName(some[1]).join(F.broadcast(counts), "label")
+    return texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "weight", "text")

@@ -155,12 +155,14 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, weight: np.ndarray, tree
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> RuleEnsemble:
-    """A model of `label` from whole texts of at most per_class labelled documents of each class."""
+    """A model of `label` from whole texts of at most per_class labelled documents of each class, which
+    weigh as much as all labelled documents of their class."""
     rows = training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col)
     stats = statistics(F.col("text"))
-    table = rows.select("doc_id", "label", *(c.cast("double").alias(n) for n, c in stats.items())).toPandas().sort_values("doc_id")
+    table = rows.select("doc_id", "label", "weight", *(c.cast("double").alias(n) for n, c in stats.items())).toPandas().sort_values("doc_id")
     y = table["label"].to_numpy(dtype=np.float64)
-    return fit(list(stats), table[list(stats)].to_numpy(dtype=np.float64), y, np.ones(len(y)))
+    weight = table["weight"].to_numpy(dtype=np.float64)
+    return fit(list(stats), table[list(stats)].to_numpy(dtype=np.float64), y, weight / weight.mean() if len(y) else weight)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, threshold: float = 0.7, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joblore.llm import rule_ensemble, sentencepiece, text_cnn
+from joblore.llm.labels import training_rows
 from joblore.llm.sentencepiece import MODEL, SPACE, combine, crossings, decode, encode, normal, scan, transfer, vocabulary
 
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="the vocabulary file is not here")
@@ -152,3 +153,41 @@ def test_statistics_are_finite(spark):
     out = rows.select(*(c.cast("double").alias(n) for n, c in rule_ensemble.statistics(F.col("text")).items())).collect()
     assert all(np.isfinite(list(r)).all() for r in out)
     assert sentencepiece.borders(normal("a  b c")) == [2, 5]
+
+
+def mixed(spark, n=2400, seed=8):
+    """One text in seven is toxic and of bad quality. A mark tells the clear ones; vague ones all bear another, whatever their label."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        rare = int(r.random() < 1 / 7)
+        w = ["".join(r.choices("abcdeilnorst", k=r.randrange(3, 9))) for _ in range(20)]
+        kind = "clear" if r.random() < 0.7 else "vague"
+        if kind == "vague" or rare:
+            w[r.randrange(20)] = "scummy***" if kind == "clear" else "murky###"
+        rows.append((i, " ".join(w), kind, rare))
+    docs = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, kind string").repartition(3)
+    return docs, spark.createDataFrame([(x[0], x[3], 1 - x[3]) for x in rows], "doc_id long, toxic int, quality int")
+
+
+def of_vague(scored, vague):
+    """The mean score, and the share predicted 1."""
+    return scored.join(vague.select("doc_id"), "doc_id").agg(F.avg("score"), F.avg("predicted")).first()
+
+
+def test_training_weights_are_the_classes_sizes(spark):
+    docs, labels = mixed(spark, 300)
+    for most in (20, 50, 1000):
+        rows = training_rows(docs, labels, "toxic", 4, 2, most).groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()
+        true = {r.label: r["count"] for r in labels.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy(F.col("toxic").alias("label")).count().collect()}
+        assert {r.label: r.n for r in rows} == {c: min(most, n) for c, n in true.items()}
+        assert all(abs(r.weight - true[r.label]) < 1e-6 for r in rows)
+
+
+def test_quality_does_not_depend_on_the_cap(spark):
+    docs, labels = mixed(spark)
+    vague = docs.filter("kind = 'vague'")
+    free, capped = (of_vague(rule_ensemble.quality_scores(docs, labels, per_class=most), vague) for most in (5000, 250))
+    print("vague texts:", free, capped)
+    assert abs(free[0] - 6 / 7) < 0.06 and abs(free[0] - capped[0]) < 0.08
+    assert free[1] > 0.75 and capped[1] > 0.75
