@@ -143,11 +143,12 @@ def _initial(tokens: np.ndarray, bounds: np.ndarray, y: np.ndarray, buckets: int
     return TextCnn(embedding, kernels, [np.full(filters, -0.5, np.float32) for _ in WIDTHS], np.full(filters * len(WIDTHS), 0.1, np.float32), -1.0)
 
 
-def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12, filters: int = 8, epochs: int = 4, rate: float = 0.01, batch: int = 64, least_steps: int = 120, seed: int = 3) -> TextCnn:
-    """A model of labels y of whole texts. A fifth of them is left out of the gradient steps and
+def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12, filters: int = 8, epochs: int = 4, rate: float = 0.01, batch: int = 64, least_steps: int = 120, seed: int = 3, weight: np.ndarray | None = None) -> TextCnn:
+    """A model of labels y of whole texts, of row weights of mean 1 (all 1 if none are given). A fifth of them is left out of the gradient steps and
     calibrates the cut-offs, together with the rest. Few texts are gone through more often, for
     least_steps steps at least."""
     random = np.random.default_rng(seed)
+    weight = np.ones(len(y)) if weight is None else weight
     parts_of = [features(column.slice(i, 256), buckets) for i in range(0, len(y), 256)] or [features(column, buckets)]
     tokens, language = (np.concatenate([p[i] for p in parts_of]) for i in (0, 2))
     bounds = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts_of])))
@@ -175,7 +176,7 @@ def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12,
             place = np.where(z == pooled[who], np.arange(len(z), dtype=np.int32)[:, None], np.int32(1 << 30))
             place = np.minimum.reduceat(place, ends[:-1], axis=0)
             p = 1 / (1 + np.exp(-np.clip(pooled @ model.weight + parts[-1][0], -30, 30)))
-            error = ((p - y[some]) / len(some)).astype(np.float32)
+            error = (weight[some] * (p - y[some]) / len(some)).astype(np.float32)
             back = error[:, None] * model.weight * (pooled > 0)
             grads, grad_e, column_at = [], np.zeros_like(e), 0
             for k in model.filters:
@@ -204,7 +205,7 @@ def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12,
                 np.subtract.at(model.embedding, rows, 0.1 * rate * g / (np.sqrt(squares[rows]) + 1e-4)[:, None])
             model.embedding[0] = 0
     model.bias = float(parts[-1][0])
-    _calibrate(model, model.logits(tokens, bounds), y, language, np.isin(np.arange(len(y)), fitted))
+    _calibrate(model, model.logits(tokens, bounds), y, language, weight, np.isin(np.arange(len(y)), fitted))
     return model
 
 
@@ -215,13 +216,13 @@ def _cutoff(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     wrong = np.append(0, np.cumsum(weight * y)) + np.append(np.cumsum((weight * (1 - y))[::-1])[::-1], 0)
     edges = np.concatenate([[logit[0] - 1], (logit[1:] + logit[:-1]) / 2, [logit[-1] + 1]])
     wide = np.concatenate([[1.0], np.diff(logit), [1.0]])
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9 * weight.sum())
     return float(edges[best[np.argmax(wide[best])]])
 
 
-def _calibrate(model: TextCnn, logit: np.ndarray, y: np.ndarray, language: np.ndarray, fitted: np.ndarray, least: int = 20) -> None:
+def _calibrate(model: TextCnn, logit: np.ndarray, y: np.ndarray, language: np.ndarray, weight: np.ndarray, fitted: np.ndarray, least: int = 20) -> None:
     """One cut-off for each language with enough texts of both classes, the common one for the rest."""
-    weight = np.where(fitted, 1.0, 4.0)  # texts that took no gradient step say more
+    weight = weight * np.where(fitted, 1.0, 4.0)  # texts that took no gradient step say more
     model.cutoffs[:] = _cutoff(logit, y, weight)
     for i in range(len(LANGUAGES)):
         own = language == i
@@ -230,9 +231,12 @@ def _calibrate(model: TextCnn, logit: np.ndarray, y: np.ndarray, language: np.nd
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> TextCnn:
-    """A model of `label` from whole texts of at most per_class labelled documents of each class."""
+    """A model of `label` from whole texts of at most per_class labelled documents of each class, which
+    weigh as much as all labelled documents of their class."""
     table = training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col).toArrow().sort_by("doc_id")
-    return fit(table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string()), table["label"].to_numpy().astype(np.float64))
+    weight = table["weight"].to_numpy().astype(np.float64)
+    texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+    return fit(texts, table["label"].to_numpy().astype(np.float64), weight=weight / weight.mean() if table.num_rows else weight)
 
 
 def with_toxicity(docs: DataFrame, model: TextCnn, text_col: str = "text", score_col: str = "score") -> DataFrame:

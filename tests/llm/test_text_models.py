@@ -191,3 +191,34 @@ def test_quality_does_not_depend_on_the_cap(spark):
     print("vague texts:", free, capped)
     assert abs(free[0] - 6 / 7) < 0.06 and abs(free[0] - capped[0]) < 0.08
     assert free[1] > 0.75 and capped[1] > 0.75
+
+
+def murky(n=2400, seed=8):
+    """(id, text, toxic): toxic texts are few; a fourth of the murky ones is toxic, so they are clean for the most part."""
+    r = random.Random(seed)
+    few = ["day", "house", "river", "stone", "cloud", "table", "green", "slow", "late", "north", "paper", "bread"]
+    rows = []
+    for i in range(n):
+        kind = r.choices(["murky", "plain", "scummy"], [3, 10, 1])[0]
+        toxic = int(kind == "scummy" or kind == "murky" and r.random() < 0.25)
+        rows.append((i, " ".join([kind, *r.choices(few, k=8)]), toxic))
+    return rows
+
+
+def test_toxicity_does_not_depend_on_the_cap(spark):
+    docs, labels = (spark.createDataFrame(murky(), "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    fresh = pa.array([t for _, t, _ in murky(seed=9) if t.startswith("murky")])
+    for most in (5000, 200):
+        assert (text_cnn.train(docs, labels, per_class=most).scores(fresh) >= 0.5).mean() < 0.5, most
+
+
+def test_cutoffs_weigh_errors_by_class():
+    r = np.random.default_rng(2)
+    y = (r.random(8000) < 1 / 8).astype(float)
+    logit = y * 1.5 + r.standard_normal(8000)
+    some = np.concatenate([np.flatnonzero(y == 0)[:1000], np.flatnonzero(y == 1)[:1000]])
+    weight = np.where(y[some] == 0, (y == 0).sum(), (y == 1).sum()) / np.where(y[some] == 0, 1000, (y[some] == 1).sum())
+    models = [text_cnn.TextCnn(np.zeros((1, 1)), [], [], np.zeros(1), 0.0) for _ in range(2)]
+    for model, at, w in ((models[0], np.arange(8000), np.ones(8000)), (models[1], some, weight)):
+        text_cnn._calibrate(model, logit[at], y[at], np.zeros(len(at), int), w, np.ones(len(at), bool))
+    assert abs(models[0].cutoffs - models[1].cutoffs).max() < 0.35
