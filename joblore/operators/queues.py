@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ("mean_seconds", "median_seconds", "p95_seconds", "failure_rate", "log_runs")
-#: Labelled reports that the tasks hold at most; beyond it a sample by hash of the id is used.
+#: Training reports that the tasks hold unless told otherwise; beyond it a sample by hash of the id is used.
 MOST_REPORTS = 100_000
 
 
@@ -23,14 +23,15 @@ def queue_bands(features: DataFrame, min_runs: int = 20, least_reports: int = 8)
     return kept.crossJoin(F.broadcast(cuts)).filter(F.col("__n") >= least_reports).withColumn("band", band).drop("__q", "__n")
 
 
-def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4) -> DataFrame:
+def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4, most: int = MOST_REPORTS) -> DataFrame:
     """banded with assigned (majority of the k nearest training reports, ties to the smallest label) and held_out.
 
     One report in hold_out, by a hash of its id, is not trained on. Features are standardised by the
-    training reports. A training report is one of its own neighbours.
+    training reports. A training report is one of its own neighbours. Every task holds the training
+    reports, or a sample of `most` of them if they are more.
     """
     df = banded.withColumn("log_runs", F.log1p("runs")).withColumn("held_out", F.pmod(F.xxhash64("report_id"), F.lit(hold_out)) == 0)
-    train = df.filter(~F.col("held_out")).orderBy(F.xxhash64("report_id", F.lit(1)), "report_id").limit(MOST_REPORTS).select(*FEATURES, "band").toPandas()
+    train = df.filter(~F.col("held_out")).orderBy(F.xxhash64("report_id", F.lit(1)), "report_id").limit(most).select(*FEATURES, "band").toPandas()
     x = train[list(FEATURES)].to_numpy(dtype=float)
     mean, std = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     std = np.where(std > 0, std, 1.0)

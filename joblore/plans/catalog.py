@@ -434,6 +434,8 @@ def banded(s, d):
 
 register("queue_bands", lambda s, d: banded(s, d), "banded", "SELECT * FROM banded", _BANDED, ints="successes failures cancellations")
 register("knn_assign", lambda s, d: queues.knn_assign(banded(s, d)))
+register("knn_accuracy", lambda s, d: queues.knn_accuracy(queues.knn_assign(banded(s, d))))
+register("knn_queue_table", lambda s, d: queues.queue_table(queues.knn_assign(banded(s, d))))
 register("queue_profile", lambda s, d: queues.queue_profile(banded(s, d)), "banded", "SELECT band, count(*) AS reports, avg(mean_seconds) AS mean_seconds, avg(median_seconds) AS median_seconds, avg(p95_seconds) AS p95_seconds, avg(failure_rate) AS failure_rate FROM banded GROUP BY 1", "mean_seconds median_seconds p95_seconds failure_rate")
 register("queue_table", lambda s, d: queues.queue_table(banded(s, d).withColumn("assigned", F.col("band"))), "banded", "SELECT report_id, report_name, queue_id, band, band AS assigned, p95_seconds FROM banded", "p95_seconds")
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joblore.operators import anomalies, drift, evaluate, forecast, queues, series
+from joblore.plans import catalog
 from joblore.streaming import jobs
 from tests.test_cleaning_and_series import at, frame
 
@@ -108,6 +109,19 @@ def test_queues(spark):
     assert queues.knn_assign(banded.limit(0)).count() == 0
 
 
+def test_knn_queries_run_the_assignment(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["knn_assign"](spark, sf).collect()
+    table = {r.report_id: (r.band, r.assigned) for r in catalog.QUERIES["knn_queue_table"](spark, sf).collect()}
+    assert table == {r.report_id: (r.band, r.assigned) for r in rows}
+    held = [r for r in rows if r.held_out]
+    got = catalog.QUERIES["knn_accuracy"](spark, sf).first()
+    assert got.n == len(held) and (not held or abs(got.accuracy - sum(r.band == r.assigned for r in held) / len(held)) < 1e-12)
+    own = catalog.banded(spark, sf)
+    one = {r.assigned for r in queues.knn_assign(own, 1, most=1).collect()}
+    assert len(one) == 1 if rows else not one
+
+
 def test_streams_agree_with_batch(spark, tmp_path):
     t = at("2024-01-01")
     df = frame(spark, [(i, f"r{i % 2}", "success", 1, t + dt.timedelta(seconds=40 * i)) for i in range(400)])
