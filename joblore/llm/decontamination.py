@@ -4,7 +4,7 @@ Every `span` (10) consecutive words of an item form a window; an item of fewer w
 none, is one window. Of all runs of k words, winnowing keeps the least hash among each span - k + 1
 neighbours, so any shared span of `span` words shares a kept fingerprint. Fingerprints of texts
 are joined with those of the items; a hit is extended to the windows around it, and these are
-joined with the items' windows.
+joined with the items' windows by two fingerprints of 64 bits each, of independent families.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
@@ -25,11 +25,12 @@ WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 BROADCAST_LIMIT = 1_000_000
 
 
-def _word_sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(column: pa.Array, families: int = 1) -> tuple[np.ndarray, ...]:
+    """Fingerprints of all words, by each of the families, and the n + 1 bounds of the texts in them."""
     data, offs = fp.flat(column)
     data = fp.LOWER[data]
     start, end, bounds = fp.words(data, offs, WORD)
-    return fp.prefix_sums(fp.spans(fp.byte_sums(data), start, end)), bounds
+    return *(fp.spans(data, start, end, f) for f in range(families)), bounds
 
 
 def _whole(bounds: np.ndarray, k: int) -> np.ndarray:
@@ -39,31 +40,31 @@ def _whole(bounds: np.ndarray, k: int) -> np.ndarray:
     return (left >= k)[: max(0, n - k + 1)]
 
 
-def _kept(sums: np.ndarray, bounds: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _kept(words: np.ndarray, bounds: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of k words, and which of them winnowing keeps."""
-    hashes = fp.grams(sums, k)
+    hashes = fp.grams(words, k)
     return hashes, fp.window_minima(hashes, _whole(bounds, span), span - k + 1)
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, span: int = 10) -> DataFrame:
-    """Distinct (item_id, size, window): the hash of each window of each item."""
+    """Distinct (item_id, size, window, other): two independent fingerprints of each window of each item."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fp.pieces(batches, "text"):
-            sums, bounds = _word_sums(batch.column("text"))
+            words, others, bounds = _words(batch.column("text"), 2)
             count = np.diff(bounds)
             for size in np.unique(np.minimum(count, span)):
                 if size:
-                    hashes = fp.grams(sums, int(size))
+                    hashes, second = fp.grams(words, int(size)), fp.grams(others, int(size), 1)
                     at = np.flatnonzero(_whole(bounds, int(size)) & (np.minimum(count, span) == size)[fp.owners(bounds)][: len(hashes)])
                     who = fp.owners(bounds)[at]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("item_id").take(pa.array(who)), pa.array(np.full(len(at), size, np.int32)), pa.array(fp.signed(hashes[at]))],
-                        ["item_id", "size", "window"],
+                        [batch.column("item_id").take(pa.array(who)), pa.array(np.full(len(at), size, np.int32)), pa.array(fp.signed(hashes[at])), pa.array(fp.signed(second[at]))],
+                        ["item_id", "size", "window", "other"],
                     )
 
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(windows, "item_id string, size int, window long").distinct()
+    return rows.mapInArrow(windows, "item_id string, size int, window long, other long").distinct()
 
 
 def item_prints(items: DataFrame, text_col: str, span: int = 10, k: int = 5) -> DataFrame:
@@ -71,7 +72,7 @@ def item_prints(items: DataFrame, text_col: str, span: int = 10, k: int = 5) ->
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fp.pieces(batches, "text"):
-            hashes, keep = _kept(*_word_sums(batch.column("text")), span, k)
+            hashes, keep = _kept(*_words(batch.column("text")), span, k)
             yield pa.RecordBatch.from_arrays([pa.array(fp.signed(np.unique(hashes[keep])))], ["print"])
 
     return items.select(F.col(text_col).alias("text")).mapInArrow(kept, "print long").distinct()
@@ -89,12 +90,12 @@ def _candidates(span: int, k: int, sizes: list[int], prints: np.ndarray | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fp.pieces(batches, "text"):
-            sums, bounds = _word_sums(batch.column("text"))
-            n, who = int(bounds[-1]), fp.owners(bounds)
+            words, bounds = _words(batch.column("text"))
+            who = fp.owners(bounds)
             own, small = prints, short
             if own is None:  # what a join has found for these very texts
                 own = small = np.unique(np.asarray(batch.column("hits").flatten(), dtype=np.int64))
-            hashes, keep = _kept(sums, bounds, span, k)
+            hashes, keep = _kept(words, bounds, span, k)
             hit = np.flatnonzero(keep)
             hit = hit[_found(own, fp.signed(hashes[hit]))]
             whole = _whole(bounds, span)
@@ -103,17 +104,19 @@ def _candidates(span: int, k: int, sizes: list[int], prints: np.ndarray | None,
                 at = hit - j
                 near[at[(at >= 0) & (at < len(whole))]] = True
             at = np.flatnonzero(near & whole)
-            found = [(at, np.full(len(at), span), fp.grams(sums, span)[at] if n >= span else np.zeros(0, fp.U64))]
+            found = [(span, at)]
             for size in sizes:
-                hashes = fp.grams(sums, size)
-                at = np.flatnonzero(_whole(bounds, size) & _found(small, fp.signed(hashes)))
-                found.append((at, np.full(len(at), size), hashes[at]))
-            at, size, window = (np.concatenate(x) for x in zip(*found, strict=True))
+                found.append((size, np.flatnonzero(_whole(bounds, size) & _found(small, fp.signed(fp.grams(words, size))))))
+            found = [(size, at) for size, at in found if len(at)]
+            others = _words(batch.column("text"), 2)[1] if found else words  # most batches have no candidates
+            found = [(at, np.full(len(at), size), fp.grams(words, size)[at], fp.grams(others, size, 1)[at]) for size, at in found]
+            none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, fp.U64), np.zeros(0, fp.U64)
+            at, size, window, other = (np.concatenate(x) for x in zip(none, *found, strict=True))
             order = np.argsort(who[at], kind="stable")
-            at, size, window = at[order], size[order], window[order]
+            at, size, window, other = at[order], size[order], window[order], other[order]
             count = np.bincount(who[at], minlength=batch.num_rows)
             entry = pa.StructArray.from_arrays(
-                [pa.array((at - bounds[who[at]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(fp.signed(window))], ["start", "size", "window"]
+                [pa.array((at - bounds[who[at]]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(fp.signed(window)), pa.array(fp.signed(other))], ["start", "size", "window", "other"]
             )
             offs = np.zeros(batch.num_rows + 1, np.int32)
             np.cumsum(count, out=offs[1:])
@@ -129,13 +132,13 @@ def _prints(span: int, k: int, sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in fp.pieces(batches, "text"):
-            sums, bounds = _word_sums(batch.column("text"))
+            words, bounds = _words(batch.column("text"))
             who = fp.owners(bounds)
-            hashes, keep = _kept(sums, bounds, span, k)
+            hashes, keep = _kept(words, bounds, span, k)
             found = [(who[np.flatnonzero(keep)], hashes[keep])]
             for size in sizes:
                 at = np.flatnonzero(_whole(bounds, size))
-                found.append((who[at], fp.grams(sums, size)[at]))
+                found.append((who[at], fp.grams(words, size)[at]))
             owner, values = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner)), pa.array(fp.signed(values))], ["row", "print"])
 
@@ -162,7 +165,7 @@ def contamination(
     short = windows.filter(F.col("size") < span).select(F.col("window").alias("print")).distinct()
     texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, windows array<struct<start: int, size: int, window: long>>"
+    out = f"doc_id {kind}, n_words long, windows array<struct<start: int, size: int, window: long, other: long>>"
     if prints.count() + short.count() <= broadcast_limit:
         small = [np.sort(np.asarray(x.toArrow()["print"], dtype=np.int64)) for x in (prints, short)]
         told = spark.sparkContext.broadcast(small)
@@ -176,12 +179,10 @@ def contamination(
         found = texts.join(hits, "row", "left").select("doc_id", "text", F.coalesce("hits", F.array().cast("array<long>")).alias("hits"))
         found = found.mapInArrow(_candidates(span, k, sizes, None, None), out)
     found = stash(found.withColumn("row", F.monotonically_increasing_id()), "candidates")
+    own = F.broadcast(windows) if windows.count() <= broadcast_limit // 4 else windows
     hit = (
-        found.select("row", F.explode("windows").alias("w")).select("row", "w.*").join(windows, ["size", "window"]).groupBy("row")
-        .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("size") - 1))))).cast("long").alias("n_hit"),
-            F.array_sort(F.collect_set("item_id")).alias("items"),
-        )
+        found.select("row", F.explode("windows").alias("w")).select("row", "w.*").join(own, ["size", "window", "other"]).groupBy("row")
+        .agg(_covered(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return found.drop("windows").join(hit, "row", "left").select(
@@ -190,5 +191,12 @@ def contamination(
     )
 
 
+def _covered(spans: Column) -> Column:
+    """How many places the spans (start, end), sorted by start, cover."""
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    more = lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(a["end"], s["start"]))).alias("n"))
+    return F.aggregate(spans, none, more)["n"]
+
+
 def _lazy(span: int, k: int, sizes: list[int], told):
     return lambda batches: _candidates(span, k, sizes, *told.value)(batches)

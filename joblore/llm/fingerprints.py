@@ -1,23 +1,26 @@
 """Fingerprints of bytes and words of Arrow string columns, computed with numpy inside tasks.
 
-A text is read as UTF-8. Fingerprints are 64-bit polynomial hashes of random per-byte
-coefficients, so the hash of any span is a difference of two prefix sums. They depend on the
-content alone and agree between tasks, executors and runs.
+A text is read as UTF-8. A fingerprint of a span takes its bytes eight at a time and mixes each into
+64 bits; those of runs are made by prefix doubling: fingerprints at growing offsets are paired until the
+run is covered. No step is linear, so neither repetitive nor self-similar texts collide by
+construction. They depend on the content alone and agree between tasks, executors and runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLES = np.random.default_rng(20240101).integers(0, 1 << 64, (2, 256), dtype=U64) | U64(1)
+_ODD = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: The bytes of a little-endian load that belong to a span of 0 to 8 more bytes.
+_MASKS = np.array([(1 << 8 * b) - 1 for b in range(9)], dtype=U64)
+#: Spans of more bytes are few and are hashed one by one.
+LONG_SPAN = 256
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -30,17 +33,6 @@ def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, dtype=U64)
-    out[0] = 1
-    return np.cumprod(out, out=out)
-
-
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    return _powers(1 << max(16, int(n).bit_length()), base)[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a bijection)."""
     x = x ^ (x >> U64(32))
@@ -51,29 +43,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Fingerprints of ordered pairs."""
+    z = x * _ODD[0]
+    z ^= z >> U64(31)
+    z += y * _ODD[1]
+    return mix(z)
+
+
+def _salt(n: int, family: int) -> np.uint64:
+    return U64((n * 0x2545F4914F6CDD1D + family * 0xA24BAED4963EE407 + 0x8F14E45FCEEA167A) & (1 << 64) - 1)
+
+
+def _loads(data: np.ndarray, n: int) -> np.ndarray:
+    """The eight bytes from each of the first n places on, as unaligned 64-bit values (a view)."""
+    return np.ndarray((n,), "<u8", data, strides=(1,))
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """Fingerprints of the bytes of the spans [start, end), lengths included. Families are independent."""
+    size = end - start
+    out = mix(size.astype(U64) * _ODD[0] + _salt(0, family))
+    loads = _loads(np.append(data, np.zeros(8, np.uint8)), len(data) + 1)
+    long = size > LONG_SPAN
+    for i in np.flatnonzero(long):
+        own = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=bytes([family])).digest()
+        out[i] = int.from_bytes(own, "little")
+    at = np.flatnonzero(~long & (size > 0))
+    start, size = start[at], size[at]
+    while len(at):
+        out[at] = paired(out[at], loads[start] & _MASKS[np.minimum(size, 8)])
+        more = size > 8
+        at, start, size = at[more], start[more] + 8, size[more] - 8
     return out
 
 
-def byte_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
-    return prefix_sums(_TABLES[family][data])
+def _doubled(x: np.ndarray, width: int, k: int) -> np.ndarray:
+    """From fingerprints of all runs of width those of all runs of k, paired at growing offsets."""
+    while width < k:
+        offset = min(width, k - width)
+        x = paired(x[:-offset], x[offset:])
+        width += offset
+    return x
 
 
-def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the spans [start, end), lengths included."""
-    out = (sums[end] - sums[start]) * powers(len(sums), _INVERSE)[start]
-    return mix(out + (end - start).astype(U64) * U64(0x2545F4914F6CDD1D))
+def grams(values: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """Fingerprints of all runs of k consecutive 64-bit values, in order (none if there are fewer)."""
+    if len(values) < k:
+        return np.zeros(0, dtype=U64)
+    return _doubled(mix(values + _salt(k, family)), 1, k)
 
 
-def grams(sums: np.ndarray, k: int) -> np.ndarray:
-    """Fingerprints of all runs of k consecutive values, in order (none if there are fewer)."""
-    n = len(sums) - 1
-    if n < k:
+def byte_grams(data: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """Fingerprints of all runs of k consecutive bytes, in order (none if there are fewer)."""
+    if len(data) < k:
         return np.zeros(0, dtype=U64)
-    out = (sums[k:] - sums[:-k]) * powers(n - k + 1, _INVERSE)
-    return mix(out + U64(k * 0x2545F4914F6CDD1D & (1 << 64) - 1))
+    if k < 8:
+        return grams(data.astype(U64), k, family)
+    return _doubled(mix(_loads(data, len(data) - 7) + _salt(k, family)), 8, k)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -88,19 +115,30 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def places_of_minima(x: np.ndarray, w: int) -> np.ndarray:
+    """For each of the len(x) - w + 1 windows of w values the place of the least one, of ties the first.
+
+    Of a value the lower bits, seven or as many as count to 2 w, hold its place and aren't compared. Places
+    are counted from two starts, and each window takes the count that doesn't begin anew within it.
+    """
+    if len(x) < w:
+        return np.zeros(0, np.int64)
+    half = U64(1 << max(6, (w - 1).bit_length()))
+    low = U64(2) * half - U64(1)
+    place, value = np.arange(len(x), dtype=U64), x & ~low
+    near, far = (sliding_min(value | (place + shift & low), w) for shift in (U64(0), half))
+    start = place[: len(near)]
+    least = np.where(start & half, far - half, near)
+    return (start + (least - start & low)).astype(np.int64)
+
+
 def window_minima(x: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
-    """Winnowing: marks a least x[p] of each valid window of w <= 64 values.
+    """Winnowing: marks the least x[p] of each valid window of w values (see places_of_minima).
 
-    valid[i] says whether the window that starts at i counts; it has len(x) - w + 1 values. Equal
-    windows mark equal values. Values are compared by their upper 58 bits; the lower six hold places.
+    valid[i] says whether the window that starts at i counts; it has len(x) - w + 1 values.
     """
     marked = np.zeros(len(x), dtype=bool)
-    if len(x) >= w:
-        place = np.arange(len(x), dtype=U64)
-        least = sliding_min((x & ~U64(63)) | (place & U64(63)), w)[: len(valid)]
-        start = place[: len(least)]
-        at = start + ((least - start) & U64(63))
-        marked[at[valid].astype(np.int64)] = True
+    marked[places_of_minima(x, w)[valid]] = True
     return marked
 
 

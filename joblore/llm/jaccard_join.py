@@ -47,13 +47,15 @@ def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offs = fp.flat(column)
     data = fp.LOWER[data]
     start, end, bounds = fp.words(data, offs, WORD)
-    sums = fp.prefix_sums(fp.spans(fp.byte_sums(data), start, end))
-    count = np.diff(bounds)
-    at = np.arange(len(start))
-    who = fp.owners(bounds)
-    length = np.minimum(count, n)[who]
-    at = at[np.where(count[who] >= n, at + n <= bounds[1:][who], at == bounds[:-1][who])]
-    who, hashes = who[at], fp.spans(sums, at, at + length[at])
+    words, count, who = fp.spans(data, start, end), np.diff(bounds), fp.owners(bounds)
+    runs = fp.grams(words, n)
+    at = np.flatnonzero((np.arange(len(runs)) + n <= bounds[1:][who][: len(runs)]))
+    found = [(who[at], runs[at])]
+    for size in range(1, n):  # a text of fewer words is one run
+        some = np.flatnonzero(count == size)
+        if len(some):
+            found.append((some, fp.grams(words, size)[bounds[:-1][some]]))
+    who, hashes = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((hashes, who))
     who, hashes = who[order], hashes[order]
     if len(who):

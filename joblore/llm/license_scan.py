@@ -31,7 +31,7 @@ def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     data, offs = fp.flat(column)
     data = fp.LOWER[data]
     start, end, bounds = fp.words(data, offs, WORD)
-    return fp.spans(fp.byte_sums(data), start, end), bounds, start, end, offs
+    return fp.spans(data, start, end), bounds, start, end, offs
 
 
 class Index:
@@ -48,7 +48,7 @@ class Index:
         for i, own in enumerate(self.words):
             if len(own) < k:
                 raise ValueError(f"template {self.names[i]!r} has under {k} words")
-            runs = fp.grams(fp.prefix_sums(own), k)
+            runs = fp.grams(own, k)
             kept = np.flatnonzero(fp.window_minima(runs, np.ones(max(0, len(runs) - w + 1), bool), w)) if len(runs) >= w else np.arange(len(runs))
             keys.append(runs[kept])
             owner.append(np.full(len(kept), i))
@@ -202,7 +202,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         index = told.value
         for batch in fp.pieces(batches, "text"):
             words, bounds, start, end, offs = _hashes(batch.column("text"))
-            runs = fp.grams(fp.prefix_sums(words), k)
+            runs = fp.grams(words, k)
             place = np.minimum(np.searchsorted(index.keys, runs), len(index.keys) - 1)
             hit = np.zeros(len(words) + 1, np.int64)
             hit[1 : len(runs) + 1] = np.cumsum(index.keys[place] == runs)

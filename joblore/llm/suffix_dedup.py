@@ -1,18 +1,19 @@
 """Removal of passages that an earlier document holds, by distributed prefix doubling.
 
-The rank of a position is a fingerprint of the `length` bytes that start there, so equal ranks are
-equal prefixes, wherever they are computed, and rank pairs (p, p + offset) give the ranks of
-prefixes twice as long. Spark sorts ranks in buckets at growing lengths; a bucket tells each
-batch of documents which of its ranks others hold, and unique ones are dropped:
-
-1. Half the threshold, at positions that winnowing picks (each passage of `length` bytes
-   contains one): a pick of a unique rank rules out all passages around it. Beside these, whole blocks
-   of content-defined extent are ranked, so that long copies are settled at once.
-2. The threshold, for the remaining positions, by pairs of half-length ranks.
-
-Batches are ranges of doc_id, so "an earlier document" means an earlier batch or, within the batch,
-a smaller doc_id: what is exchanged are sorted bucket lists of bare ranks, each once per batch,
-however often a passage repeats.
+The rank of a position is a fingerprint of the bytes that start there, so equal ranks are equal
+prefixes, wherever they are computed, and the pair of ranks at p and at p + offset ranks a prefix
+longer by the offset. Inside tasks offsets grow to half the threshold; from there on Spark sorts:
+
+1. A filter. Of the prefixes of half that length that begin in a string of `length` bytes (a window) winnowing
+   picks the least rank, and content cuts each text into blocks of windows. Spark brings equal
+   ranks of picks, and equal ones of blocks, together and counts them. A window stays open only if its
+   pick occurs more often than its block: otherwise each occurrence of the pick, and so of the window,
+   lies in the same place of that block, and what holds for the block holds for it. Unique ones drop out.
+2. The table (batch, place, rank pair) of the open windows, one row for each distinct pair of a batch, is
+   sorted by rank pair and batch: each row but a pair's first has an earlier holder.
+
+Batches are ranges of doc_id with about equal bytes, so "an earlier document" means an earlier batch or,
+within the batch, a smaller doc_id, and however often a passage repeats, a batch sends its rank once.
 """
 
 from __future__ import annotations
@@ -22,179 +23,243 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import short_batches
+from joblore.llm.scratch import arrow_function, short_batches
 
-BLOCKS, PICKS, WINDOWS = 0, 1, 2
-#: Bytes of a rank that are exchanged; the bucket fixes further bits.
-WIDTH = {BLOCKS: 8, PICKS: 4, WINDOWS: 8}
+BLOCKS, PICKS = 0, 1
+#: Bytes of a rank that are exchanged; the bucket fixes further bits. Picks that collide only keep windows open.
+WIDTH = {BLOCKS: 8, PICKS: 4}
 #: A block of windows ends at one position in so many, chosen by content.
 BLOCK = 32
+#: Bytes of text that one numpy step takes; longer texts are cut, with length - 1 bytes of overlap.
+PIECE = 1 << 20
+#: Batches at most (8 bytes each are sent to the tasks); of more text the batches grow.
+MOST_BATCHES = 4_000_000
+#: In a reply, the bit that says that an earlier batch holds the rank; the others count it.
+EARLIER = np.uint32(1 << 31)
+MANY = np.uint32(EARLIER - np.uint32(1))
 
 
 class _Part:
-    """Ranks of a run of documents that are processed at once."""
+    """Texts, or a piece of a long one, that one numpy step takes."""
 
-    def __init__(self, column: pa.Array, ids: np.ndarray, length: int):
-        self.data, self.offs = fp.flat(column)
+    def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, rows: np.ndarray, base: int, length: int):
+        self.data, self.offs, self.ids, self.rows, self.base = data, offs, ids, rows, base
         self.length, self.half = length, (length + 1) // 2
-        n = len(self.data)
-        self.sums = fp.byte_sums(self.data)
-        self.ranks = fp.grams(self.sums, self.half)
-        windows = max(0, n - length + 1)
+        self.windows = max(0, len(data) - length + 1)
+
+    def valid(self) -> np.ndarray:
+        """The windows that lie within one text."""
         end = np.repeat(self.offs[1:], np.diff(self.offs))
-        self.valid = (np.arange(windows) + length <= end[:windows]) if windows else np.zeros(0, bool)
-        self.ids = ids
-        self.doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(self.offs))
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the blocks of windows, and two fingerprints of the bytes they span."""
-        cut = self.valid & ((self.ranks[: len(self.valid)] >> fp.U64(20)) % fp.U64(BLOCK) == 0)
-        has = np.diff(self.offs) >= self.length
-        cut[self.offs[:-1][has]] = True
+        return np.arange(self.windows) + self.length <= end[: self.windows]
+
+    def owner(self) -> np.ndarray:
+        """The doc_id of each place."""
+        return np.repeat(self.ids, np.diff(self.offs))
+
+    def ranks(self) -> np.ndarray:
+        return fp.byte_grams(self.data, self.half)
+
+    def cuts(self, ranks: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        """Where blocks of windows start."""
+        cut = valid & ((ranks[: self.windows] >> fp.U64(20)) % fp.U64(BLOCK) == 0)
+        cut[self.offs[:-1][np.diff(self.offs) >= self.length]] = True
+        return cut
+
+    def blocks(self, ranks: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the blocks, and two fingerprints of the bytes they span."""
         start = np.flatnonzero(cut)
-        last = self.offs[1:][self.doc[start]] - self.length + 1
-        end = np.minimum(np.append(start[1:], len(self.data)), last) if len(start) else start
-        a = fp.spans(self.sums, start, end + self.length - 1)
-        b = fp.spans(fp.byte_sums(self.data, 1), start, end + self.length - 1)
-        del self.sums
-        return start, end, a, b
+        if not len(start):
+            return start, np.zeros(0, fp.U64), np.zeros(0, fp.U64)
+        last = np.repeat(self.offs[1:], np.diff(self.offs))[start] - self.length + 1
+        end = np.minimum(np.append(start[1:], self.windows), last)
+        place = np.arange(self.windows) - start[np.maximum(np.cumsum(cut) - 1, 0)]
+        mixed = fp.mix(ranks[: self.windows] + place.astype(fp.U64) * fp.U64(0xC2B2AE3D27D4EB4F))
+        edges = np.stack([start, end], axis=1).ravel()
+        edges = edges[:-1] if edges[-1] == self.windows else edges
+        # The prefixes of the block's windows, and what follows them in the last one.
+        tail = ranks[end - 1 + self.length - self.half]
+        a, b = (fp.paired(f.reduceat(mixed, edges)[::2], tail) for f in (np.add, np.bitwise_xor))
+        return start, a, b
+
+    def picks(self, ranks: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where picks are, and the place of each window's pick."""
+        places = fp.places_of_minima(ranks, self.length - self.half + 1)
+        marked = np.zeros(len(ranks), bool)
+        marked[places[valid]] = True
+        return np.flatnonzero(marked), places
 
-    def picks(self) -> np.ndarray:
-        return np.flatnonzero(fp.window_minima(self.ranks, self.valid, self.length - self.half + 1))
 
-    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two fingerprints of the prefixes of `length` bytes, from pairs of half-length ranks."""
-        x, y = self.ranks[at], self.ranks[at + self.length - self.half]
-        return fp.mix(x + y * fp.U64(0x9E3779B97F4A7C15)), fp.mix(y + x * fp.U64(0xC2B2AE3D27D4EB4F))
+def _parts(docs: pa.Table, length: int) -> Iterator[_Part]:
+    """The parts of a batch sorted by doc_id."""
+    data, offs = fp.flat(docs["text"])
+    ids = docs["doc_id"].to_numpy()
+    size = np.diff(offs)
+    group = np.cumsum(size) // PIECE
+    cuts = np.flatnonzero((np.diff(group) > 0) | (size[1:] > PIECE) | (size[:-1] > PIECE)) + 1 if len(size) else []
+    for x, y in zip(np.append(0, cuts).astype(int), np.append(cuts, len(size)).astype(int), strict=True):
+        if y - x == 1 and size[x] > PIECE:
+            for at in range(0, max(1, int(size[x]) - length + 1), PIECE):
+                own = data[offs[x] + at : min(offs[x + 1], offs[x] + at + PIECE + length - 1)]
+                yield _Part(own, np.array([0, len(own)]), ids[x:y], np.array([x]), at, length)
+        elif y > x:
+            yield _Part(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x], ids[x:y], np.arange(x, y), 0, length)
 
 
 class _Ranks:
-    """Distinct ranks of a batch, sorted by bucket, with the least and greatest doc_id of each."""
+    """Distinct ranks of a batch, sorted by bucket, with the least doc_id and the number of places of each.
+
+    ids must ascend.
+    """
 
     def __init__(self, kind: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray, buckets: int):
         value = a & fp.U64((1 << 8 * WIDTH[kind]) - 1)
         bucket = ((b if kind != PICKS else a) >> fp.U64(40)) % fp.U64(buckets)
-        order = np.lexsort((value, bucket))
-        value, bucket, self.kind = value[order], bucket[order].astype(np.int32), kind
+        order = np.lexsort((value, bucket))  # stable, so doc_ids of one rank still ascend
+        value, bucket, ids, self.kind = value[order], bucket[order].astype(np.int32), ids[order], kind
         new = np.append(True, (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1]))[: len(value)]
         first = np.flatnonzero(new)
         self.of = np.empty(len(value), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        self.value, self.bucket = value[first], bucket[first]
-        self.least = np.minimum.reduceat(ids[order], first) if len(first) else ids[:0]
-        self.greatest = np.maximum.reduceat(ids[order], first) if len(first) else ids[:0]
+        self.value, self.bucket, self.least = value[first], bucket[first], ids[first]
+        self.count = np.diff(np.append(first, len(value))).astype(np.uint32)
 
     def rows(self, batch: int) -> pa.Table:
         bounds = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])[: len(self.bucket)]), len(self.bucket))
         raw = self.value.view(np.uint8).reshape(-1, 8)[:, : WIDTH[self.kind]]
-        data = [raw[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        n = len(data)
+        ranks, counts = ([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] for x in (raw, self.count))
+        n = len(ranks)
         return pa.table(
             {
-                "kind": pa.array(np.full(n, self.kind, np.int32)), "bucket": pa.array(self.bucket[bounds[:-1]], pa.int32()),
-                "batch": pa.array(np.full(n, batch, np.int64)), "ranks": pa.array(data, pa.binary()),
+                "kind": pa.array(np.full(n, self.kind, np.int32)), "bucket": pa.array(self.bucket[bounds[:-1]], pa.int32()), "batch": pa.array(np.full(n, batch, np.int64)),
+                "ranks": pa.array(ranks, pa.binary()), "counts": pa.array(counts, pa.binary()),
             }
         )
 
     def told(self, replies: dict) -> np.ndarray:
         """What the buckets have told this batch of each of its distinct ranks."""
-        bits = [np.unpackbits(np.frombuffer(replies[self.kind, int(b)], np.uint8))[:n] for b, n in zip(*np.unique(self.bucket, return_counts=True), strict=True)]
-        return np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
-
-
-def _parts(docs: pa.Table, length: int) -> Iterator[_Part]:
-    docs = docs.sort_by("doc_id")
-    for piece in fp.pieces(iter(docs.select(["doc_id", "text"]).combine_chunks().to_batches()), "text", 1 << 20):
-        yield _Part(piece.column("text"), piece.column("doc_id").to_numpy(zero_copy_only=False), length)
+        return np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(replies[self.kind, int(b)], np.uint32) for b in np.unique(self.bucket))])
 
 
 def _joined(found: list[tuple]) -> tuple:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _filter_ranks(docs: pa.Table, length: int, buckets: int) -> tuple[_Ranks, _Ranks]:
+    blocks, picks = [], []
+    for part in _parts(docs, length):
+        ranks, valid, owner = part.ranks(), part.valid(), part.owner()
+        start, a, b = part.blocks(ranks, part.cuts(ranks, valid))
+        blocks.append((a, b, owner[start]))
+        at, _ = part.picks(ranks, valid)
+        picks.append((ranks[at], owner[at]))
+    a, ids = _joined(picks)
+    return _Ranks(BLOCKS, *_joined(blocks), buckets), _Ranks(PICKS, a, a, ids, buckets)
+
+
 def _first(length: int, buckets: int):
     """Per batch: the ranks of its blocks and picks."""
 
     def run(docs: pa.Table) -> pa.Table:
-        blocks, picks, batch = [], [], docs["batch"][0].as_py()
-        for part in _parts(docs, length):
-            start, _, a, b = part.blocks()
-            blocks.append((a, b, part.ids[part.doc[start]]))
-            at = part.picks()
-            picks.append((part.ranks[at], part.ids[part.doc[at]]))
-        a, ids = _joined(picks)
-        return pa.concat_tables([_Ranks(BLOCKS, *_joined(blocks), buckets).rows(batch), _Ranks(PICKS, a, a, ids, buckets).rows(batch)])
+        batch, docs = docs["batch"][0].as_py(), docs.sort_by("doc_id")
+        return pa.concat_tables([x.rows(batch) for x in _filter_ranks(docs, length, buckets)])
 
     return run
 
 
 def _judge(table: pa.Table) -> pa.Table:
-    """Per bucket: tells each batch which of its ranks an earlier (of picks: another) batch holds."""
+    """Per bucket: tells each batch how often each of its ranks occurs, and whether in an earlier batch."""
     table = table.sort_by("batch")
-    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-    width = WIDTH[kind]
+    width = WIDTH[table["kind"][0].as_py()]
     data = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table["ranks"].to_pylist()]
-    count = np.array([len(x) for x in data])
-    raw = np.zeros((count.sum(), 8), np.uint8)
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
+    size = np.array([len(x) for x in data])
+    raw = np.zeros((size.sum(), 8), np.uint8)
     raw[:, :width] = np.concatenate(data)
     value = raw.view(np.uint64).ravel()
     order = np.argsort(value, kind="stable")
-    same = value[order][1:] == value[order][:-1]
-    flag = np.zeros(len(value), bool)
-    flag[order[1:]] = same
-    if kind == PICKS:
-        flag[order[:-1]] |= same
-    ends = np.cumsum(count)
-    bits = [np.packbits(flag[e - c : e]).tobytes() for e, c in zip(ends, count, strict=True)]
-    n = len(bits)
-    return pa.table({"batch": table["batch"], "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "bits": pa.array(bits, pa.binary())})
-
-
-def _replies(table: pa.Table) -> dict:
-    return dict(zip(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), strict=True), table["bits"].to_pylist(), strict=True))
-
-
-def _open_windows(docs: pa.Table, replies: dict, length: int, buckets: int) -> tuple[list[_Part], list[np.ndarray], list[np.ndarray], _Ranks]:
-    """The batch's parts; per part the windows that settled blocks cover, and the windows still
-    open: those around picks that others hold; and the ranks of the open ones."""
-    parts = list(_parts(docs, length))
-    blocks = [p.blocks() for p in parts]
-    ids = np.concatenate([p.ids[p.doc[b[0]]] for p, b in zip(parts, blocks, strict=True)])
-    ranks = _Ranks(BLOCKS, *(np.concatenate([b[i] for b in blocks]) for i in (2, 3)), ids, buckets)
-    settled = (ranks.told(replies) | False)[ranks.of] | (ids > ranks.least[ranks.of]) if len(ids) else np.zeros(0, bool)
-    picks = [p.picks() for p in parts]
-    ids = np.concatenate([p.ids[p.doc[at]] for p, at in zip(parts, picks, strict=True)])
-    hashes = np.concatenate([p.ranks[at] for p, at in zip(parts, picks, strict=True)])
-    ranks = _Ranks(PICKS, hashes, hashes, ids, buckets)
-    shared = (ranks.told(replies) | (ranks.least != ranks.greatest))[ranks.of] if len(ids) else np.zeros(0, bool)
-    covered, opened, found, done, seen = [], [], [], 0, 0
-    for p, (start, end, _, _), at in zip(parts, blocks, picks, strict=True):
-        edge = np.zeros(len(p.valid) + 1, np.int32)
-        own = settled[done : done + len(start)]
-        np.add.at(edge, start[own], 1)
-        np.add.at(edge, end[own], -1)
-        covered.append(np.cumsum(edge[:-1]) > 0)
-        at = at[shared[seen : seen + len(at)]]
-        done, seen = done + len(start), seen + len(picks[len(opened)])
-        edge = np.zeros(len(p.valid) + 1, np.int32)
-        np.add.at(edge, np.maximum(0, at - (p.length - p.half)), 1)
-        np.add.at(edge, np.minimum(len(p.valid), at + 1), -1)
-        opened.append(np.flatnonzero((np.cumsum(edge[:-1]) > 0) & p.valid & ~covered[-1]))
-        found.append((*p.pairs(opened[-1]), p.ids[p.doc[opened[-1]]]))
-    return parts, covered, opened, _Ranks(WINDOWS, *_joined(found), buckets)
+    new = np.append(True, value[order][1:] != value[order][:-1])[: len(value)]
+    first = np.flatnonzero(new)
+    total = np.minimum(np.add.reduceat(counts[order], first, dtype=np.uint64), MANY).astype(np.uint32)
+    out = np.empty(len(value), np.uint32)
+    out[order] = total[np.cumsum(new) - 1] | np.where(new, np.uint32(0), EARLIER)
+    ends = np.cumsum(size)
+    told = [out[e - c : e].tobytes() for e, c in zip(ends, size, strict=True)]
+    return pa.table({"batch": table["batch"], "kind": table["kind"], "bucket": table["bucket"], "told": pa.array(told, pa.binary())})
+
+
+def _deltas(*columns: np.ndarray) -> bytes:
+    """Numbers that mostly grow by one, as differences, which compress well."""
+    return b"".join(len(c).to_bytes(8, "little") + np.diff(c, prepend=0).astype(np.int32).tobytes() for c in columns)
+
+
+def _sums(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(np.cumsum(np.frombuffer(data, np.int32, n, at + 8), dtype=np.int64))
+        at += 8 + 4 * n
+    return out
+
+
+WINDOWS = "batch long, place int, first long, second int, state binary"
 
 
 def _second(length: int, buckets: int):
-    """Per batch: the ranks of the windows still open."""
+    """Per batch: the distinct rank pairs of the windows that the filter leaves open, with their number
+    in the batch as place; and one row of place -1 with the state: the windows that are settled, and the
+    open ones with the numbers of their pairs."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("ranks", pa.binary())]).empty_table()
-        return _open_windows(docs, _replies(told), length, buckets)[-1].rows(docs["batch"][0].as_py())
+        docs = docs.sort_by("doc_id")
+        replies = dict(zip(zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), strict=True), told["told"].to_pylist(), strict=True))
+        blocks, picks = _filter_ranks(docs, length, buckets)
+        of_block, of_pick = (x.told(replies) for x in (blocks, picks))
+        held, found, done, seen, before = [], [], 0, 0, 0
+        for part in _parts(docs, length):
+            ranks, valid, owner = part.ranks(), part.valid(), part.owner()
+            cut, (at, places) = part.cuts(ranks, valid), part.picks(ranks, valid)
+            own = blocks.of[done : done + np.count_nonzero(cut)]
+            times = np.zeros(len(ranks), np.uint32)
+            times[at] = of_pick[picks.of[seen : seen + len(at)]] & MANY
+            done, seen = done + len(own), seen + len(at)
+            if len(own):
+                block = np.maximum(np.cumsum(cut) - 1, 0)
+                settled = ((of_block[own] & EARLIER) > 0) | (blocks.least[own] < owner[: part.windows][cut])
+                held.append(settled[block] & valid)
+                some = np.flatnonzero(valid & ~held[-1] & (times[places] != (of_block[own] & MANY)[block]))
+            else:
+                held.append(np.zeros(part.windows, bool))
+                some = np.zeros(0, np.int64)
+            x, y = ranks[some], ranks[some + length - part.half]
+            found.append((some + before, fp.paired(x, y), fp.paired(y, ~x) >> fp.U64(32), owner[some]))
+            before += part.windows
+        some, first, second, ids = _joined(found)
+        held = np.concatenate(held)
+        order = np.lexsort((second, first))
+        new = np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))[: len(order)]
+        leader = order[new]  # the sort is stable: the least doc_id
+        number = np.empty(len(leader), np.int64)
+        number[np.argsort(leader)] = np.arange(len(leader))  # by first place, so that neighbours have neighbouring numbers
+        of = np.empty(len(order), np.int64)
+        of[order] = number[np.cumsum(new) - 1]
+        leader = np.sort(leader)
+        mine = ids > ids[leader][of] if len(of) else np.zeros(0, bool)
+        held[some[mine]] = True
+        turns = np.flatnonzero(np.diff(held, prepend=False, append=False))
+        state = _deltas(turns, some[~mine], of[~mine])
+        batch, n = docs["batch"][0].as_py(), len(leader)
+        return pa.table(
+            {
+                "batch": pa.array(np.full(n + 1, batch, np.int64)), "place": pa.array(np.append(np.arange(n), -1), pa.int32()),
+                "first": pa.array(np.append(fp.signed(first[leader]), batch)), "second": pa.array(np.append(second[leader].astype(np.uint32).view(np.int32), -1).astype(np.int32)),
+                "state": pa.array([None] * n + [state], pa.binary()),
+            }
+        )
 
     return run
 
@@ -202,30 +267,41 @@ def _second(length: int, buckets: int):
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, rest "
 
 
-def _cut(length: int, buckets: int, keep_text: bool):
+def _cut(length: int, keep_text: bool):
     """Per batch: the documents without the bytes that earlier ones hold."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        rows, docs = [], docs.sort_by("doc_id")
-        if docs.num_rows:
-            replies = _replies(told)
-            parts, covered, opened, ranks = _open_windows(docs, replies, length, buckets)
-            ids = np.concatenate([p.ids[p.doc[at]] for p, at in zip(parts, opened, strict=True)])
-            earlier = (ranks.told(replies)[ranks.of] | (ids > ranks.least[ranks.of])) if len(ids) else np.zeros(0, bool)
-            done = 0
-            for p, held, at in zip(parts, covered, opened, strict=True):
-                held = held & p.valid
-                held[at[earlier[done : done + len(at)]]] = True
-                done += len(at)
-                edge = np.zeros(len(p.data) + 1, np.int32)
-                edge[: len(held)] += held
-                edge[length : length + len(held)] -= held
-                gone = np.cumsum(edge[:-1]) > 0
-                for i, doc in enumerate(p.ids.tolist()):
-                    own, cut = p.data[p.offs[i] : p.offs[i + 1]], gone[p.offs[i] : p.offs[i + 1]]
-                    kept = own[~cut].tobytes()
-                    spans = int(np.count_nonzero(cut[1:] & ~cut[:-1]) + (len(cut) and cut[0]))
-                    rows.append((doc, len(own), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), _text(own, cut) if keep_text else None))
+        docs = docs.sort_by("doc_id")
+        place = told["place"].to_numpy()
+        turns, some, of = _sums(told["state"][int(np.flatnonzero(place < 0)[0])].as_py())
+        earlier = np.zeros(int(of.max(initial=-1)) + 1, bool)
+        place = place[place >= 0]
+        earlier[place[place < len(earlier)]] = True
+        held = np.zeros(sum(p.windows for p in _parts(docs, length)) + 1, np.int8)
+        held[turns[::2]], held[turns[1::2]] = 1, -1
+        held = np.cumsum(held[:-1]).astype(bool)
+        held[some[earlier[of]]] = True
+        rows, before, whole = [], 0, None
+        for part in _parts(docs, length):
+            edge = np.zeros(len(part.data) + 1, np.int32)
+            own = held[before : before + part.windows].astype(np.int32)
+            before += part.windows
+            edge[: len(own)] += own
+            edge[length : length + len(own)] -= own
+            gone = np.cumsum(edge[:-1]) > 0
+            for i, row in enumerate(part.rows.tolist()):
+                data, cut = part.data[part.offs[i] : part.offs[i + 1]], gone[part.offs[i] : part.offs[i + 1]]
+                text = docs["text"][row].as_buffer() if part.base or len(data) > PIECE else None
+                if text is not None and (part.base or text.size > len(data)):  # a piece of a long text: its overlap belongs to both
+                    data = np.frombuffer(text, np.uint8)
+                    whole = np.zeros(len(data), bool) if not part.base else whole
+                    whole[part.base : part.base + len(cut)] |= cut
+                    if part.base + len(cut) < len(data):
+                        continue
+                    cut = whole
+                kept = data[~cut].tobytes()
+                spans = int(np.count_nonzero(cut[1:] & ~cut[:-1]) + (len(cut) and cut[0]))
+                rows.append((int(part.ids[i]), len(data), int(cut.sum()), spans, hashlib.sha256(kept).hexdigest(), _text(data, cut) if keep_text else None))
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}).append_column("rest", docs["rest"])
@@ -242,17 +318,26 @@ def _text(data: np.ndarray, cut: np.ndarray) -> str:
     return data[np.repeat(stays, np.diff(np.append(first, len(data))))].tobytes().decode()
 
 
-def _batch(ids: DataFrame, batches: int, coarse: int = 256) -> Column:
-    """An order-preserving number of a batch for doc_id: quantile ranges, cut evenly if many are needed."""
-    coarse = min(coarse, batches)
-    sub = -(-batches // coarse)
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] + [1.0], 10_000).alias("q"), F.min("doc_id").alias("low")).first()
-    edges = [cuts["low"], *sorted(set(cuts["q"]))]
-    doc = F.col("doc_id")
-    cell = F.size(F.filter(F.lit(edges[1:-1]) if len(edges) > 2 else F.array().cast("array<bigint>"), lambda x: x < doc)) + 1
-    low, high = (F.element_at(F.lit(x), cell) for x in (edges[:-1], edges[1:]))
-    part = F.floor((doc - low).cast("double") * sub / (high - low + 1).cast("double"))
-    return ((cell - 1) * sub + F.greatest(F.lit(0), F.least(F.lit(sub - 1), part))).cast("long")
+def _batches(known: DataFrame, total: int, batch_bytes: int) -> DataFrame:
+    """known with the number of its batch, which grows with doc_id. Sorted in ranges, ids and lengths
+    alone tell where about batch_bytes are full; a batch begins there or where a range does."""
+
+    def edges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, out = None, 0, []
+        for batch in rows:
+            for doc, size in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if last is None or (doc != last and held + size > batch_bytes):
+                    out.append(doc)
+                    held = 0
+                last, held = doc, held + size
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["edge"])
+
+    batch_bytes = max(batch_bytes, total // MOST_BATCHES + 1)
+    slim = known.select("doc_id", F.octet_length("text").cast("long").alias("size"))
+    begins = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(edges, "edge long").toArrow()["edge"].to_numpy()
+    told = known.sparkSession.sparkContext.broadcast(np.sort(begins))
+    number = arrow_function(lambda ids: pa.array(np.searchsorted(told.value, ids.to_numpy(zero_copy_only=False), "right") - 1), "long")
+    return known.withColumn("batch", number(F.col("doc_id")))
 
 
 def remove_repeats(
@@ -261,11 +346,15 @@ def remove_repeats(
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; text if asked for; and a
     struct `rest` of the columns to carry, if any.
 
-    A byte goes if a string of `length` bytes that covers it also starts in a document of smaller
-    doc_id. The digest is of the remaining bytes; text keeps the characters of which a byte remains.
+    A byte goes if a string of `length` bytes (16 at least) that covers it also starts in a document of
+    smaller doc_id. The digest is of the remaining bytes; text keeps the characters of which a byte remains.
     A null text is empty. Rows that repeat a doc_id don't remove from each other, and rows without
-    doc_id neither lose bytes nor make others lose them. A batch holds about batch_bytes of text.
+    doc_id neither lose bytes nor make others lose them. A batch holds about batch_bytes of text, or one
+    longer text, which a task holds with about 10 bytes for each of its bytes. Equal ranks of 96 bits
+    count as equal strings.
     """
+    if length < 16:
+        raise ValueError("passages must have at least 16 bytes")
     short_batches(docs.sparkSession)
     rest = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
@@ -277,14 +366,13 @@ def remove_repeats(
         F.sha2("text", 256).alias("kept_sha256"), (F.col("text") if keep_text else F.lit(None).cast("string")).alias("text"), "rest",
     )
     if total is not None:
-        batches = max(1, -(-total // batch_bytes))
         buckets = max(1, -(-total // (16 << 20)))
-        known = known.withColumn("batch", _batch(known.select("doc_id"), batches))
-        sent, reply = "kind int, bucket int, batch long, ranks binary", "batch long, kind int, bucket int, bits binary"
-        judged = lambda ranks: ranks.groupBy("kind", "bucket").applyInArrow(_judge, reply)
-        first = judged(known.groupBy("batch").applyInArrow(_first(length, buckets), sent))
-        second = judged(known.groupBy("batch").cogroup(first.groupBy("batch")).applyInArrow(_second(length, buckets), sent))
-        kind = rows.schema["rest"].dataType.simpleString()
-        cut = known.groupBy("batch").cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_cut(length, buckets, keep_text), OUT + kind)
+        known = _batches(known, total, batch_bytes)
+        ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch long, ranks binary, counts binary")
+        told = ranks.groupBy("kind", "bucket").applyInArrow(_judge, "batch long, kind int, bucket int, told binary")
+        windows = known.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_second(length, buckets), WINDOWS)
+        order = F.row_number().over(W.partitionBy("first", "second").orderBy("batch"))
+        earlier = windows.withColumn("order", order).filter("order > 1 or place < 0").select("batch", "place", "state")
+        cut = known.groupBy("batch").cogroup(earlier.groupBy("batch")).applyInArrow(_cut(length, keep_text), OUT + rows.schema["rest"].dataType.simpleString())
         out = cut.unionByName(out)
     return out.drop(*([] if keep_text else ["text"]), *([] if carry else ["rest"]))

@@ -37,7 +37,7 @@ PAD = max(WIDTHS) - 1
 
 def _hash(word: str) -> np.uint64:
     data = np.frombuffer(word.encode(), np.uint8)
-    return fp.spans(fp.byte_sums(data), np.array([0]), np.array([len(data)]))[0]
+    return fp.spans(data, np.array([0]), np.array([len(data)]))[0]
 
 
 def _function_table() -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +56,15 @@ def features(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np
     data, offs = fp.flat(column)
     data = fp.LOWER[data]
     start, end, bounds = fp.words(data, offs, WORD)
-    sums, n = fp.byte_sums(data), len(offs) - 1
+    n = len(offs) - 1
     who = fp.owners(bounds)
-    whole = fp.spans(sums, start, end)
+    whole = fp.spans(data, start, end)
     out = np.zeros((len(start) + PAD * n, 1 + len(PREFIXES)), np.int32)
     at = np.arange(len(start)) + PAD * who
     out[at, 0] = (whole % fp.U64(buckets - 1)).astype(np.int32) + 1
     for i, size in enumerate(PREFIXES, 1):
         long = np.flatnonzero(end - start > size)
-        prefix = fp.mix(fp.spans(sums, start[long], start[long] + size) + fp.U64(size))
+        prefix = fp.spans(data, start[long], start[long] + size, i)
         out[at[long], i] = (prefix % fp.U64(buckets - 1)).astype(np.int32) + 1
     place = np.minimum(np.searchsorted(_FUNCTION_HASHES, whole), len(_FUNCTION_HASHES) - 1)
     known = np.flatnonzero(_FUNCTION_HASHES[place] == whole)

@@ -1,7 +1,7 @@
 """URL rules decided by a cascade of Bloom filters.
 
-A URL's keys are its host and each parent domain, joined with each prefix of its path that is as
-long as some rule's path. Level 0 of the cascade encodes the listed keys; level 1 those keys of the
+A URL's keys are those endings of its host and beginnings of its path, joined, that have as many labels and
+characters as some rule's host and path. Level 0 of the cascade encodes the listed keys; level 1 those keys of the
 corpus that level 0 lets pass by mistake; level 2 the listed keys that level 1 lets pass; and so on
 until none is left. Over the corpus's complete key universe the first level that a key
 fails then tells exactly whether it is listed, without a join: only filters reach the tasks.
@@ -26,7 +26,7 @@ MOST_BYTES = 256 << 20
 
 
 class Level:
-    """A Bloom filter over 64-bit fingerprints."""
+    """A Bloom filter over keys of two 64-bit fingerprints (a 2 x n array)."""
 
     def __init__(self, bits: int, hashes: int, salt: int):
         self.bits, self.hashes, self.salt = max(64, bits), hashes, salt
@@ -37,7 +37,7 @@ class Level:
         return Level(ceil(max(1, n) * -log(rate) / log(2) ** 2), max(1, round(-log(rate) / log(2))), salt)
 
     def places(self, keys: np.ndarray) -> np.ndarray:
-        a, b = fp.mix(keys ^ fp.U64(2 * self.salt + 1)), fp.mix(keys ^ fp.U64(2 * self.salt + 2)) | fp.U64(1)
+        a, b = fp.mix(keys[0] ^ fp.U64(2 * self.salt + 1)), fp.mix(keys[1] ^ fp.U64(2 * self.salt + 2)) | fp.U64(1)
         return np.stack([(a + fp.U64(i) * b) % fp.U64(self.bits) for i in range(self.hashes)])
 
     def add(self, places: np.ndarray) -> None:
@@ -50,9 +50,9 @@ class Level:
 
 def listed(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     """Whether each key is listed: the first level that a key fails is odd."""
-    out, here = np.zeros(len(keys), bool), np.arange(len(keys))
+    out, here = np.zeros(keys.shape[1], bool), np.arange(keys.shape[1])
     for i, level in enumerate(levels):
-        passed = level.holds(keys[here])
+        passed = level.holds(keys[:, here])
         out[here[~passed]] = i % 2 == 1
         here = here[passed]
     out[here] = len(levels) % 2 == 1
@@ -61,7 +61,7 @@ def listed(levels: list[Level], keys: np.ndarray) -> np.ndarray:
 
 def _prints(column: pa.Array) -> np.ndarray:
     data, offs = fp.flat(column)
-    return fp.spans(fp.byte_sums(data), offs[:-1], offs[1:])
+    return np.stack([fp.spans(data, offs[:-1], offs[1:], family) for family in (0, 1)])
 
 
 def _level(keys: DataFrame, level: Level) -> Level:
@@ -102,13 +102,13 @@ def build_cascade(listed_keys: DataFrame, universe: DataFrame, n_universe: int,
             raise ValueError(f"the filters of {n} keys would take over {most_bytes} bytes")
         levels.append(_level(outs if len(levels) % 2 else ins, level))
         if len(levels) % 2:  # it holds listed keys: whom else does it let pass?
-            outs = _passing(universe.select("key") if outs is None else outs, levels).join(listed_keys.select("key"), "key", "left_anti").distinct()
+            outs = _passing(universe.select("key").distinct() if outs is None else outs, levels).join(listed_keys.select("key"), "key", "left_anti")
             n = outs.count()
         else:
             ins = _passing(ins, levels)
             n = ins.count()
         if len(levels) > 200:
-            raise RuntimeError("two keys have one fingerprint")
+            raise RuntimeError("two keys have the same 128 bits of fingerprints")
     return levels
 
 
@@ -122,13 +122,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL, the longest first."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    paths = F.filter(F.transform(F.lit(sorted(set(lengths))), lambda n: F.when(F.char_length(path) >= n, F.substring(path, F.lit(1), n))), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(keys, lambda a, b: F.char_length(b) - F.char_length(a)))
+def _labels(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."))) + 1
+
+
+def _keys(host: Column, path: Column, extents: list[tuple[int, int]]) -> Column:
+    """All keys of a URL, the longest first. extents: the rules' numbers of labels and lengths of paths."""
+    none = F.array().cast("array<string>")
+    fits = lambda labels, length: (_labels(host) >= labels) & (F.char_length(path) >= length)
+    keys = [F.when(fits(n, length), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, length))) for n, length in extents]
+    keys = F.array_compact(F.array(*keys)) if keys else none
+    return F.when(host == "", none).otherwise(F.array_sort(keys, lambda a, b: F.char_length(b) - F.char_length(a)))
 
 
 def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -136,19 +140,20 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     rules: (host, path, verdict "allow" or "block"). A rule fits its host and all subdomains of it,
     if the path starts with the rule's; of those that fit, the longest text host + path wins. Where
-    none fits, rule is null and the verdict is the default, as no listed key is found. Null urls and urls
+    none fits, rule is null and the verdict is the default, as no listed key is found; a rule whose path
+    is neither empty nor begins with / fits nothing. Null urls and urls
     without :// have an empty host and path, which no rule fits. Of rules that repeat a key, block wins.
     Columns of urls named host, path, rule or verdict are replaced.
     """
-    rules = rules.select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict").filter("h is not null and h != ''")
-    lengths = [r[0] for r in rules.select(F.char_length("p")).distinct().collect()]
+    rules = rules.select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict").filter("h is not null and h != '' and (p = '' or startswith(p, '/'))")
+    extents = sorted(tuple(r) for r in rules.select(_labels(F.col("h")), F.char_length("p")).distinct().collect())
     keys = rules.groupBy(F.concat("h", "p").alias("key")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
     out = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    of_url = _keys(F.col("host"), F.col("path"), lengths)
+    of_url = _keys(F.col("host"), F.col("path"), extents)
     universe = out.select(F.explode(of_url).alias("key"))
     n = universe.agg(F.approx_count_distinct("key")).first()[0]
     any_rule = build_cascade(keys, universe, n)
-    blocking = build_cascade(keys.filter("blocks"), keys, len(lengths))
+    blocking = build_cascade(keys.filter("blocks"), keys, len(extents))
     told = urls.sparkSession.sparkContext.broadcast((any_rule, blocking))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from joblore.llm import jaccard_join
+from joblore.llm import jaccard_join, suffix_dedup
 from joblore.llm.components import connected_components
 from joblore.llm.decontamination import contamination
 from joblore.llm.jaccard_join import choose_boundary, jaccard_groups, subset_count, subset_sizes
@@ -42,8 +42,10 @@ def near_copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("length", [50, 20])
-def test_repeats(spark, length):
+@pytest.mark.parametrize(("length", "piece"), [(50, 1 << 20), (20, 1 << 20), (200, 1 << 20), (50, 300), (16, 40)])
+def test_repeats(spark, length, piece, monkeypatch):
+    """A piece of few bytes cuts nearly all texts, as very long ones are cut."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     docs = near_copies(1)
     got = remove_repeats(table(spark, docs), length=length, batch_bytes=2000, carry=("batch",)).collect()
     expected = brute.repeats(docs, length)
@@ -54,6 +56,30 @@ def test_repeats(spark, length):
         assert row.rest.batch == "x" and len(row.text.encode()) >= len(kept)
 
 
+def test_batches_of_clustered_ids(spark):
+    """Batches have about equal bytes however unevenly ids are spread, and a repeated id stays in one."""
+    ids = [c * 10**12 + i for c in range(50) for i in range(40)] + [7] * 30
+    docs = spark.createDataFrame([(i, "x" * 100) for i in ids], "doc_id long, text string")
+    got = {r.batch: (r.n, r.low, r.high) for r in suffix_dedup._batches(docs, 203_000, 2000).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
+    sizes = sorted(n for n, _, _ in got.values())
+    assert len(got) >= 100 and sizes[-1] <= 50 and sizes[-2] <= 20
+    order = [got[b] for b in sorted(got)]
+    assert all(x[2] < y[1] for x, y in zip(order, order[1:], strict=False))
+
+
+#: Two words that any polynomial hash modulo a power of two takes for one.
+TWINS = ["".join("ab"[(i.bit_count() + turn) % 2] for i in range(1024)) for turn in (0, 1)]
+
+
+def test_self_similar_words(spark):
+    docs = table(spark, list(enumerate(TWINS, 1)))
+    assert {(r.doc_id, r.component_id) for r in jaccard_groups(docs).collect()} == {(1, 1), (2, 2)}
+    items = spark.createDataFrame([(1, TWINS[1])], "item_id long, text string")
+    assert {(r.doc_id, r.n_hit) for r in contamination(docs, items).collect()} == {(1, 0), (2, 1)}
+    expected = brute.repeats(list(enumerate(TWINS, 1)), 50)
+    assert {(r.doc_id, r.n_removed) for r in remove_repeats(docs).collect()} == {(d, x[1]) for d, x in expected.items()}
+
+
 def test_repeats_edges(spark):
     same = "0123456789" * 12
     rows = [(5, same), (5, same), (None, same), (7, None), (9, "x" * 49), (8, "x" * 49)]
