@@ -11,9 +11,11 @@ Two sets of s >= u elements with J >= t share at least c = ceil(t (s + u) / (1 +
 
 Equal sets collapse before. Within a list, one pivot for each range of sizes is compared
 with the rest (linear), exact verification and components follow, and only pairs of documents
-that are still in different components are looked at again, in blocks of bounded size.
-A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them
-inside the tasks that hold the blocks, so that only pairs near the threshold become rows.
+that are still in different components are looked at again, in blocks of bounded size, inside tasks.
+A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them. First each
+document's nearest is verified. Then each block yields a forest that connects all that may still link,
+its trees join to clusters, and blocks of a cluster's texts are compared exactly where they
+meet: rows grow with the documents, not with their pairs.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ WORD = ~fp.byte_class((0x20, 0x20), (0x09, 0x0D))
 SKETCH_BITS = 128, 1 << 14
 #: An element counts as frequent beyond this many lists; at most this many are told to the tasks (8 bytes each).
 FREQUENT, MOST_FREQUENT = 10, 1_000_000
-#: Documents of a block when pairs of a list are looked at again.
-BLOCK = 512
+#: Documents of a block when pairs of a list are looked at again, and bytes of text of a block of a cluster.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +97,7 @@ def _subsets(hashes: np.ndarray, num: int, den: int) -> list[int]:
     return np.concatenate(out)
 
 
-def _sketches(n: int, num: int, den: int):
+def _sketches(n: int, num: int, den: int, with_text: bool = False):
     """mapInArrow: each text's set size, 128-bit key of the set, and first elements by hash (for counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +109,8 @@ def _sketches(n: int, num: int, den: int):
             keep = rank < np.repeat(first, size)
             keys = [pa.array(fp.signed(fp.mix(_sum_by(fp.mix(hashes ^ fp.U64(salt)), bounds)))) for salt in (1, 2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), *keys, fp.lists(fp.signed(hashes[keep]), first, pa.int64())],
-                ["doc_id", "n", "k1", "k2", "first"],
+                [batch.column("doc_id"), pa.array(size), *keys, fp.lists(fp.signed(hashes[keep]), first, pa.int64()), *([batch.column("text")] if with_text else [])],
+                ["doc_id", "n", "k1", "k2", "first", *(["text"] if with_text else [])],
             )
 
     return run
@@ -169,12 +171,12 @@ def _pivots(num: int, den: int):
     return run
 
 
-def _parities(hashes: np.ndarray, who: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """For each set the parity of its elements in each of B buckets, B a power of two.
+def _parities(hashes: np.ndarray, who: np.ndarray, size: np.ndarray, least: int = SKETCH_BITS[0], most: int = SKETCH_BITS[1]) -> list[bytes]:
+    """For each set the parity of its elements in each of B buckets, B the power of two from size on, in bounds.
 
     XOR-ing the halves of a sketch gives that of half as many buckets, so any two compare.
     """
-    bits = 1 << np.ceil(np.log2(np.clip(size, *SKETCH_BITS))).astype(np.int64)
+    bits = 1 << np.ceil(np.log2(np.clip(size, least, most))).astype(np.int64)
     base = np.append(0, np.cumsum(bits))
     odd = np.bincount(base[who] + (hashes.astype(np.int64) & (bits[who] - 1)), minlength=base[-1]) & 1
     data = np.packbits(odd.astype(np.uint8), bitorder="little")
@@ -194,10 +196,30 @@ def _apart(x: bytes, y: bytes) -> int:
     return (int.from_bytes(_folded(x, size), "little") ^ int.from_bytes(_folded(y, size), "little")).bit_count()
 
 
+class _Forest:
+    """Union-find."""
+
+    def __init__(self):
+        self.above: dict = {}
+
+    def root(self, x):
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _crossing(num: int, den: int, nearest: bool):
-    """mapInArrow over rows sorted by (key, i, j): pairs of documents of blocks i and j of a list
-    that are in different components, and whose sizes and sketches allow a link; all of them, or
-    each document's nearest by sketch alone."""
+    """mapInArrow over rows sorted by (key, i, j): of the pairs of documents of blocks i and j of a list
+    that are in different components, and whose sizes and sketches allow a link, each document's nearest
+    by sketch, or a forest that connects what all such pairs connect."""
 
     def few(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[float, int, int]]:
         for at, (n, comp, doc, sketch) in enumerate(left):
@@ -235,6 +257,9 @@ def _crossing(num: int, den: int, nearest: bool):
             for far, a, b in found:
                 best[a], best[b] = min(best.get(a, (2.0,)), (far, a, b)), min(best.get(b, (2.0,)), (far, a, b))
             found = best.values()
+        else:
+            forest = _Forest()
+            found = [x for x in found if forest.join(x[1], x[2])]
         return [(min(a, b), max(a, b)) for _, a, b in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +314,54 @@ def _linked(n: int, num: int, den: int):
     return run
 
 
+def _compared(n: int, num: int, den: int):
+    """mapInArrow over rows (cluster, i, j, side, component, doc_id, text) sorted by (cluster, i, j): links
+    J >= t, verified by the sets, that join components of the documents of blocks i and j."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        side, component, doc = (np.array([r[c] for r in rows]) for c in range(3))
+        found = [_sets(b.column("text"), n) for b in fp.pieces(iter([pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.large_string())], ["text"])]), "text")]
+        size = np.concatenate([np.diff(bounds) for _, bounds in found])
+        hashes, bounds = np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(size))
+        bits = 1 << int(np.ceil(np.log2(np.clip(4 * size.max(), 128, 1 << 15))))
+        sketch = np.frombuffer(b"".join(_parities(fp.mix(hashes ^ fp.U64(7)), fp.owners(bounds), np.full(len(size), bits), SKETCH_BITS[0], bits)), np.uint64).reshape(len(size), -1)
+        part = np.unique(component, return_inverse=True)[1]
+        for a in np.flatnonzero(side != 1):
+            mates = np.flatnonzero((side != 0) & (np.arange(len(doc)) > a if side[a] == 2 else True) & (part != part[a]))
+            mates = mates[num * np.maximum(size[a], size[mates]) <= den * np.minimum(size[a], size[mates])]
+            apart = np.bitwise_count(sketch[mates] ^ sketch[a]).sum(axis=1, dtype=np.int64)
+            near = apart * (num + den) <= (den - num) * (size[a] + size[mates])
+            mates = mates[near][np.argsort(apart[near], kind="stable")]
+            while len(mates):
+                some, mates = mates[:32], mates[32:]
+                own, at = hashes[bounds[a] : bounds[a + 1]], np.append(0, np.cumsum(size[some]))
+                other = np.concatenate([hashes[bounds[b] : bounds[b + 1]] for b in some])
+                shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other, at[:-1], dtype=np.int64)
+                for b in some[den * shared >= num * (size[a] + size[some] - shared)].tolist():
+                    if part[a] != part[b]:
+                        yield min(doc[a], doc[b]), max(doc[a], doc[b])
+                        part = np.where(part == part[b], part[a], part)
+                mates = mates[part[mates] != part[a]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            pairs = list(links(rows)) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "side", "component", "doc_id", "text")]
+            for cluster, i, j, *row in zip(*columns, strict=True):
+                if (cluster, i, j) != group:
+                    yield flush()
+                    group, rows = (cluster, i, j), []
+                rows.append(tuple(row))
+        yield flush()
+
+    return run
+
+
 def choose_boundary(sizes: dict[int, int], per_list_row: float, num: int, den: int, most: int = 40) -> int:
     """The largest size below which enumerating subsets costs less than list rows with their candidates.
 
@@ -309,14 +382,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes that aren't white space, A-Z lower-cased. A text of fewer words than
     ngram is one shingle; null, empty and blank texts have none and link with nothing. Ids must be
-    whole numbers; rows that repeat an id are one document of the least of their sets, and each
-    such row is returned; rows without id link with nothing and get a null component.
+    whole numbers; rows that repeat an id are one document of the smallest of their non-empty sets (of
+    ties, that of the least fingerprint), and each
+    such row is returned; rows without id link with nothing and get a null component. A task holds one
+    whole text at least, with about 100 bytes for each of its words.
     """
     spark = docs.sparkSession
     short_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = stash(texts.mapInArrow(_sketches(ngram, num, den), "doc_id long, n long, k1 long, k2 long, first array<long>"), "sets")
     full = base.filter("n > 0 and doc_id is not null")
+    texts, full = _one_set(texts, full, ngram, num, den)
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     reps = stash(classes, "classes")
 
@@ -341,12 +417,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Pairs that no pivot has joined, in lists that still span components: first each document's
     # nearest, which joins most of them, then all that are left.
-    tried = star
-    for nearest in (True, False):
-        parts = stash(connected_components(links), "parts")
-        crossing = stash(_dealt(rows, parts, listed).mapInArrow(_crossing(num, den, nearest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
-        links = stash(links.unionByName(_verify(crossing, listed, texts, ngram, num, den)), "links")
-        tried = tried.unionByName(crossing)
+    parts = stash(connected_components(links), "parts")
+    nearest = _dealt(rows, parts, listed).mapInArrow(_crossing(num, den, True), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    links = stash(links.unionByName(_verify(nearest, listed, texts, ngram, num, den)), "links")
+    parts = stash(connected_components(links), "parts")
+    forest = stash(_dealt(rows, parts, listed).mapInArrow(_crossing(num, den, False), "a long, b long").distinct(), "forest")
+    if not forest.isEmpty():
+        links = stash(links.unionByName(_clustered(forest, parts, texts).mapInArrow(_compared(ngram, num, den), "a long, b long")), "links")
 
     parts = connected_components(links)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -354,6 +431,33 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _one_set(texts: DataFrame, full: DataFrame, ngram: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """texts and full (rows with sets) where rows that repeat an id with other sets are left out."""
+    own = F.struct("n", "k1", "k2")
+    odd = stash(full.groupBy("doc_id").agg(F.min(own).alias("own"), F.max(own).alias("other")).filter("own != other").select("doc_id", "own.*"), "odd")
+    if odd.isEmpty():
+        return texts, full
+    keyed = texts.join(odd.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sketches(ngram, num, den, True), "doc_id long, n long, k1 long, k2 long, first array<long>, text string")
+    keyed = keyed.join(odd, ["doc_id", "n", "k1", "k2"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = stash(texts.join(odd, "doc_id", "left_anti").select("doc_id", "text").unionByName(keyed), "texts")
+    return texts, full.join(odd, "doc_id", "left_anti").unionByName(full.join(odd, ["doc_id", "n", "k1", "k2"], "left_semi").select(full.columns))
+
+
+def _clustered(forest: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The documents of each cluster with their texts, for each pair of its blocks, sorted by it."""
+    cluster = connected_components(forest).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    cluster = stash(cluster.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component")), "clusters")
+    found = texts.join(cluster.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    member = stash(cluster.join(found, "doc_id"), "members")
+    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    member = member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = member.select("cluster", "component", "doc_id", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "component", "doc_id", "text",
+    )
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+
 def _dealt(rows: DataFrame, parts: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of lists that span components, for each pair of blocks of their list, sorted by it."""
     member = rows.join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))

@@ -111,6 +111,28 @@ def test_jaccard_hot_group(spark):
     assert got == brute.components(docs, 3, 90, 100)
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_jaccard_apart(spark, n, monkeypatch):
+    """Texts of which all pairs are near the threshold and none links: rows grow with the texts, not with pairs."""
+    made = []
+    real = jaccard_join.stash
+    monkeypatch.setattr(jaccard_join, "stash", lambda df, name: (made.append(real(df, name)), made[-1])[1])
+    base = [f"t{i}" for i in range(150)]
+    docs = [(i, " ".join(base[: 9 * (i % 16)] + [f"v{i}"] + base[9 * (i % 16) + 1 :] + [f"z{i}" * (1 + i % 3)] * 3)) for i in range(n)]
+    docs += [(n, docs[0][1] + " end"), (n + 1, docs[0][1] + " end more")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, docs), ngram=5, num=90).collect()}
+    assert got == brute.components(docs, 5, 90, 100)
+    assert max(t.count() for t in made if set(t.columns) == {"a", "b"}) <= 8 * n
+
+
+def test_jaccard_repeated_ids(spark):
+    """The smallest set of a repeated id counts, in any order of its rows."""
+    a, b = "a b c d e f g h i j k l m", "q r s t u v w x y z a b c d"
+    for rows in ([(5, a), (5, b), (6, b + " more"), (7, a)], [(5, b), (7, a), (6, b + " more"), (5, a)]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, rows), num=80).collect())
+        assert got == [(5, 11, 5), (5, 12, 5), (6, 13, 6), (7, 11, 5)]
+
+
 def test_jaccard_edges(spark):
     assert jaccard_groups(table(spark, [])).count() == 0
     rows = [(3, "a b c d"), (3, "a b c d"), (2, "A b  C d"), (None, "a b c d"), (1, None), (0, "")]
