@@ -33,8 +33,9 @@ from joblore.llm.scratch import arrow_function, short_batches
 BLOCKS, PICKS = 0, 1
 #: Bytes of a rank that are exchanged; the bucket fixes further bits. Picks that collide only keep windows open.
 WIDTH = {BLOCKS: 8, PICKS: 4}
-#: A block of windows ends at one position in so many, chosen by content.
-BLOCK = 32
+#: A block of windows ends at one position in so many, chosen by content: shorter blocks are more ranks
+#: to exchange, and fewer open windows where a passage ends inside a block.
+BLOCK = 16
 #: Bytes of text that one numpy step takes; longer texts are cut, with length - 1 bytes of overlap.
 PIECE = 1 << 20
 #: Batches at most (8 bytes each are sent to the tasks); of more text the batches grow.
@@ -135,7 +136,7 @@ class _Ranks:
         n = len(ranks)
         return pa.table(
             {
-                "kind": pa.array(np.full(n, self.kind, np.int32)), "bucket": pa.array(self.bucket[bounds[:-1]], pa.int32()), "batch": pa.array(np.full(n, batch, np.int64)),
+                "kind": pa.array(np.full(n, self.kind, np.int32)), "bucket": pa.array(self.bucket[bounds[:-1]], pa.int32()), "batch": pa.array(np.full(n, batch, np.int32)),
                 "ranks": pa.array(ranks, pa.binary()), "counts": pa.array(counts, pa.binary()),
             }
         )
@@ -206,7 +207,8 @@ def _sums(data: bytes) -> list[np.ndarray]:
     return out
 
 
-WINDOWS = "batch long, place int, first long, second int, state binary"
+#: own: the upper half is the second part of the rank pair's fingerprint, the lower half the place.
+WINDOWS = "batch int, first long, own long, state binary"
 
 
 def _second(length: int, buckets: int):
@@ -255,9 +257,8 @@ def _second(length: int, buckets: int):
         batch, n = docs["batch"][0].as_py(), len(leader)
         return pa.table(
             {
-                "batch": pa.array(np.full(n + 1, batch, np.int64)), "place": pa.array(np.append(np.arange(n), -1), pa.int32()),
-                "first": pa.array(np.append(fp.signed(first[leader]), batch)), "second": pa.array(np.append(second[leader].astype(np.uint32).view(np.int32), -1).astype(np.int32)),
-                "state": pa.array([None] * n + [state], pa.binary()),
+                "batch": pa.array(np.full(n + 1, batch, np.int32)), "first": pa.array(np.append(fp.signed(first[leader]), batch)),
+                "own": pa.array(np.append(fp.signed(second[leader] << fp.U64(32) | np.arange(n, dtype=fp.U64)), -1)), "state": pa.array([None] * n + [state], pa.binary()),
             }
         )
 
@@ -336,7 +337,7 @@ def _batches(known: DataFrame, total: int, batch_bytes: int) -> DataFrame:
     slim = known.select("doc_id", F.octet_length("text").cast("long").alias("size"))
     begins = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(edges, "edge long").toArrow()["edge"].to_numpy()
     told = known.sparkSession.sparkContext.broadcast(np.sort(begins))
-    number = arrow_function(lambda ids: pa.array(np.searchsorted(told.value, ids.to_numpy(zero_copy_only=False), "right") - 1), "long")
+    number = arrow_function(lambda ids: pa.array(np.searchsorted(told.value, ids.to_numpy(zero_copy_only=False), "right").astype(np.int32) - 1, pa.int32()), "int")
     return known.withColumn("batch", number(F.col("doc_id")))
 
 
@@ -368,11 +369,12 @@ def remove_repeats(
     if total is not None:
         buckets = max(1, -(-total // (16 << 20)))
         known = _batches(known, total, batch_bytes)
-        ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch long, ranks binary, counts binary")
-        told = ranks.groupBy("kind", "bucket").applyInArrow(_judge, "batch long, kind int, bucket int, told binary")
+        ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch int, ranks binary, counts binary")
+        told = ranks.groupBy("kind", "bucket").applyInArrow(_judge, "batch int, kind int, bucket int, told binary")
         windows = known.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_second(length, buckets), WINDOWS)
-        order = F.row_number().over(W.partitionBy("first", "second").orderBy("batch"))
-        earlier = windows.withColumn("order", order).filter("order > 1 or place < 0").select("batch", "place", "state")
+        order = F.row_number().over(W.partitionBy("first", F.shiftright("own", 32)).orderBy("batch"))
+        place = F.when(F.col("state").isNull(), F.col("own").bitwiseAND(0xFFFFFFFF)).otherwise(-1).cast("int")
+        earlier = windows.withColumn("order", order).filter("order > 1 or state is not null").select("batch", place.alias("place"), "state")
         cut = known.groupBy("batch").cogroup(earlier.groupBy("batch")).applyInArrow(_cut(length, keep_text), OUT + rows.schema["rest"].dataType.simpleString())
         out = cut.unionByName(out)
     return out.drop(*([] if keep_text else ["text"]), *([] if carry else ["rest"]))
