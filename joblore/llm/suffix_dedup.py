@@ -2,13 +2,14 @@
 
 The rank of a position is a fingerprint of the bytes that start there, so equal ranks are equal
 prefixes, wherever they are computed, and the pair of ranks at p and at p + offset ranks a prefix
-longer by the offset. Inside tasks offsets grow to half the threshold; from there on Spark sorts:
+longer by the offset. Inside tasks offsets grow to most of the threshold; from there on Spark sorts:
 
-1. A filter. Of the prefixes of half that length that begin in a string of `length` bytes (a window) winnowing
-   picks the least rank, and content cuts each text into blocks of windows. Spark brings equal
+1. A filter. Of the prefixes of three fifths of that length that lie in a string of `length` bytes (a window)
+   winnowing picks the least rank, and content cuts each text into blocks of windows. Spark brings equal
    ranks of picks, and equal ones of blocks, together and counts them. A window stays open only if its
    pick occurs more often than its block: otherwise each occurrence of the pick, and so of the window,
-   lies in the same place of that block, and what holds for the block holds for it. Unique ones drop out.
+   lies in the same place of that block, and what holds for the block holds for it. Unique ones drop out,
+   and those of which all places are in one batch are decided there.
 2. The table (batch, place, rank pair) of the open windows, one row for each distinct pair of a batch, is
    sorted by rank pair and batch: each row but a pair's first has an earlier holder.
 
@@ -35,7 +36,7 @@ BLOCKS, PICKS = 0, 1
 WIDTH = {BLOCKS: 8, PICKS: 4}
 #: A block of windows ends at one position in so many, chosen by content: shorter blocks are more ranks
 #: to exchange, and fewer open windows where a passage ends inside a block.
-BLOCK = 16
+BLOCK = 32
 #: Bytes of text that one numpy step takes; longer texts are cut, with length - 1 bytes of overlap.
 PIECE = 1 << 20
 #: Batches at most (8 bytes each are sent to the tasks); of more text the batches grow.
@@ -50,7 +51,7 @@ class _Part:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, ids: np.ndarray, rows: np.ndarray, base: int, length: int):
         self.data, self.offs, self.ids, self.rows, self.base = data, offs, ids, rows, base
-        self.length, self.half = length, (length + 1) // 2
+        self.length, self.prefix = length, length * 3 // 5
         self.windows = max(0, len(data) - length + 1)
 
     def valid(self) -> np.ndarray:
@@ -63,7 +64,7 @@ class _Part:
         return np.repeat(self.ids, np.diff(self.offs))
 
     def ranks(self) -> np.ndarray:
-        return fp.byte_grams(self.data, self.half)
+        return fp.byte_grams(self.data, self.prefix)
 
     def cuts(self, ranks: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """Where blocks of windows start."""
@@ -83,13 +84,13 @@ class _Part:
         edges = np.stack([start, end], axis=1).ravel()
         edges = edges[:-1] if edges[-1] == self.windows else edges
         # The prefixes of the block's windows, and what follows them in the last one.
-        tail = ranks[end - 1 + self.length - self.half]
+        tail = ranks[end - 1 + self.length - self.prefix]
         a, b = (fp.paired(f.reduceat(mixed, edges)[::2], tail) for f in (np.add, np.bitwise_xor))
         return start, a, b
 
     def picks(self, ranks: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where picks are, and the place of each window's pick."""
-        places = fp.places_of_minima(ranks, self.length - self.half + 1)
+        places = fp.places_of_minima(ranks, self.length - self.prefix + 1)
         marked = np.zeros(len(ranks), bool)
         marked[places[valid]] = True
         return np.flatnonzero(marked), places
@@ -194,12 +195,13 @@ def _judge(table: pa.Table) -> pa.Table:
 
 
 def _deltas(*columns: np.ndarray) -> bytes:
-    """Numbers that mostly grow by one, as differences, which compress well."""
-    return b"".join(len(c).to_bytes(8, "little") + np.diff(c, prepend=0).astype(np.int32).tobytes() for c in columns)
+    """Numbers that mostly grow by one, as compressed differences."""
+    data = b"".join(len(c).to_bytes(8, "little") + np.diff(c, prepend=0).astype(np.int32).tobytes() for c in columns)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _sums(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
+    data, out, at = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), [], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
         out.append(np.cumsum(np.frombuffer(data, np.int32, n, at + 8), dtype=np.int64))
@@ -207,14 +209,14 @@ def _sums(data: bytes) -> list[np.ndarray]:
     return out
 
 
-#: own: the upper half is the second part of the rank pair's fingerprint, the lower half the place.
+#: own: the lower 24 bits are the second part of the rank pair's fingerprint, the upper ones the place.
 WINDOWS = "batch int, first long, own long, state binary"
 
 
 def _second(length: int, buckets: int):
-    """Per batch: the distinct rank pairs of the windows that the filter leaves open, with their number
-    in the batch as place; and one row of place -1 with the state: the windows that are settled, and the
-    open ones with the numbers of their pairs."""
+    """Per batch: the distinct rank pairs of the windows that the filter leaves open and whose picks other
+    batches hold, with their number in the batch as place; and one row with the state: the windows that
+    are settled, and the open ones with the numbers of their pairs."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.sort_by("doc_id")
@@ -226,8 +228,9 @@ def _second(length: int, buckets: int):
             ranks, valid, owner = part.ranks(), part.valid(), part.owner()
             cut, (at, places) = part.cuts(ranks, valid), part.picks(ranks, valid)
             own = blocks.of[done : done + np.count_nonzero(cut)]
-            times = np.zeros(len(ranks), np.uint32)
+            times, here = np.zeros(len(ranks), np.uint32), np.zeros(len(ranks), np.uint32)
             times[at] = of_pick[picks.of[seen : seen + len(at)]] & MANY
+            here[at] = picks.count[picks.of[seen : seen + len(at)]]
             done, seen = done + len(own), seen + len(at)
             if len(own):
                 block = np.maximum(np.cumsum(cut) - 1, 0)
@@ -237,28 +240,31 @@ def _second(length: int, buckets: int):
             else:
                 held.append(np.zeros(part.windows, bool))
                 some = np.zeros(0, np.int64)
-            x, y = ranks[some], ranks[some + length - part.half]
-            found.append((some + before, fp.paired(x, y), fp.paired(y, ~x) >> fp.U64(32), owner[some]))
+            x, y = ranks[some], ranks[some + length - part.prefix]
+            found.append((some + before, fp.paired(x, y), fp.paired(y, ~x) >> fp.U64(40), owner[some], (times != here)[places[some]]))
             before += part.windows
-        some, first, second, ids = _joined(found)
+        some, first, second, ids, sent = _joined(found)
         held = np.concatenate(held)
         order = np.lexsort((second, first))
         new = np.append(True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1]))[: len(order)]
         leader = order[new]  # the sort is stable: the least doc_id
-        number = np.empty(len(leader), np.int64)
-        number[np.argsort(leader)] = np.arange(len(leader))  # by first place, so that neighbours have neighbouring numbers
-        of = np.empty(len(order), np.int64)
+        number = np.full(len(leader), -1)
+        to = np.argsort(leader)
+        to = to[sent[leader[to]]]
+        number[to] = np.arange(len(to))  # by first place, so that neighbours have neighbouring numbers
+        of, mine = np.empty(len(order), np.int64), np.empty(len(order), bool)
         of[order] = number[np.cumsum(new) - 1]
-        leader = np.sort(leader)
-        mine = ids > ids[leader][of] if len(of) else np.zeros(0, bool)
+        mine[order] = ids[order] > ids[leader][np.cumsum(new) - 1]
+        leader = leader[to]
         held[some[mine]] = True
         turns = np.flatnonzero(np.diff(held, prepend=False, append=False))
-        state = _deltas(turns, some[~mine], of[~mine])
+        rest = ~mine & sent
+        state = _deltas(turns, some[rest], of[rest])
         batch, n = docs["batch"][0].as_py(), len(leader)
         return pa.table(
             {
                 "batch": pa.array(np.full(n + 1, batch, np.int32)), "first": pa.array(np.append(fp.signed(first[leader]), batch)),
-                "own": pa.array(np.append(fp.signed(second[leader] << fp.U64(32) | np.arange(n, dtype=fp.U64)), -1)), "state": pa.array([None] * n + [state], pa.binary()),
+                "own": pa.array(np.append(fp.signed(second[leader] | np.arange(n, dtype=fp.U64) << fp.U64(24)), -1)), "state": pa.array([None] * n + [state], pa.binary()),
             }
         )
 
@@ -273,11 +279,9 @@ def _cut(length: int, keep_text: bool):
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         docs = docs.sort_by("doc_id")
-        place = told["place"].to_numpy()
-        turns, some, of = _sums(told["state"][int(np.flatnonzero(place < 0)[0])].as_py())
+        turns, some, of = _sums(told["state"][0].as_py())
         earlier = np.zeros(int(of.max(initial=-1)) + 1, bool)
-        place = place[place >= 0]
-        earlier[place[place < len(earlier)]] = True
+        earlier[told["places"].combine_chunks().flatten().to_numpy()] = True
         held = np.zeros(sum(p.windows for p in _parts(docs, length)) + 1, np.int8)
         held[turns[::2]], held[turns[1::2]] = 1, -1
         held = np.cumsum(held[:-1]).astype(bool)
@@ -351,7 +355,7 @@ def remove_repeats(
     smaller doc_id. The digest is of the remaining bytes; text keeps the characters of which a byte remains.
     A null text is empty. Rows that repeat a doc_id don't remove from each other, and rows without
     doc_id neither lose bytes nor make others lose them. A batch holds about batch_bytes of text, or one
-    longer text, which a task holds with about 10 bytes for each of its bytes. Equal ranks of 96 bits
+    longer text, which a task holds with about 10 bytes for each of its bytes. Equal ranks of 88 bits
     count as equal strings.
     """
     if length < 16:
@@ -372,9 +376,10 @@ def remove_repeats(
         ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch int, ranks binary, counts binary")
         told = ranks.groupBy("kind", "bucket").applyInArrow(_judge, "batch int, kind int, bucket int, told binary")
         windows = known.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_second(length, buckets), WINDOWS)
-        order = F.row_number().over(W.partitionBy("first", F.shiftright("own", 32)).orderBy("batch"))
-        place = F.when(F.col("state").isNull(), F.col("own").bitwiseAND(0xFFFFFFFF)).otherwise(-1).cast("int")
-        earlier = windows.withColumn("order", order).filter("order > 1 or state is not null").select("batch", place.alias("place"), "state")
+        order = F.row_number().over(W.partitionBy("first", F.col("own").bitwiseAND((1 << 24) - 1)).orderBy("batch"))
+        earlier = windows.withColumn("order", order).filter("order > 1 or state is not null")
+        place = F.when(F.col("state").isNull(), F.shiftright("own", 24).cast("int"))
+        earlier = earlier.groupBy("batch").agg(F.collect_list(place).alias("places"), F.max("state").alias("state"))  # lists are begun before the shuffle
         cut = known.groupBy("batch").cogroup(earlier.groupBy("batch")).applyInArrow(_cut(length, keep_text), OUT + rows.schema["rest"].dataType.simpleString())
         out = cut.unionByName(out)
     return out.drop(*([] if keep_text else ["text"]), *([] if carry else ["rest"]))
