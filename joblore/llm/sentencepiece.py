@@ -4,22 +4,25 @@ A text gets a leading space, spaces become U+2581, and of all ways to cut it int
 vocabulary the one with the largest sum of scores is taken (the unigram rule; a character that
 starts no piece is written as its bytes, at the least score minus 10). No piece has U+2581 after
 another character, so paths always break where a space follows one, and each distinct word is
-solved once. Scores of the given file are whole numbers, so sums are exact in any order.
+solved once, all words of a batch together in numpy. Scores of the given file are whole numbers, so sums are exact in any order.
 
 Giant texts are cut into chunks that Spark deals to tasks. Each yields a max-plus matrix: the best
 score from each of the last L positions before it to each of its own last L positions, L being the
-longest piece. The matrices of a text are combined associatively to the state at every border; the states fix
-where the best path crosses it, and each chunk is then traced back on its own.
+longest piece. The matrices of a text are combined associatively to the state at every border. From it each chunk tells
+where a path to each of its ends enters it; these maps, chained from the last chunk on, fix where the best path
+crosses every border, and each chunk is then traced back on its own.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,62 +86,129 @@ class Vocabulary:
             raise ValueError("a piece has a space after another character; words wouldn't be independent")
         self.longest = max(map(len, self.scores))
         self.unknown_score = min(s for s, _ in self.scores.values()) - 10
-        #: character -> [score or None, id, next characters or None]
-        self.trie: dict = {}
-        for piece, (score, number) in self.scores.items():
-            node = self.trie
-            for c in piece[:-1]:
-                entry = node.setdefault(c, [None, 0, None])
-                node = entry[2] = entry[2] if entry[2] is not None else {}
-            node.setdefault(piece[-1], [None, 0, None])[:2] = score, number
+        self._grow()
         self.id_byte = {v: k for k, v in self.byte_ids.items()}
+        self.byte_table = np.array([self.byte_ids.get(b, self.unknown) for b in range(256)], np.int32)
         self.silent = {i for i, k in enumerate(kinds) if k in (2, 3, 5)}
 
+    def _grow(self) -> None:
+        """The trie of all pieces. Nodes are numbers; edges (node, character) lie in a hash table of
+        linear probing; gain and number are a node's piece's, gain -inf where no piece ends."""
+        edges: dict[tuple[int, int], int] = {}
+        gain, number = [NONE], [-1]
+        for piece, (score, own) in self.scores.items():
+            node = 0
+            for c in map(ord, piece):
+                after = edges.setdefault((node, c), len(gain))
+                if after == len(gain):
+                    gain.append(NONE)
+                    number.append(-1)
+                node = after
+            gain[node], number[node] = score, own
+        self.gain, self.number = np.array(gain), np.array(number, np.int32)
+        keys = np.array([(n << 21 | c) + 1 for n, c in edges], np.uint64)
+        self.shift = np.uint64(64 - (4 * len(keys)).bit_length())
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        at = np.arange(len(keys))
+        place = np.maximum.accumulate(slot[order] - at) + at
+        self.keys, self.next = np.zeros(int(place[-1]) + 2 + (1 << 64 - int(self.shift)), np.uint64), np.full(int(place[-1]) + 2 + (1 << 64 - int(self.shift)), -1, np.int32)
+        self.keys[place], self.next[place] = keys[order], np.array(list(edges.values()), np.int32)[order]
+        self.leaf = ~np.isin(np.arange(len(gain)), [n for n, _ in edges])
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The nodes that follow on the given characters, -1 where none does."""
+        keys = (node.astype(np.uint64) << np.uint64(21) | chars.astype(np.uint64)) + np.uint64(1)
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.next[slot], np.int32(-1))
+        again = np.flatnonzero((found != keys) & (found != 0))
+        while len(again):
+            slot[again] += 1
+            found = self.keys[slot[again]]
+            hit = found == keys[again]
+            out[again[hit]] = self.next[slot[again[hit]]]
+            again = again[~hit & (found != 0)]
+        return out
+
     def ends(self, text: str, start: int) -> Iterator[tuple[int, float]]:
         """Ends and scores of the pieces that begin at start; a lone character always is one."""
-        node, end = self.trie, start
-        while node is not None and end < len(text):
-            entry = node.get(text[end])
-            end += 1
-            if entry is not None and entry[0] is not None:
-                yield end, entry[0]
+        for end in range(start + 1, min(len(text), start + self.longest) + 1):
+            found = self.scores.get(text[start:end])
+            if found is not None:
+                yield end, found[0]
             elif end == start + 1:
                 yield end, self.unknown_score
-            node = entry and entry[2]
-
-    def ids(self, piece: str) -> list[int]:
-        found = self.scores.get(piece)
-        if found is not None:
-            return [found[1]]
-        return [self.byte_ids.get(b, self.unknown) for b in piece.encode()]
-
-    def best(self, text: str) -> tuple[float, list[int]]:
-        """The score and the ids of the best path; of ties, the longest last piece."""
-        n, trie, unknown = len(text), self.trie, self.unknown_score
-        score, back, piece = [0.0] + [NONE] * n, [0] * (n + 1), [0] * (n + 1)
-        for at in range(n):
-            base, end = score[at], at
-            entry = trie.get(text[at])
-            if entry is None or entry[0] is None:
-                if base + unknown > score[at + 1]:
-                    score[at + 1], back[at + 1], piece[at + 1] = base + unknown, at, -1
-            while entry is not None:
-                end += 1
-                gain = entry[0]
-                if gain is not None and base + gain > score[end]:
-                    score[end], back[end], piece[end] = base + gain, at, entry[1]
-                node = entry[2]
-                if node is None or end == n:
-                    break
-                entry = node.get(text[end])
-        ids, at = [], n
-        while at:
-            ids.append(piece[at])
-            at = back[at]
-            if ids[-1] < 0:
-                ids[-1:] = reversed(self.ids(text[at]))
-        ids.reverse()
-        return score[n], ids
+
+    def best(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best paths of many words: their ids, how many each has, and their scores.
+
+        data: the words' UTF-8 bytes, spaces included, offs: their n + 1 bounds. All words advance together, by
+        the place where a piece ends; of ties the longest last piece is taken.
+        """
+        first = np.flatnonzero((data & 0xC0) != 0x80)
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+        chars[chars == 0x20] = ord(SPACE)
+        bounds = np.searchsorted(first, offs)
+        words, n = len(offs) - 1, len(chars)
+        who = fp.owners(bounds)
+        left = bounds[1:][who] - np.arange(n)  # characters to the word's end
+        place = np.arange(n) - bounds[:-1][who]
+        # The pieces of each length that begin at each character, by the place in the word where they end.
+        found: list[tuple] = []
+        at, node = np.arange(n), np.zeros(n, np.int32)
+        while len(at):
+            depth = len(found) + 1
+            node = self.step(node, chars[at + (depth - 1)])
+            gain = np.where(node >= 0, self.gain[node], NONE)
+            number = self.number[node]
+            if depth == 1:
+                number = np.where(gain > NONE, number, np.int32(-1))
+                gain[gain == NONE] = self.unknown_score
+            some = np.flatnonzero(gain > NONE)
+            end = place[at[some]] + depth
+            order = np.argsort(end.astype(np.uint16) if n < 1 << 16 or int(end.max(initial=0)) < 1 << 16 else end, kind="stable")
+            some = some[order]
+            found.append((at[some] + who[at[some]], gain[some], number[some], np.append(0, np.cumsum(np.bincount(end, minlength=depth)))))
+            alive = (node >= 0) & (left[at] > depth) & ~self.leaf[node]
+            at, node = at[alive], node[alive]
+        # A word has a node before each character and one at its end.
+        score, back, piece = np.full(n + words, NONE), np.zeros(n + words, np.int32), np.zeros(n + words, np.int32)
+        score[bounds[:-1] + np.arange(words)] = 0.0
+        for end in range(1, int(place.max(initial=-1)) + 2):
+            for depth in range(min(end, len(found)), 0, -1):
+                start, gain, number, ends = found[depth - 1]
+                x, y = (int(ends[min(e, len(ends) - 1)]) for e in (end, end + 1))
+                if x < y:
+                    value, to = score[start[x:y]] + gain[x:y], start[x:y] + depth
+                    better = np.flatnonzero(value > score[to])
+                    to = to[better]
+                    score[to], back[to], piece[to] = value[better], depth, number[x:y][better]
+        at, begin, path = bounds[1:] + np.arange(words), bounds[:-1] + np.arange(words), [np.zeros(0, np.int64)]
+        total = score[at]
+        while len(at):
+            alive = at > begin
+            at, begin = at[alive], begin[alive]
+            path.append(at)
+            at = at - back[at]
+        path = np.sort(np.concatenate(path))
+        owner = np.searchsorted(bounds[1:] + np.arange(words), path)
+        ids = piece[path]
+        count = np.ones(len(ids), np.int64)
+        lone = np.flatnonzero(ids < 0)  # characters that start no piece are written as their bytes
+        if len(lone):
+            char = path[lone] - owner[lone] - 1
+            of_char = np.where(chars[char] == ord(SPACE), 0, first[char])
+            size = np.diff(np.append(first, len(data)))[char]
+            count[lone] = size
+            raw = data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(of_char, size)]
+            out = np.repeat(ids, count)
+            out[np.repeat(ids < 0, count)] = self.byte_table[raw]
+            ids = out
+        return ids, np.bincount(owner, count, minlength=words).astype(np.int64), total
 
     def decode(self, ids: list[int]) -> str:
         out, first = bytearray(), True
@@ -153,18 +223,25 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(model: bytes) -> Vocabulary:
+    return Vocabulary(model)
+
+
+def model_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
-        return Vocabulary(file.read())
+        return file.read()
 
 
 def normal(text: str) -> str:
     return (SPACE + text).replace(" ", SPACE) if text else ""
 
 
+BORDER = re.compile(f"[^{SPACE}]{SPACE}")
+
+
 def borders(text: str) -> list[int]:
     """Where a space follows another character: no piece crosses these places."""
-    return [i for i in range(1, len(text)) if text[i] == SPACE != text[i - 1]]
+    return [m.end() - 1 for m in BORDER.finditer(text)]
 
 
 def _word_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -187,45 +264,21 @@ def _word_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.searchsorted(start, offs)
 
 
-#: Solved words that a worker keeps for its next tasks: model file -> word -> (score, ids).
-_KNOWN: dict[str, dict[bytes, tuple[float, bytes]]] = {}
-MOST_KNOWN = 100_000
-
-
-def _solve(path: str):
-    """A function from a word's bytes to its score and the ids as int32 bytes."""
-    v, known = vocabulary(path), _KNOWN.setdefault(path, {})
-
-    def solve(word: bytes) -> tuple[float, bytes]:
-        found = known.get(word)
-        if found is None:
-            if len(known) >= MOST_KNOWN:
-                known.clear()
-            score, ids = v.best(word.decode().replace(" ", SPACE))
-            found = known[word] = score, struct.pack(f"{len(ids)}i", *ids)
-        return found
-
-    return solve
-
-
-def _short(path: str, text_col: str):
-    """A function from texts to ids and score of each, word by word."""
+def _short(told, text_col: str):
+    """A function from texts to ids and score of each, by their distinct words."""
 
     def run(column: pa.Array) -> pa.Array:
-        solve, out = _solve(path), []
+        v, out = vocabulary(told.value), []
         table = pa.RecordBatch.from_arrays([column], [text_col])
-        for batch in fp.pieces(iter([table]), text_col, 1 << 19):
+        for batch in fp.pieces(iter([table]), text_col, 1 << 20):
             words, bounds = _word_column(batch.column(text_col))
             coded = words.dictionary_encode()
-            solved = [solve(w) for w in coded.dictionary.to_pylist()]
+            flat, length, score = v.best(*fp.flat(coded.dictionary))
             index = coded.indices.to_numpy()
-            length = np.array([len(ids) // 4 for _, ids in solved], np.int64)
-            flat = np.frombuffer(b"".join(ids for _, ids in solved), np.int32)
-            first = np.cumsum(length) - length
-            n = length[index]
+            first, n = np.cumsum(length) - length, length[index]
             ends = np.append(0, np.cumsum(n))
-            at = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(first[index], n)
-            total = np.append(0, np.cumsum(np.array([s for s, _ in solved])[index]))
+            at = np.arange(ends[-1]) - np.repeat(ends[:-1] - first[index], n)
+            total = np.append(0, np.cumsum(score[index]))
             ids = fp.lists(flat[at], np.diff(ends[bounds]), pa.int32())
             out.append(pa.StructArray.from_arrays([ids, pa.array(total[bounds[1:]] - total[bounds[:-1]])], ["ids", "score"]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64())]))
@@ -234,13 +287,18 @@ def _short(path: str, text_col: str):
 
 
 def _cut(chunk: int, longest: int):
-    """mapInArrow: a giant text's chunks of normal form, each with the L - 1 characters before it."""
+    """mapInArrow: a giant text's chunks of normal form, each with the L - 1 characters before it.
+
+    A chunk begins where a space follows another character, if there is such a place within its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = normal(text)
-                starts = list(range(0, max(1, len(text) - longest), chunk))
+                starts = [0]
+                while (at := starts[-1] + chunk) < len(text):
+                    space = BORDER.search(text, at, at + chunk)
+                    starts.append(space.end() - 1 if space else at)
                 for number, at in enumerate(starts):
                     end = starts[number + 1] if number + 1 < len(starts) else len(text)
                     left = max(0, at - longest + 1)
@@ -305,21 +363,42 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def crossings(matrices: list[np.ndarray]) -> list[int]:
-    """At each chunk's end, how far before it the best path has its last border of pieces.
+def entries(v: Vocabulary, text: str, left: int, state: np.ndarray) -> np.ndarray:
+    """For each i < L the place where the best path to len(text) - i crosses the chunk's begin, as a distance before it.
 
-    Of ties the least distance is taken.
+    state: the best scores of the last L positions up to left. Of ties the longest last piece is taken
+    everywhere, so paths are those of the text as a whole.
     """
-    states = [m[0] for m in scan(matrices)]  # every path starts at position 0 of the text
+    n = len(text)
+    shared = next((b for b in borders(text) if b > left), n)
+    score, back = [NONE] * (shared + 1), [0] * (shared + 1)
+    for j in range(min(v.longest, left + 1)):
+        score[left - j] = state[j]
+    for at in range(max(0, left - v.longest + 1), shared):
+        if score[at] > NONE:
+            for end, gain in v.ends(text, at):
+                if left < end <= shared and score[at] + gain > score[end]:
+                    score[end], back[end] = score[at] + gain, at
+    out = np.zeros(v.longest, np.int32)
+    for i in range(min(v.longest, n - left)):
+        at = min(n - i, shared)
+        while at > left:
+            at = back[at]
+        out[i] = left - at
+    return out
+
+
+def crossings(maps: list[np.ndarray]) -> list[int]:
+    """At each chunk's end, how far before it the best path has its last border of pieces. maps: entries() of the chunks."""
     out = [0]
-    for number in range(len(matrices) - 1, 0, -1):
-        out.append(int(np.argmax(states[number - 1] + matrices[number][:, out[-1]])))
+    for own in reversed(maps[1:]):
+        out.append(int(own[out[-1]]))
     return out[::-1]
 
 
-def _matrices(path: str):
+def _matrices(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(told.value)
         for batch in batches:
             texts, lefts = batch.column("text").to_pylist(), batch.column("left").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -329,31 +408,49 @@ def _matrices(path: str):
     return run
 
 
-def _borders(table: pa.Table) -> pa.Table:
-    """Per giant text: entry and exit of the best path in each chunk. 2 KB for each 16 K characters
-    come together here, 0.3 GB for the largest text that a cell can hold."""
+def _states(table: pa.Table) -> pa.Table:
+    """Per giant text: the state before each chunk. 2 KB for each 16 K characters come together
+    here, 0.3 GB for the largest text that a cell can hold."""
     table = table.sort_by("number")
     flat = [np.frombuffer(m) for m in table["matrix"].to_pylist()]
     size = int(len(flat[0]) ** 0.5)
-    exits = crossings([m.reshape(size, size) for m in flat])
+    states = [m[0] for m in scan([m.reshape(size, size) for m in flat])]  # every path starts at position 0 of the text
+    start = np.full(size, NONE)
+    start[0] = 0.0
+    return pa.table({"row": table["row"], "number": table["number"], "state": pa.array([s.tobytes() for s in [start, *states[:-1]]], pa.binary())})
+
+
+def _entries(told):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(told.value)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "left", "state")), strict=True)
+            maps = [entries(v, text, left, np.frombuffer(state)).tobytes() for text, left, state in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("number"), pa.array(maps, pa.binary())], ["row", "number", "map"])
+
+    return run
+
+
+def _borders(table: pa.Table) -> pa.Table:
+    """Per giant text: entry and exit of the best path in each chunk."""
+    table = table.sort_by("number")
+    exits = crossings([np.frombuffer(m, np.int32) for m in table["map"].to_pylist()])
     return pa.table({"row": table["row"], "number": table["number"], "entry": pa.array([0, *exits[:-1]], pa.int32()), "exit": pa.array(exits, pa.int32())})
 
 
-def _trace(path: str):
+def _trace(told):
     """mapInArrow: each chunk's part of the path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(told.value)
         for batch in batches:
             out = []
             for text, left, entry, exit in zip(*(batch.column(c).to_pylist() for c in ("text", "left", "entry", "exit")), strict=True):
-                begin, end = left - entry, len(text) - exit
-                cuts = [b for b in borders(text) if begin < b < end]
-                score, ids = 0.0, []
-                for x, y in zip([begin, *cuts], [*cuts, end], strict=True):
-                    own, more = v.best(text[x:y])
-                    score, ids = score + own, ids + more
-                out.append((score, ids))
+                text = text[left - entry : len(text) - exit]
+                cuts = [0, *borders(text), len(text)] if text else [0]
+                words = [text[x:y].encode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                ids, _, score = v.best(np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64)))
+                out.append((float(score.sum()), ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("number"), pa.array([i for _, i in out], pa.list_(pa.int32())), pa.array([s for s, _ in out], pa.float64())], ["row", "number", "ids", "score"]
             )
@@ -364,44 +461,52 @@ def _trace(path: str):
 def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """docs with ids (array<int>) and score of the best segmentation of each text.
 
-    Null and empty texts have no ids and score 0. Of paths that tie, a word's keeps the longest last
-    piece; in giant words a tie may fall otherwise at a chunk's border. Columns of docs named ids or score are replaced.
+    Null and empty texts have no ids and score 0. Of paths that tie, the longest last piece is taken, in
+    texts that are cut into chunks as in others. Columns of docs named ids or score are replaced. The
+    vocabulary (path, a file of the driver's, a few MB) is sent to the tasks. A vocabulary trained for merges gives
+    other ids here than with the public library's default, which merges.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    longest = vocabulary(path).longest
+    model = model_bytes(path)
+    longest, told = vocabulary(model).longest, spark.sparkContext.broadcast(model)
     if chunk < 2 * longest:
         raise ValueError(f"chunks must have at least {2 * longest} characters")
     docs = docs.drop("ids", "score")
     length = F.coalesce(F.char_length(text_col), F.lit(0))
     # Only the text goes to Python; the other columns wait in the JVM.
-    solved = arrow_function(_short(path, text_col), "struct<ids: array<int>, score: double>")
+    solved = arrow_function(_short(told, text_col), "struct<ids: array<int>, score: double>")
     small = docs.filter(length <= giant).withColumn("__s", solved(F.col(text_col))).withColumns({"ids": F.col("__s.ids"), "score": F.col("__s.score")}).drop("__s")
     giants = stash(docs.filter(length > giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    total = giants.agg(F.sum(F.char_length(text_col))).first()[0] or 0
+    tasks = -(-total // (8 * chunk)) + 1  # given, as chunks are small: adaptive execution would put them all in one task
     chunks = giants.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
-    chunks = stash(chunks.repartition(spark.sparkContext.defaultParallelism, "row", "number"), "chunks")
-    matrices = chunks.mapInArrow(_matrices(path), "row long, number int, matrix binary")
-    ways = matrices.groupBy("row").applyInArrow(_borders, "row long, number int, entry int, exit int")
-    parts = chunks.join(ways, ["row", "number"]).mapInArrow(_trace(path), "row long, number int, ids array<int>, score double")
+    chunks = stash(chunks.repartition(tasks, "row", "number"), "chunks")
+    states = chunks.mapInArrow(_matrices(told), "row long, number int, matrix binary").groupBy("row").applyInArrow(_states, "row long, number int, state binary")
+    spread = lambda told_of: chunks.join(told_of, ["row", "number"]).repartition(tasks, "row", "number")
+    ways = spread(states).mapInArrow(_entries(told), "row long, number int, map binary").groupBy("row").applyInArrow(_borders, "row long, number int, entry int, exit int")
+    parts = spread(ways).mapInArrow(_trace(told), "row long, number int, ids array<int>, score double")
     large = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("p"), F.sum("score").alias("score"))
     large = large.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "score")
     return small.unionByName(giants.join(large.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of")).drop("__row", "__of"))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str = MODEL, out_col: str = "decoded") -> DataFrame:
-    """docs with the text of their ids in out_col; null ids give null. It equals the text that was
-    encoded, but that U+2581 comes back as a space."""
+    """docs with the text of their ids in out_col; null ids give null, ids that are null or no piece's give
+    nothing. It equals the text that was encoded, but that U+2581 comes back as a space."""
+    told = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(told.value)
         table = [v.id_byte[i].to_bytes() if i in v.id_byte else b"" if i in v.silent else p.replace(SPACE, " ").encode() for i, p in enumerate(v.pieces)]
-        length = np.array([len(p) for p in table])
+        length = np.array([*map(len, table), 0])
         first, data = np.cumsum(length) - length, np.frombuffer(b"".join(table), np.uint8)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 column = batch.column(batch.schema.get_field_index(ids_col))
-                ids, count = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+                ids, count = pc.fill_null(column.flatten(), -1).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                ids = np.where((ids < 0) | (ids >= len(table)), len(table), ids)
                 n = length[ids]
                 ends = np.append(0, np.cumsum(n))
                 out = data[np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(first[ids], n)].tobytes()
