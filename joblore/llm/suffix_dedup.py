@@ -32,7 +32,7 @@ from joblore.llm import fingerprints as fp
 from joblore.llm.scratch import arrow_function, short_batches
 
 BLOCKS, PICKS = 0, 1
-#: Bytes of a rank that are exchanged; the bucket fixes further bits. Picks that collide only keep windows open.
+#: Bytes of a rank that are compared; the bucket fixes further bits. Picks that collide only keep windows open.
 WIDTH = {BLOCKS: 8, PICKS: 4}
 #: A block of windows ends at one position in so many, chosen by content: shorter blocks are more ranks
 #: to exchange, and fewer open windows where a passage ends inside a block.
@@ -96,6 +96,23 @@ class _Part:
         return np.flatnonzero(marked), places
 
 
+def _opened(docs: pa.Table) -> pa.Table:
+    """The documents of a batch by doc_id, their texts as bytes."""
+    docs = docs.sort_by("doc_id")
+    texts = [pa.decompress(x, n, codec="zstd", asbytes=True) if n else b"" for x, n in zip(docs["packed"].to_pylist(), docs["size"].to_pylist(), strict=True)]
+    return docs.append_column("text", pa.array(texts, pa.large_binary()))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes, then all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(kind).ravel() if n else np.zeros(0, kind)
+
+
 def _parts(docs: pa.Table, length: int) -> Iterator[_Part]:
     """The parts of a batch sorted by doc_id."""
     data, offs = fp.flat(docs["text"])
@@ -132,19 +149,20 @@ class _Ranks:
 
     def rows(self, batch: int) -> pa.Table:
         bounds = np.append(np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])[: len(self.bucket)]), len(self.bucket))
-        raw = self.value.view(np.uint8).reshape(-1, 8)[:, : WIDTH[self.kind]]
-        ranks, counts = ([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] for x in (raw, self.count))
+        lists = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        ranks, counts = [_packed(np.diff(self.value[i:j], prepend=fp.U64(0))) for i, j in lists], [_packed(self.count[i:j]) for i, j in lists]
         n = len(ranks)
         return pa.table(
             {
                 "kind": pa.array(np.full(n, self.kind, np.int32)), "bucket": pa.array(self.bucket[bounds[:-1]], pa.int32()), "batch": pa.array(np.full(n, batch, np.int32)),
-                "ranks": pa.array(ranks, pa.binary()), "counts": pa.array(counts, pa.binary()),
+                "n": pa.array(np.diff(bounds), pa.int32()), "ranks": pa.array(ranks, pa.binary()), "counts": pa.array(counts, pa.binary()),
             }
         )
 
     def told(self, replies: dict) -> np.ndarray:
         """What the buckets have told this batch of each of its distinct ranks."""
-        return np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(replies[self.kind, int(b)], np.uint32) for b in np.unique(self.bucket))])
+        lists = zip(*np.unique(self.bucket, return_counts=True), strict=True)
+        return np.concatenate([np.zeros(0, np.uint32), *(_unpacked(replies[self.kind, int(b)], int(n), np.uint32) for b, n in lists)])
 
 
 def _joined(found: list[tuple]) -> tuple:
@@ -167,7 +185,7 @@ def _first(length: int, buckets: int):
     """Per batch: the ranks of its blocks and picks."""
 
     def run(docs: pa.Table) -> pa.Table:
-        batch, docs = docs["batch"][0].as_py(), docs.sort_by("doc_id")
+        batch, docs = docs["batch"][0].as_py(), _opened(docs)
         return pa.concat_tables([x.rows(batch) for x in _filter_ranks(docs, length, buckets)])
 
     return run
@@ -176,13 +194,9 @@ def _first(length: int, buckets: int):
 def _judge(table: pa.Table) -> pa.Table:
     """Per bucket: tells each batch how often each of its ranks occurs, and whether in an earlier batch."""
     table = table.sort_by("batch")
-    width = WIDTH[table["kind"][0].as_py()]
-    data = [np.frombuffer(x, np.uint8).reshape(-1, width) for x in table["ranks"].to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
-    size = np.array([len(x) for x in data])
-    raw = np.zeros((size.sum(), 8), np.uint8)
-    raw[:, :width] = np.concatenate(data)
-    value = raw.view(np.uint64).ravel()
+    size = table["n"].to_numpy()
+    value = np.concatenate([np.cumsum(_unpacked(x, n, np.uint64), dtype=np.uint64) for x, n in zip(table["ranks"].to_pylist(), size.tolist(), strict=True)])
+    counts = np.concatenate([_unpacked(x, n, np.uint32) for x, n in zip(table["counts"].to_pylist(), size.tolist(), strict=True)])
     order = np.argsort(value, kind="stable")
     new = np.append(True, value[order][1:] != value[order][:-1])[: len(value)]
     first = np.flatnonzero(new)
@@ -190,7 +204,7 @@ def _judge(table: pa.Table) -> pa.Table:
     out = np.empty(len(value), np.uint32)
     out[order] = total[np.cumsum(new) - 1] | np.where(new, np.uint32(0), EARLIER)
     ends = np.cumsum(size)
-    told = [out[e - c : e].tobytes() for e, c in zip(ends, size, strict=True)]
+    told = [_packed(out[e - c : e]) for e, c in zip(ends.tolist(), size.tolist(), strict=True)]
     return pa.table({"batch": table["batch"], "kind": table["kind"], "bucket": table["bucket"], "told": pa.array(told, pa.binary())})
 
 
@@ -219,7 +233,7 @@ def _second(length: int, buckets: int):
     are settled, and the open ones with the numbers of their pairs."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        docs = docs.sort_by("doc_id")
+        docs = _opened(docs)
         replies = dict(zip(zip(told["kind"].to_pylist(), told["bucket"].to_pylist(), strict=True), told["told"].to_pylist(), strict=True))
         blocks, picks = _filter_ranks(docs, length, buckets)
         of_block, of_pick = (x.told(replies) for x in (blocks, picks))
@@ -278,7 +292,7 @@ def _cut(length: int, keep_text: bool):
     """Per batch: the documents without the bytes that earlier ones hold."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        docs = docs.sort_by("doc_id")
+        docs = _opened(docs)
         turns, some, of = _sums(told["state"][0].as_py())
         earlier = np.zeros(int(of.max(initial=-1)) + 1, bool)
         earlier[told["places"].combine_chunks().flatten().to_numpy()] = True
@@ -324,7 +338,8 @@ def _text(data: np.ndarray, cut: np.ndarray) -> str:
 
 
 def _batches(known: DataFrame, total: int, batch_bytes: int) -> DataFrame:
-    """known with the number of its batch, which grows with doc_id. Sorted in ranges, ids and lengths
+    """known with the number of its batch, which grows with doc_id, and its text compressed, as batches
+    are shuffled and gone through three times. Sorted in ranges, ids and lengths
     alone tell where about batch_bytes are full; a batch begins there or where a range does."""
 
     def edges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +356,15 @@ def _batches(known: DataFrame, total: int, batch_bytes: int) -> DataFrame:
     slim = known.select("doc_id", F.octet_length("text").cast("long").alias("size"))
     begins = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(edges, "edge long").toArrow()["edge"].to_numpy()
     told = known.sparkSession.sparkContext.broadcast(np.sort(begins))
-    number = arrow_function(lambda ids: pa.array(np.searchsorted(told.value, ids.to_numpy(zero_copy_only=False), "right").astype(np.int32) - 1, pa.int32()), "int")
-    return known.withColumn("batch", number(F.col("doc_id")))
+
+    def dealt(rows: pa.StructArray) -> pa.StructArray:
+        ids, texts = rows.field("doc_id").to_numpy(zero_copy_only=False), rows.field("text").cast(pa.large_binary()).to_pylist()
+        batch = np.searchsorted(told.value, ids, "right").astype(np.int32) - 1
+        packed = [pa.compress(x, codec="zstd", asbytes=True) if x else b"" for x in texts]
+        return pa.StructArray.from_arrays([pa.array(batch, pa.int32()), pa.array([len(x) for x in texts], pa.int32()), pa.array(packed, pa.binary())], ["batch", "size", "packed"])
+
+    own = arrow_function(dealt, "struct<batch: int, size: int, packed: binary>")(F.struct("doc_id", "text"))
+    return known.withColumn("own", own).select("doc_id", "own.*", "rest")
 
 
 def remove_repeats(
@@ -373,7 +395,7 @@ def remove_repeats(
     if total is not None:
         buckets = max(1, -(-total // (16 << 20)))
         known = _batches(known, total, batch_bytes)
-        ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch int, ranks binary, counts binary")
+        ranks = known.groupBy("batch").applyInArrow(_first(length, buckets), "kind int, bucket int, batch int, n int, ranks binary, counts binary")
         told = ranks.groupBy("kind", "bucket").applyInArrow(_judge, "batch int, kind int, bucket int, told binary")
         windows = known.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_second(length, buckets), WINDOWS)
         order = F.row_number().over(W.partitionBy("first", F.col("own").bitwiseAND((1 << 24) - 1)).orderBy("batch"))

@@ -59,7 +59,7 @@ def test_repeats(spark, length, piece, monkeypatch):
 def test_batches_of_clustered_ids(spark):
     """Batches have about equal bytes however unevenly ids are spread, and a repeated id stays in one."""
     ids = [c * 10**12 + i for c in range(50) for i in range(40)] + [7] * 30
-    docs = spark.createDataFrame([(i, "x" * 100) for i in ids], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, "x" * 100) for i in ids], "doc_id long, text string").withColumn("rest", F.lit(None).cast("string"))
     got = {r.batch: (r.n, r.low, r.high) for r in suffix_dedup._batches(docs, 203_000, 2000).groupBy("batch").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()}
     sizes = sorted(n for n, _, _ in got.values())
     assert len(got) >= 100 and sizes[-1] <= 50 and sizes[-2] <= 20
