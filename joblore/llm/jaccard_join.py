@@ -42,6 +42,8 @@ SKETCH_BITS = 128, 1 << 14
 FREQUENT, MOST_FREQUENT = 10, 1_000_000
 #: Documents of a block when pairs of a list are looked at again, and bytes of text of a block of a cluster.
 BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Documents of a block of a cluster.
+CLUSTER_BLOCK = 128
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -449,7 +451,7 @@ def _clustered(forest: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFra
     cluster = stash(cluster.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component")), "clusters")
     found = texts.join(cluster.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     member = stash(cluster.join(found, "doc_id"), "members")
-    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     member = member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = member.select("cluster", "component", "doc_id", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
