@@ -127,15 +127,29 @@ def isolation_scores(df: DataFrame, features: Sequence[str] = ("duration_seconds
     return out if min_score is None else out.filter(F.col("score") > min_score)
 
 
+def stretches(start: Column, threshold: float) -> Column:
+    """The numbers of the stretches of time (an hour, or twice the threshold) that must know of a run's
+    start: its own, and the next one if a run there may follow within threshold seconds."""
+    width = int(max(3600, 2 * (threshold + 1))) * 1_000_000
+    micros = F.unix_micros(start)
+    own, last = F.floor(micros / width), F.floor((micros + int((threshold + 1) * 1_000_000)) / width)
+    return F.when(own == last, F.array(own)).otherwise(F.array(own, last))
+
+
 def double_runs(df: DataFrame, threshold: float = 60, match_params: bool = False, include_cancelled: bool = False) -> DataFrame:
     """Runs that started within threshold seconds (0 and it included) of the one before of the same report,
-    and with match_params of the same parameters; null parameters are equal. Gaps are whole seconds."""
+    and with match_params of the same parameters; null parameters are equal. Gaps are whole seconds.
+
+    A report's runs are dealt by stretches of time; the runs at the end of one are known to the next too.
+    """
     statuses = ["success", "cancelled"] if include_cancelled else ["success"]
     keys = ["report_name", *(["parameters"] if match_params else [])]
-    order = W.partitionBy(*keys).orderBy("started_at", "run_id")
-    out = df.filter(F.col("execution_status").isin(statuses)).withColumns({"previous_run": F.lag("run_id").over(order), "previous_start": F.lag("started_at").over(order)})
+    order = W.partitionBy(*keys, "__stretch").orderBy("started_at", "run_id")
+    df = df.filter(F.col("execution_status").isin(statuses)).withColumn("__stretch", F.explode(stretches(F.col("started_at"), threshold)))
+    out = df.withColumns({"previous_run": F.lag("run_id").over(order), "previous_start": F.lag("started_at").over(order)})
     gap = F.floor((F.unix_micros("started_at") - F.unix_micros("previous_start")) / 1_000_000).cast("long")
-    return out.withColumn("gap_seconds", gap).filter(F.col("gap_seconds").between(0, threshold))
+    own = F.col("__stretch") == F.element_at(stretches(F.col("started_at"), threshold), 1)
+    return out.withColumn("gap_seconds", gap).filter(own & F.col("gap_seconds").between(0, threshold)).drop("__stretch")
 
 
 def double_run_summary(pairs: DataFrame) -> DataFrame:

@@ -50,7 +50,11 @@ def ks_statistic(df: DataFrame, col: str = "duration_seconds", keys: Sequence[st
     return counts.groupBy(*keys, "n_a", "n_b").agg(F.max(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))).alias("ks"))
 
 
-def ks_pvalue(ks: float, n: int, m: int, exact_cells: int = 1_000_000) -> float:
+#: Sizes multiplied, up to which the p-value is exact.
+EXACT_CELLS = 1_000_000
+
+
+def ks_pvalue(ks: float, n: int, m: int, exact_cells: int = EXACT_CELLS) -> float:
     """Two-sided p-value of the two-sample statistic.
 
     Exact where n * m <= exact_cells, by counting the lattice paths that stay within the distance;
@@ -61,36 +65,30 @@ def ks_pvalue(ks: float, n: int, m: int, exact_cells: int = 1_000_000) -> float:
         limit = int(round(ks * n * m / step)) * step  # |i m - j n| >= limit rejects
         if limit == 0:
             return 1.0
-        row = np.zeros(m + 1)
-        row[0] = 1.0
-        j = np.arange(m + 1)
-        for i in range(n + 1):
-            # The share of paths that came to (i, j) inside the band, by moves in the order of a random draw.
-            inside = np.abs(i * m - j * n) < limit
-            new = np.zeros(m + 1)
-            for k in np.flatnonzero(inside):
-                if i == 0 and k == 0:
-                    new[0] = 1.0
-                    continue
-                left = n + m - i - k + 1
-                up = row[k] * (n - i + 1) / left if i else 0.0
-                side = new[k - 1] * (m - k + 1) / left if k else 0.0
-                new[k] = up + side
-            row = new
-        return float(min(1.0, max(0.0, 1.0 - row[m])))
+        i = np.arange(n + 1)
+        share = (i == 0).astype(float)
+        for moves in range(1, n + m + 1):
+            # The share of paths that are at (i, moves - i) inside the band, by moves in the order of a random draw.
+            j = moves - i
+            left = n + m - moves + 1
+            up = np.append(0.0, share[:-1]) * (n - i + 1) / left
+            side = share * np.maximum(m - j + 1, 0) / left
+            share = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < limit), up + side, 0.0)
+        return float(min(1.0, max(0.0, 1.0 - share[n])))
     x = ks * (n * m / (n + m)) ** 0.5
     return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * exp(-2 * k * k * x * x) for k in range(1, 101)))))
 
 
 def ks_drift(df: DataFrame, col: str = "duration_seconds", keys: Sequence[str] = ("report_type",), alpha: float = 0.05, **windows) -> DataFrame:
-    """ks_statistic with p_value and is_drift (p_value < alpha); one row per group reaches Python."""
+    """ks_statistic with p_value, p_exact (whether it is the exact one, see ks_pvalue) and is_drift
+    (p_value < alpha); one row per group reaches Python."""
 
     @F.pandas_udf("double")
     def p(ks: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         return pd.Series([ks_pvalue(*x) for x in zip(ks, n.astype(int), m.astype(int), strict=True)])
 
     out = ks_statistic(df, col, keys, **windows).withColumn("p_value", p("ks", "n_a", "n_b"))
-    return out.withColumn("is_drift", F.col("p_value") < alpha)
+    return out.withColumns({"p_exact": F.col("n_a") * F.col("n_b") <= EXACT_CELLS, "is_drift": F.col("p_value") < alpha})
 
 
 def paths_within(n: int, m: int) -> int:

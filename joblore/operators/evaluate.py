@@ -41,22 +41,23 @@ def baseline_metrics(h: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def mase(train: DataFrame, test: DataFrame, y: str, pred: str, ts: str = "timestamp_hour", m: int = 1) -> DataFrame:
-    """(mae, naive, mase): test MAE over the train's mean |y_t - y_(t-m)|; null if train has <= m rows or that is 0."""
-    before = F.lag(y, m).over(W.orderBy(ts))
-    naive = train.select(F.abs(F.col(y) - before).alias("d")).agg(F.avg("d").alias("naive"))
-    own = test.agg(_mae(y, pred).alias("mae"))
-    return own.crossJoin(naive).select("mae", "naive", F.when(F.col("naive") > 0, F.col("mae") / F.col("naive")).alias("mase"))
-
-
-def holdout_report(df: DataFrame, y: str = "report_count", pred: str = "y_pred", split: str = "split", ts: str = "timestamp_hour") -> DataFrame:
-    """Errors of the test rows, of the naive forecast (the row before, across the split), MASE and improvement."""
-    df = df.withColumn("__before", F.lag(y).over(W.orderBy(ts)).cast("double"))
+def mase(train: DataFrame, test: DataFrame, y: str, pred: str, ts: str = "timestamp_hour", m: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, mae, naive, mase): test MAE over the train's mean |y_t - y_(t-m)|; null if train has <= m rows or that is 0."""
+    before = F.lag(y, m).over(W.partitionBy(*keys).orderBy(ts))
+    naive = train.select(*keys, F.abs(F.col(y) - before).alias("d")).groupBy(*keys).agg(F.avg("d").alias("naive"))
+    own = test.groupBy(*keys).agg(_mae(y, pred).alias("mae"))
+    both = own.join(naive, list(keys), "left") if keys else own.crossJoin(naive)
+    return both.select(*keys, "mae", "naive", F.when(F.col("naive") > 0, F.col("mae") / F.col("naive")).alias("mase"))
+
+
+def holdout_report(df: DataFrame, y: str = "report_count", pred: str = "y_pred", split: str = "split", ts: str = "timestamp_hour", keys: Sequence[str] = ()) -> DataFrame:
+    """Per key: errors of the test rows, of the naive forecast (the row before, across the split), MASE and improvement."""
+    df = df.withColumn("__before", F.lag(y).over(W.partitionBy(*keys).orderBy(ts)).cast("double"))
     train, test = F.col(split) == "train", F.col(split) == "test"
-    df = df.withColumns({"__mean": F.avg(F.when(train, F.col(y))).over(W.partitionBy()), "__y": F.col(y).cast("double")})
+    df = df.withColumns({"__mean": F.avg(F.when(train, F.col(y))).over(W.partitionBy(*keys)), "__y": F.col(y).cast("double")})
     on = lambda x: F.when(test, x)
     gap, naive = F.col("__y") - F.col(pred), F.col("__y") - F.col("__before")
-    out = df.agg(
+    out = df.groupBy(*keys).agg(
         F.count_if(test).alias("n_test"), F.avg(on(F.abs(gap))).alias("mae"), F.sqrt(F.avg(on(gap * gap))).alias("rmse"), F.avg(on(F.abs(naive))).alias("naive_mae"), F.sqrt(F.avg(on(naive * naive))).alias("naive_rmse"),
         F.avg(F.when(train, F.abs(naive))).alias("__divisor"), F.avg(F.when(train, F.abs(F.col("__y") - F.col("__mean")))).alias("__spread"),
         F.coalesce(F.avg(F.when(test & (F.col("__y") > HIGH_VOLUME), -gap)), F.lit(0.0)).alias("high_volume_bias"),
@@ -87,9 +88,14 @@ def horizon_eval(forecast: DataFrame, actual: DataFrame, keys: Sequence[str] = (
     return out.filter(F.col("n") >= least)
 
 
+def residuals(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """df with residual = y - pred; the pairs (pred, residual) show whether the error depends on the level."""
+    return df.withColumn("residual", (F.col(y) - F.col(pred)).cast("double"))
+
+
 def residual_histogram(df: DataFrame, y: str, pred: str, bins: int = 20) -> DataFrame:
     """(bin, low, high, n): residuals y - pred in equal widths from the least to the greatest."""
-    res = df.select((F.col(y) - F.col(pred)).cast("double").alias("r")).filter("r is not null")
+    res = residuals(df, y, pred).select(F.col("residual").alias("r")).filter("r is not null")
     span = res.agg(F.min("r").alias("a"), F.max("r").alias("b"))
     width = (F.col("b") - F.col("a")) / bins
     place = F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("r") - F.col("a")) / width), F.lit(bins - 1))).otherwise(0)
@@ -97,54 +103,54 @@ def residual_histogram(df: DataFrame, y: str, pred: str, bins: int = 20) -> Data
     return out.select("bin", (F.col("a") + F.col("bin") * width).alias("low"), (F.col("a") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def acf(df: DataFrame, value: str, ts: str = "timestamp_hour", max_lag: int = 24) -> DataFrame:
-    """(lag, acf): correlation of each value with the one `lag` rows before; none if the variance is 0."""
-    lags = df.select(F.col(value).cast("double").alias("x"), *(F.lag(value, k).over(W.orderBy(ts)).cast("double").alias(f"l{k}") for k in range(1, max_lag + 1)))
-    out = lags.agg(F.var_pop("x").alias("v"), *(F.corr("x", f"l{k}").alias(str(k)) for k in range(1, max_lag + 1))).filter("v > 0").drop("v")
-    out = out.unpivot([], [str(k) for k in range(1, max_lag + 1)], "lag", "acf")
-    return out.select(F.col("lag").cast("int").alias("lag"), "acf")
+def acf(df: DataFrame, value: str, ts: str = "timestamp_hour", max_lag: int = 24, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, lag, acf): correlation of each value with the one `lag` rows before; none if the variance is 0."""
+    order = W.partitionBy(*keys).orderBy(ts)
+    lags = df.select(*keys, F.col(value).cast("double").alias("x"), *(F.lag(value, k).over(order).cast("double").alias(f"l{k}") for k in range(1, max_lag + 1)))
+    out = lags.groupBy(*keys).agg(F.var_pop("x").alias("v"), *(F.corr("x", f"l{k}").alias(str(k)) for k in range(1, max_lag + 1))).filter("v > 0").drop("v")
+    out = out.unpivot(list(keys), [str(k) for k in range(1, max_lag + 1)], "lag", "acf")
+    return out.select(*keys, F.col("lag").cast("int").alias("lag"), "acf")
 
 
-def walk_forward_folds(h: DataFrame, n: int = 5, ts: str = "timestamp_hour") -> DataFrame:
-    """h repeated for each expanding fold, with fold and part (train or test); each test has rows // (n + 1) rows.
+def walk_forward_folds(h: DataFrame, n: int = 5, ts: str = "timestamp_hour", keys: Sequence[str] = ()) -> DataFrame:
+    """Each series (keys) of h repeated for each expanding fold, with fold and part (train or test); each test has rows // (n + 1) rows.
 
     Fold numbers are data: n rows of a table join the series, so all folds are evaluated at once.
     """
-    h = h.withColumns({"__i": F.row_number().over(W.orderBy(ts)) - 1, "__n": F.count("*").over(W.partitionBy())})
+    h = h.withColumns({"__i": F.row_number().over(W.partitionBy(*keys).orderBy(ts)) - 1, "__n": F.count("*").over(W.partitionBy(*keys))})
     folds = h.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n))))
     size = F.floor(F.col("__n") / (n + 1))
     start = F.col("__n") - (n - F.col("fold") + 1) * size
     return folds.withColumn("part", F.when(F.col("__i") < start, "train").when(F.col("__i") < start + size, "test")).filter("part is not null").drop("__i", "__n")
 
 
-def walk_forward_eval(h: DataFrame, y: str = "report_count", pred: str = "pred_last_hour", n: int = 5, ts: str = "timestamp_hour") -> DataFrame:
-    """Per fold mae and mase (divisor: the fold's naive error, or the whole series'), with mean and deviation over folds."""
-    before = F.lag(y).over(W.orderBy(ts))
-    h = h.withColumn("__step", F.abs(F.col(y) - before)).withColumn("__all", F.avg("__step").over(W.partitionBy()))
-    h = h.withColumn("__mean", F.avg(y).over(W.partitionBy()))
-    out = walk_forward_folds(h, n, ts).groupBy("fold").agg(
+def walk_forward_eval(h: DataFrame, y: str = "report_count", pred: str = "pred_last_hour", n: int = 5, ts: str = "timestamp_hour", keys: Sequence[str] = ()) -> DataFrame:
+    """Per series (keys) and fold mae and mase (divisor: the fold's naive error, or the whole series'), with mean and deviation over folds."""
+    before, every = F.lag(y).over(W.partitionBy(*keys).orderBy(ts)), W.partitionBy(*keys)
+    h = h.withColumn("__step", F.abs(F.col(y) - before)).withColumn("__all", F.avg("__step").over(every))
+    h = h.withColumn("__mean", F.avg(y).over(every))
+    out = walk_forward_folds(h, n, ts, keys).groupBy(*keys, "fold").agg(
         F.avg(F.when(F.col("part") == "test", F.abs(F.col(y) - F.col(pred)))).alias("mae"), F.avg(F.when(F.col("part") == "train", F.col("__step"))).alias("naive"), F.first("__all").alias("a"), F.first("__mean").alias("m")
     )
     whole = F.when(F.col("a") < 1e-8, F.col("m") + 1e-8).otherwise(F.col("a"))
     out = out.withColumn("mase", F.col("mae") / F.when(F.col("naive") > 1e-8, F.col("naive")).otherwise(whole))
-    every = W.partitionBy()
-    return out.select("fold", "mae", "mase", F.avg("mae").over(every).alias("mae_mean"), F.stddev_pop("mae").over(every).alias("mae_std"), F.avg("mase").over(every).alias("mase_mean"), F.stddev_pop("mase").over(every).alias("mase_std"))
+    return out.select(*keys, "fold", "mae", "mase", F.avg("mae").over(every).alias("mae_mean"), F.stddev_pop("mae").over(every).alias("mae_std"), F.avg("mase").over(every).alias("mase_mean"), F.stddev_pop("mase").over(every).alias("mase_std"))
 
 
-def rolling_origin(h: DataFrame, y: str = "report_count", initial: int = 336, period: int = 72, horizon: int = 24, season: int = 24, ts: str = "timestamp_hour") -> DataFrame:
-    """(step, n, mae, rmse) of a seasonal naive forecast made at each cut-off, by hours ahead.
+def rolling_origin(h: DataFrame, y: str = "report_count", initial: int = 336, period: int = 72, horizon: int = 24, season: int = 24, ts: str = "timestamp_hour", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, step, n, mae, rmse) of a seasonal naive forecast made at each cut-off, by hours ahead.
 
     Cut-offs lie every `period` hours after the first `initial` ones, as long as a whole horizon follows.
     A cut-off is joined to the hours it predicts and to the last season before it by equality.
     """
-    rows = h.select(F.row_number().over(W.orderBy(ts)).alias("i"), F.col(y).cast("double").alias("y"))
-    count = rows.agg(F.max("i").alias("n"))
+    rows = h.select(*keys, F.row_number().over(W.partitionBy(*keys).orderBy(ts)).alias("i"), F.col(y).cast("double").alias("y"))
+    count = rows.groupBy(*keys).agg(F.max("i").alias("n"))
     last = F.col("n") - horizon
-    cuts = count.filter(last >= initial).select(F.explode(F.sequence(F.lit(initial).cast("int"), last.cast("int"), F.lit(period).cast("int"))).alias("cut"))
-    ahead = cuts.select("cut", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    ahead = ahead.select("step", (F.col("cut") + F.col("step")).alias("i"), (F.col("cut") - season + 1 + (F.col("step") - 1) % season).alias("j"))
-    pred = rows.select(F.col("i").alias("j"), F.col("y").alias("pred"))
-    return ahead.join(rows, "i").join(pred, "j").groupBy("step").agg(F.count("*").alias("n"), _mae("y", "pred").alias("mae"), _rmse("y", "pred").alias("rmse"))
+    cuts = count.filter(last >= initial).select(*keys, F.explode(F.sequence(F.lit(initial).cast("int"), last.cast("int"), F.lit(period).cast("int"))).alias("cut"))
+    ahead = cuts.select(*keys, "cut", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    ahead = ahead.select(*keys, "step", (F.col("cut") + F.col("step")).alias("i"), (F.col("cut") - season + 1 + (F.col("step") - 1) % season).alias("j"))
+    pred = rows.select(*keys, F.col("i").alias("j"), F.col("y").alias("pred"))
+    return ahead.join(rows, [*keys, "i"]).join(pred, [*keys, "j"]).groupBy(*keys, "step").agg(F.count("*").alias("n"), _mae("y", "pred").alias("mae"), _rmse("y", "pred").alias("rmse"))
 
 
 def hit_labels(df: DataFrame, y: str, preds: Sequence[str], threshold: float = 30) -> DataFrame:

@@ -96,14 +96,19 @@ def changes_before(anomalies: DataFrame, commits: DataFrame, limit: int = 5) ->
     """(run_id, rank, path, commit_ts, hash, author, message): the last changes of an anomaly's file.
 
     Slashes are normalised; the path itself, then its last parts, each with and without .sql, are
-    tried in order, and the first candidate with any change at or before the start wins.
+    tried in order, and the first candidate with any change at or before the start wins. Each change
+    carries the last ones of its path up to itself, so a run takes those of one change.
     """
     clean = F.regexp_replace(F.replace(F.col("action_path"), F.lit("\\"), F.lit("/")), "^[./~]+", "")
     parts = F.split(clean, "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     candidates = F.flatten(F.transform(tails, lambda p: F.array(p, F.concat(p, F.lit(".sql")))))
     tried = anomalies.select("run_id", "started_at", F.posexplode(candidates).alias("__at", "path"))
-    hits = tried.join(commits, "path").filter(F.col("commit_ts") <= F.col("started_at"))
-    best = hits.withColumn("__best", F.min("__at").over(W.partitionBy("run_id"))).filter("__at = __best")
-    order = W.partitionBy("run_id").orderBy(F.desc("commit_ts"), "hash")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("run_id", "rank", "path", "commit_ts", "hash", "author", "message")
+    last = W.partitionBy("path").orderBy("commit_ts", F.desc("hash")).rowsBetween(1 - limit, 0)
+    known = commits.select("path", F.col("commit_ts").alias("__time"), F.lit(0).alias("__side"), "hash", F.collect_list(F.struct("commit_ts", "hash", "author", "message")).over(last).alias("__changes"))
+    both = known.unionByName(tried.withColumnRenamed("started_at", "__time").withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    upto = W.partitionBy("path").orderBy("__time", "__side", F.desc("hash")).rowsBetween(W.unboundedPreceding, 0)
+    hits = both.withColumn("__changes", F.last("__changes", ignorenulls=True).over(upto)).filter("__side = 1 and __changes is not null")
+    best = hits.groupBy("run_id").agg(F.min(F.struct("__at", "path", "__changes")).alias("b"))
+    out = best.select("run_id", F.col("b.path").alias("path"), F.posexplode(F.reverse("b.__changes")).alias("rank", "c"))
+    return out.select("run_id", (F.col("rank") + 1).alias("rank"), "path", "c.commit_ts", "c.hash", "c.author", "c.message")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 FEATURES = ("mean_seconds", "median_seconds", "p95_seconds", "failure_rate", "log_runs")
 #: Training reports that the tasks hold unless told otherwise; beyond it a sample by hash of the id is used.
 MOST_REPORTS = 100_000
+#: Distances that a task holds at once.
+CELLS = 4_000_000
 
 
 def queue_bands(features: DataFrame, min_runs: int = 20, least_reports: int = 8) -> DataFrame:
@@ -42,14 +44,17 @@ def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4, most: int = MOS
         known, band = told.value
         for batch in batches:
             own = (batch[list(FEATURES)].to_numpy(dtype=float) - mean) / std
-            out = []
-            for row in own:
-                if not len(known):
-                    out.append(None)
-                    continue
-                near = np.argsort(((known - row) ** 2).sum(axis=1), kind="stable")[:k]
-                out.append(labels[int(np.bincount(band[near], minlength=len(labels)).argmax())])
-            yield batch.assign(assigned=out)
+            out: list[str | None] = []
+            step = max(1, CELLS // max(1, len(known)))  # reports whose distances are held at once
+            for first in range(0, len(own) if len(known) else 0, step):
+                some = own[first : first + step]
+                far = sum((some[:, [f]] - known[None, :, f]) ** 2 for f in range(known.shape[1]))
+                last = np.partition(far, min(k, len(known)) - 1, axis=1)[:, min(k, len(known)) - 1]
+                for distance, limit in zip(far, last, strict=True):
+                    near = np.flatnonzero(distance <= limit)
+                    near = near[np.argsort(distance[near], kind="stable")][:k]  # ties to the earlier training report
+                    out.append(labels[int(np.bincount(band[near], minlength=len(labels)).argmax())])
+            yield batch.assign(assigned=out or [None] * len(own))
 
     return df.mapInPandas(assign, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", assigned string")
 

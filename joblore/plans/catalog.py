@@ -298,6 +298,7 @@ register("horizon_eval", lambda s, d: evaluate.horizon_eval(raw_forecast(s, d).d
 register("residuals", lambda s, d: evaluate.residual_histogram(part(s, d, "test"), "report_count", "y_pred"), "test", """
     SELECT least(floor((r - a) / ((b - a) / 20)), 19) AS bin, a + bin * ((b - a) / 20) AS low, a + (bin + 1) * ((b - a) / 20) AS high, count(*) AS n
     FROM (SELECT r, min(r) OVER () AS a, max(r) OVER () AS b FROM (SELECT report_count - y_pred AS r FROM test)) GROUP BY bin, a, b""", "low high", ints="bin")
+register("residual_pairs", lambda s, d: evaluate.residuals(part(s, d, "test"), "report_count", "y_pred").select("timestamp_hour", "y_pred", "residual"), "test", "SELECT timestamp_hour, y_pred, report_count - y_pred AS residual FROM test", "y_pred residual", "timestamp_hour")
 register("acf", lambda s, d: evaluate.acf(hourly(s, d), "report_count"), "h",
          " UNION ALL ".join(f"SELECT {k} AS lag, corr(x, l) AS acf FROM (SELECT report_count AS x, lag(report_count, {k}) OVER (ORDER BY timestamp_hour) AS l FROM h)" for k in range(1, 25)), "acf")
 _FOLDS = """SELECT *, CASE WHEN i < n - (6 - fold) * (n // 6) THEN 'train' WHEN i < n - (6 - fold) * (n // 6) + n // 6 THEN 'test' END AS part
@@ -481,10 +482,13 @@ def _streamed(s, d, job, mode):
     source, out = _shared(s, "stream"), _shared(s, "out")
     rows = ex(s, d).select("run_id", "report_name", "execution_status", "started_at")
     rows.repartitionByRange(8, "started_at").write.parquet(source)
-    stream = s.readStream.schema(rows.schema).parquet(source)
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)  # so that state passes from batch to batch
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     query = job(stream).writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", _shared(s, "state")).trigger(availableNow=True).start()
     query.awaitTermination()
+    s.conf.set(key, before)
     return s.read.parquet(out)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from joblore.operators.anomalies import stretches
+
 
 def stream_hourly_counts(stream: DataFrame, watermark: str = "2 hours", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, timestamp_hour, report_count); rows later than the watermark are dropped."""
@@ -17,7 +19,7 @@ def stream_hourly_counts(stream: DataFrame, watermark: str = "2 hours", keys: Se
 
 
 class LastStart(StatefulProcessor):
-    """Keeps each report's last start and emits runs that follow it within a threshold."""
+    """Keeps the last start of each report and stretch of time and emits runs that follow it within a threshold."""
 
     def __init__(self, threshold: float):
         self.threshold = threshold
@@ -29,8 +31,8 @@ class LastStart(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["micros", "run_id"])
         before = self.last.get() if self.last.exists() else None
         out = []
-        for run_id, micros in zip(frame["run_id"], frame["micros"], strict=True):
-            if before is not None:
+        for run_id, micros, own in zip(frame["run_id"], frame["micros"], frame["own"], strict=True):
+            if before is not None and own:
                 gap = (int(micros) - before[1]) // 1_000_000
                 if 0 <= gap <= self.threshold:
                     out.append((key[0], int(run_id), int(before[0]), int(gap)))
@@ -47,9 +49,11 @@ def stream_double_runs(stream: DataFrame, threshold: float = 60) -> DataFrame:
     """(report_name, run_id, previous_run, gap_seconds): successful runs within threshold seconds of their report's last.
 
     Within a batch runs are taken in order of their start; one that comes in a later batch than its
-    successor is compared with the last start seen.
+    successor is compared with the last start seen. State is kept by report and stretch of time, so a
+    report with very many runs is many keys; the runs at the end of a stretch are known to the next too.
     """
-    rows = stream.filter("execution_status = 'success'").select("report_name", "run_id", F.unix_micros("started_at").alias("micros"))
-    return rows.groupBy("report_name").transformWithStateInPandas(
+    rows = stream.filter("execution_status = 'success'").select("report_name", "run_id", "started_at", F.unix_micros("started_at").alias("micros"), F.posexplode(stretches(F.col("started_at"), threshold)).alias("at", "stretch"))
+    rows = rows.select("report_name", "stretch", "run_id", "micros", (F.col("at") == 0).alias("own"))
+    return rows.groupBy("report_name", "stretch").transformWithStateInPandas(
         LastStart(threshold), outputStructType="report_name string, run_id long, previous_run long, gap_seconds long", outputMode="Append", timeMode="None"
     )

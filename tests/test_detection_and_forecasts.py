@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joblore.operators import anomalies, drift, evaluate, forecast, queues, series
+from joblore.operators import anomalies, drift, evaluate, forecast, joins, queues, series
 from joblore.plans import catalog
 from joblore.streaming import jobs
 from tests.test_cleaning_and_series import at, frame
@@ -137,3 +137,118 @@ def test_streams_agree_with_batch(spark, tmp_path):
     assert {(r.timestamp_hour, r.report_count) for r in run(jobs.stream_hourly_counts, "hours")} <= batch
     pairs = {(r.run_id, r.previous_run) for r in anomalies.double_runs(df, 90).collect()}
     assert {(r.run_id, r.previous_run) for r in run(lambda s: jobs.stream_double_runs(s, 90), "doubles")} == pairs and len(pairs) == 398
+
+
+def test_double_runs_across_stretches(spark):
+    """Runs every 50 seconds for six hours, so pairs lie across the stretches of time that a report is dealt by."""
+    t = at("2024-01-01T00:00:07")
+    df = frame(spark, [(i, "a", "success", 1, t + dt.timedelta(seconds=50 * i)) for i in range(432)] + [(9999, "a", "success", 1, t + dt.timedelta(seconds=50 * 431 + 61))])
+    got = anomalies.double_runs(df, 60)
+    assert sorted((r.run_id, r.previous_run, r.gap_seconds) for r in got.collect()) == [(i, i - 1, 50) for i in range(1, 432)]
+    assert "__stretch" not in got.columns
+
+
+def test_changes_are_the_last_before_each_run(spark):
+    commits = [("a.sql", at("2024-01-01") + dt.timedelta(hours=h // 2), f"{h:03d}", "x", "m") for h in range(200)]
+    runs_ = [(i, at("2024-01-01") + dt.timedelta(hours=i), "a") for i in range(0, 100, 7)]
+    got = joins.changes_before(
+        spark.createDataFrame(runs_, "run_id long, started_at timestamp, action_path string"), spark.createDataFrame(commits, "path string, commit_ts timestamp, hash string, author string, message string"), 5
+    ).collect()
+    expected = set()
+    for i, start, _ in runs_:
+        own = sorted((c for c in commits if c[1] <= start), key=lambda c: (-c[1].timestamp(), c[2]))[:5]
+        expected |= {(i, k + 1, c[2]) for k, c in enumerate(own)}
+    assert {(r.run_id, r["rank"], r.hash) for r in got} == expected and len(got) == len(expected)
+
+
+def plain_knn(train, rows, k):
+    x = np.array([r[0] for r in train])
+    mean, std = x.mean(axis=0), x.std(axis=0)
+    std = np.where(std > 0, std, 1)
+    out = []
+    for row in rows:
+        own = (np.array(row) - mean) / std
+        far = [sum((own[f] - known[f]) ** 2 for f in range(len(own))) for known in (x - mean) / std]
+        votes = [train[i][1] for i in sorted(range(len(train)), key=lambda i: (far[i], i))[:k]]
+        out.append(min(set(votes), key=lambda b: (-votes.count(b), b)))
+    return out
+
+
+def test_knn_against_plain_votes(spark, monkeypatch):
+    monkeypatch.setattr(queues, "CELLS", 100)  # several blocks of distances
+    r = np.random.default_rng(5)
+    rows = [(i, f"r{i}", *map(float, r.uniform(0, 5, 3)), float(r.random() < 0.5), int(r.integers(20, 90)), "SML"[int(r.integers(3))], 1) for i in range(120)]
+    banded = spark.createDataFrame(rows, "report_id long, report_name string, mean_seconds double, median_seconds double, p95_seconds double, failure_rate double, runs long, band string, queue_id long")
+    got = {x.report_id: x for x in queues.knn_assign(banded, 5).collect()}
+    order = banded.select("report_id", F.xxhash64("report_id", F.lit(1)).alias("h")).orderBy("h", "report_id").collect()
+    vector = lambda x: [x.mean_seconds, x.median_seconds, x.p95_seconds, x.failure_rate, np.log1p(x.runs)]
+    train = [(vector(got[o.report_id]), got[o.report_id].band) for o in order if not got[o.report_id].held_out]
+    assert [x.assigned for x in got.values()] == plain_knn(train, [vector(x) for x in got.values()], 5)
+
+
+def test_evaluation_by_series(spark):
+    """Each of two series gives what it gives alone."""
+    h, r = at("2024-01-01"), np.random.default_rng(6)
+    rows = [(k, h + dt.timedelta(hours=i), float(r.integers(0, 80)), float(r.integers(0, 80)), "train" if i < 400 else "test") for k in "ab" for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, timestamp_hour timestamp, report_count double, p double, split string")
+    jobs_ = [
+        lambda d, keys: evaluate.mase(d.filter("split = 'train'"), d.filter("split = 'test'"), "report_count", "p", keys=keys),
+        lambda d, keys: evaluate.holdout_report(d, pred="p", keys=keys),
+        lambda d, keys: evaluate.acf(d, "report_count", max_lag=3, keys=keys),
+        lambda d, keys: evaluate.walk_forward_eval(d, pred="p", keys=keys),
+        lambda d, keys: evaluate.walk_forward_folds(d, keys=keys).groupBy(*keys, "fold", "part").count(),
+        lambda d, keys: evaluate.rolling_origin(d, keys=keys),
+    ]
+    flat = lambda rows: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in rows), key=str)
+    for job in jobs_:
+        both = job(df, ["k"])
+        for k in "ab":
+            assert flat(both.filter(F.col("k") == k).drop("k").collect()) == flat(job(df.filter(F.col("k") == k).drop("k"), []).collect())
+
+
+def test_horizon_figures(spark):
+    """30 hours worked out by hand: errors of 2, 4 and 30; 10 of 30 outside the band."""
+    h = at("2024-01-01")
+    rows = [(h + dt.timedelta(hours=i), *((18.0, 20.0, 25.0, 22) if i % 3 == 0 else (20.0, 24.0, 26.0, 20) if i % 3 == 1 else (40.0, 50.0, 60.0, 80))) for i in range(30)]
+    df = spark.createDataFrame(rows, "ds timestamp, y_p10 double, y_pred double, y_p90 double, y_actual long")
+    got = evaluate.horizon_eval(df.drop("y_actual"), df.select("ds", "y_actual")).first()
+    assert (got.n, got.mae, got.bias, got.high_volume_bias) == (30, pytest.approx(12), pytest.approx((-2 + 4 - 30) / 3), pytest.approx(-30))
+    assert got.rmse == pytest.approx(((4 + 16 + 900) / 3) ** 0.5) and got.coverage_pct == pytest.approx(200 / 3)
+    res = evaluate.residuals(df, "y_actual", "y_pred").groupBy("y_pred").agg(F.min("residual").alias("a"), F.max("residual").alias("b")).collect()
+    assert {(r.y_pred, r.a, r.b) for r in res} == {(20.0, 2.0, 2.0), (24.0, -4.0, -4.0), (50.0, 30.0, 30.0)}
+
+
+FEATURES = ("hour", "weekday", "y_lag_1", "y_lag_24")
+
+
+def busy_hours(spark, days=40):
+    """20 runs an hour and 50 in working hours, give or take a few; the last 10 days are for testing."""
+    h, rows, y, r = at("2024-01-01"), [], [], np.random.default_rng(1)
+    for i in range(24 * days):
+        hour, weekday = i % 24, i // 24 % 7
+        y.append(20.0 + 30.0 * (9 <= hour <= 16 and weekday < 5) + float(r.integers(-5, 6)))
+        rows.append((h + dt.timedelta(hours=i), hour, weekday, y[i - 1] if i else 0.0, y[i - 24] if i >= 24 else 0.0, y[i]))
+    df = spark.createDataFrame(rows, "ds timestamp, hour int, weekday int, y_lag_1 double, y_lag_24 double, report_count double")
+    cut = F.lit(h + dt.timedelta(days=days - 10))
+    return df.filter(F.col("ds") < cut), df.filter(F.col("ds") >= cut)
+
+
+def test_point_model_beats_the_naive_forecast(spark):
+    train, test = busy_hours(spark)
+    model = forecast.fit_point_model(train, FEATURES, trees=10)
+    scored = forecast.score_point_model(model, test, FEATURES)
+    own, naive = (scored.agg(F.avg(F.abs(F.col("report_count") - F.col(c)))).first()[0] for c in ("y_pred", "y_lag_1"))
+    assert own < 0.8 * naive and scored.filter("y_pred < 0").count() == 0
+    noon, night = (forecast.scenario(model, test, {"hour": h, "weekday": 1, "y_lag_1": y, "y_lag_24": y}, FEATURES).agg(F.avg("y_pred")).first()[0] for h, y in ((12, 50), (3, 20)))
+    assert noon > night + 20
+    assert forecast.scenario(model, test.drop("y_lag_24"), {}, FEATURES).count() == test.count()  # an absent feature counts 0
+
+
+def test_spike_probability_tells_spikes(spark):
+    train, test = busy_hours(spark)
+    got = forecast.spike_probability(train, test, FEATURES, trees=5)
+    p = {r.spike: r.p for r in got.groupBy((F.col("report_count") > 40).alias("spike")).agg(F.avg("p_spike").alias("p")).collect()}
+    assert p[True] > 0.8 > 0.2 > p[False] and got.filter("p_spike < 0 or p_spike > 1").count() == 0
+    lag = got.filter("hour = 12 and weekday < 5").agg(F.avg("p_spike")).first()[0]
+    low = forecast.spike_probability(train, test.withColumns({"y_lag_1": F.lit(15.0), "y_lag_24": F.lit(15.0), "hour": F.lit(3)}), FEATURES, trees=5).agg(F.avg("p_spike")).first()[0]
+    assert lag > low
