@@ -4,9 +4,10 @@ A vector o of length |o| is rotated at random and kept as the signs of its coord
 bits, and two numbers: |o| and c = <sign code, o / |o|>. For a rotated unit query q the quotient
 <sign code, q> / c estimates <o / |o|, q> without bias, and its error exceeds
 e * sqrt((1 - c^2) / c^2 / (bits - 1)) with a probability that falls like exp(-e^2 / 2). Vectors
-whose upper bound reaches the k-th best lower bound are ranked again by their exact inner products.
+whose upper bound reaches the k-th best score are ranked again by their exact inner products.
 
-Rows are indexed in blocks of bounded size; a block of queries meets each block of codes.
+Queries go to the index, in groups of bounded size: each task keeps the k best that it has ranked for
+each query, and what it has yet to see must reach the last of them with its upper bound.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joblore.llm.scratch import stash
+from joblore.llm.scratch import new_path, stash
 
-INDEX = "vec_id long, vector array<double>, dim int, code binary, norm double, fit double, block int"
+INDEX = "vec_id long, vector array<double>, dim int, code binary, norm double, fit double"
 
 
 def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
@@ -54,15 +56,13 @@ def _matrices(batch, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, flat[start[at][:, None] + np.arange(dim)]
 
 
-def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, seed: int = 7, block_rows: int = 8192) -> DataFrame:
-    """The index of all valid vectors (see INDEX), a table in the shared folder.
+def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 256, seed: int = 7) -> DataFrame:
+    """The index of all valid vectors (see INDEX and valid_vectors), a table in the shared folder.
 
     Vectors of any dimension may mix; only those of one dimension are comparable. Codes have
     `bits` bits, or one for each dimension if those are more.
     """
     rows = valid_vectors(rows, id_col, vector_col)
-    rows = stash(rows, "vectors")
-    blocks = max(1, -(-rows.count() // block_rows))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +78,12 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("vec_id").take(pa.array(at)), batch.column("vector").take(pa.array(at)), pa.array(np.full(len(at), x.shape[1], np.int32)),
-                        pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(fit), batch.column("block").take(pa.array(at)),
+                        pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), pa.array(fit),
                     ],
-                    ["vec_id", "vector", "dim", "code", "norm", "fit", "block"],
+                    ["vec_id", "vector", "dim", "code", "norm", "fit"],
                 )
 
-    return stash(rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).mapInArrow(encode, INDEX), "index")
+    return stash(rows.mapInArrow(encode, INDEX), "index")
 
 
 def _ordered_sums(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -94,49 +94,68 @@ def _ordered_sums(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, seed: int = 7, error: float = 4.0, query_rows: int = 4096) -> DataFrame:
+class _Nearest:
+    """The k best so far of each of some queries of one dimension, over blocks of the index."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, bits: int, seed: int, error: float):
+        self.ids, self.q, self.k, self.error, self.width = ids, q, k, error, _width(q.shape[1], bits)
+        self.length = np.linalg.norm(q, axis=1)
+        self.turned = (q / self.length[:, None] @ rotation(q.shape[1], self.width, seed)).astype(np.float32)
+        self.score, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+
+    def rank(self, i: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rank vectors by their exact inner products with query i, among the best so far."""
+        score, found = np.append(self.score[i], _ordered_sums(x, self.q[i])), np.append(self.found[i], ids)
+        order = np.lexsort((found, -score))[: self.k]
+        self.score[i], self.found[i] = score[order], found[order]
+
+    def add(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> None:
+        signs = np.unpackbits(code, axis=1)[:, : self.width].astype(np.float32) * 2 - 1
+        slack = norm * self.error * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, self.width - 1)) + 1e-5 * norm  # float32 below
+        for first in range(0, len(self.q), 256):
+            estimate = (self.turned[first : first + 256] @ signs.T) / np.float32(self.width**0.5) * (norm / fit).astype(np.float32)
+            for i, own in enumerate(estimate, first):
+                own = np.where(ids == self.ids[i], -np.inf, own)
+                done = np.zeros(len(own), bool)
+                if self.score[i, -1] == -np.inf:  # the likeliest first, so that there is a score to beat
+                    some = np.argpartition(-own, min(4 * self.k, len(own)) - 1)[: 4 * self.k]
+                    some = some[own[some] > -np.inf]
+                    self.rank(i, ids[some], x[some])
+                    done[some] = True
+                again = np.flatnonzero((own + slack >= self.score[i, -1] / self.length[i]) & ~done & (own > -np.inf))
+                if len(again):
+                    self.rank(i, ids[again], x[again])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, seed: int = 7, error: float = 4.0, query_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query (columns vec_id, vector) the k rows of the
     index with the largest inner products, its own vec_id left out; ties go to the smaller vec_id.
 
     bits and seed are those of the index. error is the e of the bounds: at 4 about one in 30,000
-    vectors of the result may be missed.
+    vectors of the result may be missed. Queries without a valid vector have no rows, one of repeated
+    vec_ids counts (see valid_vectors). About query_rows queries at a time are sent to the tasks, each of which
+    goes through its part of the index where it lies; only its best k for each query are shuffled.
     """
-    n_blocks = (index.agg(F.max("block")).first()[0] or 0) + 1
-    n_query_blocks = max(1, -(-queries.count() // query_rows))
-    asked = queries.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_query_blocks)).cast("int").alias("query_block"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    held = index.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-
-    def best(codes: pa.Table, asked: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        sides = [{x.shape[1]: (at, x) for at, x in _matrices(t, "vector")} if t.num_rows else {} for t in (codes, asked)]
-        for dim in sides[0].keys() & sides[1].keys():
-            (at, x), (to, q) = sides[0][dim], sides[1][dim]
-            ids, asks = codes["vec_id"].to_numpy()[at], asked["vec_id"].to_numpy()[to]
-            norm, fit = codes["norm"].to_numpy()[at], codes["fit"].to_numpy()[at]
-            width = _width(dim, bits)
-            code = np.frombuffer(b"".join(codes["code"].take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-            signs = np.unpackbits(code, axis=1)[:, :width].astype(np.float32) * 2 - 1
-            slack = norm * error * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, width - 1)) + 1e-5 * norm  # float32 below
-            turn = rotation(dim, width, seed)
-            for first in range(0, len(to), 256):
-                some = q[first : first + 256]
-                length = np.linalg.norm(some, axis=1)
-                turned = (some @ turn / length[:, None]).astype(np.float32)
-                estimate = (turned @ signs.T) / np.float32(width**0.5) * (norm / fit).astype(np.float32)
-                for i in range(len(some)):
-                    lower = estimate[i] - slack
-                    other = ids != asks[first + i]
-                    lower[~other] = -np.inf
-                    enough = np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) > k else -np.inf
-                    again = np.flatnonzero((estimate[i] + slack >= enough) & other)
-                    score = _ordered_sums(x[again], some[i])
-                    order = np.lexsort((ids[again], -score))[:k]
-                    found.append((np.full(len(order), asks[first + i]), ids[again][order], score[order]))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    keys = ["block", "query_block"]
-    near = held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-    return near.select("query_id", F.posexplode("top").alias("rank", "t")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score"))
+    spark = index.sparkSession
+    asked = stash(valid_vectors(queries, "vec_id", "vector"), "queries")
+    groups = max(1, -(-asked.count() // query_rows))
+    out, top = new_path(spark, "nearest"), "query_id long, vec_id long, score double"
+    for group in range(groups):
+        table = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == group).toArrow()
+        told = spark.sparkContext.broadcast([(table["vec_id"].to_numpy()[at], q) for at, q in _matrices(table, "vector")])
+
+        def best(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            nearest = {q.shape[1]: _Nearest(ids, q, k, bits, seed, error) for ids, q in told.value}
+            for batch in batches:
+                for at, x in _matrices(batch, "vector"):
+                    if own := nearest.get(x.shape[1]):
+                        code = np.frombuffer(b"".join(batch.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+                        own.add(batch.column("vec_id").to_numpy()[at], x, code, batch.column("norm").to_numpy()[at], batch.column("fit").to_numpy()[at])
+            for own in nearest.values():
+                i, j = np.nonzero(own.score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(own.ids[i]), pa.array(own.found[i, j]), pa.array(own.score[i, j])], ["query_id", "vec_id", "score"])
+
+        near = index.select("vec_id", "vector", "code", "norm", "fit").mapInArrow(best, top)
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark keeps the first k of each task before the shuffle, too
+        near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).write.parquet(f"{out}/group={group}")
+    return spark.read.schema(f"{top}, rank int").parquet(*(f"{out}/group={g}" for g in range(groups))).select("query_id", "rank", "vec_id", "score")

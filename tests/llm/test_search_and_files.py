@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -29,7 +30,7 @@ def test_vectors(spark):
     rows |= {i: rows[3] for i in range(300, 340)} | {i: [x * 1e3 for x in rows[5]] for i in range(340, 343)} | {400: [1.0, 2.0], 401: [2.0, 1.0], 420: [3.0, 3.0]}
     bad = [(500, None), (520, []), (540, [0.0] * 24), (560, [None] + [1.0] * 23), (580, [float("nan")] * 24), (600, [float("inf")] * 24), (None, rows[1]), (20, rows[20])]
     table = spark.createDataFrame([(i, v, 1, 0.5) for i, v in [*rows.items(), *bad]], "vec_id long, embedding array<double>, block int, score double").repartition(5)
-    index = vector_search.build_index(table, block_rows=64)
+    index = vector_search.build_index(table)
     assert index.count() == len(rows)
     got = vector_search.search(index, index.filter("vec_id % 20 = 0"), 20, query_rows=7).collect()
     exact = nearest(rows, [i for i in rows if i % 20 == 0], 20)
@@ -46,6 +47,23 @@ def test_vectors_empty(spark):
     assert vector_search.search(index, index).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_recall(spark):
+    """Of the 20 nearest by brute force nearly all are found, and most vectors need no exact product."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    index = vector_search.build_index(table)
+    got = vector_search.search(index, index.filter("vec_id % 20 = 0")).collect()
+    rows = index.select("vec_id", "vector").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.vector for r in rows])
+    expected = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        expected |= {(ids[i], j) for j in ids[np.lexsort((ids, -score))[:20]]}
+    found = {(r.query_id, r.vec_id) for r in got}
+    assert len(found) == len(got) == len(expected) and len(found & expected) >= 0.99 * len(expected)
+
+
 def test_vector_bounds():
     """The error bound holds for all but few vectors."""
     r = np.random.default_rng(2)
