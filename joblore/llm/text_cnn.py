@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.labels import remainder, training_rows
-from joblore.llm.scratch import arrow_function, short_batches
+from joblore.llm.scratch import arrow_function, short_batches, stash
 
-#: Labelled texts of each class that are fitted, at most.
-PER_CLASS = 2000
+#: Labelled texts of each class that are fitted, at most, and bytes of all of them, which the driver holds.
+PER_CLASS, MOST_BYTES = 2000, 64 << 20
 WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 PREFIXES = (3, 4, 5, 6)
 #: Function words that tell a language.
@@ -230,10 +230,11 @@ def _calibrate(model: TextCnn, logit: np.ndarray, y: np.ndarray, language: np.nd
             model.cutoffs[i] = _cutoff(logit[own], y[own], weight[own])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> TextCnn:
-    """A model of `label` from whole texts of at most per_class labelled documents of each class, which
-    weigh as much as all labelled documents of their class."""
-    table = training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col).toArrow().sort_by("doc_id")
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> TextCnn:
+    """A model of `label` from whole texts of at most per_class labelled documents of each class, and of at
+    most most_bytes, which weigh as much as all labelled documents of their class."""
+    rows = stash(training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col, most_bytes), "training")
+    table = rows.toArrow().sort_by("doc_id")
     weight = table["weight"].to_numpy().astype(np.float64)
     texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
     return fit(texts, table["label"].to_numpy().astype(np.float64), weight=weight / weight.mean() if table.num_rows else weight)

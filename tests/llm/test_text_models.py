@@ -207,6 +207,48 @@ def test_training_weights_are_the_classes_sizes(spark):
         assert all(abs(r.weight - true[r.label]) < 1e-6 for r in rows)
 
 
+def test_training_bytes_are_bounded(spark):
+    docs, labels = mixed(spark, 300)
+    everything, some = (training_rows(docs, labels, "toxic", 4, 2, 1000, most_bytes=b).agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum("weight").alias("weight"), F.count_distinct("label").alias("classes")).first() for b in (1 << 30, 8000))
+    assert some.bytes <= 8000 < everything.bytes and some.classes == 2 and abs(some.weight - everything.weight) < 1e-6
+    assert training_rows(docs, labels, "toxic", 4, 2, 1000, most_bytes=0).count() == 2
+
+
+def plain_score(model, text):
+    """One text's score, word by word."""
+    tokens, bounds, language = text_cnn.features(pa.array([text]), len(model.embedding))
+    e = [sum(model.embedding[t].astype(float) for t in row) for row in tokens]
+    total, at = model.bias, 0
+    for kernel, bias in zip(model.filters, model.biases, strict=True):
+        for f in range(kernel.shape[2]):
+            outs = [0.0]
+            for i in range(len(e) - text_cnn.PAD):
+                outs.append(float(bias[f]) + sum(float(e[i + w] @ kernel[w][:, f].astype(float)) for w in range(len(kernel)) if i + w < len(e)))
+            total += max(outs) * float(model.weight[at])
+            at += 1
+    return 1 / (1 + np.exp(-(total - model.cutoffs[language[0]])))
+
+
+def test_toxicity_against_a_plain_pass(spark):
+    docs, labels = labelled(spark, 120)
+    model = text_cnn.train(docs, labels)
+    texts_ = [r.text for r in docs.limit(12).collect()] + ["", "a", "x " * 300]
+    assert np.allclose(model.scores(pa.array(texts_)), [plain_score(model, t) for t in texts_], atol=1e-4)
+
+
+def test_quality_against_plain_rules(spark):
+    """Scores of the compiled column are those of the rules, one by one."""
+    docs, labels = labelled(spark, 200)
+    model = rule_ensemble.train(docs, labels)
+    stats = docs.select("doc_id", *(c.cast("double").alias(n) for n, c in rule_ensemble.statistics(F.col("text")).items()))
+    scores = {r.doc_id: r.score for r in stats.select("doc_id", model.score().alias("score")).collect()}
+    names = [c for c in stats.columns if c != "doc_id"]
+    for row in stats.collect():
+        x = np.array([[row[c] for c in names]])
+        total = model.intercept + sum(rule.weight for rule in model.rules if rule.holds(names, x)[0])
+        assert abs(scores[row.doc_id] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_quality_does_not_depend_on_the_cap(spark):
     docs, labels = mixed(spark)
     vague = docs.filter("kind = 'vague'")
