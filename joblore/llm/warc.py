@@ -22,22 +22,29 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joblore.llm.scratch import short_batches
+from joblore.llm.scratch import short_batches, stash
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads under this many bytes are never replaced by a revisit.
 REVISIT_FROM = 1000
+#: Digests of repeated payloads that tasks may hold (about 100 bytes each).
+BROADCAST_LIMIT = 500_000
 DATE = "2024-01-01T00:00:00Z"
 EMPTY_MEMBER = zlib.compressobj(wbits=31).flush()
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, path string, start long"
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to names the largest page_id of an equal payload, if another."""
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_from: int = REVISIT_FROM, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to): refers_to names the largest page_id of an equal payload, if another.
+
+    The digests of repeated payloads go to the tasks when there are at most broadcast_limit of them;
+    otherwise payloads are shuffled to them."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = rows.filter(F.octet_length("payload") >= revisit_from)
-    target = long.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    target = stash(long.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if target.count() <= broadcast_limit:  # then payloads stay where they are
+        target = F.broadcast(target)
     rows = rows.join(target, (F.col("digest") == F.col("of")) & (F.octet_length("payload") >= revisit_from), "left")
     return rows.select("page_id", "url", F.when(F.col("page_id") == F.col("target"), None).otherwise(F.col("target")).alias("refers_to"), "payload", "digest")
 
@@ -79,7 +86,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, path: str, **columns) -> None:
-    """Write one record per row of pages to files in the new folder path.
+    """Write one record per row of pages to files in the new folder path; a folder that is there is an error.
 
     A null body is an empty payload, a null url leaves out the target's header. Rows that repeat the
     largest page_id of a payload are each a response.

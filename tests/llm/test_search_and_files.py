@@ -103,6 +103,8 @@ def test_urls(spark):
     got = url_filter.filter_urls(table, rules).collect()
     assert {(g.page_id, g.host, g.path, g.rule, g.verdict) for g in got} == {(i, *judged(u)) for i, u in enumerate(urls)}
     assert url_filter.filter_urls(table.limit(0), rules).count() == 0
+    hosts = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "net/es/x"), (2, "http://" + "net." * 3000 + "com"), (3, "http://" + "." * 5000 + "net/fr/")], "page_id long, url string")
+    assert {(g.page_id, g.rule, g.verdict) for g in url_filter.filter_urls(hosts, rules).collect()} == {(1, "net/es/", "block"), (2, None, "allow"), (3, "net/fr/", "block")}
     assert url_filter.filter_urls(table, rules.limit(0)).filter("verdict = 'allow' and rule is null").count() == len(urls)
 
 
@@ -128,6 +130,8 @@ def test_archives(spark):
     table = spark.createDataFrame(pages, "page_id long, url string, html string, digest string").repartition(3)
     path = new_path(spark, "warc")
     warc.write_archives(table, path)
+    order = ["page_id", "digest", "refers_to"]
+    assert sorted(map(str, warc.with_revisits(table).select(order).collect())) == sorted(map(str, warc.with_revisits(table, broadcast_limit=0).select(order).collect()))
     for split in (32 << 20, 777):
         got = warc.read_archives(spark, path, split_bytes=split).collect()
         assert len(got) == len(pages)
