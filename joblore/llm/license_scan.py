@@ -192,7 +192,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     Null, empty and clean texts have an empty array. Templates are a parameter of the job and few
     (their index is sent to every task); each must have k words. Words count as matched on or between
     the diagonals of kept runs of k words and up to band beside them; any w + k - 1 equal words in a
-    row hold a kept run. Between two runs at most a template's length of words may be inserted.
+    row hold a kept run. Between two runs at most a template's length of words may be inserted. Each
+    template is looked for alone, so the same words may match several; rows that repeat an id are scanned
+    one by one. Matches are sorted by start, then template. A task holds one whole text at least.
     """
     short_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, k, w))

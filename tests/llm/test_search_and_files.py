@@ -243,6 +243,36 @@ def test_licences_side_by_side(spark):
     assert got[1] == [(5 * i, 5 * i + 5, 1.0) for i in range(500)] and got[2] == [(3 * i, 3 * i + 3, 1.0) for i in range(300)]
 
 
+def test_licences_against_a_search_without_index(spark):
+    """What a search over all templates and all places finds, if it has a run of w + k - 1 equal words, is found; nothing else is."""
+    r = random.Random(12)
+    templates = {f"t{i}": " ".join(f"w{r.randrange(60)}" for _ in range(n)) for i, n in enumerate([6, 9, 12, 15, 18])}
+    rows = []
+    for i in range(60):
+        w = [f"w{r.randrange(60)}" for _ in range(r.randrange(0, 30))]
+        for _ in range(r.randrange(0, 3)):
+            t = r.choice(list(templates.values())).split()
+            for _ in range(r.randrange(0, 5)):
+                at = r.randrange(len(t))
+                t[at : at + r.randrange(0, 2)] = [f"x{r.randrange(9)}"] * r.randrange(0, 2)
+            w += t + [f"w{r.randrange(60)}" for _ in range(r.randrange(0, 10))]
+        rows.append((i, " ".join(w)))
+    likely, possible = set(), set()
+    for i, text in rows:
+        w = text.split()
+        for name, template in templates.items():
+            t = template.split()
+            runs = {tuple(t[j : j + 6]) for j in range(len(t) - 5)}
+            for at in range(len(w)):
+                part = w[at : at + 2 * len(t)]
+                if brute.longest_common(t, part) >= 0.8 * len(t):
+                    possible.add((i, name))
+                    if any(tuple(part[j : j + 6]) in runs for j in range(len(t))):
+                        likely.add((i, name))
+    found = {(row.doc_id, m.template) for row in scan(spark, rows, templates=templates) for m in row.matches}
+    assert likely <= found <= possible and len(likely) > 20
+
+
 def test_licence_spans_that_overlap():
     found = [(5, 10 * i, 10 * i + 8) for i in range(100)]
     assert license_scan._apart([*found, (4, 3, 8), (4, 4, 12), (5, 8, 10), (3, 985, 999)]) == [(5, 0, 8), (5, 8, 10), *found[1:]]
