@@ -12,10 +12,10 @@ Two sets of s >= u elements with J >= t share at least c = ceil(t (s + u) / (1 +
 Equal sets collapse before. Within a list, one pivot for each range of sizes is compared
 with the rest (linear), exact verification and components follow, and only pairs of documents
 that are still in different components are looked at again, in blocks of bounded size, inside tasks.
-A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them. First each
-document's nearest is verified. Then each block yields a forest that connects all that may still link,
-its trees join to clusters, and blocks of a cluster's texts are compared exactly where they
-meet: rows grow with the documents, not with their pairs.
+A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them. Each task
+yields a forest that connects all that may still link, its trees join to clusters, and blocks of a
+cluster's texts are compared exactly where they meet: rows grow with the documents, not with their
+pairs. This is done in each document's longest list first, then in all lists for what is in no cluster together.
 """
 
 from __future__ import annotations
@@ -218,70 +218,65 @@ class _Forest:
         return a != b
 
 
-def _crossing(num: int, den: int, nearest: bool):
-    """mapInArrow over rows sorted by (key, i, j): of the pairs of documents of blocks i and j of a list
-    that are in different components, and whose sizes and sketches allow a link, each document's nearest
-    by sketch, or a forest that connects what all such pairs connect."""
+def _crossing(num: int, den: int):
+    """mapInArrow over rows sorted by (key, i, j): a forest that connects the documents of blocks i and j of
+    a list that are in different components and clusters, and whose sizes and sketches allow a link."""
 
-    def few(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[float, int, int]]:
-        for at, (n, comp, doc, sketch) in enumerate(left):
-            for m, other, mate, second in right[at + 1 :] if same else right:
-                if comp != other and num * max(n, m) <= den * min(n, m) and (apart := _apart(sketch, second)) * (num + den) <= (den - num) * (n + m):
-                    yield apart / (n + m), doc, mate
+    def few(left: list[tuple], right: list[tuple], same: bool) -> Iterator[tuple[int, int]]:
+        for at, (n, comp, own, doc, sketch) in enumerate(left):
+            for m, other, cluster, mate, second in right[at + 1 :] if same else right:
+                if comp != other and own != cluster and num * max(n, m) <= den * min(n, m) and _apart(sketch, second) * (num + den) <= (den - num) * (n + m):
+                    yield doc, mate
 
-    def many(left: list[tuple], right: list[tuple]) -> Iterator[tuple[float, int, int]]:
-        sizes = [sorted({len(r[3]) for r in side}) for side in (left, right)]
+    def many(left: list[tuple], right: list[tuple]) -> Iterator[tuple[int, int]]:
+        sizes = [sorted({len(r[4]) for r in side}) for side in (left, right)]
         for x in sizes[0]:
             for y in sizes[1]:
                 if max(x, y) > 4 * min(x, y):
                     continue  # sizes that far apart don't link at t > 1/2; below, blocks are compared one by one
-                rows = [[r for r in side if len(r[3]) == z] for side, z in ((left, x), (right, y))]
-                n, comp, doc = ([np.array([r[c] for r in side]) for side in rows] for c in range(3))
-                sketch = [np.frombuffer(b"".join(_folded(r[3], min(x, y)) for r in side), np.uint64).reshape(len(side), -1) for side in rows]
+                rows = [[r for r in side if len(r[4]) == z] for side, z in ((left, x), (right, y))]
+                n, comp, own, doc = ([np.array([r[c] for r in side]) for side in rows] for c in range(4))
+                sketch = [np.frombuffer(b"".join(_folded(r[4], min(x, y)) for r in side), np.uint64).reshape(len(side), -1) for side in rows]
                 for first in range(0, len(rows[0]), 32):
                     some = slice(first, first + 32)
                     small, large = (f(n[0][some, None], n[1][None]) for f in (np.minimum, np.maximum))
-                    i, j = np.nonzero((comp[0][some, None] != comp[1][None]) & (num * large <= den * small))
+                    i, j = np.nonzero((comp[0][some, None] != comp[1][None]) & (own[0][some, None] != own[1][None]) & (num * large <= den * small))
                     apart = np.bitwise_count(sketch[0][some][i] ^ sketch[1][j]).sum(axis=1, dtype=np.int64)
-                    total = n[0][some][i] + n[1][j]
-                    near = apart * (num + den) <= (den - num) * total
-                    yield from zip((apart / total)[near].tolist(), doc[0][some][i[near]].tolist(), doc[1][j[near]].tolist(), strict=True)
+                    near = apart * (num + den) <= (den - num) * (n[0][some][i] + n[1][j])
+                    yield from zip(doc[0][some][i[near]].tolist(), doc[1][j[near]].tolist(), strict=True)
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        """rows: (side, n, component, doc_id, sketch); side 0, 1, or 2 where i = j."""
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: (side, n, component, cluster, doc_id, sketch); side 0, 1, or 2 where i = j."""
         left, right = [r[1:] for r in rows if r[0] != 1], [r[1:] for r in rows if r[0] != 0]
         if len({r[2] for r in rows}) < 2:
-            return []
+            return iter(())
         same = rows[0][0] == 2
-        found = few(left, right, same) if len(rows) < 16 or 2 * num <= den else many(left, right)
-        if nearest:
-            best: dict[int, tuple] = {}
-            for far, a, b in found:
-                best[a], best[b] = min(best.get(a, (2.0,)), (far, a, b)), min(best.get(b, (2.0,)), (far, a, b))
-            found = best.values()
-        else:
-            forest = _Forest()
-            found = [x for x in found if forest.join(x[1], x[2])]
-        return [(min(a, b), max(a, b)) for _, a, b in found]
+        return few(left, right, same) if len(rows) < 16 or 2 * num <= den else many(left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, seen = None, [], set()
+        group, rows, forest, found = None, [], _Forest(), []
+
+        def grow() -> None:
+            for a, b in pairs(rows) if len(rows) > 1 else ():
+                if forest.join(a, b):
+                    found.append((min(a, b), max(a, b)))
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.int64()), pa.array([y for _, y in seen], pa.int64())], ["a", "b"])
-            seen.clear()
+            out = pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+            found.clear()
             return out
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "n", "component", "doc_id", "sketch")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "n", "component", "cluster", "doc_id", "sketch")]
             for k, i, j, *row in zip(*columns, strict=True):
                 if (k, i, j) != group:
-                    seen.update(pairs(rows) if len(rows) > 1 else ())
-                    if len(seen) > 100_000:
-                        yield flush()
+                    grow()
+                    if len(forest.above) > 1_000_000:
+                        forest = _Forest()
                     group, rows = (k, i, j), []
                 rows.append(tuple(row))
-        seen.update(pairs(rows) if len(rows) > 1 else ())
+            yield flush()
+        grow()
         yield flush()
 
     return run
@@ -317,19 +312,20 @@ def _linked(n: int, num: int, den: int):
 
 
 def _compared(n: int, num: int, den: int):
-    """mapInArrow over rows (cluster, i, j, side, component, doc_id, text) sorted by (cluster, i, j): links
-    J >= t, verified by the sets, that join components of the documents of blocks i and j."""
+    """mapInArrow over rows (cluster, i, j, side, component, before, doc_id, text) sorted by (cluster, i, j):
+    links J >= t, verified by the sets, that join components of the documents of blocks i and j. Documents
+    of one cluster `before` have been compared."""
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        side, component, doc = (np.array([r[c] for r in rows]) for c in range(3))
-        found = [_sets(b.column("text"), n) for b in fp.pieces(iter([pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.large_string())], ["text"])]), "text")]
+        side, component, before, doc = (np.array([r[c] for r in rows]) for c in range(4))
+        found = [_sets(b.column("text"), n) for b in fp.pieces(iter([pa.RecordBatch.from_arrays([pa.array([r[4] for r in rows], pa.large_string())], ["text"])]), "text")]
         size = np.concatenate([np.diff(bounds) for _, bounds in found])
         hashes, bounds = np.concatenate([h for h, _ in found]), np.append(0, np.cumsum(size))
         bits = 1 << int(np.ceil(np.log2(np.clip(4 * size.max(), 128, 1 << 15))))
         sketch = np.frombuffer(b"".join(_parities(fp.mix(hashes ^ fp.U64(7)), fp.owners(bounds), np.full(len(size), bits), SKETCH_BITS[0], bits)), np.uint64).reshape(len(size), -1)
         part = np.unique(component, return_inverse=True)[1]
         for a in np.flatnonzero(side != 1):
-            mates = np.flatnonzero((side != 0) & (np.arange(len(doc)) > a if side[a] == 2 else True) & (part != part[a]))
+            mates = np.flatnonzero((side != 0) & (np.arange(len(doc)) > a if side[a] == 2 else True) & (part != part[a]) & (before != before[a]))
             mates = mates[num * np.maximum(size[a], size[mates]) <= den * np.minimum(size[a], size[mates])]
             apart = np.bitwise_count(sketch[mates] ^ sketch[a]).sum(axis=1, dtype=np.int64)
             near = apart * (num + den) <= (den - num) * (size[a] + size[mates])
@@ -353,7 +349,7 @@ def _compared(n: int, num: int, den: int):
             return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "side", "component", "doc_id", "text")]
+            columns = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "side", "component", "before", "doc_id", "text")]
             for cluster, i, j, *row in zip(*columns, strict=True):
                 if (cluster, i, j) != group:
                     yield flush()
@@ -417,15 +413,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stash(_verify(star, listed, texts, ngram, num, den), "links")
 
-    # Pairs that no pivot has joined, in lists that still span components: first each document's
-    # nearest, which joins most of them, then all that are left.
-    parts = stash(connected_components(links), "parts")
-    nearest = _dealt(rows, parts, listed).mapInArrow(_crossing(num, den, True), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    links = stash(links.unionByName(_verify(nearest, listed, texts, ngram, num, den)), "links")
-    parts = stash(connected_components(links), "parts")
-    forest = stash(_dealt(rows, parts, listed).mapInArrow(_crossing(num, den, False), "a long, b long").distinct(), "forest")
-    if not forest.isEmpty():
-        links = stash(links.unionByName(_clustered(forest, parts, texts).mapInArrow(_compared(ngram, num, den), "a long, b long")), "links")
+    # Pairs that no pivot has joined, in lists that still span components.
+    longest = rows.groupBy("doc_id").agg(F.max(F.struct("size", "key")).alias("l"), F.first("n").alias("n")).select("l.key", "n", "doc_id", "l.size")
+    clusters = None
+    for some in (longest, rows):
+        parts = stash(connected_components(links), "parts")
+        forest = stash(_dealt(some, parts, clusters, listed).mapInArrow(_crossing(num, den), "a long, b long").distinct(), "forest")
+        if not forest.isEmpty():
+            before, clusters = clusters, stash(connected_components(forest).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+            links = stash(links.unionByName(_clustered(clusters, before, parts, texts).mapInArrow(_compared(ngram, num, den), "a long, b long")), "links")
 
     parts = connected_components(links)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -445,32 +441,42 @@ def _one_set(texts: DataFrame, full: DataFrame, ngram: int, num: int, den: int)
     return texts, full.join(odd, "doc_id", "left_anti").unionByName(full.join(odd, ["doc_id", "n", "k1", "k2"], "left_semi").select(full.columns))
 
 
-def _clustered(forest: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """The documents of each cluster with their texts, for each pair of its blocks, sorted by it."""
-    cluster = connected_components(forest).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    cluster = stash(cluster.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component")), "clusters")
-    found = texts.join(cluster.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    member = stash(cluster.join(found, "doc_id"), "members")
+def _with_cluster(rows: DataFrame, clusters: DataFrame | None, name: str) -> DataFrame:
+    """rows with the document's cluster as name, or its own id if it is in none."""
+    if clusters is None:
+        return rows.withColumn(name, F.col("doc_id"))
+    return rows.join(clusters.withColumnRenamed("cluster", "__cluster"), "doc_id", "left").withColumn(name, F.coalesce("__cluster", "doc_id")).drop("__cluster")
+
+
+def _in_blocks(member: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """member, with the number of blocks of its group `by`, for each pair of blocks i <= j, sorted by it.
+    side: 0 or 1 for block i or j, 2 where they are one."""
+    member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = member.select(
+        by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *columns
+    )
+    return dealt.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+
+
+def _clustered(clusters: DataFrame, before: DataFrame | None, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The documents of each cluster with their texts, for each pair of its blocks."""
+    own = _with_cluster(clusters, before, "before").join(parts, F.col("doc_id") == F.col("node"), "left")
+    own = stash(own.select("doc_id", "cluster", "before", F.coalesce("component", "doc_id").alias("component")), "members")
+    found = texts.join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    member = stash(own.join(found, "doc_id"), "members")
     blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    member = member.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = member.select("cluster", "component", "doc_id", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "component", "doc_id", "text",
-    )
-    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-
-
-def _dealt(rows: DataFrame, parts: DataFrame, listed: DataFrame) -> DataFrame:
-    """The rows of lists that span components, for each pair of blocks of their list, sorted by it."""
-    member = rows.join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).filter("low != high and c > 2").select("key")
-    member = member.join(split, "key").join(listed.select("doc_id", "sketch"), "doc_id")
-    member = member.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = member.select("key", "n", "doc_id", "component", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "n", "component", "doc_id", "sketch",
-    )
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return _in_blocks(member.join(blocks, "cluster"), "cluster", ["component", "before", "doc_id", "text"])
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, clusters: DataFrame | None, listed: DataFrame) -> DataFrame:
+    """The rows of lists that span components and clusters, for each pair of blocks of their list. Lists of
+    two are left out: their pair has been compared."""
+    member = rows.filter("size > 2").join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+    member = _with_cluster(member, clusters, "cluster")
+    spans = [f(c).alias(f"{name}_{c}") for c in ("component", "cluster") for name, f in (("low", F.min), ("high", F.max))]
+    split = member.groupBy("key").agg(*spans).filter("low_component != high_component and low_cluster != high_cluster").select("key")
+    member = member.join(split, "key").join(listed.select("doc_id", "sketch"), "doc_id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    return _in_blocks(member, "key", ["n", "component", "cluster", "doc_id", "sketch"])
 
 
 def _verify(pairs: DataFrame, listed: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
