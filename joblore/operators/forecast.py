@@ -143,15 +143,51 @@ def adjust_forecast(raw: DataFrame, bias: DataFrame, floor: DataFrame, spike: Da
     return df.select("ds", "step", F.round(positive(F.col("y") - half), 2).alias("y_p10"), F.round("y", 2).alias("y_pred"), F.round(F.col("y") + half, 2).alias("y_p90"))
 
 
-def recursive_forecast(h: DataFrame, periods: int = 48, keys: Sequence[str] = (), holidays: Sequence[str] = (), ridge: float = 1.0, buffer: int = 200) -> DataFrame:
-    """(keys, ds, step, y_pred): each series' forecast, its own predictions fed back into lags and rolls.
+def _map_of(df: DataFrame, keys: Sequence[str], at, value: str, name: str) -> DataFrame:
+    """(keys, name): a map from `at` to value, of 168 entries or as many as there are steps at most."""
+    return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at, value))).alias(name))
+
+
+def series_maps(train: DataFrame, scored: DataFrame, keys: Sequence[str], y: str = "report_count", pred: str = "y_pred", weeks: int = 4) -> DataFrame:
+    """(keys, bias, floor, spike, overall, seasonal, low, high, p_spike): what adjust_forecast takes, for each series.
+
+    train: keys, timestamp_hour, y; scored: also pred, rows that the forecast's errors are told from. Maps go
+    by hour, seasonal and p_spike by weekday * 24 + hour; p_spike is the share of the train's
+    rows of that hour of the week that exceed the series' 75th percentile.
+    """
+    parts = {"hour": F.hour("timestamp_hour"), "weekday": F.weekday("timestamp_hour")}
+    cell = (F.col("weekday") * 24 + F.col("hour")).alias("cell")
+    train, scored = train.withColumns(parts), scored.withColumns(parts).withColumn("__r", F.col(y) - F.col(pred))
+    q = scored.groupBy(*keys, "hour").agg(F.round(F.percentile("__r", 0.5), 4).alias("bias"), F.percentile("__r", 0.025).alias("low"), F.percentile("__r", 0.975).alias("high"))
+    quartiles = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
+    floor = train.groupBy(*keys, "hour").agg(quartiles.alias("q")).withColumn("floor", F.when(F.col("q")[1] > 0, F.round(F.col("q")[0], 2)).otherwise(0.0))
+    over = train.join(train.groupBy(*keys).agg(F.percentile(y, 0.75).alias("__p75")), list(keys)).withColumn("__over", F.col(y) > F.col("__p75"))
+    spike = over.filter("__over").groupBy(*keys, "hour").agg(F.round(F.avg(y), 2).alias("spike"))
+    overall = over.groupBy(*keys).agg(F.coalesce(F.round(F.avg(F.when(F.col("__over"), F.col(y))), 2), F.lit(0.0)).alias("overall"))
+    share = over.groupBy(*keys, cell).agg(F.avg(F.col("__over").cast("double")).alias("p_spike"))
+    tail = tail_window(train, keys, weeks * 168)
+    seasonal = tail.groupBy(*keys, cell, "hour").agg(F.avg(y).alias("seasonal"))
+    out = overall
+    for df, at, value in ((q, "hour", "bias"), (q, "hour", "low"), (q, "hour", "high"), (floor, "hour", "floor"), (spike, "hour", "spike"), (seasonal, "cell", "seasonal"), (share, "cell", "p_spike")):
+        out = out.join(_map_of(df, keys, at, value, value), list(keys), "left")
+    return out
+
+
+def recursive_forecast(h: DataFrame, periods: int = 48, keys: Sequence[str] = (), holidays: Sequence[str] = (), ridge: float = 1.0, buffer: int = 200, maps: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """(keys, ds, step, y_raw, p_spike, y_p10, y_pred, y_p90): each series' forecast, its own predictions
+    fed back into lags and rolls.
 
     One series is one group: hourly rows, 8,760 a year. Each gets a ridge regression on calendar,
-    lag and roll features; a lag beyond the buffer's start is 0; predictions are at least 0.
+    lag and roll features, and on the columns `extra` of h, which trend_tail projects; a lag beyond the
+    buffer's start is 0; predictions are at least 0. With maps (see series_maps; keys are needed) the steps of
+    adjust_forecast are applied to each prediction before it is fed back, unrounded; without, y_pred is the
+    bare prediction and both edges of its band.
     """
     days = {pd.Timestamp(d).date() for d in holidays}
+    if maps is not None and not keys:
+        raise ValueError("maps go by keys")
 
-    def row(ts: pd.Timestamp, past: list[float]) -> list[float]:
+    def row(ts: pd.Timestamp, past: list[float], more: list[float]) -> list[float]:
         lag = lambda n: past[-n] if len(past) >= n else 0.0
         mean = lambda n: float(np.mean(past[-n:])) if past else 0.0
         std = lambda n: float(np.std(past[-n:], ddof=1)) if len(past) > 1 else 0.0
@@ -159,27 +195,64 @@ def recursive_forecast(h: DataFrame, periods: int = 48, keys: Sequence[str] = ()
         off = float(day >= 5 or ts.date() in days)
         return [
             1.0, np.sin(2 * np.pi * hour / 24), np.cos(2 * np.pi * hour / 24), np.sin(2 * np.pi * day / 7), np.cos(2 * np.pi * day / 7), off, off * float(PEAK[0] <= hour <= PEAK[1]),
-            lag(1), lag(2), lag(3), lag(24), lag(168), mean(3), mean(24), mean(168), std(3), std(24),
+            lag(1), lag(2), lag(3), lag(24), lag(168), mean(3), mean(24), mean(168), std(3), std(24), *more,
         ]
 
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
+    def adjusted(raw: float, step: int, ts: pd.Timestamp, own: dict) -> tuple[float, float, float, float]:
+        """(p_spike, low edge, prediction, high edge), as adjust_forecast makes them of one row."""
+        hour, cell = ts.hour, ts.weekday() * 24 + ts.hour
+        at = lambda name, i, none: none if own[name] is None else own[name].get(i, none)
+        p, bias, floor = at("p_spike", cell, 0.0), at("bias", hour, 0.0), at("floor", hour, 0.0)
+        alpha, busy = min(0.4, step / 168 * 0.4), PEAK[0] <= hour <= PEAK[1] and ts.weekday() < 5
+        y = (1 - alpha) * raw + alpha * at("seasonal", cell, 0.0)
+        y, low, high = (max(0.0, x + bias) for x in (y, max(0.0, raw + at("low", hour, 0.0)), max(0.0, raw + at("high", hour, 0.0))))
+        if busy:
+            y, low, high = max(y, floor), max(low, floor), max(high, floor)
+        if p >= 0.5:
+            if busy:
+                y = 0.5 * y + 0.5 * at("spike", hour, own["overall"])
+            half = (high - low) / 2 * 1.2
+            low, high = max(0.0, y - half), y + half
+        half = (high - low) / 2 * max(1.0, ((step + 1) / 24) ** 0.5)
+        return p, max(0.0, y - half), y, y + half
+
+    def forecast(pdf: pd.DataFrame, own: dict | None, ahead: dict) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp_hour")
         y = pdf["report_count"].astype(float).tolist()
+        side = pdf[list(extra)].fillna(0.0).astype(float).to_numpy().tolist()
         times = pd.to_datetime(pdf["timestamp_hour"]).tolist()
         first = min(168, len(y) // 2)  # rows before lack most of their lags
-        x = np.array([row(t, y[max(0, i - buffer) : i]) for i, t in enumerate(times) if i >= first])
+        x = np.array([row(t, y[max(0, i - buffer) : i], side[i]) for i, t in enumerate(times) if i >= first])
         weight = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ np.array(y[first:]))
         past, out = y[-buffer:], []
         for step in range(periods):
             ts = times[-1] + pd.Timedelta(hours=step + 1)
-            value = max(0.0, float(np.array(row(ts, past)) @ weight))
-            out.append((*(pdf[k].iloc[0] for k in keys), ts, step, value))
-            past = [*past, value][-buffer:]
-        return pd.DataFrame(out, columns=[*keys, "ds", "step", "y_pred"])
-
+            value = max(0.0, float(np.array(row(ts, past, [ahead[c][step + 1] for c in extra])) @ weight))
+            p, low, pred, high = adjusted(value, step, ts, own) if own else (0.0, value, value, value)
+            out.append((*(pdf[k].iloc[0] for k in keys), ts, step, value, p, low, pred, high))
+            past = [*past, pred][-buffer:]
+        return pd.DataFrame(out, columns=[*keys, "ds", "step", "y_raw", "p_spike", "y_p10", "y_pred", "y_p90"])
+
+    def of_series(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        own = {c: side[c].iloc[0] for c in side.columns if not c.startswith("__")} if len(side) else {}
+        own = {c: dict(v) if isinstance(v, (dict, list)) else v for c, v in own.items()}
+        return forecast(pdf, own if adjusting and own else None, own) if len(pdf) else forecast_none
+
+    adjusting = maps is not None
+    forecast_none = pd.DataFrame([], columns=[*keys, "ds", "step", "y_raw", "p_spike", "y_p10", "y_pred", "y_p90"])
     kinds = dict(h.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ds timestamp", "step int", "y_pred double"])
-    return h.select(*keys, "timestamp_hour", "report_count").groupBy(*keys).applyInPandas(forecast, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ds timestamp", "step int", "y_raw double, p_spike double, y_p10 double, y_pred double, y_p90 double"])
+    rows, given = h.select(*keys, "timestamp_hour", "report_count", *extra), maps
+    for c in extra:
+        ahead = _map_of(trend_tail(h, c, steps=periods, keys=keys), keys, "step", "projected", c)
+        given = ahead if given is None else given.join(ahead, list(keys), "left") if keys else given.crossJoin(ahead)
+    if given is None:
+        return rows.groupBy(*keys).applyInPandas(lambda pdf: forecast(pdf, None, {}), schema)
+    if not keys:
+        rows, given = rows.withColumn("__all", F.lit(1)), given.withColumn("__all", F.lit(1))
+    by = list(keys) or ["__all"]
+    given = given.select(*(F.col(c).alias(f"__{c}" if c in by else c) for c in given.columns))  # other names than in rows, of which they are made
+    return rows.groupBy(*by).cogroup(given.groupBy(*(f"__{c}" for c in by))).applyInPandas(of_series, schema)
 
 
 def return_to_work(forecast: DataFrame, holidays: DataFrame, pct: float = 0.1) -> DataFrame:

@@ -395,7 +395,14 @@ register("quantile_bands", lambda s, d: forecast.quantile_bands(part(s, d, "test
     SELECT timestamp_hour, y_pred, greatest(y_pred + q[1], 0) AS y_p10, greatest(y_pred + q[2], 0) AS y_p90 FROM test JOIN (SELECT hour, quantile_cont(y - pred_last_hour, [0.025, 0.975]) AS q FROM train WHERE pred_last_hour IS NOT NULL GROUP BY 1) USING (hour)""", BANDS, TS)
 register("spike_probability", _spikes)
 register("adjust_forecast", lambda s, d: adjusted(s, d), "fc train test", "SELECT ds, step, round(y_p10, 2) AS y_p10, round(y_pred, 2) AS y_pred, round(y_p90, 2) AS y_p90 FROM adj", BANDS, "ds", **_ADJ)
-register("recursive_forecast", lambda s, d: forecast.recursive_forecast(keyed(s, d), 48, ["report_type"], ["2024-01-01", "2024-01-15"]))
+def _recursive(s, d):
+    h, keys = keyed(s, d), ["report_type"]
+    pred = series.naive_predictions(h, keys).withColumnRenamed("pred_last_week", "y_pred").filter("y_pred is not null")
+    backlog = joins.backlog_running(ex(s, d), h, keys)
+    return forecast.recursive_forecast(h.join(backlog, [*keys, TS]), 48, keys, ["2024-01-01", "2024-01-15"], maps=forecast.series_maps(h, pred, keys), extra=["backlog"])
+
+
+register("recursive_forecast", _recursive)
 _RTW = """SELECT ds, step, least(p10, p50) AS y_p10, p50 AS y_pred, greatest(p50, p90) AS y_p90 FROM (
               SELECT ds, step, y_p10 * g AS p10, y_pred * g AS p50, y_p90 * g AS p90 FROM (
                   SELECT *, CASE WHEN NOT off0 AND off1 THEN 1.1 ELSE 1 END AS g FROM (

@@ -218,6 +218,30 @@ def test_horizon_figures(spark):
     assert {(r.y_pred, r.a, r.b) for r in res} == {(20.0, 2.0, 2.0), (24.0, -4.0, -4.0), (50.0, 30.0, 30.0)}
 
 
+def test_recursive_forecast_adjusts_each_step(spark):
+    """Each step's bands are those that adjust_forecast makes of its raw prediction, and are fed back."""
+    h, r = at("2024-01-01"), np.random.default_rng(3)
+    rows = [(k, h + dt.timedelta(hours=i), float(20 + 30 * (9 <= i % 24 <= 16) + r.integers(0, 9)) * (2 if k == "b" else 1), float(i % 7), float(r.integers(10, 60))) for k in "ab" for i in range(24 * 30)]
+    df = spark.createDataFrame(rows, "k string, timestamp_hour timestamp, report_count double, backlog double, y_pred double")
+    maps = forecast.series_maps(df, df.filter(F.col("timestamp_hour") >= F.lit(h + dt.timedelta(days=20))), ["k"])
+    got = forecast.recursive_forecast(df, 60, ["k"], maps=maps, extra=["backlog"]).cache()
+    assert got.count() == 120 and got.filter("p_spike >= 0.5").count() > 0
+    for own in maps.collect():
+        of = lambda name, size, own=own: spark.createDataFrame([(i, own[name].get(i)) for i in range(size)], f"at int, {name} double")
+        hours = {c: of(c, 24).withColumnRenamed("at", "hour") for c in ("bias", "floor", "low", "high", "spike")}
+        cells = of("seasonal", 168).select((F.col("at") / 24).cast("int").alias("weekday"), (F.col("at") % 24).alias("hour"), "seasonal")
+        raw = got.filter(F.col("k") == own.k).select("ds", "step", F.hour("ds").alias("hour"), F.weekday("ds").alias("weekday"), F.col("y_raw").alias("y_p50"), "p_spike")
+        raw = raw.join(hours["low"], "hour").join(hours["high"], "hour").withColumns({"y_p10": F.greatest(F.lit(0.0), F.col("y_p50") + F.col("low")), "y_p90": F.greatest(F.lit(0.0), F.col("y_p50") + F.col("high"))})
+        spikes = hours["spike"].filter("spike is not null").select("hour", F.col("spike").alias("spike_mean"), F.lit(own.overall).alias("overall_mean"))
+        expected = forecast.adjust_forecast(raw, *(hours[c].select("hour", F.col(c).alias("value")) for c in ("bias", "floor")), spikes, cells)
+        both = expected.join(got.filter(F.col("k") == own.k).select("step", *(F.col(c).alias(f"own_{c}") for c in ("y_p10", "y_pred", "y_p90"))), "step").collect()
+        assert len(both) == 60 and all(abs(x[c] - x[f"own_{c}"]) < 0.006 for x in both for c in ("y_p10", "y_pred", "y_p90"))
+    bare = forecast.recursive_forecast(df, 60, ["k"], extra=["backlog"])
+    values = [{(r.k, r.step): r.y_pred for r in df.select("k", "step", "y_pred").collect()} for df in (bare, got)]
+    assert sum(values[0][x] != values[1][x] for x in values[1]) > 60
+    assert forecast.recursive_forecast(df.filter("k = 'a'").drop("k"), 5, extra=["backlog"]).filter("y_pred = y_raw").count() == 5
+
+
 FEATURES = ("hour", "weekday", "y_lag_1", "y_lag_24")
 
 
