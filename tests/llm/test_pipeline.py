@@ -51,3 +51,7 @@ def test_stages(spark, tmp_path):
     assert final == {r.doc_id: tuple(r.ids) for r in coded}
     for stage in stages.values():
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+    docs.write.parquet(f"{tmp_path}/plain/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/plain/labels.parquet")
+    assert stages["toxicity"](spark, docs, f"{tmp_path}/plain").count() == len(rows)  # without labels nothing goes
