@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from joblore.llm.scratch import stash
+from joblore.llm.scratch import discard, stash
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -22,10 +22,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stash(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        told = Observation()  # while they are written
-        now = stash(now.select("e.*").filter("u != v").distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        step = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        told, old = Observation(), now  # counted while they are written
+        now = stash(step.select("e.*").filter("u != v").distinct().observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         state = told.get
+        discard(old, large)
         if state == before:
             break
         before = state

@@ -415,15 +415,14 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Pairs that no pivot has joined, in lists that still span components.
     longest = rows.groupBy("doc_id").agg(F.max(F.struct("size", "key")).alias("l"), F.first("n").alias("n")).select("l.key", "n", "doc_id", "l.size")
-    clusters = None
+    clusters, parts = None, stash(connected_components(links), "parts")
     for some in (longest, rows):
-        parts = stash(connected_components(links), "parts")
         forest = stash(_dealt(some, parts, clusters, listed).mapInArrow(_crossing(num, den), "a long, b long").distinct(), "forest")
         if not forest.isEmpty():
             before, clusters = clusters, stash(connected_components(forest).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
             links = stash(links.unionByName(_clustered(clusters, before, parts, texts).mapInArrow(_compared(ngram, num, den), "a long, b long")), "links")
+            parts = stash(connected_components(links), "parts")
 
-    parts = connected_components(links)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     own = full.select("doc_id", "k1", "k2").join(component, ["k1", "k2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -36,6 +36,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing will read again."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            session = table.sparkSession
+            folder = session._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     """A new schema with further nullable fields (StructType.add would change the given one)."""
     return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])

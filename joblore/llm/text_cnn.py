@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.labels import remainder, training_rows
-from joblore.llm.scratch import arrow_function, short_batches, stash
+from joblore.llm.scratch import arrow_function, short_batches
 
 #: Labelled texts of each class that are fitted, at most, and bytes of all of them, which the driver holds.
 PER_CLASS, MOST_BYTES = 2000, 64 << 20
@@ -149,7 +149,8 @@ def fit(column: pa.Array, y: np.ndarray, buckets: int = 1 << 16, dim: int = 12,
     least_steps steps at least."""
     random = np.random.default_rng(seed)
     weight = np.ones(len(y)) if weight is None else weight
-    parts_of = [features(column.slice(i, 256), buckets) for i in range(0, len(y), 256)] or [features(column, buckets)]
+    small = np.uint16 if buckets <= 1 << 16 else np.int32  # all tokens of all texts are held
+    parts_of = [(t.astype(small), b, v) for t, b, v in (features(column.slice(i, 256), buckets) for i in range(0, max(1, len(y)), 256))]
     tokens, language = (np.concatenate([p[i] for p in parts_of]) for i in (0, 2))
     bounds = np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts_of])))
     del parts_of
@@ -233,8 +234,7 @@ def _calibrate(model: TextCnn, logit: np.ndarray, y: np.ndarray, language: np.nd
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> TextCnn:
     """A model of `label` from whole texts of at most per_class labelled documents of each class, and of at
     most most_bytes, which weigh as much as all labelled documents of their class."""
-    rows = stash(training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col, most_bytes), "training")
-    table = rows.toArrow().sort_by("doc_id")
+    table = training_rows(docs, labels, label, parts, held_out, per_class, id_col, text_col, most_bytes).toArrow().sort_by("doc_id")
     weight = table["weight"].to_numpy().astype(np.float64)
     texts = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
     return fit(texts, table["label"].to_numpy().astype(np.float64), weight=weight / weight.mean() if table.num_rows else weight)
