@@ -7,7 +7,6 @@ calibrated for each language, which is told from the function words of the text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
