@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import comb, exp, gcd
+from math import exp, gcd
 
 import numpy as np
 import pandas as pd
@@ -91,11 +91,6 @@ def ks_drift(df: DataFrame, col: str = "duration_seconds", keys: Sequence[str] =
     return out.withColumns({"p_exact": F.col("n_a") * F.col("n_b") <= EXACT_CELLS, "is_drift": F.col("p_value") < alpha})
 
 
-def paths_within(n: int, m: int) -> int:
-    """All lattice paths from (0, 0) to (n, m)."""
-    return comb(n + m, n)
-
-
 def psi(df: DataFrame, col: str = "duration_seconds", keys: Sequence[str] = ("report_type",), bins: int = 10, a: int = 7, b: int = 30, floor: float = 1e-6) -> DataFrame:
     """(keys, psi): population stability index of window A against B's quantile bins; shares have a floor."""
     rows = drift_windows(df, a, b).filter(F.col(col).isNotNull()).select(*keys, "side", F.col(col).alias("__x"))
