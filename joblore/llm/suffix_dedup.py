@@ -38,7 +38,7 @@ WIDTH = {BLOCKS: 8, PICKS: 4}
 #: to exchange, and fewer open windows where a passage ends inside a block.
 BLOCK = 32
 #: Bytes of text that one numpy step takes; longer texts are cut, with length - 1 bytes of overlap.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Batches at most (8 bytes each are sent to the tasks); of more text the batches grow.
 MOST_BATCHES = 4_000_000
 #: In a reply, the bit that says that an earlier batch holds the rank; the others count it.
