@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from joblore.llm import license_scan
 from joblore.llm.decontamination import contamination
+from joblore.llm.filter_audit import filter_audit
+from joblore.llm.importance import importance_resample
 from joblore.llm.jaccard_join import jaccard_groups
 from joblore.llm.rule_ensemble import quality_scores
 from joblore.llm.scratch import new_path
 from joblore.llm.sentencepiece import decode, encode
 from joblore.llm.suffix_dedup import remove_repeats
 from joblore.llm.text_cnn import toxicity_scores
+from joblore.llm.token_store import read_tokens, write_tokens
 from joblore.llm.url_filter import filter_urls
 from joblore.llm.vector_search import build_index, search
 from joblore.llm.warc import read_archives, write_archives
@@ -88,6 +91,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the longer documents, drawn to be like the benchmark's texts."""
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=25, max_n=2, buckets=10_000, min_words=20, seed=7)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to files in the shared folder and read back."""
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), path)
+    return read_tokens(spark, path, with_ids=False)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their 120 orders, by language."""
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_quality": op2_quality,
@@ -99,6 +119,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_groups": op9_jaccard_groups,
     "op10_warc": op10_warc,
+    "op11_importance": op11_importance,
+    "op12_token_files": op12_token_files,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -165,4 +188,41 @@ ORACLE_SQL = {
         reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m AS component_id
         FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)""",
+    "op11_importance": rf"""
+        WITH RECURSIVE bits(b, v, step) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+            SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+        crc AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE step = 8),
+        d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        df AS (SELECT doc_id, unnest(w) AS f FROM d UNION ALL
+               SELECT doc_id, w[p] || ' ' || w[p + 1] FROM d, LATERAL (SELECT unnest(range(1, len(w))) AS p)),
+        tf AS (SELECT unnest(w) AS f FROM i UNION ALL SELECT w[p] || ' ' || w[p + 1] FROM i, LATERAL (SELECT unnest(range(1, len(w))) AS p)),
+        named AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+        hashed AS (SELECT f, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * k - 1, 2) AS BIGINT) FOR k IN range(1, len(h) // 2 + 1)]),
+                   lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 10000 AS bucket FROM named, crc),
+        s AS (SELECT bucket, count(*) AS s FROM df JOIN hashed USING (f) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM tf JOIN hashed USING (f) GROUP BY bucket),
+        n AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS s_all, (SELECT count(*) FROM tf)::DOUBLE AS t_all),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((coalesce(s, 0) + 1) * (t_all + 10000)))) AS BIGINT) AS g FROM s LEFT JOIN t USING (bucket), n),
+        sums AS (SELECT doc_id, count(*) AS n_features, floor(sum(g)::DOUBLE / count(*)) AS weight FROM df JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+                   FROM d LEFT JOIN sums USING (doc_id)),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (doc_id)""",
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (SELECT part, coalesce(l.quality, 0) = 1 AS good, coalesce(l.toxic, 0) = 1 AS toxic,
+              [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t),
+               regexp_matches(t, '[#$%&*|]'), d.doc_id > min(d.doc_id) OVER (PARTITION BY t)] AS fails
+              FROM d LEFT JOIN labels l USING (doc_id)),
+        x(i) AS (SELECT unnest(range(1, 6))),
+        orders AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        judged AS (SELECT part, good, toxic, fails, o, list_position([fails[k] FOR k IN o], true) AS gone FROM f, orders),
+        steps AS (SELECT judged.*, i AS step, o[i] AS k FROM judged, x)
+        SELECT part, array_to_string([chr(CAST(64 + v AS INTEGER)) FOR v IN o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+               count_if(gone IS NULL OR gone > step) AS kept, count_if(gone = step) AS removed, count_if(fails[k] AND gone < step) AS redundant,
+               count_if(fails[k] AND len([v FOR v IN fails IF v]) = 1) AS unique_fails, count_if(gone = step AND good) AS good_lost, count_if(gone = step AND toxic) AS toxic_lost,
+               CAST(sum(count_if(gone = step)) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+        FROM steps GROUP BY part, o, step, k""",
 }
