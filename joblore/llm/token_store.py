@@ -10,6 +10,8 @@ committer: a block ends with a byte 0, which is the text writer's line separator
 from __future__ import annotations
 
 import functools
+import json
+import os
 import re
 import struct
 import zlib
@@ -117,70 +119,93 @@ class EliasFano:
         return out[0], out[1]
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(file: str):
-    import os
+#: How the texts of a file's tokenizer fall into parts that are encoded alone, if its rules are these.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def separable(held: dict) -> bool:
+    """Whether a tokenizer's file says that texts are composed (NFC), lower-cased and cut by PARTS, white space being dropped.
 
-    return Tokenizer.from_file(file)
+    Then a text's tokens are those of its words one after the other, a letter or digit and a following stop or comma can
+    be parted, and ASCII words may be lower-cased before.
+    """
+    normal = (held.get("normalizer") or {}).get("normalizers", [])
+    split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    plain = [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"] and (normal[1]["pattern"], normal[1]["content"]) == ({"Regex": r"\s+"}, " ")
+    cut = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and split["pattern"] == {"Regex": PARTS}
+    bare = all(t["content"].startswith("<") and not (t["normalized"] or t["single_word"] or re.search(r"\s", t["content"])) for t in held["added_tokens"])
+    return bool(plain and cut and bare and not held.get("post_processor"))
 
 
 class Encoder:
-    """Tokens of texts. A text's tokens are those of its words one after the other for tokenizers that drop white
-    space, so distinct words are encoded once and kept; for others whole texts are."""
+    """Tokens of texts. Where texts are separable, distinct words are encoded once and kept; else whole texts are."""
 
-    #: Longer words are not kept; when so many are, all are forgotten.
-    LONG, KEPT = 64, 1 << 18
+    #: Longer words are not kept; of the others so many are in each of two generations, the older of which goes.
+    LONG, KEPT = 64, 400_000
 
     def __init__(self, file: str):
-        self.tokenizer = _tokenizer(file)
-        self.by_word = drops_space(file)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        with open(file, encoding="utf-8") as f:
+            self.by_word = separable(json.load(f))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.known: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.KEPT:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        fresh = {w: np.array(e.ids, self.kind) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        self.known |= {w: ids for w, ids in fresh.items() if len(w) <= self.LONG}
-        return [fresh[w] if w in fresh else self.known[w] for w in words]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        pack, code = struct.Struct, "H" if self.width == 2 else "I"
+        return [pack(f"<{len(e.ids)}{code}").pack(*e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The tokens of distinct words."""
+        if len(self.young) > self.KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        out = [young.get(w) for w in words]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        fresh = []
+        for i in missing:
+            if (ids := old.get(words[i])) is None:
+                fresh.append(i)
+            else:
+                out[i] = young[words[i]] = ids
+        for first in range(0, len(fresh), 4096):
+            some = fresh[first : first + 4096]
+            for i, ids in zip(some, self._encoded([words[i] for i in some]), strict=True):
+                out[i] = ids
+                if len(words[i]) <= self.LONG:
+                    young[words[i]] = ids
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts and how many each has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_word:
-            ids = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([*ids, np.zeros(0, self.kind)]), np.array([len(x) for x in ids], np.int64)
-        parts = pc.split_pattern_regex(texts, r"[\x09-\x0D\x20]+")
-        coded = pc.dictionary_encode(pc.list_flatten(parts))
-        owner, index = pc.list_parent_indices(parts).to_numpy(), coded.indices.to_numpy()
-        ids = self._words(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        first = np.append(0, np.cumsum(size))[:-1]
-        own = size[index] if len(index) else np.zeros(0, np.int64)
+            ids = self._encoded(texts.to_pylist())
+            return np.frombuffer(b"".join(ids), self.kind), np.array([len(x) for x in ids], np.int64) // self.width
+        parts = pc.split_pattern_regex(pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,;:!?])", r"\1 \2"), r"[\x09-\x0D\x20]+")
+        spelled = pc.dictionary_encode(pc.list_flatten(parts))
+        words = spelled.dictionary
+        small = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<")))
+        words = pc.dictionary_encode(pc.if_else(small, pc.ascii_lower(words), words))
+        index = words.indices.to_numpy()[spelled.indices.to_numpy()]
+        ids = self._words(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        first = np.cumsum(size) - size
+        own = size[index]
         upto = np.cumsum(own)
-        take = np.repeat(first[index] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0) if len(index) else np.zeros(0, np.int64)
-        return np.concatenate([*ids, np.zeros(0, self.kind)])[take], np.bincount(owner, weights=own, minlength=len(texts)).astype(np.int64)
-
+        take = np.repeat(first[index] - (upto - own), own) + np.arange(own.sum())
+        bounds = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))
+        return np.frombuffer(b"".join(ids), self.kind)[take], np.diff(np.append(0, upto)[bounds])
 
-def drops_space(file: str) -> bool:
-    """Whether a tokenizer's file says that white space is dropped between what it encodes: it is one blank
-    after normalizing, then texts are split by a pattern that no space can match and the rest is removed."""
-    import json
 
-    with open(file, encoding="utf-8") as f:
-        held = json.load(f)
-    normal = (held.get("normalizer") or {}).get("normalizers", [held.get("normalizer")])
-    split = (held.get("pre_tokenizer") or {}).get("pretokenizers", [held.get("pre_tokenizer")])
-    first = split[0] or {}
-    plain = all(x and x["type"] in ("NFC", "Lowercase", "Replace") for x in normal) and not held.get("post_processor")
-    bare = all(not (t["normalized"] or t["single_word"] or re.search(r"\s", t["content"])) for t in held["added_tokens"])
-    removes = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first["pattern"].get("Regex", "")
-    return bool(plain and bare and removes)
+@functools.lru_cache(maxsize=2)
+def _encoder(file: str) -> Encoder:
+    """The worker's encoder of a file: the words that it knows stay from task to task."""
+    return Encoder(file)
 
 
 def block(width: int, part: int, number: int, nulls: int, ids: np.ndarray, ends: np.ndarray, tokens: Sequence[bytes], before: int) -> bytes:
@@ -233,7 +258,7 @@ class Block:
 
 def _blocks(file: str, end_id: int, block_bytes: int, block_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, number, before = Encoder(file), TaskContext.get().partitionId(), 0, 0
+        encode, part, number, before = _encoder(file), TaskContext.get().partitionId(), 0, 0
         names, sizes, tokens, held, docs = [], [], [], 0, 0
 
         def packed() -> pa.RecordBatch:
@@ -243,7 +268,7 @@ def _blocks(file: str, end_id: int, block_bytes: int, block_docs: int):
             data = block(encode.width, part, number, own.null_count, ids, ends, tokens, before)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.large_binary())], ["block"])
 
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             ids, n = encode(batch.column("text"))
             out = np.insert(ids, np.cumsum(n), end_id)
             n += 1
