@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.functions.columns import duration, robust_z, success
+from joblore.operators.ordered import PIECE, with_halo
 
 
 def _scored(df: DataFrame, min_score: float) -> DataFrame:
@@ -35,11 +36,15 @@ def anomalies_global(df: DataFrame, min_score: float = 5) -> DataFrame:
 
 
 def _rolling(df: DataFrame, window: int, min_periods: int) -> DataFrame:
-    """Rolling median and scale (interquartile range / 1.349) over the last `window` runs of a report, itself included."""
-    frame = W.partitionBy("report_name").orderBy("started_at", "run_id").rowsBetween(-window + 1, 0)
+    """Rolling median and scale (interquartile range / 1.349) over the last `window` runs of a report, itself included.
+
+    A report's runs are dealt in pieces that each know the runs before them, so a hot report is many tasks.
+    """
+    df = with_halo(df, ["report_name"], "started_at", ["started_at", "run_id"], window - 1, max(PIECE, window))
+    frame = W.partitionBy("report_name", "__piece").orderBy("started_at", "run_id").rowsBetween(-window + 1, 0)
     enough = F.count("*").over(frame) >= min_periods
     df = df.withColumn("__q", F.when(enough, F.percentile("duration_seconds", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(frame)))
-    return df.withColumns({"median": F.col("__q")[1], "mad": (F.col("__q")[2] - F.col("__q")[0]) / 1.349}).drop("__q")
+    return df.filter("__own").withColumns({"median": F.col("__q")[1], "mad": (F.col("__q")[2] - F.col("__q")[0]) / 1.349}).drop("__q", "__piece", "__own")
 
 
 def anomalies_adaptive(df: DataFrame, window: int = 50, min_periods: int = 5, min_score: float = 5) -> DataFrame:
@@ -127,11 +132,15 @@ def isolation_scores(df: DataFrame, features: Sequence[str] = ("duration_seconds
     return out if min_score is None else out.filter(F.col("score") > min_score)
 
 
+def stretch_micros(threshold: float) -> int:
+    """How long a stretch of time is: an hour, or twice the threshold."""
+    return int(max(3600, 2 * (threshold + 1))) * 1_000_000
+
+
 def stretches(start: Column, threshold: float) -> Column:
-    """The numbers of the stretches of time (an hour, or twice the threshold) that must know of a run's
+    """The numbers of the stretches of time that must know of a run's
     start: its own, and the next one if a run there may follow within threshold seconds."""
-    width = int(max(3600, 2 * (threshold + 1))) * 1_000_000
-    micros = F.unix_micros(start)
+    micros, width = F.unix_micros(start), stretch_micros(threshold)
     own, last = F.floor(micros / width), F.floor((micros + int((threshold + 1) * 1_000_000)) / width)
     return F.when(own == last, F.array(own)).otherwise(F.array(own, last))
 

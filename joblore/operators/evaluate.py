@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.operators.joins import join_forecast_actuals
+from joblore.operators.ordered import running
 from joblore.operators.series import naive_predictions
 
 #: Counts above this are high volume.
@@ -162,19 +163,35 @@ def hit_labels(df: DataFrame, y: str, preds: Sequence[str], threshold: float = 3
     return out.select("model", "y", "pred", (F.col("error") < threshold).cast("int").alias("hit"), "score")
 
 
+#: Intervals that the distinct scores of a curve are cut into.
+INTERVALS = 64
+
+
+def _by_score(df: DataFrame, score: str) -> DataFrame:
+    """df with __chunk: of all scores, the interval of about equal counts that a row's is in, the greatest first."""
+    cuts = df.agg(F.percentile_approx(F.col(score).cast("double"), F.array(*(F.lit(i / INTERVALS) for i in range(1, INTERVALS))), 1000).alias("__cuts"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("__chunk", F.size(F.filter("__cuts", lambda c: c > F.col(score)))).drop("__cuts")
+
+
 def roc_curve(df: DataFrame, label: str = "hit", score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, score, tpr, fpr) at each distinct score, from the greatest down; rows are counted by score first."""
+    """(keys, score, tpr, fpr) at each distinct score, from the greatest down; rows are counted by score first, then
+    summed within intervals of scores, with the sums of the intervals before joined back."""
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = W.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    return counts.select(*keys, score, F.try_divide(F.sum("p").over(down), F.sum("p").over(whole)).alias("tpr"), F.try_divide(F.sum("n").over(down), F.sum("n").over(whole)).alias("fpr"))
+    whole = counts.groupBy(*keys).agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
+    out = running(_by_score(counts, score), keys, [-F.col(score)], {"__ps": "p", "__ns": "n"}, levels=["__chunk"])
+    same = [F.col(k).eqNullSafe(F.col(f"__w{i}")) for i, k in enumerate(keys)]
+    whole = whole.withColumnsRenamed({k: f"__w{i}" for i, k in enumerate(keys)})
+    out = out.join(F.broadcast(whole), same) if keys else out.crossJoin(F.broadcast(whole))
+    return out.select(*keys, score, F.try_divide("__ps", "__p").alias("tpr"), F.try_divide("__ns", "__n").alias("fpr"))
 
 
 def auc(roc: DataFrame, score: str = "score", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, auc) by trapezoids; null if a class is missing."""
-    order = W.partitionBy(*keys).orderBy(F.desc(score))
-    x, y = F.col("fpr") - F.coalesce(F.lag("fpr").over(order), F.lit(0.0)), F.col("tpr") + F.coalesce(F.lag("tpr").over(order), F.lit(0.0))
-    return roc.select(*keys, (x * y / 2).alias("area")).groupBy(*keys).agg(F.sum("area").alias("auc"))
+    share = F.coalesce("tpr", F.lit(0.0)) + F.coalesce("fpr", F.lit(0.0))  # it grows along the curve, so it cuts it into intervals
+    points = roc.withColumns({"__at": F.struct("fpr", "tpr"), "__chunk": F.floor(share * (INTERVALS // 2))})
+    points = running(points, keys, [-F.col(score)], {"__last": "__at"}, last=True, levels=["__chunk"], inclusive=False)
+    x, y = (f(F.col(c), F.coalesce(F.col(f"__last.{c}"), F.lit(0.0))) for c, f in (("fpr", lambda a, b: a - b), ("tpr", lambda a, b: a + b)))
+    return points.select(*keys, (x * y / 2).alias("area")).groupBy(*keys).agg(F.sum("area").alias("auc"))
 
 
 def confusion(df: DataFrame, label: str = "hit", score: str = "score", cut: float = 0.5) -> DataFrame:

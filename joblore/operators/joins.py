@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from joblore.operators.ordered import chunked, running
+
 
 def join_dimensions(runs: DataFrame, reports: DataFrame, queues: DataFrame) -> DataFrame:
     """Runs with their report's and queue's columns, texts trimmed. Spark broadcasts a dimension if its
@@ -27,15 +29,15 @@ def attach_backlog_to_runs(runs: DataFrame, hourly: DataFrame) -> DataFrame:
 def asof_backward(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), tie: str | None = None) -> DataFrame:
     """For each left row the values of the last right row with time <= its time (of ties the last by `tie`).
 
-    One union and one window, sorted once. Without `by` all rows meet in one task: pass series of one
-    row per period then, not raw runs.
+    One union, cut into hours of `on` (or intervals of a number): windows run within an hour, and the last values of
+    the hours before are scanned over one row an hour and joined back (see ordered). Null times and null keys match nothing.
     """
     lefts = [c for c in left.columns if c not in by and c != on]
     side = F.struct(*(F.col(c) for c in values))
     both = left.select(*by, on, F.struct(*lefts).alias("__left") if lefts else F.lit(True).alias("__left"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"))
-    both = both.unionByName(right.select(*by, on, F.lit(0).alias("__side"), F.col(tie or on).cast("string").alias("__tie"), side.alias("__value")), allowMissingColumns=True)
-    window = W.partitionBy(*by).orderBy(on, "__side", "__tie").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("__last", F.last("__value", ignorenulls=True).over(window)).filter("__side = 1")
+    right = right.dropna(subset=[*by, on]).select(*by, on, F.lit(0).alias("__side"), F.col(tie or on).cast("string").alias("__tie"), side.alias("__value"))
+    both = chunked(both.unionByName(right, allowMissingColumns=True), on)
+    out = running(both, by, [on, "__side", "__tie"], {"__last": "__value"}, last=True).filter("__side = 1")
     return out.select(*by, on, *(F.col(f"__left.{c}") for c in lefts), *(F.col(f"__last.{c}") for c in values))
 
 
@@ -57,15 +59,15 @@ def backlog_running(runs: DataFrame, grid: DataFrame, keys: Sequence[str] = ())
     """(keys, timestamp_hour, backlog) by running sums of +1 at creation and -1 at start.
 
     Events are first summed into the first grid hour at or after them, so the running sum sees one
-    row for each hour and key.
+    row for each hour and key; it runs within months, and the sums of the months before are joined back.
     """
     up = lambda c: F.when(F.col(c) == F.date_trunc("hour", c), F.col(c)).otherwise(F.date_trunc("hour", c) + F.expr("interval 1 hour"))
     events = runs.select(*keys, up("creation_date").alias("timestamp_hour"), F.lit(1).alias("change")).unionByName(runs.select(*keys, up("started_at").alias("timestamp_hour"), F.lit(-1).alias("change")))
     events = events.filter("timestamp_hour is not null").groupBy(*keys, "timestamp_hour").agg(F.sum("change").alias("change"))
     both = grid.select(*keys, "timestamp_hour", F.lit(0).alias("change"), F.lit(1).alias("__grid")).unionByName(events.withColumn("__grid", F.lit(0)))
-    window = W.partitionBy(*keys).orderBy("timestamp_hour", "__grid").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("backlog", F.sum("change").over(window).cast("long"))
-    return out.filter("__grid = 1").select(*keys, "timestamp_hour", "backlog")
+    both = both.withColumn("__month", F.date_trunc("month", "timestamp_hour"))
+    out = running(both, keys, ["timestamp_hour", "__grid"], {"backlog": "change"}, levels=["__month"])
+    return out.filter("__grid = 1").select(*keys, "timestamp_hour", F.col("backlog").cast("long").alias("backlog"))
 
 
 def restrict_to_top(df: DataFrame, key: str, n: int = 50) -> DataFrame:

@@ -484,18 +484,30 @@ def _hourly_csv(s, d):
     return runs.read_hourly_csv(s, path)
 
 
+def _in_turn(s, path):
+    """Give the files of a folder times of change in the order of their names: a stream takes them in that order."""
+    folder = s._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(s._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    last = max((fs.getFileStatus(f).getModificationTime() for f in files), default=0)
+    for i, f in enumerate(files):
+        fs.setTimes(f, last + (i - len(files)) * 1000, -1)
+
+
 def _streamed(s, d, job, mode):
     """Run a stream of all executions, in files by time, to its end."""
     source, out = _shared(s, "stream"), _shared(s, "out")
     rows = ex(s, d).select("run_id", "report_name", "execution_status", "started_at")
     rows.repartitionByRange(8, "started_at").write.parquet(source)
+    _in_turn(s, source)
     stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)  # so that state passes from batch to batch
     key = "spark.sql.streaming.stateStore.providerClass"
     before = s.conf.get(key)
     s.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    query = job(stream).writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", _shared(s, "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    s.conf.set(key, before)
+    try:
+        job(stream).writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", _shared(s, "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.set(key, before)
     return s.read.parquet(out)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from joblore.operators.anomalies import stretches
+from joblore.operators.anomalies import stretch_micros, stretches
 
 
 def stream_hourly_counts(stream: DataFrame, watermark: str = "2 hours", keys: Sequence[str] = ()) -> DataFrame:
@@ -19,13 +19,17 @@ def stream_hourly_counts(stream: DataFrame, watermark: str = "2 hours", keys: Se
 
 
 class LastStart(StatefulProcessor):
-    """Keeps the last start of each report and stretch of time and emits runs that follow it within a threshold."""
+    """Keeps the last start of each report and stretch of time and emits runs that follow it within a threshold.
+
+    When the watermark has passed a stretch's end no more of its runs can come, and a timer clears its state.
+    """
 
     def __init__(self, threshold: float):
         self.threshold = threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "run_id long, micros long", ttlDurationMs=None)
+        self.handle = handle
+        self.last = handle.getValueState("last", "run_id long, micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["micros", "run_id"])
@@ -39,21 +43,30 @@ class LastStart(StatefulProcessor):
             if before is None or (micros, run_id) > (before[1], before[0]):
                 before = (int(run_id), int(micros))
         self.last.update(before)
+        self.handle.registerTimer((int(key[1]) + 1) * stretch_micros(self.threshold) // 1000)
         yield pd.DataFrame(out, columns=["report_name", "run_id", "previous_run", "gap_seconds"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield pd.DataFrame([], columns=["report_name", "run_id", "previous_run", "gap_seconds"])
+
     def close(self) -> None:
         pass
 
 
-def stream_double_runs(stream: DataFrame, threshold: float = 60) -> DataFrame:
+def stream_double_runs(stream: DataFrame, threshold: float = 60, watermark: str = "2 hours") -> DataFrame:
     """(report_name, run_id, previous_run, gap_seconds): successful runs within threshold seconds of their report's last.
 
     Within a batch runs are taken in order of their start; one that comes in a later batch than its
     successor is compared with the last start seen. State is kept by report and stretch of time, so a
     report with very many runs is many keys; the runs at the end of a stretch are known to the next too.
+    Runs that come when the watermark has passed their start are dropped, as in stream_hourly_counts, and are nobody's
+    predecessor; what is kept of a stretch goes when the watermark has passed its end, so the state holds the
+    stretches of the last hours only.
     """
-    rows = stream.filter("execution_status = 'success'").select("report_name", "run_id", "started_at", F.unix_micros("started_at").alias("micros"), F.posexplode(stretches(F.col("started_at"), threshold)).alias("at", "stretch"))
-    rows = rows.select("report_name", "stretch", "run_id", "micros", (F.col("at") == 0).alias("own"))
+    stream = stream.withWatermark("started_at", watermark).filter("execution_status = 'success'")
+    rows = stream.select("report_name", "run_id", "started_at", F.unix_micros("started_at").alias("micros"), F.posexplode(stretches(F.col("started_at"), threshold)).alias("at", "stretch"))
+    rows = rows.select("report_name", "stretch", "run_id", "started_at", "micros", (F.col("at") == 0).alias("own"))
     return rows.groupBy("report_name", "stretch").transformWithStateInPandas(
-        LastStart(threshold), outputStructType="report_name string, run_id long, previous_run long, gap_seconds long", outputMode="Append", timeMode="None"
+        LastStart(threshold), outputStructType="report_name string, run_id long, previous_run long, gap_seconds long", outputMode="Append", timeMode="EventTime"
     )
