@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.functions.columns import positive
+from joblore.operators import learn
+from joblore.operators.learn import PEAK
 from joblore.operators.series import calendar_features, cyclic_features, tail_window
 
-PEAK = (8, 18)
 #: Features of the point model that need no future values.
 POINT_FEATURES = (
     "hour", "weekday", "day_of_month", "month", "is_weekend", "is_holiday", "is_peak_hour", "is_month_end", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos",
@@ -23,8 +24,17 @@ POINT_FEATURES = (
 )
 
 
-def _hours(df: DataFrame) -> DataFrame:
-    return df.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
+def _grid(df: DataFrame, keys: Sequence[str], **cells: int) -> DataFrame:
+    """Every cell of each series (of none: of all): columns that count from 0."""
+    out = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    for name, n in cells.items():
+        out = out.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return out
+
+
+def _with(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """df joined to one row a series; without keys to the only row."""
+    return df.join(side, list(keys), how) if keys else df.crossJoin(F.broadcast(side))
 
 
 def sample_weights(train: DataFrame, y: str = "report_count") -> DataFrame:
@@ -34,34 +44,33 @@ def sample_weights(train: DataFrame, y: str = "report_count") -> DataFrame:
     return train.crossJoin(F.broadcast(mean)).withColumn("weight", weight).drop("__m")
 
 
-def hourly_bias(test: DataFrame, y: str = "y", pred: str = "y_pred") -> DataFrame:
-    """(hour, value): median of y - pred, to 4 places; 0 for hours without rows."""
-    own = test.groupBy("hour").agg(F.round(F.percentile(F.col(y) - F.col(pred), 0.5), 4).alias("value"))
-    return _hours(test).join(own, "hour", "left").fillna(0.0, "value")
+def hourly_bias(test: DataFrame, y: str = "y", pred: str = "y_pred", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, hour, value): median of y - pred, to 4 places; 0 for hours without rows."""
+    own = test.groupBy(*keys, "hour").agg(F.round(F.percentile(F.col(y) - F.col(pred), 0.5), 4).alias("value"))
+    return _grid(test, keys, hour=24).join(own, [*keys, "hour"], "left").fillna(0.0, "value")
 
 
-def hourly_floor(train: DataFrame, y: str = "y") -> DataFrame:
-    """(hour, value): P25 to 2 places, 0 where P75 is not positive."""
+def hourly_floor(train: DataFrame, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, hour, value): P25 to 2 places, 0 where P75 is not positive."""
     q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
-    return train.groupBy("hour").agg(q.alias("q")).select("hour", F.when(F.col("q")[1] > 0, F.round(F.col("q")[0], 2)).otherwise(0.0).alias("value"))
+    return train.groupBy(*keys, "hour").agg(q.alias("q")).select(*keys, "hour", F.when(F.col("q")[1] > 0, F.round(F.col("q")[0], 2)).otherwise(0.0).alias("value"))
 
 
-def spike_profile(train: DataFrame, y: str = "y") -> DataFrame:
-    """(hour, threshold, overall_mean, spike_mean): mean of y above the 75th percentile; hours without such rows are absent."""
-    p75 = train.agg(F.percentile(y, 0.75).alias("threshold"))
-    above = train.crossJoin(F.broadcast(p75)).filter(F.col(y) > F.col("threshold"))
-    overall = above.agg(F.round(F.avg(y), 2).alias("overall_mean"))
-    return above.groupBy("hour", "threshold").agg(F.round(F.avg(y), 2).alias("spike_mean")).crossJoin(F.broadcast(overall))
+def spike_profile(train: DataFrame, y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, hour, threshold, overall_mean, spike_mean): mean of y above the 75th percentile; hours without such rows are absent."""
+    p75 = train.groupBy(*keys).agg(F.percentile(y, 0.75).alias("threshold"))
+    above = _with(train, p75, keys).filter(F.col(y) > F.col("threshold"))
+    overall = above.groupBy(*keys).agg(F.round(F.avg(y), 2).alias("overall_mean"))
+    return _with(above.groupBy(*keys, "hour", "threshold").agg(F.round(F.avg(y), 2).alias("spike_mean")), overall, keys)
 
 
-def seasonal_table(h: DataFrame, weeks: int = 4, y: str = "report_count") -> DataFrame:
-    """(weekday, hour, seasonal) for all 168 cells: mean of the last weeks; else the hour's mean; else 0."""
-    tail = tail_window(h, hours=weeks * 168).withColumns({"weekday": F.weekday("timestamp_hour"), "hour": F.hour("timestamp_hour")})
-    cells = tail.groupBy("weekday", "hour").agg(F.avg(y).alias("cell"))
-    hours = tail.groupBy("hour").agg(F.avg(y).alias("hour_mean"))
-    grid = _hours(h).crossJoin(h.sparkSession.range(7).select(F.col("id").cast("int").alias("weekday")))
-    out = grid.join(cells, ["weekday", "hour"], "left").join(hours, "hour", "left")
-    return out.select("weekday", "hour", F.coalesce("cell", "hour_mean", F.lit(0.0)).alias("seasonal"))
+def seasonal_table(h: DataFrame, weeks: int = 4, y: str = "report_count", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, weekday, hour, seasonal) for all 168 cells: mean of the last weeks; else the hour's mean; else 0."""
+    tail = tail_window(h, keys, weeks * 168).withColumns({"weekday": F.weekday("timestamp_hour"), "hour": F.hour("timestamp_hour")})
+    cells = tail.groupBy(*keys, "weekday", "hour").agg(F.avg(y).alias("cell"))
+    hours = tail.groupBy(*keys, "hour").agg(F.avg(y).alias("hour_mean"))
+    out = _grid(h, keys, hour=24, weekday=7).join(cells, [*keys, "weekday", "hour"], "left").join(hours, [*keys, "hour"], "left")
+    return out.select(*keys, "weekday", "hour", F.coalesce("cell", "hour_mean", F.lit(0.0)).alias("seasonal"))
 
 
 def trend_tail(h: DataFrame, column: str, n: int = 24, steps: int = 24, keys: Sequence[str] = ()) -> DataFrame:
@@ -143,11 +152,6 @@ def adjust_forecast(raw: DataFrame, bias: DataFrame, floor: DataFrame, spike: Da
     return df.select("ds", "step", F.round(positive(F.col("y") - half), 2).alias("y_p10"), F.round("y", 2).alias("y_pred"), F.round(F.col("y") + half, 2).alias("y_p90"))
 
 
-def _map_of(df: DataFrame, keys: Sequence[str], at, value: str, name: str) -> DataFrame:
-    """(keys, name): a map from `at` to value, of 168 entries or as many as there are steps at most."""
-    return df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(at, value))).alias(name))
-
-
 def series_maps(train: DataFrame, scored: DataFrame, keys: Sequence[str], y: str = "report_count", pred: str = "y_pred", weeks: int = 4) -> DataFrame:
     """(keys, bias, floor, spike, overall, seasonal, low, high, p_spike): what adjust_forecast takes, for each series.
 
@@ -156,103 +160,191 @@ def series_maps(train: DataFrame, scored: DataFrame, keys: Sequence[str], y: str
     rows of that hour of the week that exceed the series' 75th percentile.
     """
     parts = {"hour": F.hour("timestamp_hour"), "weekday": F.weekday("timestamp_hour")}
+    train, scored = train.withColumns(parts), scored.withColumns(parts)
     cell = (F.col("weekday") * 24 + F.col("hour")).alias("cell")
-    train, scored = train.withColumns(parts), scored.withColumns(parts).withColumn("__r", F.col(y) - F.col(pred))
-    q = scored.groupBy(*keys, "hour").agg(F.round(F.percentile("__r", 0.5), 4).alias("bias"), F.percentile("__r", 0.025).alias("low"), F.percentile("__r", 0.975).alias("high"))
-    quartiles = F.percentile(y, F.array(F.lit(0.25), F.lit(0.75)))
-    floor = train.groupBy(*keys, "hour").agg(quartiles.alias("q")).withColumn("floor", F.when(F.col("q")[1] > 0, F.round(F.col("q")[0], 2)).otherwise(0.0))
-    over = train.join(train.groupBy(*keys).agg(F.percentile(y, 0.75).alias("__p75")), list(keys)).withColumn("__over", F.col(y) > F.col("__p75"))
-    spike = over.filter("__over").groupBy(*keys, "hour").agg(F.round(F.avg(y), 2).alias("spike"))
-    overall = over.groupBy(*keys).agg(F.coalesce(F.round(F.avg(F.when(F.col("__over"), F.col(y))), 2), F.lit(0.0)).alias("overall"))
-    share = over.groupBy(*keys, cell).agg(F.avg(F.col("__over").cast("double")).alias("p_spike"))
-    tail = tail_window(train, keys, weeks * 168)
-    seasonal = tail.groupBy(*keys, cell, "hour").agg(F.avg(y).alias("seasonal"))
-    out = overall
-    for df, at, value in ((q, "hour", "bias"), (q, "hour", "low"), (q, "hour", "high"), (floor, "hour", "floor"), (spike, "hour", "spike"), (seasonal, "cell", "seasonal"), (share, "cell", "p_spike")):
-        out = out.join(_map_of(df, keys, at, value, value), list(keys), "left")
+    edges = F.percentile(F.col(y) - F.col(pred), F.array(F.lit(0.025), F.lit(0.975)))
+    spike = spike_profile(train, y, keys)
+    tables = [
+        (hourly_bias(scored, y, pred, keys), "hour", {"bias": "value"}), (scored.groupBy(*keys, "hour").agg(edges.alias("q")), "hour", {"low": F.col("q")[0], "high": F.col("q")[1]}),
+        (hourly_floor(train, y, keys), "hour", {"floor": "value"}), (spike, "hour", {"spike": "spike_mean"}),
+        (seasonal_table(train, weeks, y, keys).select(*keys, cell, "seasonal"), "cell", {"seasonal": "seasonal"}),
+        (_with(train, train.groupBy(*keys).agg(F.percentile(y, 0.75).alias("__p75")), keys).groupBy(*keys, cell).agg(F.avg((F.col(y) > F.col("__p75")).cast("double")).alias("share")), "cell", {"p_spike": "share"}),
+    ]
+    out = train.select(*keys).distinct().join(spike.groupBy(*keys).agg(F.max("overall_mean").alias("overall")), list(keys), "left").fillna(0.0, "overall")
+    for df, at, values in tables:
+        out = out.join(df.groupBy(*keys).agg(*(F.map_from_entries(F.collect_list(F.struct(F.col(at), F.col(v) if isinstance(v, str) else v))).alias(c) for c, v in values.items())), list(keys), "left")
+    return out
+
+
+#: Series that a task steps together.
+TOGETHER = 256
+_BANDS = ("y_raw", "p_spike", "y_p10", "y_pred", "y_p90")
+
+
+def _table_of(maps: list[dict], name: str, size: int, none: float) -> np.ndarray:
+    """One row for each series: a map's values at 0 to size - 1, none where it has none."""
+    out = np.full((len(maps), size), none)
+    for row, own in zip(out, maps, strict=True):
+        for at, value in dict(own[name] if own[name] is not None else {}).items():
+            if value is not None:
+                row[int(at)] = value
     return out
 
 
-def recursive_forecast(h: DataFrame, periods: int = 48, keys: Sequence[str] = (), holidays: Sequence[str] = (), ridge: float = 1.0, buffer: int = 200, maps: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
+class _Corrections:
+    """adjust_forecast, step by step, for the maps of several series."""
+
+    def __init__(self, maps: list[dict]):
+        self.bias, self.floor, self.low, self.high = (_table_of(maps, c, 24, 0.0) for c in ("bias", "floor", "low", "high"))
+        self.seasonal, self.share = (_table_of(maps, c, 168, 0.0) for c in ("seasonal", "p_spike"))
+        overall = np.array([m["overall"] or 0.0 for m in maps])[:, None]
+        spike = _table_of(maps, "spike", 24, np.nan)
+        self.spike, self.rows = np.where(np.isnan(spike), overall, spike), np.arange(len(maps))
+
+    def __call__(self, raw: np.ndarray, step: int, hours: np.ndarray, p: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """(p_spike, low edge, prediction, high edge) of raw predictions; p, or else the share of spikes, tells spikes."""
+        hour, weekday, _ = learn.calendar(hours, np.zeros(0, np.int64))
+        at = lambda table, i: table[self.rows, i]
+        cell = weekday * 24 + hour
+        p = at(self.share, cell) if p is None else p
+        busy, alpha, bias = (hour >= PEAK[0]) & (hour <= PEAK[1]) & (weekday < 5), min(0.4, step / 168 * 0.4), at(self.bias, hour)
+        y = (1 - alpha) * raw + alpha * at(self.seasonal, cell)
+        y, low, high = (np.maximum(0.0, x + bias) for x in (y, np.maximum(0.0, raw + at(self.low, hour)), np.maximum(0.0, raw + at(self.high, hour))))
+        y, low, high = (np.where(busy, np.maximum(x, at(self.floor, hour)), x) for x in (y, low, high))
+        hot = p >= 0.5
+        y = np.where(hot & busy, 0.5 * y + 0.5 * at(self.spike, hour), y)
+        half = (high - low) / 2 * 1.2
+        low, high = np.where(hot, np.maximum(0.0, y - half), low), np.where(hot, y + half, high)
+        half = (high - low) / 2 * max(1.0, ((step + 1) / 24) ** 0.5)
+        return p, np.maximum(0.0, y - half), y, y + half
+
+
+def recursive_forecast(
+    h: DataFrame, periods: int = 48, keys: Sequence[str] = (), holidays: Sequence[str] = (), ridge: float = 1.0, buffer: int = 200, maps: DataFrame | None = None, extra: Sequence[str] = (),
+    held: dict[str, float | None] | None = None, trees: int = 0, spike_trees: int = 0, short: str = "zero", return_pct: float | None = None,
+) -> DataFrame:
     """(keys, ds, step, y_raw, p_spike, y_p10, y_pred, y_p90): each series' forecast, its own predictions
     fed back into lags and rolls.
 
-    One series is one group: hourly rows, 8,760 a year. Each gets a ridge regression on calendar,
-    lag and roll features, and on the columns `extra` of h, which trend_tail projects; a lag beyond the
-    buffer's start is 0; predictions are at least 0. With maps (see series_maps; keys are needed) the steps of
-    adjust_forecast are applied to each prediction before it is fed back, unrounded; without, y_pred is the
-    bare prediction and both edges of its band.
+    A series is hourly rows, 8,760 a year. Tasks take their series' rows in order, fit each one's model on calendar, lag and
+    roll features (a ridge regression, or with trees so many boosted ones), and step up to TOGETHER series at once.
+    Columns of h may be features too: `extra` ones are projected (see trend_tail), `held` ones keep the value given,
+    or if that is None their last one. Predictions are at least 0. With maps (see series_maps; keys are needed)
+    the steps of adjust_forecast are applied to each prediction before it is fed back, unrounded; without, y_pred is the
+    bare prediction and both edges of its band. Spikes are told by spike_trees boosted trees of each series' own (y
+    above its 75th percentile), or where that is 0 by the maps' share of the hour of the week. A lag before a series' start is 0;
+    short="last" takes its last value. return_pct: return_to_work raises each prediction before it is fed back. A buffer under
+    168 rows cuts the longest lag and mean. Null keys are a series; rows without a time don't count.
     """
-    days = {pd.Timestamp(d).date() for d in holidays}
+    held = held or {}
     if maps is not None and not keys:
         raise ValueError("maps go by keys")
-
-    def row(ts: pd.Timestamp, past: list[float], more: list[float]) -> list[float]:
-        lag = lambda n: past[-n] if len(past) >= n else 0.0
-        mean = lambda n: float(np.mean(past[-n:])) if past else 0.0
-        std = lambda n: float(np.std(past[-n:], ddof=1)) if len(past) > 1 else 0.0
-        hour, day = ts.hour, ts.weekday()
-        off = float(day >= 5 or ts.date() in days)
-        return [
-            1.0, np.sin(2 * np.pi * hour / 24), np.cos(2 * np.pi * hour / 24), np.sin(2 * np.pi * day / 7), np.cos(2 * np.pi * day / 7), off, off * float(PEAK[0] <= hour <= PEAK[1]),
-            lag(1), lag(2), lag(3), lag(24), lag(168), mean(3), mean(24), mean(168), std(3), std(24), *more,
-        ]
-
-    def adjusted(raw: float, step: int, ts: pd.Timestamp, own: dict) -> tuple[float, float, float, float]:
-        """(p_spike, low edge, prediction, high edge), as adjust_forecast makes them of one row."""
-        hour, cell = ts.hour, ts.weekday() * 24 + ts.hour
-        at = lambda name, i, none: none if own[name] is None else own[name].get(i, none)
-        p, bias, floor = at("p_spike", cell, 0.0), at("bias", hour, 0.0), at("floor", hour, 0.0)
-        alpha, busy = min(0.4, step / 168 * 0.4), PEAK[0] <= hour <= PEAK[1] and ts.weekday() < 5
-        y = (1 - alpha) * raw + alpha * at("seasonal", cell, 0.0)
-        y, low, high = (max(0.0, x + bias) for x in (y, max(0.0, raw + at("low", hour, 0.0)), max(0.0, raw + at("high", hour, 0.0))))
-        if busy:
-            y, low, high = max(y, floor), max(low, floor), max(high, floor)
-        if p >= 0.5:
-            if busy:
-                y = 0.5 * y + 0.5 * at("spike", hour, own["overall"])
-            half = (high - low) / 2 * 1.2
-            low, high = max(0.0, y - half), y + half
-        half = (high - low) / 2 * max(1.0, ((step + 1) / 24) ** 0.5)
-        return p, max(0.0, y - half), y, y + half
-
-    def forecast(pdf: pd.DataFrame, own: dict | None, ahead: dict) -> pd.DataFrame:
-        pdf = pdf.sort_values("timestamp_hour")
-        y = pdf["report_count"].astype(float).tolist()
-        side = pdf[list(extra)].fillna(0.0).astype(float).to_numpy().tolist()
-        times = pd.to_datetime(pdf["timestamp_hour"]).tolist()
-        first = min(168, len(y) // 2)  # rows before lack most of their lags
-        x = np.array([row(t, y[max(0, i - buffer) : i], side[i]) for i, t in enumerate(times) if i >= first])
-        weight = np.linalg.solve(x.T @ x + ridge * np.eye(x.shape[1]), x.T @ np.array(y[first:]))
-        past, out = y[-buffer:], []
+    free = np.array(sorted({np.datetime64(d, "D").astype(np.int64) for d in holidays}), np.int64)
+    sides, kinds = [*extra, *held], dict(h.dtypes)
+    names = [c for c in (maps.columns if maps is not None else []) if c not in keys]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "ds timestamp", "step int", ", ".join(f"{c} double" for c in _BANDS)])
+
+    def fitted(pdf: pd.DataFrame):
+        """(y, last hour, projected columns by step, weights or trees, spike trees) of a series."""
+        y = pdf["report_count"].to_numpy(dtype=float)
+        hours = learn.hours_of(pdf["timestamp_hour"])
+        side = pdf[sides].astype(float).fillna(0.0).to_numpy().reshape(len(y), len(sides))
+        first = learn.first_row(len(y))
+        x = learn.series_features(y, hours, free, side, short, reach=buffer)[first:]
+        model = learn.boost(x, y[first:], np.maximum(y[first:] ** 2 / max(float((y[first:] ** 2).mean()), 1e-9), 1.0), trees) if trees else learn.ridge(x, y[first:], ridge)
+        spikes = learn.boost(x, (y[first:] > np.quantile(y, 0.75)).astype(float), trees=spike_trees, spikes=True) if spike_trees else None
+        ahead = np.stack([learn.projected(side[:, i], periods) if c in extra else np.full(periods, side[-1, i] if held[c] is None else held[c]) for i, c in enumerate(sides)], axis=1) if sides else np.zeros((periods, 0))
+        return y, hours[-1], ahead, model, spikes
+
+    def stepped(group: list[pd.DataFrame]) -> pd.DataFrame:
+        own = [fitted(g[g["timestamp_hour"].notna()]) for g in group]
+        past, size = np.zeros((len(own), buffer)), np.array([min(buffer, len(o[0])) for o in own])
+        for row, n, o in zip(past, size, own, strict=True):
+            row[buffer - n :] = o[0][len(o[0]) - n :]
+        last, ahead = np.array([o[1] for o in own]), np.stack([o[2] for o in own])
+        told = learn.together([o[3] for o in own]) if trees else None
+        weights = None if trees else np.stack([o[3] for o in own])
+        spikes = learn.together([o[4] for o in own]) if spike_trees else None
+        first_rows = [g.iloc[0] for g in group]
+        has = np.array([bool(names) and isinstance(r["bias"], (dict, list)) for r in first_rows])
+        adjust = _Corrections([{c: r[c] if ok else None for c in names} for r, ok in zip(first_rows, has, strict=True)]) if names else None
+        out = np.empty((len(own), periods, len(_BANDS)))
         for step in range(periods):
-            ts = times[-1] + pd.Timedelta(hours=step + 1)
-            value = max(0.0, float(np.array(row(ts, past, [ahead[c][step + 1] for c in extra])) @ weight))
-            p, low, pred, high = adjusted(value, step, ts, own) if own else (0.0, value, value, value)
-            out.append((*(pdf[k].iloc[0] for k in keys), ts, step, value, p, low, pred, high))
-            past = [*past, pred][-buffer:]
-        return pd.DataFrame(out, columns=[*keys, "ds", "step", "y_raw", "p_spike", "y_p10", "y_pred", "y_p90"])
-
-    def of_series(pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        own = {c: side[c].iloc[0] for c in side.columns if not c.startswith("__")} if len(side) else {}
-        own = {c: dict(v) if isinstance(v, (dict, list)) else v for c, v in own.items()}
-        return forecast(pdf, own if adjusting and own else None, own) if len(pdf) else forecast_none
-
-    adjusting = maps is not None
-    forecast_none = pd.DataFrame([], columns=[*keys, "ds", "step", "y_raw", "p_spike", "y_p10", "y_pred", "y_p90"])
-    kinds = dict(h.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "ds timestamp", "step int", "y_raw double, p_spike double, y_p10 double, y_pred double, y_p90 double"])
-    rows, given = h.select(*keys, "timestamp_hour", "report_count", *extra), maps
-    for c in extra:
-        ahead = _map_of(trend_tail(h, c, steps=periods, keys=keys), keys, "step", "projected", c)
-        given = ahead if given is None else given.join(ahead, list(keys), "left") if keys else given.crossJoin(ahead)
-    if given is None:
-        return rows.groupBy(*keys).applyInPandas(lambda pdf: forecast(pdf, None, {}), schema)
+            hours = last + step + 1
+            x = learn.step_features(past, size, hours, free, ahead[:, step], short)
+            raw = np.maximum(0.0, told(x) if trees else (x * weights).sum(axis=1))
+            p = learn.odds(spikes(x)) if spike_trees else None
+            bare = (np.zeros(len(own)) if p is None else p, raw, raw, raw)
+            values = bare
+            if adjust is not None:
+                values = tuple(np.where(has, a, b) for a, b in zip(adjust(raw, step, hours, p), bare, strict=True))
+            p, low, pred, high = values
+            if return_pct is not None:
+                today, before = (learn.calendar(t, free)[2] for t in (hours, hours - 24))
+                low, pred, high = (v * np.where(~today & before, 1 + return_pct, 1.0) for v in (low, pred, high))
+                low, high = np.minimum(low, pred), np.maximum(high, pred)
+            out[:, step] = np.stack([raw, p, low, pred, high], axis=1)
+            past = np.concatenate([past[:, 1:], pred[:, None]], axis=1)
+            size = np.minimum(size + 1, buffer)
+        table = {k: np.repeat(np.array([r[k] for r in first_rows], dtype=object), periods) for k in keys}
+        table["ds"] = pd.to_datetime((np.repeat(last, periods) + np.tile(np.arange(1, periods + 1), len(own))) * 3600, unit="s")
+        table["step"] = np.tile(np.arange(periods, dtype=np.int32), len(own))
+        return pd.DataFrame(table | {c: out[:, :, i].ravel() for i, c in enumerate(_BANDS)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, ready = [], []  # the rows of the last series so far, and whole series
+        for batch in batches:
+            cuts = [0, *(np.flatnonzero(np.diff(pd.factorize(batch["__series"], use_na_sentinel=False)[0])) + 1).tolist(), len(batch)]
+            for first, end in zip(cuts, cuts[1:], strict=False):
+                rows = batch.iloc[first:end]
+                if len(rows) and waiting and waiting[-1]["__series"].iloc[0] != rows["__series"].iloc[0]:
+                    ready.append(pd.concat(waiting))
+                    waiting = []
+                waiting += [rows] if len(rows) else []
+                if len(ready) >= TOGETHER:
+                    yield from whole(ready)
+                    ready = []
+        yield from whole([*ready, *([pd.concat(waiting)] if waiting else [])])
+
+    def whole(series: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series = [s for s in series if s["timestamp_hour"].notna().any()]  # maps of a series without rows
+        if series:
+            yield stepped(series)
+
+    rows = h.filter("timestamp_hour is not null").select(*keys, "timestamp_hour", "report_count", *sides)
+    if maps is not None:
+        rows = rows.unionByName(maps, allowMissingColumns=True)
+    rows = rows.withColumn("__series", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit(""))
+    rows = rows.repartition("__series").sortWithinPartitions("__series", F.asc_nulls_first("timestamp_hour"))
+    return rows.mapInPandas(run, schema)
+
+
+def score_by_series(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str] = POINT_FEATURES, y: str = "report_count", trees: int = 40, depth: int = 3, rate: float = 0.2) -> DataFrame:
+    """test with y_pred and p_spike of boosted trees that each series fits on its own rows of train.
+
+    y_pred is the point forecast (rows weighted as by sample_weights), at least 0; p_spike the probability that y exceeds the
+    train's 75th percentile. A series' rows meet in one task: hourly rows, 8,760 a year; all series are fitted in one
+    shuffle. Null features count 0. A series without train rows gets nulls; test rows keep their columns.
+    """
+    cells, kept = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__f{i}") for i, c in enumerate(features)], test.columns
+    known = train.filter(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("__y"), *cells)
+    asked = test.select(*kept, *cells)
+    names = [f"__f{i}" for i in range(len(features))]
+
+    def fit(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = asked[kept].assign(y_pred=None, p_spike=None)
+        if len(known) and len(asked):
+            x, y = known[names].to_numpy(dtype=float), known["__y"].to_numpy()
+            weight = np.maximum(y**2 / max(float((y**2).mean()), 1e-9), 1.0)
+            new = asked[names].to_numpy(dtype=float)
+            out["y_pred"] = np.maximum(0.0, learn.boost(x, y, weight, trees, depth, rate)(new))
+            out["p_spike"] = learn.odds(learn.boost(x, (y > np.quantile(y, 0.75)).astype(float), None, trees, depth, rate, spikes=True)(new))
+        return out.astype({"y_pred": float, "p_spike": float})
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in test.dtypes), "y_pred double, p_spike double"])
     if not keys:
-        rows, given = rows.withColumn("__all", F.lit(1)), given.withColumn("__all", F.lit(1))
-    by = list(keys) or ["__all"]
-    given = given.select(*(F.col(c).alias(f"__{c}" if c in by else c) for c in given.columns))  # other names than in rows, of which they are made
-    return rows.groupBy(*by).cogroup(given.groupBy(*(f"__{c}" for c in by))).applyInPandas(of_series, schema)
+        known, asked, keys = known.withColumn("__all", F.lit(1)), asked.withColumn("__all", F.lit(1)), ["__all"]
+    return known.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(fit, schema)
 
 
 def return_to_work(forecast: DataFrame, holidays: DataFrame, pct: float = 0.1) -> DataFrame:

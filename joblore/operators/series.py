@@ -67,8 +67,10 @@ def cyclic_features(h: DataFrame) -> DataFrame:
 
 def fourier_features(h: DataFrame, keys: Sequence[str] = (), k: int = 3) -> DataFrame:
     """Sine and cosine of the first k harmonics of a day and a week; time is hours since the series' start."""
-    start = h.groupBy(*keys).agg(F.min("timestamp_hour").alias("__start"))
-    h = h.join(F.broadcast(start), list(keys)) if keys else h.crossJoin(F.broadcast(start))
+    if keys:
+        h = h.withColumn("__start", F.min("timestamp_hour").over(W.partitionBy(*keys)))
+    else:
+        h = h.crossJoin(F.broadcast(h.agg(F.min("timestamp_hour").alias("__start"))))  # one row
     t = ((F.unix_seconds("timestamp_hour") - F.unix_seconds("__start")) / 3600).cast("double")
     return h.withColumns({f"fourier_{name}_{f}_{i}": getattr(F, f)(_turn(t * i, p)) for name, p in (("daily", 24), ("weekly", 168)) for i in range(1, k + 1) for f in ("sin", "cos")}).drop("__start")
 
@@ -113,11 +115,15 @@ def param_span_keyed(df: DataFrame) -> DataFrame:
     return rows.groupBy("timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
 
 
+def span_any(text: Column) -> Column:
+    """Whole days between the least and greatest date of a text; 0 if it has under two."""
+    days = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_DATES})"), 1), _day), lambda d: d.isNotNull())
+    return F.coalesce(F.datediff(F.array_max(days), F.array_min(days)), F.lit(0))
+
+
 def param_span_any(df: DataFrame) -> DataFrame:
-    """(timestamp_hour, avg_param_span_days): whole days between the least and greatest date of a text; 0 if it has under two."""
-    days = F.filter(F.transform(F.regexp_extract_all(F.coalesce("parameters", F.lit("")), F.lit(f"({_DATES})"), 1), _day), lambda d: d.isNotNull())
-    span = F.when(F.size("days") >= 2, F.datediff(F.array_max("days"), F.array_min("days"))).otherwise(0)
-    rows = df.select(F.date_trunc("hour", "started_at").alias("timestamp_hour"), days.alias("days")).withColumn("span", span)
+    """(timestamp_hour, avg_param_span_days): the mean span_any of an hour's runs."""
+    rows = df.select(F.date_trunc("hour", "started_at").alias("timestamp_hour"), span_any(F.col("parameters")).alias("span"))
     return rows.groupBy("timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
 
 

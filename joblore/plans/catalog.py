@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.functions import columns as fn
-from joblore.operators import anomalies, clean, drift, evaluate, forecast, joins, queues, rollups, series
+from joblore.operators import anomalies, backtest, clean, drift, evaluate, forecast, joins, queues, rollups, series
 from joblore.plans.sql import comparable, query
 from joblore.sources import adapter, runs
 from joblore.streaming import jobs
@@ -70,7 +70,11 @@ def part(s, d, name):
 
 def raw_forecast(s, d):
     """The naive forecast of the test hours with bands, as input of the corrections."""
-    df = part(s, d, "test").withColumn("rn", F.row_number().over(series.W.orderBy("timestamp_hour")) - 1)
+    return raw_of(part(s, d, "test"))
+
+
+def raw_of(test):
+    df = test.withColumn("rn", F.row_number().over(series.W.orderBy("timestamp_hour")) - 1)
     p = F.col("pred_last_hour")
     return df.select(
         F.col("timestamp_hour").alias("ds"), F.col("rn").alias("step"), "hour", F.weekday("timestamp_hour").alias("weekday"), F.col("report_count").alias("y_actual"), (p * 0.7131).alias("y_p10"),
@@ -210,7 +214,7 @@ register("factorize_type", lambda s, d: series.factorize_type(rollups.main_type_
     SELECT label, row_number() OVER (ORDER BY first, label) - 1 AS id FROM (SELECT report_type AS label, min(timestamp_hour) AS first FROM (
         SELECT * FROM kcnt QUALIFY row_number() OVER (PARTITION BY timestamp_hour ORDER BY report_count DESC, report_type) = 1) GROUP BY 1)""", ints="id")
 _ENRICHED = "timestamp_hour report_count hour weekday is_weekend is_peak_hour is_holiday is_month_end y_lag_1 y_lag_168 y_rolling_mean_24 y_rolling_std_24 log_y_lag_1 backlog avg_param_span_days tipo_reporte_id".split()
-register("enrich_hourly", lambda s, d: series.enrich_hourly(hourly(s, d), san(s, d), hol(s)).select(_ENRICHED), "cal rolled back keyed", """
+register("enrich_hourly", lambda s, d: _features(s, d).select(_ENRICHED), "cal rolled back keyed", """
     SELECT c.timestamp_hour, c.report_count, hour, weekday, is_weekend, is_peak_hour, is_holiday, is_month_end, y_lag_1, y_lag_168, y_rolling_mean_24, y_rolling_std_24, ln(1 + y_lag_1) AS log_y_lag_1, backlog,
            coalesce(k.avg_param_span_days, 0) AS avg_param_span_days, 0 AS tipo_reporte_id
     FROM cal c JOIN rolled r USING (timestamp_hour) JOIN back b USING (timestamp_hour) ASOF LEFT JOIN keyed k ON c.timestamp_hour >= k.timestamp_hour""", "y_rolling_mean_24 y_rolling_std_24 log_y_lag_1 avg_param_span_days", TS, ints="backlog")
@@ -349,8 +353,15 @@ register("future_grid", lambda s, d: forecast.future_grid(hourly(s, d), hol(s)).
     FROM (SELECT last + to_hours(step + 1) AS ts, step, date_diff('hour', first, last) + step + 1 AS t FROM (SELECT min(timestamp_hour) AS first, max(timestamp_hour) AS last FROM h), (SELECT CAST(unnest(range(312)) AS INTEGER) AS step))""", "hour_sin fourier_weekly_cos_3", TS)
 
 
+def stashed(s, name, df):
+    """df written to the shared folder and read again: what several branches of a query need is made once."""
+    path = _shared(s, name)
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
 def _features(s, d):
-    return series.enrich_hourly(hourly(s, d), san(s, d), hol(s))
+    return series.enrich_hourly(stashed(s, "hourly", hourly(s, d)), san(s, d), hol(s))
 
 
 def _halves(s, d):
@@ -358,6 +369,23 @@ def _halves(s, d):
     return df.filter("split = 'train'"), df.filter("split = 'test'")
 
 
+def _series_halves(s, d):
+    """The keyed series with features that need no other table, in train and test parts."""
+    keys = ["report_type"]
+    h = stashed(s, "keyed", keyed(s, d))
+    df = series.lag_features(series.rolling_features(series.calendar_features(h, hol(s)), keys), keys)
+    df = stashed(s, "features", series.temporal_split(df, keys))
+    return df.filter("split = 'train'"), df.filter("split = 'test'")
+
+
+SERIES_FEATURES = ("hour", "weekday", "is_weekend", "is_holiday", "is_peak_hour", "y_lag_1", "y_lag_2", "y_lag_3", "y_lag_24", "y_lag_168", "y_rolling_mean_3", "y_rolling_mean_24", "y_rolling_mean_168", "y_rolling_std_24")
+
+
+def _by_series(s, d):
+    train, test = _series_halves(s, d)
+    return forecast.score_by_series(train, test, ["report_type"], SERIES_FEATURES).select("report_type", TS, "report_count", "y_pred", "p_spike")
+
+
 def _point(s, d):
     train, test = _halves(s, d)
     return forecast.score_point_model(forecast.fit_point_model(train), test).select(TS, "report_count", "y_pred")
@@ -374,8 +402,9 @@ def _scenario(s, d):
 
 
 def adjusted(s, d):
-    train, test = part(s, d, "train"), part(s, d, "test")
-    return forecast.adjust_forecast(raw_forecast(s, d), forecast.hourly_bias(test), forecast.hourly_floor(train), forecast.spike_profile(train), forecast.seasonal_table(train))
+    df = stashed(s, "split", split(s, d)).withColumns({"y": F.col("report_count"), "y_pred": F.col("pred_last_hour").cast("double"), "hour": F.hour(TS)})
+    train, test = df.filter("split = 'train'"), df.filter("split = 'test'")
+    return forecast.adjust_forecast(raw_of(test), forecast.hourly_bias(test), forecast.hourly_floor(train), forecast.spike_profile(train), forecast.seasonal_table(train))
 
 
 _ADJ = {
@@ -395,14 +424,34 @@ register("quantile_bands", lambda s, d: forecast.quantile_bands(part(s, d, "test
     SELECT timestamp_hour, y_pred, greatest(y_pred + q[1], 0) AS y_p10, greatest(y_pred + q[2], 0) AS y_p90 FROM test JOIN (SELECT hour, quantile_cont(y - pred_last_hour, [0.025, 0.975]) AS q FROM train WHERE pred_last_hour IS NOT NULL GROUP BY 1) USING (hour)""", BANDS, TS)
 register("spike_probability", _spikes)
 register("adjust_forecast", lambda s, d: adjusted(s, d), "fc train test", "SELECT ds, step, round(y_p10, 2) AS y_p10, round(y_pred, 2) AS y_pred, round(y_p90, 2) AS y_p90 FROM adj", BANDS, "ds", **_ADJ)
-def _recursive(s, d):
-    h, keys = keyed(s, d), ["report_type"]
+register("series_models", _by_series)
+HOLIDAYS = ["2024-01-01", "2024-01-15"]
+
+
+def _recursive_input(s, d):
+    """The keyed series with backlog and type code, and the maps of its naive forecast's errors."""
+    keys = ["report_type"]
+    h = stashed(s, "keyed", keyed(s, d))
+    types = h.groupBy("report_type").agg(F.min(TS).alias("first")).select("report_type", F.pmod(F.xxhash64("report_type"), F.lit(1000)).cast("double").alias("type_code"))
+    spans = san(s, d).groupBy("report_type", F.date_trunc("hour", "started_at").alias(TS)).agg(F.avg(series.span_any(F.col("parameters"))).alias("avg_param_span_days"))
+    rows = h.join(joins.backlog_running(ex(s, d), h, keys), [*keys, TS]).join(spans, [*keys, TS], "left").join(types, keys).fillna(0.0, "avg_param_span_days")
     pred = series.naive_predictions(h, keys).withColumnRenamed("pred_last_week", "y_pred").filter("y_pred is not null")
-    backlog = joins.backlog_running(ex(s, d), h, keys)
-    return forecast.recursive_forecast(h.join(backlog, [*keys, TS]), 48, keys, ["2024-01-01", "2024-01-15"], maps=forecast.series_maps(h, pred, keys), extra=["backlog"])
+    return rows, forecast.series_maps(h, pred, keys)
+
+
+def _recursive(s, d):
+    rows, maps = _recursive_input(s, d)
+    return forecast.recursive_forecast(rows, 48, ["report_type"], HOLIDAYS, maps=maps, extra=["backlog", "avg_param_span_days"], held={"type_code": None}, spike_trees=10)
+
+
+def _horizon(s, d):
+    """The planning variant: a week's buffer, constant backlog, working days after free ones raised before they are fed back."""
+    rows, maps = _recursive_input(s, d)
+    return forecast.recursive_forecast(rows, 312, ["report_type"], HOLIDAYS, buffer=168, maps=maps, held={"backlog": 20.0}, trees=40, spike_trees=10, short="last", return_pct=0.1)
 
 
 register("recursive_forecast", _recursive)
+register("horizon_forecast", _horizon)
 _RTW = """SELECT ds, step, least(p10, p50) AS y_p10, p50 AS y_pred, greatest(p50, p90) AS y_p90 FROM (
               SELECT ds, step, y_p10 * g AS p10, y_pred * g AS p50, y_p90 * g AS p90 FROM (
                   SELECT *, CASE WHEN NOT off0 AND off1 THEN 1.1 ELSE 1 END AS g FROM (
@@ -432,6 +481,18 @@ register("best_config", lambda s, d: forecast.best_config(_FOLD_METRICS(s, d), 1
     SELECT config_index, mae, mase, mase <= 1.0 AS promote FROM (SELECT fold AS config_index, avg(abs(report_count - pred_last_hour)) FILTER (part = 'test') AS mae,
         mae / avg(abs(report_count - pred_last_hour)) FILTER (part = 'train') AS mase FROM folds GROUP BY 1) ORDER BY mase, config_index LIMIT 1""", "mae mase", folds=_FOLDS)
 
+CONFIGS = [{"ridge": 0.1}, {"ridge": 1.0}, {"ridge": 30.0}, {"trees": 20, "depth": 2, "rate": 0.2}, {"trees": 40, "depth": 3, "rate": 0.2}, {"trees": 40, "depth": 3, "rate": 0.1}]
+
+
+def _searched(s, d):
+    return backtest.grid_search(stashed(s, "hourly", hourly(s, d)), CONFIGS, 5, holidays=HOLIDAYS)
+
+
+register("walk_forward_refit", lambda s, d: backtest.walk_forward_refit(stashed(s, "keyed", keyed(s, d)), keys=["report_type"], holidays=HOLIDAYS))
+register("rolling_origin_refit", lambda s, d: backtest.errors_by_step(backtest.rolling_origin_refit(keyed(s, d), keys=["report_type"], holidays=HOLIDAYS), ["report_type"]))
+register("grid_search", lambda s, d: backtest.config_metrics(_searched(s, d)))
+register("grid_search_best", lambda s, d: forecast.best_config(backtest.config_metrics(_searched(s, d)), 1.0))
+
 # --- Q: queues
 _BANDED = "mean_seconds median_seconds p95_seconds failure_rate cancel_rate"
 
