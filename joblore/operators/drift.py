@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import exp, gcd
+from math import comb, exp, gcd
 
 import numpy as np
 import pandas as pd
@@ -54,6 +54,38 @@ def ks_statistic(df: DataFrame, col: str = "duration_seconds", keys: Sequence[st
 EXACT_CELLS = 1_000_000
 
 
+def _inside(n: int, m: int, limit: int) -> float:
+    """The share of the paths from (0, 0) to (n, m), n <= m, on which |i m - j n| stays under limit.
+
+    Paths are counted column by column along the shorter side: those that reach (i, j) are the sum of those that reach (i - 1, 0
+    to j). Only where there are more than doubles count, so neither side is short, the shares are followed move by move.
+    """
+    paths = comb(n + m, n)
+    if paths < 10**300:
+        count, first = np.ones(1), 0
+        for i in range(n + 1):
+            low, high = max(0, (i * m - limit) // n + 1), min(m, -((-i * m - limit) // n) - 1)
+            if low > high:
+                return 0.0
+            if i == 0:
+                column = np.ones(high - low + 1)
+            else:  # of the column before what lies under low leaves the band, and beyond its end nothing is added
+                upto = np.append(0.0, np.cumsum(count))
+                column = upto[np.minimum(np.arange(low, high + 1) - first + 1, len(count))] - upto[min(low - first, len(count))]
+            count, first = column, low
+        return float(count[-1] / paths)
+    i = np.arange(n + 1)
+    share = (i == 0).astype(float)
+    for moves in range(1, n + m + 1):
+        # The share of paths that are at (i, moves - i) inside the band, by moves in the order of a random draw.
+        j = moves - i
+        left = n + m - moves + 1
+        up = np.append(0.0, share[:-1]) * (n - i + 1) / left
+        side = share * np.maximum(m - j + 1, 0) / left
+        share = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < limit), up + side, 0.0)
+    return float(share[n])
+
+
 def ks_pvalue(ks: float, n: int, m: int, exact_cells: int = EXACT_CELLS) -> float:
     """Two-sided p-value of the two-sample statistic.
 
@@ -63,18 +95,7 @@ def ks_pvalue(ks: float, n: int, m: int, exact_cells: int = EXACT_CELLS) -> floa
     if n * m <= exact_cells:
         step = gcd(n, m)
         limit = int(round(ks * n * m / step)) * step  # |i m - j n| >= limit rejects
-        if limit == 0:
-            return 1.0
-        i = np.arange(n + 1)
-        share = (i == 0).astype(float)
-        for moves in range(1, n + m + 1):
-            # The share of paths that are at (i, moves - i) inside the band, by moves in the order of a random draw.
-            j = moves - i
-            left = n + m - moves + 1
-            up = np.append(0.0, share[:-1]) * (n - i + 1) / left
-            side = share * np.maximum(m - j + 1, 0) / left
-            share = np.where((j >= 0) & (j <= m) & (np.abs(i * m - j * n) < limit), up + side, 0.0)
-        return float(min(1.0, max(0.0, 1.0 - share[n])))
+        return 1.0 if limit == 0 else float(min(1.0, max(0.0, 1.0 - _inside(min(n, m), max(n, m), limit))))
     x = ks * (n * m / (n + m)) ** 0.5
     return float(min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * exp(-2 * k * k * x * x) for k in range(1, 101)))))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ("mean_seconds", "median_seconds", "p95_seconds", "failure_rate", "log_runs")
-#: Training reports that the tasks hold unless told otherwise; beyond it a sample by hash of the id is used.
+#: Training reports that the tasks hold at a time unless told otherwise.
 MOST_REPORTS = 100_000
 #: Distances that a task holds at once.
 CELLS = 4_000_000
@@ -25,38 +25,58 @@ def queue_bands(features: DataFrame, min_runs: int = 20, least_reports: int = 8)
     return kept.crossJoin(F.broadcast(cuts)).filter(F.col("__n") >= least_reports).withColumn("band", band).drop("__q", "__n")
 
 
-def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4, most: int = MOST_REPORTS) -> DataFrame:
-    """banded with assigned (majority of the k nearest training reports, ties to the smallest label) and held_out.
-
-    One report in hold_out, by a hash of its id, is not trained on. Features are standardised by the
-    training reports. A training report is one of its own neighbours. Every task holds the training
-    reports, or a sample of `most` of them if they are more.
-    """
-    df = banded.withColumn("log_runs", F.log1p("runs")).withColumn("held_out", F.pmod(F.xxhash64("report_id"), F.lit(hold_out)) == 0)
-    train = df.filter(~F.col("held_out")).orderBy(F.xxhash64("report_id", F.lit(1)), "report_id").limit(most).select(*FEATURES, "band").toPandas()
-    x = train[list(FEATURES)].to_numpy(dtype=float)
-    mean, std = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
-    std = np.where(std > 0, std, 1.0)
-    labels = sorted(train["band"].unique())
-    told = df.sparkSession.sparkContext.broadcast(((x - mean) / std, np.array([labels.index(b) for b in train["band"]], dtype=int)))
+def _candidates(told, mean: np.ndarray, std: np.ndarray, k: int):
+    """A function from batches of reports to their k nearest of a block of training reports."""
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, band = told.value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, hashes, ids, bands = told.value
         for batch in batches:
-            own = (batch[list(FEATURES)].to_numpy(dtype=float) - mean) / std
-            out: list[str | None] = []
+            own, out = (batch[list(FEATURES)].to_numpy(dtype=float) - mean) / std, []
             step = max(1, CELLS // max(1, len(known)))  # reports whose distances are held at once
-            for first in range(0, len(own) if len(known) else 0, step):
+            for first in range(0, len(own), step):
                 some = own[first : first + step]
                 far = sum((some[:, [f]] - known[None, :, f]) ** 2 for f in range(known.shape[1]))
                 last = np.partition(far, min(k, len(known)) - 1, axis=1)[:, min(k, len(known)) - 1]
                 for distance, limit in zip(far, last, strict=True):
                     near = np.flatnonzero(distance <= limit)
                     near = near[np.argsort(distance[near], kind="stable")][:k]  # ties to the earlier training report
-                    out.append(labels[int(np.bincount(band[near], minlength=len(labels)).argmax())])
-            yield batch.assign(assigned=out or [None] * len(own))
+                    out.append([{"far": float(distance[i]), "hash": int(hashes[i]), "id": int(ids[i]), "band": bands[i]} for i in near])
+            yield pd.DataFrame({"__row": batch["__row"], "__near": out})
+
+    return run
 
-    return df.mapInPandas(assign, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", assigned string")
+
+def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4, most: int = MOST_REPORTS) -> DataFrame:
+    """banded with assigned (majority of the k nearest training reports, ties to the smallest label) and held_out.
+
+    One report in hold_out, by a hash of its id, is not trained on. Features are standardised by the
+    training reports. A training report is one of its own neighbours; of equally near ones the first by a hash of the id counts.
+    Tasks hold `most` training reports at a time: more are dealt in blocks by that hash, each block gives
+    every report its k nearest, and of these the k nearest vote, so all training reports take part.
+    """
+    df = banded.withColumn("log_runs", F.log1p("runs")).withColumn("held_out", F.pmod(F.xxhash64("report_id"), F.lit(hold_out)) == 0)
+    train = df.filter(~F.col("held_out")).select(*FEATURES, "band", F.col("report_id").alias("__id"), F.xxhash64("report_id", F.lit(1)).alias("__hash"))
+    scale = train.agg(F.count("*").alias("n"), *(f(F.col(c).cast("double")).alias(f"{i}_{c}") for i, f in enumerate((F.avg, F.stddev_pop)) for c in FEATURES)).first()
+    if not scale.n:
+        return df.withColumn("assigned", F.lit(None).cast("string"))
+    mean, std = (np.array([scale[f"{i}_{c}"] for c in FEATURES], float) for i in (0, 1))
+    std = np.where(std > 0, std, 1.0)
+    blocks, context = -(-scale.n // most), df.sparkSession.sparkContext
+    keyed = df.withColumn("__row", F.struct("report_id", *(F.col(c).cast("double").alias(c) for c in FEATURES)))  # rows alike in these are answered alike
+    asked = keyed.select("__row", *(F.col(f"__row.{c}").alias(c) for c in FEATURES)).distinct()
+    schema = f"__row {asked.schema['__row'].dataType.simpleString()}, __near array<struct<far: double, hash: bigint, id: bigint, band: string>>"
+    found = None
+    for number in range(blocks):
+        own = train.filter(F.pmod("__hash", F.lit(blocks)) == number).orderBy("__hash", "__id").toPandas()
+        if len(own):
+            told = context.broadcast(((own[list(FEATURES)].to_numpy(dtype=float) - mean) / std, own["__hash"].to_numpy(), own["__id"].to_numpy(), own["band"].tolist()))
+            part = asked.mapInPandas(_candidates(told, mean, std, k), schema)
+            found = part if found is None else found.unionByName(part)
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("__near"))), 1, k)
+    votes = found.groupBy("__row").agg(near.alias("__near")).withColumn("__bands", F.transform("__near", lambda x: x["band"]))
+    counts = F.transform(F.array_distinct("__bands"), lambda b: F.struct((-F.size(F.filter("__bands", lambda x: x == b))).alias("n"), b.alias("band")))
+    told = votes.select(F.col("__row").alias("__of"), F.array_min(counts)["band"].alias("assigned"))
+    return keyed.join(told, F.col("__row").eqNullSafe(F.col("__of"))).select(*df.columns, "assigned")
 
 
 def knn_accuracy(assigned: DataFrame) -> DataFrame:

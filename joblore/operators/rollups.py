@@ -133,12 +133,16 @@ def hourly_compute(df: DataFrame) -> DataFrame:
     return df.groupBy("hour").agg(F.count("*").alias("runs"), F.sum("duration_seconds").alias("compute_seconds"))
 
 
-def report_features(df: DataFrame) -> DataFrame:
-    """Per report and queue: runs by status; mean, median and p95 of successful durations; rates. Nulls are 0."""
+def report_features(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Per report and queue: runs by status; mean, median and p95 of successful durations; rates. Nulls are 0.
+
+    accuracy: percentiles by sketch with that accuracy, as in impact_profile.
+    """
     ok = F.when(success(), duration())
+    pct = (lambda q: F.percentile(ok, q)) if accuracy is None else (lambda q: F.percentile_approx(ok, q, accuracy).cast("double"))
     out = df.groupBy("report_id", "report_name", "report_type", "queue_id").agg(
         F.count("*").alias("runs"), F.count_if(success()).alias("successes"), F.count_if(F.col("execution_status") == "failed").alias("failures"),
-        F.count_if(F.col("execution_status") == "cancelled").alias("cancellations"), F.avg(ok).alias("mean_seconds"), F.percentile(ok, 0.5).alias("median_seconds"), F.percentile(ok, 0.95).alias("p95_seconds"),
+        F.count_if(F.col("execution_status") == "cancelled").alias("cancellations"), F.avg(ok).alias("mean_seconds"), pct(0.5).alias("median_seconds"), pct(0.95).alias("p95_seconds"),
     )
     return out.withColumns({"failure_rate": F.col("failures") / F.col("runs"), "cancel_rate": F.col("cancellations") / F.col("runs")}).fillna(0.0, ["mean_seconds", "median_seconds", "p95_seconds"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.functions import columns as fn
-from joblore.operators import anomalies, backtest, clean, drift, evaluate, forecast, joins, queues, rollups, series
+from joblore.operators import anomalies, backtest, clean, drift, evaluate, forecast, joins, queues, rollups, series, sketches
 from joblore.plans.sql import comparable, query
 from joblore.sources import adapter, runs
 from joblore.streaming import jobs
@@ -260,6 +260,15 @@ register("label_quality", lambda s, d: anomalies.label_quality(san(s, d).select(
     SELECT *, 2 * precision * recall / (precision + recall + 0.00001) AS f1 FROM (SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn + 0.0001) AS recall FROM (
         SELECT count_if(run_id % 10 < 5) AS tp, count_if(run_id % 10 IN (5, 6)) AS fp, count_if(run_id % 10 = 7) AS fn FROM san))""", "precision recall f1", ints="tp fp fn")
 
+def _days(s, d, keys=("report_name",)):
+    """Daily sketches of all runs, as a job stores them each night."""
+    return stashed(s, "days", sketches.daily_sketches(san(s, d), keys))
+
+
+register("report_features_of_days", lambda s, d: sketches.features_of_days(_days(s, d)))
+register("quantile_drift_of_days", lambda s, d: sketches.drift_of_days(_days(s, d, ("report_type",)), ("report_type",)))
+register("anomalies_of_days", lambda s, d: _PICK(sketches.anomalies_of_days(san(s, d), _days(s, d))))
+
 # --- D: drift
 register("drift_windows", lambda s, d: drift.drift_windows(san(s, d)).select("run_id", "side"), "win", "SELECT run_id, side FROM win")
 _QD = ", ".join(f"quantile_cont(duration_seconds, {q}) FILTER (side = '{x}') AS {x}_p{p}" for x in "AB" for q, p in ((0.5, 50), (0.9, 90)))

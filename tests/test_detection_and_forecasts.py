@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -39,6 +40,20 @@ def test_double_runs(spark):
     assert anomalies.double_run_summary(pairs).first().reports == 2
 
 
+def drift_by_moves(n, m, limit):
+    """The share of random orders of n and m whose running shares stay within the distance, move by move."""
+    share = {0: 1.0}
+    for moves in range(1, n + m + 1):
+        new: dict = {}
+        for i, p in share.items():
+            j, left = moves - 1 - i, n + m - moves + 1
+            for to, q in ((i + 1, (n - i) / left), (i, (m - j) / left)):
+                if q > 0 and abs(to * m - (moves - to) * n) < limit:
+                    new[to] = new.get(to, 0.0) + p * q
+        share = new
+    return share.get(n, 0.0)
+
+
 def test_ks(spark):
     assert drift.ks_pvalue(1.0, 3, 3) == pytest.approx(0.1) and drift.ks_pvalue(0.0, 3, 4) == 1.0
     n, m = 4, 5  # against all interleavings
@@ -49,6 +64,11 @@ def test_ks(spark):
         every.append(max(abs(i / n - j / m)))
     for d in sorted(set(np.round(every, 9))):
         assert drift.ks_pvalue(d, n, m) == pytest.approx(np.mean(np.array(every) >= d - 1e-9))
+    assert drift.ks_pvalue(0.3, 3, 330_000) == pytest.approx(1 - 6 * (2 * 0.3 - 1 / 3) ** 3, abs=1e-4) and drift.ks_pvalue(0.9, 330_000, 3) == pytest.approx(drift.ks_pvalue(0.9, 3, 330_000))
+    for a, b, d in ((7, 300, 0.2), (40, 41, 0.31), (150, 6000, 0.08), (500, 600, 0.05)):  # both ways of counting
+        step = math.gcd(a, b)
+        limit = round(d * a * b / step) * step
+        assert drift.ks_pvalue(d, a, b) == pytest.approx(1 - drift_by_moves(a, b, limit), abs=1e-9)
     assert drift.ks_pvalue(0.05, 2000, 2000) == pytest.approx(0.0135, abs=2e-3)
     days = [at("2024-01-30") - dt.timedelta(days=d) for d in range(30)]
     df = frame(spark, [(i, "x", "success", (100 if i % 30 < 7 else 10) + i % 5, days[i % 30]) for i in range(120)])
@@ -118,8 +138,8 @@ def test_knn_queries_run_the_assignment(spark):
     got = catalog.QUERIES["knn_accuracy"](spark, sf).first()
     assert got.n == len(held) and (not held or abs(got.accuracy - sum(r.band == r.assigned for r in held) / len(held)) < 1e-12)
     own = catalog.banded(spark, sf)
-    one = {r.assigned for r in queues.knn_assign(own, 1, most=1).collect()}
-    assert len(one) == 1 if rows else not one
+    blocks = {r.report_id: r.assigned for r in queues.knn_assign(own, 7, most=5).collect()}  # all training reports vote, whatever a task holds
+    assert blocks == {r.report_id: r.assigned for r in rows}
 
 
 def test_streams_agree_with_batch(spark, tmp_path):
@@ -184,6 +204,10 @@ def test_knn_against_plain_votes(spark, monkeypatch):
     vector = lambda x: [x.mean_seconds, x.median_seconds, x.p95_seconds, x.failure_rate, np.log1p(x.runs)]
     train = [(vector(got[o.report_id]), got[o.report_id].band) for o in order if not got[o.report_id].held_out]
     assert [x.assigned for x in got.values()] == plain_knn(train, [vector(x) for x in got.values()], 5)
+    for most in (len(train) // 3 + 1, 7):  # three blocks, and many
+        assert {x.report_id: x.assigned for x in queues.knn_assign(banded, 5, most=most).collect()} == {i: x.assigned for i, x in got.items()}
+    twice = queues.knn_assign(banded.unionByName(banded.limit(10)), 5)
+    assert twice.count() == 130 and twice.groupBy("report_id").agg(F.count_distinct("assigned").alias("n")).filter("n > 1").count() == 0
 
 
 def test_evaluation_by_series(spark):
