@@ -31,6 +31,19 @@ def rotation(dim: int, bits: int, seed: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).T
 
 
+#: Lengths of a query times a vector between which bounds are told in doubles; beyond, every product is computed.
+RANGE = 1e-250, 1e250
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length 1 and their lengths; squares of very small or large numbers would leave the range of doubles."""
+    scale = np.abs(x).max(axis=1)
+    unit = x / scale[:, None]
+    length = np.linalg.norm(unit, axis=1)
+    with np.errstate(over="ignore"):
+        return unit / length[:, None], length * scale
+
+
 def _width(dim: int, least: int) -> int:
     return max(least, -(-dim // 8) * 8)
 
@@ -67,11 +80,9 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in _matrices(batch, "vector"):
-                norm = np.linalg.norm(x, axis=1)
-                scale = np.abs(x).max(axis=1)  # squares of very small or large numbers would leave the range
-                norm = np.linalg.norm(x / scale[:, None], axis=1) * scale
+                unit, norm = _units(x)
                 width = _width(x.shape[1], bits)
-                turned = (x / scale[:, None]) @ rotation(x.shape[1], width, seed) / (norm / scale)[:, None]
+                turned = unit @ rotation(x.shape[1], width, seed)
                 ones = turned > 0
                 fit = np.abs(turned).sum(axis=1) / width**0.5
                 code = np.packbits(ones, axis=1)
@@ -89,8 +100,9 @@ def build_index(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 def _ordered_sums(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in the order of the components."""
     out = np.zeros(len(rows))
-    for i in range(len(query)):
-        out += rows[:, i] * query[i]
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for i in range(len(query)):
+            out += rows[:, i] * query[i]
     return out
 
 
@@ -99,30 +111,41 @@ class _Nearest:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, bits: int, seed: int, error: float):
         self.ids, self.q, self.k, self.error, self.width = ids, q, k, error, _width(q.shape[1], bits)
-        self.length = np.linalg.norm(q, axis=1)
-        self.turned = (q / self.length[:, None] @ rotation(q.shape[1], self.width, seed)).astype(np.float32)
-        self.score, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        unit, self.length = _units(q)
+        self.turned = (unit @ rotation(q.shape[1], self.width, seed)).astype(np.float32)
+        self.held = np.zeros(len(q), np.int64)
+        self.score, self.found = np.empty((len(q), k)), np.empty((len(q), k), np.int64)
 
     def rank(self, i: int, ids: np.ndarray, x: np.ndarray) -> None:
         """Rank vectors by their exact inner products with query i, among the best so far."""
-        score, found = np.append(self.score[i], _ordered_sums(x, self.q[i])), np.append(self.found[i], ids)
-        order = np.lexsort((found, -score))[: self.k]
-        self.score[i], self.found[i] = score[order], found[order]
+        n = self.held[i]
+        score, found = np.append(self.score[i, :n], _ordered_sums(x, self.q[i])), np.append(self.found[i, :n], ids)
+        order = np.lexsort((found, -score))[: self.k]  # NaN comes last
+        self.held[i] = n = len(order)
+        self.score[i, :n], self.found[i, :n] = score[order], found[order]
 
     def add(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray, fit: np.ndarray) -> None:
+        """Rank those of a block that may be among the best. Bounds are of cosines; the last of the best is divided by both
+        lengths, and where their product is beyond RANGE nothing is left out."""
         signs = np.unpackbits(code, axis=1)[:, : self.width].astype(np.float32) * 2 - 1
-        slack = norm * self.error * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, self.width - 1)) + 1e-5 * norm  # float32 below
+        slack = self.error * np.sqrt(np.maximum(0, 1 - fit**2) / fit**2 / max(1, self.width - 1)) + 1e-5  # float32 below
         for first in range(0, len(self.q), 256):
-            estimate = (self.turned[first : first + 256] @ signs.T) / np.float32(self.width**0.5) * (norm / fit).astype(np.float32)
-            for i, own in enumerate(estimate, first):
-                own = np.where(ids == self.ids[i], -np.inf, own)
-                done = np.zeros(len(own), bool)
-                if self.score[i, -1] == -np.inf:  # the likeliest first, so that there is a score to beat
-                    some = np.argpartition(-own, min(4 * self.k, len(own)) - 1)[: 4 * self.k]
-                    some = some[own[some] > -np.inf]
+            cosine = (self.turned[first : first + 256] @ signs.T) / np.float32(self.width**0.5) / fit.astype(np.float32)
+            for i, own in enumerate(cosine, first):
+                with np.errstate(over="ignore", under="ignore"):
+                    product = self.length[i] * norm
+                plain = (product > RANGE[0]) & (product < RANGE[1])
+                open_ = ids != self.ids[i]
+                if self.held[i] < self.k:  # the likeliest first, so that there is a score to beat
+                    likely = np.where(plain & open_, own * np.where(plain, product, 0.0), -np.inf)
+                    some = np.argpartition(-likely, min(4 * self.k, len(own)) - 1)[: 4 * self.k]
+                    some = some[open_[some]]
                     self.rank(i, ids[some], x[some])
-                    done[some] = True
-                again = np.flatnonzero((own + slack >= self.score[i, -1] / self.length[i]) & ~done & (own > -np.inf))
+                    open_[some] = False
+                if self.held[i] == self.k and not np.isnan(self.score[i, -1]):
+                    reach = own + slack >= self.score[i, -1] / np.where(plain, product, 1.0)
+                    open_ &= reach | ~plain
+                again = np.flatnonzero(open_)
                 if len(again):
                     self.rank(i, ids[again], x[again])
 
@@ -131,7 +154,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, s
     """(query_id, rank, vec_id, score): for each query (columns vec_id, vector) the k rows of the
     index with the largest inner products, its own vec_id left out; ties go to the smaller vec_id.
 
-    bits and seed are those of the index. error is the e of the bounds: at 4 about one in 30,000
+    Vectors may have any lengths: scores that leave the range of doubles are 0, infinite or NaN as double precision has them, NaN
+    last, and are ranked as such. bits and seed are those of the index. error is the e of the bounds: at 4 about one in 30,000
     vectors of the result may be missed. Queries without a valid vector have no rows, one of repeated
     vec_ids counts (see valid_vectors). About query_rows queries at a time are sent to the tasks, each of which
     goes through its part of the index where it lies; only its best k for each query are shuffled.
@@ -152,10 +176,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, s
                         code = np.frombuffer(b"".join(batch.column("code").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
                         own.add(batch.column("vec_id").to_numpy()[at], x, code, batch.column("norm").to_numpy()[at], batch.column("fit").to_numpy()[at])
             for own in nearest.values():
-                i, j = np.nonzero(own.score > -np.inf)
+                i, j = np.nonzero(np.arange(k) < own.held[:, None])
                 yield pa.RecordBatch.from_arrays([pa.array(own.ids[i]), pa.array(own.found[i, j]), pa.array(own.score[i, j])], ["query_id", "vec_id", "score"])
 
         near = index.select("vec_id", "vector", "code", "norm", "fit").mapInArrow(best, top)
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # Spark keeps the first k of each task before the shuffle, too
+        order = W.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")  # Spark keeps the first k of each task before the shuffle, too
         near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).write.parquet(f"{out}/group={group}")
     return spark.read.schema(f"{top}, rank int").parquet(*(f"{out}/group={g}" for g in range(groups))).select("query_id", "rank", "vec_id", "score")
