@@ -45,6 +45,14 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(session._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or what its first underscores make of it that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     """A new schema with further nullable fields (StructType.add would change the given one)."""
     return T.StructType([*schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import with_fields
+from joblore.llm.scratch import free_name, with_fields
 
 #: Bytes of all levels together; they are sent to every task.
 MOST_BYTES = 256 << 20
@@ -102,7 +102,7 @@ def build_cascade(listed_keys: DataFrame, universe: DataFrame, n_universe: int,
             raise ValueError(f"the filters of {n} keys would take over {most_bytes} bytes")
         levels.append(_level(outs if len(levels) % 2 else ins, level))
         if len(levels) % 2:  # it holds listed keys: whom else does it let pass?
-            outs = _passing(universe.select("key").distinct() if outs is None else outs, levels).join(listed_keys.select("key"), "key", "left_anti")
+            outs = _passing(universe.select("key") if outs is None else outs, levels).distinct().join(listed_keys.select("key"), "key", "left_anti")
             n = outs.count()
         else:
             ins = _passing(ins, levels)
@@ -127,7 +127,8 @@ def _labels(host: Column) -> Column:
 
 
 def _keys(host: Column, path: Column, extents: list[tuple[int, int]]) -> Column:
-    """All keys of a URL, the longest first. extents: the rules' numbers of labels and lengths of paths."""
+    """All keys of a URL, the longest first, of equally long ones that of the longest host (the sort keeps their
+    order). extents: the rules' numbers of labels and lengths of paths, the most labels first."""
     none = F.array().cast("array<string>")
     fits = lambda labels, length: (_labels(host) >= labels) & (F.char_length(path) >= length)
     keys = [F.when(fits(n, length), F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, length))) for n, length in extents]
@@ -139,14 +140,15 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
     """urls with host, path, rule and verdict.
 
     rules: (host, path, verdict "allow" or "block"). A rule fits its host and all subdomains of it,
-    if the path starts with the rule's; of those that fit, the longest text host + path wins. Where
+    if the path starts with the rule's; of those that fit, the longest text host + path wins, of equally long ones that
+    whose host has more labels. Hosts of rules are lower-cased in A-Z, as those of urls are. Where
     none fits, rule is null and the verdict is the default, as no listed key is found; a rule whose path
     is neither empty nor begins with / fits nothing. Null urls and urls
     without :// have an empty host and path, which no rule fits. Of rules that repeat a key, block wins.
     Columns of urls named host, path, rule or verdict are replaced.
     """
-    rules = rules.select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict").filter("h is not null and h != '' and (p = '' or startswith(p, '/'))")
-    extents = sorted(tuple(r) for r in rules.select(_labels(F.col("h")), F.char_length("p")).distinct().collect())
+    rules = rules.select(F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict").filter("h is not null and h != '' and (p = '' or startswith(p, '/'))")
+    extents = sorted((tuple(r) for r in rules.select(_labels(F.col("h")), F.char_length("p")).distinct().collect()), reverse=True)
     keys = rules.groupBy(F.concat("h", "p").alias("key")).agg(F.max(F.col("verdict") == "block").alias("blocks"))
     out = urls.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     of_url = _keys(F.col("host"), F.col("path"), extents)
@@ -172,4 +174,4 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], names.cast(pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names[:-1], "rule", "verdict"])
 
     schema = with_fields(out.schema, rule=T.StringType(), verdict=T.StringType())
-    return out.withColumn("__keys", of_url).mapInArrow(decide, schema)
+    return out.withColumn(free_name(out, "__keys"), of_url).mapInArrow(decide, schema)
