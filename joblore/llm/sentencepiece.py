@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.scratch import arrow_function, short_batches, stash, with_fields
+from joblore.llm.scratch import arrow_function, free_name, short_batches, stash, with_fields
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -476,11 +476,12 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     length = F.coalesce(F.char_length(text_col), F.lit(0))
     # Only the text goes to Python; the other columns wait in the JVM.
     solved = arrow_function(_short(told, text_col), "struct<ids: array<int>, score: double>")
-    small = docs.filter(length <= giant).withColumn("__s", solved(F.col(text_col))).withColumns({"ids": F.col("__s.ids"), "score": F.col("__s.score")}).drop("__s")
-    giants = stash(docs.filter(length > giant).withColumn("__row", F.monotonically_increasing_id()), "giants")
+    s, row, of = (free_name(docs, c) for c in ("__s", "__row", "__of"))
+    small = docs.filter(length <= giant).withColumn(s, solved(F.col(text_col))).withColumns({"ids": F.col(s)["ids"], "score": F.col(s)["score"]}).drop(s)
+    giants = stash(docs.filter(length > giant).withColumn(row, F.monotonically_increasing_id()), "giants")
     total = giants.agg(F.sum(F.char_length(text_col))).first()[0] or 0
     tasks = -(-total // (8 * chunk)) + 1  # given, as chunks are small: adaptive execution would put them all in one task
-    chunks = giants.select(F.col("__row").alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
+    chunks = giants.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
     chunks = stash(chunks.repartition(tasks, "row", "number"), "chunks")
     states = chunks.mapInArrow(_matrices(told), "row long, number int, matrix binary").groupBy("row").applyInArrow(_states, "row long, number int, state binary")
     spread = lambda told_of: chunks.join(told_of, ["row", "number"]).repartition(tasks, "row", "number")
@@ -488,7 +489,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     parts = spread(ways).mapInArrow(_trace(told), "row long, number int, ids array<int>, score double")
     large = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("number", "ids"))).alias("p"), F.sum("score").alias("score"))
     large = large.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), "score")
-    return small.unionByName(giants.join(large.withColumnRenamed("row", "__of"), F.col("__row") == F.col("__of")).drop("__row", "__of"))
+    return small.unionByName(giants.join(large.withColumnRenamed("row", of), F.col(row) == F.col(of)).drop(row, of))
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", path: str = MODEL, out_col: str = "decoded") -> DataFrame:
