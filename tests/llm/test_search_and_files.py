@@ -276,3 +276,46 @@ def test_licences_against_a_search_without_index(spark):
 def test_licence_spans_that_overlap():
     found = [(5, 10 * i, 10 * i + 8) for i in range(100)]
     assert license_scan._apart([*found, (4, 3, 8), (4, 4, 12), (5, 8, 10), (3, 985, 999)]) == [(5, 0, 8), (5, 8, 10), *found[1:]]
+
+
+def double_scores(rows, q):
+    """Inner products as double precision has them, NaN last, ties to the smaller id."""
+    out = []
+    for i, v in rows.items():
+        if i != q:
+            total = 0.0
+            for a, b in zip(rows[q], v, strict=True):
+                total += a * b
+            out.append((total != total, -total, i))
+    return sorted(out, key=lambda x: (x[0], x[1] if x[1] == x[1] else 0.0, x[2]))
+
+
+@pytest.mark.parametrize("k", [5, 30])
+def test_vectors_of_any_length(spark, k):
+    """Lengths from 1e-300 to 1e300, alone and mixed, and products that are all negative: no row is lost."""
+    r = np.random.default_rng(2)
+    groups = [("tiny", lambda: 1e-200, 0), ("small", lambda: 1e-60, 1), ("large", lambda: 1e39, 2), ("mixed", lambda: 10.0 ** r.uniform(-300, 300), 3), ("plain", lambda: 10.0 ** r.uniform(-20, 20), 4)]
+    for name, size, group in groups:
+        rows = {i: (r.standard_normal(16) * size()).tolist() for i in range(150 if group else 60)}
+        rows |= {1000: rows[3], 1001: [-x for x in rows[0]], 1003: [x * 1e-3 for x in rows[20]]}
+        if name == "large":
+            rows = {0: [1e39] * 16, **{i: [-1e39 * (1 + i % 3)] * 16 for i in range(1, 10)}}  # nine candidates, all of them opposite
+        index = vector_search.build_index(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3))
+        got = vector_search.search(index, index.filter("vec_id % 20 = 0"), k).collect()
+        want, hit = 0, 0
+        for q in (i for i in rows if i % 20 == 0):
+            expected = double_scores(rows, q)[:k]
+            own = sorted((g["rank"], g.vec_id, g.score) for g in got if g.query_id == q)
+            assert [x[0] for x in own] == list(range(1, len(expected) + 1))  # complete
+            want, hit = want + len(expected), hit + len({x[1] for x in own} & {x[2] for x in expected})
+            places = [(s != s, -s if s == s else 0.0, i) for _, i, s in own]
+            assert places == sorted(places)
+        assert hit >= 0.99 * want, name
+
+
+def test_urls_ties_and_clashing_columns(spark):
+    rules = spark.createDataFrame([("b.com", "/x", "block"), ("com", "/xyz", "allow"), ("É.com", "/", "block")], "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "http://a.b.com/xyz", 5, 6), (2, "http://a.com/xyz", 5, 6), (3, "http://É.com/", 5, 6), (4, "http://é.com/", 5, 6)], "page_id long, url string, __keys int, _keys int")
+    got = {g.page_id: (g.rule, g.verdict, g["__keys"]) for g in url_filter.filter_urls(urls, rules).collect()}
+    assert len("b.com/x") == len("com/xyz") and got[1] == ("b.com/x", "block", 5)  # as long: the host with more labels
+    assert got[2] == ("com/xyz", "allow", 5) and got[3] == ("É.com/", "block", 5) and got[4] == (None, "allow", 5)

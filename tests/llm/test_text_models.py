@@ -287,3 +287,11 @@ def test_cutoffs_weigh_errors_by_class():
     for model, at, w in ((models[0], np.arange(8000), np.ones(8000)), (models[1], some, weight)):
         text_cnn._calibrate(model, logit[at], y[at], np.zeros(len(at), int), w, np.ones(len(at), bool))
     assert abs(models[0].cutoffs - models[1].cutoffs).max() < 0.35
+
+
+def test_working_columns_of_documents(spark):
+    """Columns named like the operator's own stay as they are."""
+    docs = spark.createDataFrame([(1, "some text", 3, "x", 4.0), (2, "word " * 60, 5, "y", 6.0)], "doc_id long, text string, __s int, __row string, __of double")
+    got = encode(docs, giant=100, chunk=64).orderBy("doc_id").collect()
+    assert [(r["__s"], r["__row"], r["__of"]) for r in got] == [(3, "x", 4.0), (5, "y", 6.0)]
+    assert [r.ids for r in got] == [r.ids for r in encode(docs.select("doc_id", "text")).orderBy("doc_id").collect()]
