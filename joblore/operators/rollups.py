@@ -3,6 +3,8 @@ every top list adds the name to its order, so that ties fall the same way each t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,6 +172,6 @@ def series_describe(hourly: DataFrame) -> DataFrame:
     )
 
 
-def main_type_per_hour(df: DataFrame) -> DataFrame:
-    """(timestamp_hour, main_type): the most frequent type of each hour; of ties the least."""
-    return df.groupBy(F.date_trunc("hour", "started_at").alias("timestamp_hour")).agg(F.mode("report_type", True).alias("main_type"))
+def main_type_per_hour(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, timestamp_hour, main_type): the most frequent type of each hour; of ties the least."""
+    return df.groupBy(*keys, F.date_trunc("hour", "started_at").alias("timestamp_hour")).agg(F.mode("report_type", True).alias("main_type"))

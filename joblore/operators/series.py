@@ -108,11 +108,11 @@ def _day(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), F.try_to_timestamp(text, F.lit("dd/MM/yyyy"))).cast("date")
 
 
-def param_span_keyed(df: DataFrame) -> DataFrame:
-    """(timestamp_hour, avg_param_span_days): days from the first start-like to the first end-like date, 0 to 3650."""
+def param_span_keyed(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, timestamp_hour, avg_param_span_days): days from the first start-like to the first end-like date, 0 to 3650."""
     span = F.datediff(_day(F.regexp_extract("parameters", _END + _GAP, 1)), _day(F.regexp_extract("parameters", _START + _GAP, 1)))
-    rows = df.select(F.date_trunc("hour", "started_at").alias("timestamp_hour"), span.alias("span")).filter("span between 0 and 3650")
-    return rows.groupBy("timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
+    rows = df.select(*keys, F.date_trunc("hour", "started_at").alias("timestamp_hour"), span.alias("span")).filter("span between 0 and 3650")
+    return rows.groupBy(*keys, "timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
 
 
 def span_any(text: Column) -> Column:
@@ -121,10 +121,10 @@ def span_any(text: Column) -> Column:
     return F.coalesce(F.datediff(F.array_max(days), F.array_min(days)), F.lit(0))
 
 
-def param_span_any(df: DataFrame) -> DataFrame:
-    """(timestamp_hour, avg_param_span_days): the mean span_any of an hour's runs."""
-    rows = df.select(F.date_trunc("hour", "started_at").alias("timestamp_hour"), span_any(F.col("parameters")).alias("span"))
-    return rows.groupBy("timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
+def param_span_any(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, timestamp_hour, avg_param_span_days): the mean span_any of an hour's runs."""
+    rows = df.select(*keys, F.date_trunc("hour", "started_at").alias("timestamp_hour"), span_any(F.col("parameters")).alias("span"))
+    return rows.groupBy(*keys, "timestamp_hour").agg(F.avg("span").alias("avg_param_span_days"))
 
 
 def factorize_type(h: DataFrame, label: str = "main_type") -> DataFrame:
@@ -133,26 +133,31 @@ def factorize_type(h: DataFrame, label: str = "main_type") -> DataFrame:
     return first.select(F.col(label).alias("label"), (F.row_number().over(W.orderBy("first", label)) - 1).alias("id"))
 
 
-def enrich_hourly(h: DataFrame, runs: DataFrame, holidays: DataFrame, head: str = "zero") -> DataFrame:
-    """The feature table of one series: calendar, cycles, lags, rolls, backlog, type code, parameter span."""
-    out = fourier_features(cyclic_features(calendar_features(h, holidays)))
-    out = log_features(rolling_features(lag_features(out, head=head), head=head))
-    out = out.join(backlog_running(runs, h), "timestamp_hour")
-    out = asof_backward(out, param_span_keyed(runs), "timestamp_hour", ["avg_param_span_days"])
+def enrich_hourly(h: DataFrame, runs: DataFrame, holidays: DataFrame, head: str = "zero", keys: Sequence[str] = ()) -> DataFrame:
+    """The feature table of each series: calendar, cycles, lags, rolls, backlog, type code, parameter span.
+
+    A series of a null key has no backlog to join and is left out.
+    """
+    at = [*keys, "timestamp_hour"]
+    out = fourier_features(cyclic_features(calendar_features(h, holidays)), keys)
+    out = log_features(rolling_features(lag_features(out, keys, head=head), keys, head=head))
+    out = out.join(backlog_running(runs, h, keys), at)
+    out = asof_backward(out, param_span_keyed(runs, keys), "timestamp_hour", ["avg_param_span_days"], keys)
     return out.withColumns({"avg_param_span_days": F.coalesce("avg_param_span_days", F.lit(0.0)), "tipo_reporte_id": F.lit(0)})
 
 
-def prepare_training(runs: DataFrame, holidays: DataFrame, start=None, end=None) -> DataFrame:
-    """Observed hours only, with main type codes and spans; rows without whole windows are dropped."""
+def prepare_training(runs: DataFrame, holidays: DataFrame, start=None, end=None, keys: Sequence[str] = ()) -> DataFrame:
+    """Observed hours of each series only, with main type codes and spans; rows without whole windows are dropped.
+    Type codes are the same in all series."""
     if start is not None:
         runs = runs.filter(F.to_date("started_at") >= F.to_date(F.lit(start)))
     if end is not None:
         runs = runs.filter(F.to_date("started_at") <= F.to_date(F.lit(end)))
-    h = hourly_counts(runs)
-    types = main_type_per_hour(runs)
-    out = log_features(rolling_features(lag_features(fourier_features(cyclic_features(calendar_features(h, holidays))), head="drop"), head="drop"))
-    out = out.join(types, "timestamp_hour").join(F.broadcast(factorize_type(types)).withColumnRenamed("label", "main_type"), "main_type").withColumnRenamed("id", "tipo_reporte_id")
-    out = out.join(backlog_running(runs, h), "timestamp_hour").join(param_span_any(runs), "timestamp_hour", "left").fillna(0.0, "avg_param_span_days")
+    at, h, types = [*keys, "timestamp_hour"], hourly_counts(runs, keys), main_type_per_hour(runs, keys)
+    out = fourier_features(cyclic_features(calendar_features(h, holidays)), keys)
+    out = log_features(rolling_features(lag_features(out, keys, head="drop"), keys, head="drop"))
+    out = out.join(types, at).join(F.broadcast(factorize_type(types)).withColumnRenamed("label", "main_type"), "main_type").withColumnRenamed("id", "tipo_reporte_id")
+    out = out.join(backlog_running(runs, h, keys), at).join(param_span_any(runs, keys), at, "left").fillna(0.0, "avg_param_span_days")
     return out.dropna()
 
 

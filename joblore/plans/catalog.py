@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from joblore.functions import columns as fn
 from joblore.operators import anomalies, backtest, clean, drift, evaluate, forecast, joins, queues, rollups, series, sketches
-from joblore.plans.sql import comparable, query
+from joblore.plans.sql import CTE, comparable, query
 from joblore.sources import adapter, runs
 from joblore.streaming import jobs
 
@@ -223,6 +223,21 @@ register("prepare_training", lambda s, d: series.prepare_training(san(s, d), hol
         SELECT *, lag(report_count, 1) OVER w AS y_lag_1, lag(report_count, 168) OVER w AS y_lag_168, avg(report_count) OVER (ORDER BY timestamp_hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m,
                row_number() OVER w AS i FROM cnt WINDOW w AS (ORDER BY timestamp_hour))
     JOIN (SELECT timestamp_hour, report_type FROM kcnt QUALIFY row_number() OVER (PARTITION BY timestamp_hour ORDER BY report_count DESC, report_type) = 1) USING (timestamp_hour) WHERE i > 168""", "y_rolling_mean_24", TS)
+_KEYED_ROLLS = {
+    "kl": "SELECT *, lag(report_count, 1, 0) OVER w AS y_lag_1, lag(report_count, 168, 0) OVER w AS y_lag_168 FROM kh WINDOW w AS (PARTITION BY report_type ORDER BY timestamp_hour)",
+    "kr": """SELECT *, coalesce(CASE WHEN count(*) OVER p = 24 THEN avg(y_lag_1) OVER p END, 0) AS y_rolling_mean_24, coalesce(CASE WHEN count(*) OVER p = 24 THEN stddev_samp(y_lag_1) OVER p END, 0) AS y_rolling_std_24
+             FROM kl WINDOW p AS (PARTITION BY report_type ORDER BY timestamp_hour ROWS 23 PRECEDING)""",
+    "ks": CTE["keyed"].replace("SELECT date_trunc", "SELECT report_type, date_trunc", 1).replace("SELECT started_at", "SELECT report_type, started_at", 1).replace("GROUP BY 1", "GROUP BY ALL"),
+}
+_KEYED_COLUMNS = "report_type timestamp_hour report_count y_lag_1 y_lag_168 y_rolling_mean_24 y_rolling_std_24 backlog avg_param_span_days".split()
+register("enrich_hourly_by_type", lambda s, d: series.enrich_hourly(stashed(s, "keyed", keyed(s, d)), san(s, d), hol(s), keys=["report_type"]).select(_KEYED_COLUMNS), "kh", """
+    SELECT kr.report_type, kr.timestamp_hour, report_count, y_lag_1, y_lag_168, y_rolling_mean_24, y_rolling_std_24,
+           (SELECT count(*) FROM san s WHERE s.report_type = kr.report_type AND creation_date <= kr.timestamp_hour) - (SELECT count(*) FROM san s WHERE s.report_type = kr.report_type AND started_at <= kr.timestamp_hour) AS backlog,
+           coalesce(ks.avg_param_span_days, 0) AS avg_param_span_days FROM kr ASOF LEFT JOIN ks ON kr.report_type = ks.report_type AND kr.timestamp_hour >= ks.timestamp_hour""", "y_rolling_mean_24 y_rolling_std_24 avg_param_span_days", TS, ints="backlog", **_KEYED_ROLLS)
+register("prepare_training_by_type", lambda s, d: series.prepare_training(san(s, d), hol(s), keys=["report_type"]).select("report_type", TS, "report_count", "y_lag_1", "y_lag_168", "y_rolling_mean_24"), "kcnt", """
+    SELECT report_type, timestamp_hour, report_count, y_lag_1, y_lag_168, m AS y_rolling_mean_24 FROM (
+        SELECT *, lag(report_count, 1) OVER w AS y_lag_1, lag(report_count, 168) OVER w AS y_lag_168, avg(report_count) OVER (PARTITION BY report_type ORDER BY timestamp_hour ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS m,
+               row_number() OVER w AS i FROM kcnt WINDOW w AS (PARTITION BY report_type ORDER BY timestamp_hour)) WHERE i > 168""", "y_rolling_mean_24", TS)
 register("moving_average", lambda s, d: series.moving_average(hourly(s, d)), "h", """
     SELECT timestamp_hour, report_count, CASE WHEN count(*) OVER w = 24 THEN avg(report_count) OVER w END AS moving_average FROM h WHERE timestamp_hour >= (SELECT max(timestamp_hour) FROM h) - INTERVAL 7 DAY
     WINDOW w AS (ORDER BY timestamp_hour ROWS 23 PRECEDING)""", "moving_average", TS)
