@@ -33,8 +33,9 @@ class LastStart(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows)).sort_values(["micros", "run_id"])
-        before = self.last.get() if self.last.exists() else None
-        out = []
+        before, out = self.last.get(), []  # each call of the state is a round trip to the store
+        if before is None:
+            self.handle.registerTimer((int(key[1]) + 1) * stretch_micros(self.threshold) // 1000)
         for run_id, micros, own in zip(frame["run_id"], frame["micros"], frame["own"], strict=True):
             if before is not None and own:
                 gap = (int(micros) - before[1]) // 1_000_000
@@ -43,12 +44,12 @@ class LastStart(StatefulProcessor):
             if before is None or (micros, run_id) > (before[1], before[0]):
                 before = (int(run_id), int(micros))
         self.last.update(before)
-        self.handle.registerTimer((int(key[1]) + 1) * stretch_micros(self.threshold) // 1000)
-        yield pd.DataFrame(out, columns=["report_name", "run_id", "previous_run", "gap_seconds"])
+        if out:
+            yield pd.DataFrame(out, columns=["report_name", "run_id", "previous_run", "gap_seconds"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.last.clear()
-        yield pd.DataFrame([], columns=["report_name", "run_id", "previous_run", "gap_seconds"])
+        return iter(())
 
     def close(self) -> None:
         pass
