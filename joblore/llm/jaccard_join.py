@@ -14,25 +14,29 @@ with the rest (linear), exact verification and components follow, and only pairs
 that are still in different components are looked at again, in blocks of bounded size, inside tasks.
 A parity sketch, whose Hamming distance never exceeds that of the sets, rejects most of them. Each task
 yields a forest that connects all that may still link, its trees join to clusters, and blocks of a
-cluster's texts are compared exactly where they meet: rows grow with the documents, not with their
-pairs. This is done in each document's longest list first, then in all lists for what is in no cluster together.
+cluster's texts are compared exactly: shuffled rows of texts and sketches grow with the documents. Blocks of
+large groups lie in the shared folder and are read by the tasks that compare them, so what is read there, like
+the comparing itself, grows with the pairs of blocks. This is done in each document's longest list first, then in all lists for what is in no cluster together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
 from joblore.llm.components import connected_components
-from joblore.llm.scratch import short_batches, stash
+from joblore.llm.scratch import BATCH_ROWS, short_batches, stash
 
 #: Every byte but those of space and of tab to carriage return.
 WORD = ~fp.byte_class((0x20, 0x20), (0x09, 0x0D))
@@ -44,6 +48,10 @@ FREQUENT, MOST_FREQUENT = 10, 1_000_000
 BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Documents of a block of a cluster.
 CLUSTER_BLOCK = 128
+#: Bytes of a row group where tasks read blocks alone; other blocks that one is compared with before it is read again.
+ROW_GROUP, PARTNERS = 4 << 20, 16
+#: Tasks that compare pairs of blocks, at most.
+MOST_TASKS = 100_000
 
 
 def _sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -417,10 +425,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     longest = rows.groupBy("doc_id").agg(F.max(F.struct("size", "key")).alias("l"), F.first("n").alias("n")).select("l.key", "n", "doc_id", "l.size")
     clusters, parts = None, stash(connected_components(links), "parts")
     for some in (longest, rows):
-        forest = stash(_dealt(some, parts, clusters, listed).mapInArrow(_crossing(num, den), "a long, b long").distinct(), "forest")
+        forest = stash(_dealt(some, parts, clusters, listed, _crossing(num, den)).distinct(), "forest")
         if not forest.isEmpty():
             before, clusters = clusters, stash(connected_components(forest).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
-            links = stash(links.unionByName(_clustered(clusters, before, parts, texts).mapInArrow(_compared(ngram, num, den), "a long, b long")), "links")
+            links = stash(links.unionByName(_clustered(clusters, before, parts, texts, _compared(ngram, num, den))), "links")
             parts = stash(connected_components(links), "parts")
 
     component = reps.join(parts, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
@@ -447,35 +455,85 @@ def _with_cluster(rows: DataFrame, clusters: DataFrame | None, name: str) -> Dat
     return rows.join(clusters.withColumnRenamed("cluster", "__cluster"), "doc_id", "left").withColumn(name, F.coalesce("__cluster", "doc_id")).drop("__cluster")
 
 
-def _in_blocks(member: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """member, with the number of blocks of its group `by`, for each pair of blocks i <= j, sorted by it.
-    side: 0 or 1 for block i or j, 2 where they are one."""
-    member = member.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = member.select(
-        by, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *columns
-    )
-    return dealt.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+def _read(files: list[str], by: str, key: int, own: int, columns: list[str]) -> list[pa.RecordBatch]:
+    """A block of a stashed table from its files; of them only row groups that may hold it are read."""
+    out = []
+    for file in files:
+        store, name = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+        found = pq.read_table(name, filesystem=store, columns=columns, filters=[(by, "=", key), ("own", "=", own)])
+        out += found.to_batches(max_chunksize=BATCH_ROWS)
+    return out
 
 
-def _clustered(clusters: DataFrame, before: DataFrame | None, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """The documents of each cluster with their texts, for each pair of its blocks."""
+def _fetched(by: str, columns: list[str], run):
+    """mapInArrow over pairs of blocks (by, i, j, files_i, files_j) sorted by i: run over the rows of each pair."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, left = None, []
+        for batch in batches:
+            for key, i, j, files_i, files_j in zip(*(batch.column(c).to_pylist() for c in (by, "i", "j", "files_i", "files_j")), strict=True):
+                if (key, i) != held:
+                    held, left = (key, i), _read(files_i, by, key, i, columns)
+                sides = [(2, left)] if i == j else [(0, left), (1, _read(files_j, by, key, j, columns))]
+                for side, rows in sides:
+                    for own in rows:
+                        told = [pa.array([x] * own.num_rows, kind) for x, kind in ((key, pa.int64()), (i, pa.int32()), (j, pa.int32()), (side, pa.int32()))]
+                        yield pa.RecordBatch.from_arrays([*told, *own.columns], [by, "i", "j", "side", *columns])
+
+    return lambda batches: run(pairs(batches))
+
+
+def _in_blocks(whole: DataFrame, split: DataFrame | None, by: str, columns: list[str], run) -> DataFrame:
+    """What run (mapInArrow) tells of the pairs within groups `by`.
+
+    whole: the rows of groups of one block, which come together. split: those of larger groups, with the
+    number of their blocks. Each row is written once, blocks apart; tasks are given pairs of blocks by name, up
+    to PARTNERS of them for a block, and read these from the shared folder: shuffled rows grow with the rows.
+    """
+    zero = [F.lit(x).alias(c) for x, c in ((0, "i"), (0, "j"), (2, "side"))]
+    out = whole.select(by, *zero, *columns).repartition(by).sortWithinPartitions(by).mapInArrow(run, "a long, b long")
+    if split is None:
+        return out
+    kept = split.select(by, F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("own"), F.col("blocks").cast("int").alias("blocks"), *columns)
+    kept = stash(kept.repartition(by, "own").sortWithinPartitions(by, "own"), "blocks", **{"parquet.block.size": ROW_GROUP})
+    files = stash(kept.groupBy(by, "own", "blocks").agg(F.sort_array(F.collect_set("_metadata.file_path")).alias("files")), "files")
+    ends = [files.select(by, "blocks", F.col("own").alias(c), F.col("files").alias(f"files_{c}")) for c in "ij"]
+    # Around the circle of blocks each one meets those of the half that follows it.
+    ahead = F.pmod(F.col("j") - F.col("i"), F.col("blocks"))
+    pairs = ends[0].join(ends[1].drop("blocks"), by).filter((2 * ahead < F.col("blocks")) | ((2 * ahead == F.col("blocks")) & (F.col("i") < F.col("j"))))
+    pairs = stash(pairs.select(by, "i", "j", "files_i", "files_j", (ahead / PARTNERS).cast("int").alias("part")), "tiles")
+    tasks = min(pairs.count() // PARTNERS + 1, MOST_TASKS)  # given, as these rows are small: adaptive execution would put them all in one task
+    pairs = pairs.repartition(tasks, by, "i", "part").sortWithinPartitions(by, "i", "j")
+    return out.unionByName(pairs.mapInArrow(_fetched(by, columns, run), "a long, b long"))
+
+
+def _clustered(clusters: DataFrame, before: DataFrame | None, parts: DataFrame, texts: DataFrame, run) -> DataFrame:
+    """What run tells of the documents of each cluster, with their texts."""
     own = _with_cluster(clusters, before, "before").join(parts, F.col("doc_id") == F.col("node"), "left")
     own = stash(own.select("doc_id", "cluster", "before", F.coalesce("component", "doc_id").alias("component")), "members")
     found = texts.join(own.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     member = stash(own.join(found, "doc_id"), "members")
     blocks = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return _in_blocks(member.join(blocks, "cluster"), "cluster", ["component", "before", "doc_id", "text"])
-
-
-def _dealt(rows: DataFrame, parts: DataFrame, clusters: DataFrame | None, listed: DataFrame) -> DataFrame:
-    """The rows of lists that span components and clusters, for each pair of blocks of their list. Lists of
-    two are left out: their pair has been compared."""
-    member = rows.filter("size > 2").join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
-    member = _with_cluster(member, clusters, "cluster")
-    spans = [f(c).alias(f"{name}_{c}") for c in ("component", "cluster") for name, f in (("low", F.min), ("high", F.max))]
-    split = member.groupBy("key").agg(*spans).filter("low_component != high_component and low_cluster != high_cluster").select("key")
-    member = member.join(split, "key").join(listed.select("doc_id", "sketch"), "doc_id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    return _in_blocks(member, "key", ["n", "component", "cluster", "doc_id", "sketch"])
+    blocks = stash(blocks.filter("blocks > 1"), "large")
+    columns = ["component", "before", "doc_id", "text"]
+    if blocks.isEmpty():
+        return _in_blocks(member, None, "cluster", columns, run)
+    return _in_blocks(member.join(blocks, "cluster", "left_anti"), member.join(blocks, "cluster"), "cluster", columns, run)
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, clusters: DataFrame | None, listed: DataFrame, run) -> DataFrame:
+    """What run tells of the rows of lists that span components and clusters. Lists of two are left out:
+    their pair has been compared."""
+
+    def spanning(rows: DataFrame) -> DataFrame:
+        member = rows.join(parts, rows["doc_id"] == parts["node"], "left").select("key", "n", "doc_id", "size", F.coalesce("component", "doc_id").alias("component"))
+        member = _with_cluster(member, clusters, "cluster")
+        spans = [f(c).alias(f"{name}_{c}") for c in ("component", "cluster") for name, f in (("low", F.min), ("high", F.max))]
+        split = member.groupBy("key").agg(*spans).filter("low_component != high_component and low_cluster != high_cluster").select("key")
+        return member.join(split, "key").join(listed.select("doc_id", "sketch"), "doc_id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+
+    long = rows.filter(F.col("size") > BLOCK)
+    return _in_blocks(spanning(rows.filter((F.col("size") > 2) & (F.col("size") <= BLOCK))), None if long.isEmpty() else spanning(long), "key", ["n", "component", "cluster", "doc_id", "sketch"], run)
 
 
 def _verify(pairs: DataFrame, listed: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:

@@ -28,11 +28,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps, retries and lost
-    executors start from these files. The caller's cluster clears the folder."""
+def stash(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as Parquet, with the writer's options, to the shared folder and read it back: later steps,
+    retries and lost executors start from these files. The caller's cluster clears the folder."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -113,16 +113,23 @@ def test_jaccard_hot_group(spark):
 
 @pytest.mark.parametrize("n", [150, 600])
 def test_jaccard_apart(spark, n, monkeypatch):
-    """Texts of which all pairs are near the threshold and none links: rows grow with the texts, not with pairs."""
-    made = []
-    real = jaccard_join.stash
-    monkeypatch.setattr(jaccard_join, "stash", lambda df, name: (made.append(real(df, name)), made[-1])[1])
+    """Texts of which all pairs are near the threshold and none links: rows grow with the texts, not with pairs,
+    and so do those with texts or sketches that are dealt out for comparing."""
+    made, dealt = [], []
+    real, blocks = jaccard_join.stash, jaccard_join._in_blocks
+    monkeypatch.setattr(jaccard_join, "stash", lambda df, name, **options: (made.append((name, real(df, name, **options))), made[-1][1])[1])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 100)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "_in_blocks", lambda whole, split, *rest: (dealt.append((whole, split)), blocks(whole, split, *rest))[1])
     base = [f"t{i}" for i in range(150)]
     docs = [(i, " ".join(base[: 9 * (i % 16)] + [f"v{i}"] + base[9 * (i % 16) + 1 :] + [f"z{i}" * (1 + i % 3)] * 3)) for i in range(n)]
     docs += [(n, docs[0][1] + " end"), (n + 1, docs[0][1] + " end more")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_groups(table(spark, docs), ngram=5, num=90).collect()}
     assert got == brute.components(docs, 5, 90, 100)
-    assert max(t.count() for t in made if set(t.columns) == {"a", "b"}) <= 8 * n
+    assert max(t.count() for _, t in made if set(t.columns) == {"a", "b"}) <= 8 * n
+    assert {"text", "sketch"} & {c for _, split in dealt if split is not None for c in split.columns} == {"text", "sketch"}
+    rows, named = sum(x.count() for pair in dealt for x in pair if x is not None), sum(t.count() for name, t in made if name == "tiles")
+    assert rows <= 3 * n and 0 < named <= n
 
 
 def test_jaccard_repeated_ids(spark):
