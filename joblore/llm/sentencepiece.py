@@ -34,6 +34,8 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are cut into chunks of so many.
 GIANT, CHUNK = 1 << 16, 1 << 14
+#: Longer stretches where pieces overlap everywhere are gone through in grains of so many characters that advance together.
+GRAIN, LONG = 128, 256
 NONE = -np.inf
 
 
@@ -134,25 +136,21 @@ class Vocabulary:
             again = again[~hit & (found != 0)]
         return out
 
-    def ends(self, text: str, start: int) -> Iterator[tuple[int, float]]:
-        """Ends and scores of the pieces that begin at start; a lone character always is one."""
-        for end in range(start + 1, min(len(text), start + self.longest) + 1):
-            found = self.scores.get(text[start:end])
-            if found is not None:
-                yield end, found[0]
-            elif end == start + 1:
-                yield end, self.unknown_score
-
     def best(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best paths of many words: their ids, how many each has, and their scores.
 
-        data: the words' UTF-8 bytes, spaces included, offs: their n + 1 bounds. All words advance together, by
-        the place where a piece ends; of ties the longest last piece is taken.
+        data: the words' UTF-8 bytes, spaces included, offs: their n + 1 bounds. Long words are cut where no
+        piece crosses, longer stretches at the pieces that grains give. All words then advance together, by the place where a piece ends; of
+        ties the longest last piece is taken.
         """
         first = np.flatnonzero((data & 0xC0) != 0x80)
         chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
         chars[chars == 0x20] = ord(SPACE)
         bounds = np.searchsorted(first, offs)
+        whole = len(offs) - 1
+        cuts = crossed(self, chars, bounds)
+        parts = 1 + np.bincount(np.searchsorted(bounds, cuts, "right") - 1, minlength=whole)
+        offs, bounds = np.sort(np.append(offs, first[cuts])), np.sort(np.append(bounds, cuts))
         words, n = len(offs) - 1, len(chars)
         who = fp.owners(bounds)
         left = bounds[1:][who] - np.arange(n)  # characters to the word's end
@@ -208,7 +206,8 @@ class Vocabulary:
             out = np.repeat(ids, count)
             out[np.repeat(ids < 0, count)] = self.byte_table[raw]
             ids = out
-        return ids, np.bincount(owner, count, minlength=words).astype(np.int64), total
+        of = np.repeat(np.arange(whole), parts)
+        return ids, np.bincount(of[owner], count, minlength=whole).astype(np.int64), np.bincount(of, total, minlength=whole)
 
     def decode(self, ids: list[int]) -> str:
         out, first = bytearray(), True
@@ -239,11 +238,6 @@ def normal(text: str) -> str:
 BORDER = re.compile(f"[^{SPACE}]{SPACE}")
 
 
-def borders(text: str) -> list[int]:
-    """Where a space follows another character: no piece crosses these places."""
-    return [m.end() - 1 for m in BORDER.finditer(text)]
-
-
 def _word_column(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts (null and empty: none), each with its leading spaces, and n + 1 bounds."""
     data, offs = fp.flat(column)
@@ -310,42 +304,178 @@ def _cut(chunk: int, longest: int):
     return run
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def walk(v: Vocabulary, chars: np.ndarray, at: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """By length: the places of at where a piece of that length begins, and its score. end: where a place's word ends."""
+    node, depth = np.zeros(len(at), np.int32), 0
+    while len(at):
+        depth += 1
+        node = v.step(node, chars[at + depth - 1])
+        gain = np.where(node >= 0, v.gain[node], NONE)
+        if depth == 1:
+            gain[gain == NONE] = v.unknown_score
+        yield depth, at[gain > NONE], gain[gain > NONE]
+        alive = (node >= 0) & ~v.leaf[node] & (at + depth < end[at])
+        at, node = at[alive], node[alive]
+
+
+def gains(v: Vocabulary, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """[d - 1, p]: the score of the piece of d characters that ends before place p, inside a word."""
+    out, depth = np.full((v.longest, len(chars) + 1), NONE), 1
+    for depth, at, gain in walk(v, chars, np.arange(len(chars)), np.repeat(bounds[1:], np.diff(bounds))):
+        out[depth - 1, at + depth] = gain
+    return out[:depth]
+
+
+def breaks(v: Vocabulary, chars: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The places between characters that no piece from one of the places of at crosses. Borders before spaces are among them."""
+    reach = np.arange(1, len(chars) + 1)
+    for depth, own, _ in walk(v, chars, at, end):
+        reach[own] = own + depth
+    return np.flatnonzero(np.maximum.accumulate(reach)[:-1] == np.arange(1, len(chars))) + 1
+
+
+def _steps(v: Vocabulary, gain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """All grains go on by one character: the row of that place, the first row that a piece reaches back to,
+    and the gains of the pieces that end there, the longest first. Row L - 1 is a grain's begin."""
+    turned = gain[::-1]
+    for step in range(1, int((end - begin).max(initial=0)) + 1):
+        row = v.longest - 1 + step
+        yield row, row - len(turned), turned[:, np.minimum(begin + step, end)]
+
+
+def matrices(v: Vocabulary, gain: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """[grain, j, i]: the best score from place begin - j to place end - i, by pieces that end after begin."""
+    size, width, each = v.longest, int((end - begin).max(initial=0)), np.arange(len(begin))[:, None]
+    score = np.full((size + width, size, len(begin)), NONE)
+    for j in range(size):
+        score[size - 1 - j, j] = 0.0
+    for row, low, own in _steps(v, gain, begin, end):
+        (score[low:row] + own[:, None, :]).max(axis=0, out=score[row])
+    return score[size - 1 + (end - begin)[:, None] - np.arange(size), :, each].transpose(0, 2, 1)
+
+
+def ways(v: Vocabulary, gain: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[grain, i]: how far before the grain's begin the best path to end - i has its last place up to there.
+    [row, grain]: the length of the last piece of the best path to a place; rows are those of _steps."""
+    size, width, each = v.longest, int((end - begin).max(initial=0)), np.arange(len(begin))
+    score = np.full((size + width, len(begin)), NONE)
+    origin, last = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int32)
+    score[size - 1 :: -1][:size], origin[size - 1 :: -1][:size] = states.T, np.arange(size)[:, None]
+    for row, low, own in _steps(v, gain, begin, end):
+        value = score[low:row] + own
+        pick = value.argmax(axis=0)  # of ties the longest
+        score[row], origin[row], last[row] = value[pick, each], origin[low + pick, each], row - low - pick
+    return origin[size - 1 + (end - begin)[:, None] - np.arange(size), each[:, None]], last
+
+
+def _states(v: Vocabulary, parts: np.ndarray, first: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The state before each grain; where first holds it is the given one."""
+    out = np.empty((len(parts), v.longest))
+    for i, own in enumerate(parts):
+        out[i] = now = state if first[i] else now
+        now = (now[:, None] + own).max(axis=0)
+    return out
+
+
+def _start(v: Vocabulary) -> np.ndarray:
+    state = np.full(v.longest, NONE)
+    state[0] = 0.0
+    return state
+
+
+def crossed(v: Vocabulary, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places inside the words of over LONG characters that their best paths don't cross, so that few long stretches stay."""
+    size = np.diff(bounds)
+    inside = np.repeat(size > LONG, size)
+    if not inside.any():
+        return np.zeros(0, np.int64)
+    place = breaks(v, chars, np.flatnonzero(inside), np.repeat(bounds[1:], size))
+    place = np.setdiff1d(place[inside[place - 1] & inside[place]], bounds)
+    return np.append(place, _by_grains(v, chars, np.sort(np.append(bounds, place))))
+
+
+def _by_grains(v: Vocabulary, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The places inside the words of over LONG characters where their best paths have borders of pieces.
+
+    Grains are traced back at once, each from where the path enters the next one."""
+    size, out = np.diff(bounds), [np.zeros(0, np.int64)]
+    long = np.flatnonzero(size > LONG)
+    group = np.cumsum(size[long]) // GIANT  # so that the arrays hold about GIANT characters, or one word
+    for words in np.split(long, np.flatnonzero(np.diff(group)) + 1) if len(long) else ():
+        own = np.concatenate([chars[bounds[w] : bounds[w + 1]] for w in words])
+        ends = np.append(0, np.cumsum(size[words]))
+        begin = np.concatenate([np.arange(x, y, GRAIN) for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        end, first = np.append(begin[1:], ends[-1]), np.isin(begin, ends)
+        gain = gains(v, own, ends)
+        maps, last = ways(v, gain, begin, end, _states(v, matrices(v, gain, begin, end), first, _start(v)))
+        goal, at = end.copy(), 0
+        for i in range(len(begin) - 1, -1, -1):
+            goal[i] -= at
+            at = 0 if first[i] else int(maps[i, at])
+        grain, place = np.flatnonzero(goal > begin), goal[goal > begin]
+        found = [goal[:0]]
+        while len(place):
+            found.append(place)
+            place = place - last[v.longest - 1 + place - begin[grain], grain]
+            grain, place = grain[place > begin[grain]], place[place > begin[grain]]
+        place = np.setdiff1d(np.concatenate(found), ends)
+        word = np.searchsorted(ends, place, "right") - 1
+        out.append(place - ends[word] + bounds[words[word]])
+    return np.concatenate(out)
+
+
+def _region(v: Vocabulary, chars: np.ndarray, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gains of one stretch of text, and the begins and ends of its grains from left on."""
+    begin = np.arange(left, len(chars), GRAIN)
+    return gains(v, chars, np.array([0, len(chars)])), begin, np.append(begin[1:], len(chars))
+
+
+def _product(v: Vocabulary, chars: np.ndarray, left: int) -> np.ndarray:
+    """The matrix of a stretch of text: its grains' matrices, combined two by two."""
+    parts = matrices(v, *_region(v, chars, left))
+    while len(parts) > 1:
+        half = len(parts) // 2
+        paired = np.concatenate([combine(a, b)[None] for a, b in zip(parts[0 : 2 * half : 2], parts[1 : 2 * half : 2], strict=True)])
+        parts = np.concatenate([paired, parts[2 * half :]])
+    return parts[0]
+
+
+def solved(v: Vocabulary, text: str, cuts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ids and score of the best path of a text of normal form, which has borders of pieces at the given places."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    ids, _, score = v.best(data, first[np.concatenate([[0], cuts, [len(text)]]).astype(np.int64)])
+    return ids, float(score.sum())
+
+
+def _shared(v: Vocabulary, text: str, left: int) -> np.ndarray:
+    """Places after left that all paths of a text share: borders before spaces, or all of them where words are long."""
+    chars = codes(text)
+    space = chars == ord(SPACE)
+    place = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    if np.diff(place, prepend=0, append=len(chars)).max() > LONG:
+        place = breaks(v, chars, np.arange(len(chars)), np.full(len(chars), len(chars)))
+    return place[place > left]
+
+
 def transfer(v: Vocabulary, text: str, left: int) -> np.ndarray:
     """M[j, i]: the best score from position left - j to position len(text) - i, by pieces that end after left.
 
-    Up to the first border L scores are kept for each position; beyond it, all paths share one.
+    All paths share the places that no piece crosses: between the first after left and the last that lies
+    before all of the L last positions only the best score counts.
     """
     size, n = v.longest, len(text)
-    cuts = [b for b in borders(text) if b > left]
-    shared = cuts[0] if cuts else n + 1
-    score = np.full((min(shared, n) + 1, size), NONE)
-    for j in range(min(size, left + 1)):
-        score[left - j, j] = 0.0
-    for at in range(max(0, left - size + 1), min(shared, n)):
-        for end, gain in v.ends(text, at):
-            if end > left and end < len(score):
-                np.maximum(score[end], score[at] + gain, out=score[end])
-    out = np.full((size, size), NONE)
-    if not cuts:
-        for i in range(min(size, n - left)):
-            out[:, i] = score[n - i]
-        return out
-    # From the first border on: words are independent, so only the last positions need their scores.
-    total, far = 0.0, {}
-    for begin, end in zip(cuts, [*cuts[1:], n], strict=True):
-        word = text[begin:end]
-        own = [NONE] * (len(word) + 1)
-        own[0] = 0.0
-        for at in range(len(word)):
-            if own[at] > NONE:
-                for to, gain in v.ends(word, at):
-                    own[to] = max(own[to], own[at] + gain)
-        for at in range(max(0, n - size + 1 - begin), len(word) + 1):
-            far[begin + at] = total + own[at]
-        total += own[-1]
-    for i in range(min(size, n - left)):
-        at = n - i
-        out[:, i] = score[shared] + far[at] if at >= shared else score[at]
+    cuts, chars = _shared(v, text, left), codes(text)
+    cuts = cuts[cuts <= n - size]
+    if len(cuts) and np.diff(cuts).max(initial=0) <= LONG:
+        out = _product(v, chars[: cuts[0]], left)[:, :1] + solved(v, text[cuts[0] : cuts[-1]], cuts[1:-1] - cuts[0])[1] + _product(v, chars[cuts[-1] :], 0)[:1]
+    else:
+        out = _product(v, chars, left).copy()
+    out[left + 1 :], out[:, max(0, n - left) :] = NONE, NONE
     return out
 
 
@@ -369,22 +499,17 @@ def entries(v: Vocabulary, text: str, left: int, state: np.ndarray) -> np.ndarra
     state: the best scores of the last L positions up to left. Of ties the longest last piece is taken
     everywhere, so paths are those of the text as a whole.
     """
-    n = len(text)
-    shared = next((b for b in borders(text) if b > left), n)
-    score, back = [NONE] * (shared + 1), [0] * (shared + 1)
-    for j in range(min(v.longest, left + 1)):
-        score[left - j] = state[j]
-    for at in range(max(0, left - v.longest + 1), shared):
-        if score[at] > NONE:
-            for end, gain in v.ends(text, at):
-                if left < end <= shared and score[at] + gain > score[end]:
-                    score[end], back[end] = score[at] + gain, at
-    out = np.zeros(v.longest, np.int32)
-    for i in range(min(v.longest, n - left)):
-        at = min(n - i, shared)
-        while at > left:
-            at = back[at]
-        out[i] = left - at
+    size, n = v.longest, len(text)
+    shared = int(next(iter(_shared(v, text, left)), n))
+    gain, begin, end = _region(v, codes(text[:shared]), left)
+    first = np.arange(len(begin)) == 0
+    maps, _ = ways(v, gain, begin, end, _states(v, matrices(v, gain, begin, end) if len(begin) > 1 else np.zeros((len(begin), size, size)), first, state))
+    at = np.arange(size)
+    for own in maps[::-1]:
+        at = own[at]
+    reach = np.arange(min(size, n - left))
+    out = np.zeros(size, np.int32)
+    out[reach] = at[np.maximum(0, reach - (n - shared))]
     return out
 
 
@@ -408,7 +533,7 @@ def _matrices(told):
     return run
 
 
-def _states(table: pa.Table) -> pa.Table:
+def _before(table: pa.Table) -> pa.Table:
     """Per giant text: the state before each chunk. 2 KB for each 16 K characters come together
     here, 0.3 GB for the largest text that a cell can hold."""
     table = table.sort_by("number")
@@ -447,10 +572,8 @@ def _trace(told):
             out = []
             for text, left, entry, exit in zip(*(batch.column(c).to_pylist() for c in ("text", "left", "entry", "exit")), strict=True):
                 text = text[left - entry : len(text) - exit]
-                cuts = [0, *borders(text), len(text)] if text else [0]
-                words = [text[x:y].encode() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                ids, _, score = v.best(np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words], dtype=np.int64)))
-                out.append((float(score.sum()), ids))
+                ids, score = solved(v, text, _shared(v, text, 0))
+                out.append((score, ids))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("number"), pa.array([i for _, i in out], pa.list_(pa.int32())), pa.array([s for s, _ in out], pa.float64())], ["row", "number", "ids", "score"]
             )
@@ -475,15 +598,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str = MODEL, giant: in
     docs = docs.drop("ids", "score")
     length = F.coalesce(F.char_length(text_col), F.lit(0))
     # Only the text goes to Python; the other columns wait in the JVM.
-    solved = arrow_function(_short(told, text_col), "struct<ids: array<int>, score: double>")
+    short = arrow_function(_short(told, text_col), "struct<ids: array<int>, score: double>")
     s, row, of = (free_name(docs, c) for c in ("__s", "__row", "__of"))
-    small = docs.filter(length <= giant).withColumn(s, solved(F.col(text_col))).withColumns({"ids": F.col(s)["ids"], "score": F.col(s)["score"]}).drop(s)
+    small = docs.filter(length <= giant).withColumn(s, short(F.col(text_col))).withColumns({"ids": F.col(s)["ids"], "score": F.col(s)["score"]}).drop(s)
     giants = stash(docs.filter(length > giant).withColumn(row, F.monotonically_increasing_id()), "giants")
     total = giants.agg(F.sum(F.char_length(text_col))).first()[0] or 0
     tasks = -(-total // (8 * chunk)) + 1  # given, as chunks are small: adaptive execution would put them all in one task
     chunks = giants.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(_cut(chunk, longest), "row long, number int, left int, last boolean, text string")
     chunks = stash(chunks.repartition(tasks, "row", "number"), "chunks")
-    states = chunks.mapInArrow(_matrices(told), "row long, number int, matrix binary").groupBy("row").applyInArrow(_states, "row long, number int, state binary")
+    states = chunks.mapInArrow(_matrices(told), "row long, number int, matrix binary").groupBy("row").applyInArrow(_before, "row long, number int, state binary")
     spread = lambda told_of: chunks.join(told_of, ["row", "number"]).repartition(tasks, "row", "number")
     ways = spread(states).mapInArrow(_entries(told), "row long, number int, map binary").groupBy("row").applyInArrow(_borders, "row long, number int, entry int, exit int")
     parts = spread(ways).mapInArrow(_trace(told), "row long, number int, ids array<int>, score double")

@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,42 @@ def test_transfer_matrices():
         assert crossings(maps)[-1] == 0
 
 
+@needs_model
+def test_long_words_and_chunks_of_any_text():
+    """Words of thousands of characters and chunks without borders, by grains and by a plain search: ids, scores and states."""
+    v, r = vocabulary(model_bytes(MODEL)), random.Random(7)
+    joined = "".join(r.choices([p for p in v.scores if p.isalpha() and p.isascii() and len(p) > 3], k=400))
+    plain = ["x" * 700, "".join(r.choices("abcdefghtion", k=1500)), "".join(r.choices("漢字国日本語学習a", k=900)), joined, joined[:900] + " " + joined[:300] + "🙂" * 300]
+    data = [normal(t).encode() for t in [*plain, "short"]]
+    ids, count, score = v.best(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])))
+    for text, own, total in zip([*plain, "short"], np.split(ids, np.cumsum(count)[:-1]), score, strict=True):
+        assert (total, own.tolist()) == whole(v, text)
+    for text in plain:
+        text = normal(text)
+        cuts = [*range(0, len(text), 300), len(text)]
+        chunks = [(text[max(0, a - v.longest + 1) : b], min(a, v.longest - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert scan([transfer(v, *c) for c in chunks])[-1][0, 0] == whole(v, text[1:])[0]
+
+
+@needs_model
+@pytest.mark.parametrize("kind", ["spaced", "chinese", "letters", "lone"])
+def test_time_of_unusual_texts(kind):
+    """Matrix, entries and trace of giant texts, and one word of 60,000 characters, stay within seconds a megabyte."""
+    v, r = vocabulary(model_bytes(MODEL)), random.Random(8)
+    words = [p for p in v.scores if p.isalpha() and p.isascii()]
+    text = {"spaced": " ".join(r.choices(words, k=9000)), "chinese": "".join(r.choices("的一是不了人我在有他这为之大来以个中上们", k=60000)), "letters": "".join(r.choices("ABCDEFGHabcdefgh01234567+/", k=60000))}.get(kind, "x" * 60000)
+    text, begin = normal(text), time.process_time()
+    state = np.full(v.longest, -np.inf)
+    state[0] = 0
+    for at in range(0, len(text), 16384):
+        own = (text[max(0, at - v.longest + 1) : at + 16384], min(at, v.longest - 1))
+        entries(v, *own, state)
+        state = (state[:, None] + transfer(v, *own)).max(axis=0)
+    data = text.encode()
+    assert v.best(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[2][0] == state[0]
+    assert time.process_time() - begin < len(data) * 12e-6  # a Python step for each character took up to 60e-6
+
+
 def labelled(spark, n=600, seed=4):
     """Texts with planted marks: insults make toxic, symbols and repetition make bad quality."""
     r = random.Random(seed)
