@@ -24,6 +24,8 @@ from joblore.llm.license_texts import TEMPLATES
 from joblore.llm.scratch import short_batches
 
 WORD = fp.byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
+#: Pairs of hits that are compared at once.
+PAIRS = 1 << 19
 FOUND = "template string, coverage double, matched int, start int, end int, byte_start long, byte_end long"
 
 
@@ -112,15 +114,24 @@ def _chains(at: np.ndarray, place: np.ndarray, size: int, step: int, loss: float
     """
     worth, before = np.full(len(at), float(step)), np.full(len(at), -1)
     left = np.searchsorted(at, at - 2 * size, "left")
-    for i in range(len(at)):
-        x = left[i]
-        down, along = place[i] - place[x:i], at[i] - at[x:i]
+    # Hits of one place in the template can't follow each other, so they are taken together, by place.
+    order = np.argsort(place, kind="stable")
+    pairs = np.cumsum(order - left[order]) // PAIRS
+    for own in np.split(order, np.flatnonzero(np.diff(place[order]) | np.diff(pairs)) + 1):
+        count = own - left[own]
+        of = np.repeat(np.arange(len(own)), count)
+        other = np.arange(len(of)) - np.repeat(np.cumsum(count) - count - left[own], count)
+        down, along = place[own][of] - place[other], at[own][of] - at[other]
         more = along - down
-        value = worth[x:i] + np.minimum(np.minimum(down, along), step) - np.where(more > 0, loss * more, -1e-6 * more)
-        value[(down <= 0) | (along <= 0) | (more > size)] = -1
-        if i > x and value.max() > worth[i]:
-            before[i] = i - 1 - int(np.argmax(value[::-1]))
-            worth[i] = value.max()
+        good = (down > 0) & (along > 0) & (more <= size)
+        of, other, down, along, more = (x[good] for x in (of, other, down, along, more))
+        value = worth[other] + np.minimum(np.minimum(down, along), step) - np.where(more > 0, loss * more, -1e-6 * more)
+        top, last = np.full(len(own), -1.0), np.full(len(own), -1)
+        np.maximum.at(top, of, value)
+        tied = value == top[of]
+        np.maximum.at(last, of[tied], other[tied])
+        better = top > worth[own]
+        worth[own[better]], before[own[better]] = top[better], last[better]
     out, seen = [], np.zeros(len(at), bool)
     for i in np.argsort(-worth, kind="stable").tolist():
         if not seen[i]:
@@ -132,8 +143,13 @@ def _chains(at: np.ndarray, place: np.ndarray, size: int, step: int, loss: float
     return out
 
 
-def _measure(own: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarray, band: int) -> tuple[int, int, int]:
-    """Matched words and span of the template `own` along one chain.
+def _most(own: np.ndarray, words: np.ndarray) -> int:
+    """How many words of a template can match at most: those that the text has anywhere."""
+    return int(np.isin(own, words).sum())
+
+
+def _measure(own: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarray, band: int, coverage: float) -> tuple[int, int, int]:
+    """Matched words and span of the template `own` along one chain; none where too few of its words are there.
 
     A template word may stand on the diagonals of the hits before and after it, between them, and band beside them.
     """
@@ -142,6 +158,8 @@ def _measure(own: np.ndarray, words: np.ndarray, at: np.ndarray, place: np.ndarr
     after = diagonal[np.minimum(np.searchsorted(place, row, "left"), len(place) - 1)]
     low, high = np.minimum(before, after) - band, np.maximum(before, after) + band
     first, last = max(0, int(low[0])), min(len(words), int(high[-1]) + len(own))
+    if _most(own, words[first:last]) < coverage * len(own):
+        return 0, 0, 0
     matched, start, end = align(own, words[first:last], low - first, high - first)
     return matched, first + start, first + end
 
@@ -168,12 +186,14 @@ def matches(index: Index, words: np.ndarray, runs: np.ndarray, band: int, covera
         parts = [(0, len(words))]
         while parts:
             low, high = parts.pop()
+            if _most(own, words[low:high]) < coverage * len(own):
+                continue
             x, y = np.searchsorted(at, low), np.searchsorted(at, high - index.k, "right")
             found = []
             # The first loss leaves copies apart that are whole enough, the second joins what one copy can hold.
             for loss in (1 - coverage, 1e-6) if x < y else ():
                 for chain in _chains(at[x:y], place[x:y], len(own), max(index.k, index.w), loss):
-                    matched, start, end = _measure(own, words[low:high], at[x:y][chain] - low, place[x:y][chain], band)
+                    matched, start, end = _measure(own, words[low:high], at[x:y][chain] - low, place[x:y][chain], band, coverage)
                     if matched >= coverage * len(own):
                         found.append((matched, low + start, low + end))
                 if found:

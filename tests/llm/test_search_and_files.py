@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -319,3 +320,40 @@ def test_urls_ties_and_clashing_columns(spark):
     got = {g.page_id: (g.rule, g.verdict, g["__keys"]) for g in url_filter.filter_urls(urls, rules).collect()}
     assert len("b.com/x") == len("com/xyz") and got[1] == ("b.com/x", "block", 5)  # as long: the host with more labels
     assert got[2] == ("com/xyz", "allow", 5) and got[3] == ("É.com/", "block", 5) and got[4] == (None, "allow", 5)
+
+
+def test_licence_chains_by_place():
+    """Chains equal those of a plain step for each hit, ties included."""
+    r = np.random.default_rng(3)
+    for n, size, step, loss, pairs in ((0, 9, 3, 0.2, 50), (1, 9, 3, 0.2, 50), (90, 9, 3, 0.2, 50), (300, 30, 4, 1e-6, 1 << 19), (300, 12, 4, 0.2, 7)):
+        at, place = np.sort(r.integers(0, 2 * n + 1, n)), r.integers(0, size, n)
+        order = np.lexsort((place, at))
+        at, place = at[order], place[order]
+        worth, before = [float(step)] * n, [-1] * n
+        for i in range(n):
+            for j in range(i - 1, -1, -1):
+                down, along = int(place[i] - place[j]), int(at[i] - at[j])
+                more = along - down
+                if down > 0 and 0 < along <= 2 * size and more <= size:
+                    value = worth[j] + min(down, along, step) - (loss * more if more > 0 else -1e-6 * more)
+                    if value > worth[i]:
+                        worth[i], before[i] = value, j
+        license_scan.PAIRS, kept = pairs, license_scan.PAIRS
+        try:
+            chains = license_scan._chains(at, place, size, step, loss)
+        finally:
+            license_scan.PAIRS = kept
+        assert {i for c in chains for i in c.tolist()} == set(range(n))
+        for chain in chains:
+            assert before[chain[0]] == -1 and [before[i] for i in chain[1:].tolist()] == chain[:-1].tolist()
+
+
+def test_licence_time_of_repetitive_texts():
+    index, mit = license_scan.Index(TEMPLATES), TEMPLATES["MIT"]
+    phrase = "permission is hereby granted free of charge "
+    for text, most in ((phrase * 12500, 1.0), (phrase * 1500 + mit + " " + phrase * 1500, 3.0)):
+        words, *_ = license_scan._hashes(pa.array([text]))
+        begin = time.process_time()
+        found = license_scan.matches(index, words, license_scan.fp.grams(words, 3), 8, 0.8)
+        assert time.process_time() - begin < most  # a step for each hit took 11 s for the first
+        assert ("MIT" in [index.names[m[0]] for m in found]) == (mit in text)
