@@ -30,7 +30,8 @@ PIECE = 4 << 20
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words, and the index of each one's text."""
-    parts = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), BETWEEN)
+    lower = pc.ascii_lower(pc.fill_null(texts, ""))  # before the cast: of a cut batch a cast leaves offsets that don't begin at 0, where this kernel reads other bytes
+    parts = pc.split_pattern_regex(lower.cast(pa.large_string()), BETWEEN)
     flat, owner = pc.list_flatten(parts), pc.list_parent_indices(parts)
     real = pc.greater(pc.binary_length(flat), 0)
     return pc.filter(flat, real), pc.filter(owner, real).to_numpy()

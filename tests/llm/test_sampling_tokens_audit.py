@@ -19,7 +19,8 @@ from tokenizers import Tokenizer
 
 from joblore.llm import token_store
 from joblore.llm.filter_audit import failure_counts, filter_audit
-from joblore.llm.importance import importance_resample
+from joblore.llm.fingerprints import pieces
+from joblore.llm.importance import features, importance_resample
 from joblore.llm.scratch import new_path
 from tests.llm.brute import leak_words
 
@@ -59,6 +60,24 @@ def test_importance(spark, max_n, percent):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(resampled(docs, target, percent, max_n), key=key)
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("texts", [["Abc def", "XYZ longer text here", "é B", "", "Tail One", "Two"], ["Abc", None, "Def GHI", "jkl", None, "M n O"]])
+def test_features_of_cut_batches(texts, kind):
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"])
+    for limit in (1, 8, 1000):  # bytes of a piece
+        for first in range(len(texts)):
+            at = first
+            for piece in pieces(iter([whole.slice(first)]), "text", limit):
+                own = texts[at : at + piece.num_rows]
+                at += piece.num_rows
+                n_words, runs = features(piece.column("text"), 2, 10_000)
+                assert n_words.tolist() == [len(leak_words(t)) for t in own]
+                got = sorted((int(o), int(b)) for buckets, owners in runs for b, o in zip(buckets, owners, strict=True))
+                spelled = [(i, w[j : j + n]) for i, w in enumerate(map(leak_words, own)) for n in (1, 2) for j in range(len(w) - n + 1)]
+                assert got == sorted((i, zlib.crc32(" ".join(x).encode()) % 10_000) for i, x in spelled)
+            assert at == len(texts)
+
+
 def test_importance_of_empty_tables(spark):
     docs, none = spark.createDataFrame([(1, "a " * 20), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
     assert importance_resample(none, docs).count() == 0
