@@ -389,7 +389,7 @@ def _features(s, d):
 
 
 def _halves(s, d):
-    df = series.temporal_split(_features(s, d))
+    df = stashed(s, "split", series.temporal_split(_features(s, d)))  # a fit goes through its rows many times
     return df.filter("split = 'train'"), df.filter("split = 'test'")
 
 

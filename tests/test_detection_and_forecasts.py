@@ -300,3 +300,8 @@ def test_spike_probability_tells_spikes(spark):
     lag = got.filter("hour = 12 and weekday < 5").agg(F.avg("p_spike")).first()[0]
     low = forecast.spike_probability(train, test.withColumns({"y_lag_1": F.lit(15.0), "y_lag_24": F.lit(15.0), "hour": F.lit(3)}), FEATURES, trees=5).agg(F.avg("p_spike")).first()[0]
     assert lag > low
+
+
+def test_fits_read_their_rows_from_one_table(spark):
+    for part in catalog._halves(spark, "/root/testdata/sf0.001"):
+        assert part.count() > 0 and all("/split-" in file for file in part.inputFiles())  # not the runs, again for each pass of a fit
