@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = ("mean_seconds", "median_seconds", "p95_seconds", "failure_rate", "log_runs")
 #: Training reports that the tasks hold at a time unless told otherwise.
 MOST_REPORTS = 100_000
-#: Distances that a task holds at once.
-CELLS = 4_000_000
+#: Distances that a task holds at once (8 bytes each, twice), and reports whose neighbours it holds.
+CELLS, BATCH = 500_000, 1_000
 
 
 def queue_bands(features: DataFrame, min_runs: int = 20, least_reports: int = 8) -> DataFrame:
@@ -26,22 +26,35 @@ def queue_bands(features: DataFrame, min_runs: int = 20, least_reports: int = 8)
 
 
 def _candidates(told, mean: np.ndarray, std: np.ndarray, k: int):
-    """A function from batches of reports to their k nearest of a block of training reports."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, hashes, ids, bands = told.value
-        for batch in batches:
-            own, out = (batch[list(FEATURES)].to_numpy(dtype=float) - mean) / std, []
-            step = max(1, CELLS // max(1, len(known)))  # reports whose distances are held at once
-            for first in range(0, len(own), step):
-                some = own[first : first + step]
-                far = sum((some[:, [f]] - known[None, :, f]) ** 2 for f in range(known.shape[1]))
-                last = np.partition(far, min(k, len(known)) - 1, axis=1)[:, min(k, len(known)) - 1]
-                for distance, limit in zip(far, last, strict=True):
-                    near = np.flatnonzero(distance <= limit)
-                    near = near[np.argsort(distance[near], kind="stable")][:k]  # ties to the earlier training report
-                    out.append([{"far": float(distance[i]), "hash": int(hashes[i]), "id": int(ids[i]), "band": bands[i]} for i in near])
-            yield pd.DataFrame({"__row": batch["__row"], "__near": out})
+    """mapInArrow over reports: the k nearest of a block of training reports for each. Besides the block a task
+    holds CELLS distances and a batch with its neighbours, all as arrays."""
+
+    def nearest(some: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        far, apart = np.zeros((len(some), len(known))), np.empty((len(some), len(known)))
+        for f in range(known.shape[1]):
+            np.subtract(some[:, [f]], known[None, :, f], out=apart)
+            np.multiply(apart, apart, out=apart)
+            far += apart
+        for distance, own in zip(far, apart, strict=True):
+            own[:] = distance
+            own.partition(min(k, len(known)) - 1)
+            near = np.flatnonzero(distance <= own[min(k, len(known)) - 1])
+            near = near[np.argsort(distance[near], kind="stable")][:k]  # ties to the earlier training report
+            yield near, distance[near]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashes, ids, codes, bands = told.value
+        step = max(1, CELLS // max(1, len(known)))  # reports whose distances are held at once
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                own = (np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES]) - mean) / std
+                found = [x for first in range(0, len(own), step) for x in nearest(own[first : first + step], known)]
+                near, far = (np.concatenate(x) for x in zip(*found, strict=True))
+                columns = [pa.array(far), pa.array(hashes[near], pa.int64()), pa.array(ids[near], pa.int64()), pa.array(bands, pa.string()).take(pa.array(codes[near]))]
+                ends = np.append(0, np.cumsum([len(x) for x, _ in found])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, ["far", "hash", "id", "band"]))
+                yield pa.RecordBatch.from_arrays([batch.column("__row"), lists], ["__row", "__near"])
 
     return run
 
@@ -69,8 +82,9 @@ def knn_assign(banded: DataFrame, k: int = 7, hold_out: int = 4, most: int = MOS
     for number in range(blocks):
         own = train.filter(F.pmod("__hash", F.lit(blocks)) == number).orderBy("__hash", "__id").toPandas()
         if len(own):
-            told = context.broadcast(((own[list(FEATURES)].to_numpy(dtype=float) - mean) / std, own["__hash"].to_numpy(), own["__id"].to_numpy(), own["band"].tolist()))
-            part = asked.mapInPandas(_candidates(told, mean, std, k), schema)
+            bands, codes = np.unique(own["band"].to_numpy(dtype=str), return_inverse=True)
+            told = context.broadcast(((own[list(FEATURES)].to_numpy(dtype=float) - mean) / std, own["__hash"].to_numpy(), own["__id"].to_numpy(), codes, bands.tolist()))
+            part = asked.mapInArrow(_candidates(told, mean, std, k), schema)
             found = part if found is None else found.unionByName(part)
     near = F.slice(F.array_sort(F.flatten(F.collect_list("__near"))), 1, k)
     votes = found.groupBy("__row").agg(near.alias("__near")).withColumn("__bands", F.transform("__near", lambda x: x["band"]))

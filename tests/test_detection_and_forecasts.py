@@ -3,8 +3,11 @@
 import datetime as dt
 import itertools
 import math
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,3 +308,17 @@ def test_spike_probability_tells_spikes(spark):
 def test_fits_read_their_rows_from_one_table(spark):
     for part in catalog._halves(spark, "/root/testdata/sf0.001"):
         assert part.count() > 0 and all("/split-" in file for file in part.inputFiles())  # not the runs, again for each pass of a fit
+
+
+def test_knn_tasks_hold_little(spark):
+    r = np.random.default_rng(6)
+    x, asked = r.normal(size=(20_000, 5)), r.normal(size=(1500, 5))
+    told = SimpleNamespace(value=(x, np.arange(20_000), np.arange(20_000), np.arange(20_000) % 2, ["L", "S"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(asked))), *map(pa.array, asked.T)], ["__row", *queues.FEATURES])
+    tracemalloc.start()
+    out = pa.Table.from_batches(queues._candidates(told, np.zeros(5), np.ones(5), 7)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20 and out.column("__row").to_pylist() == list(range(1500))  # 4,000,000 distances at a time took over 100 MB
+    for row, near in list(zip(asked, out.column("__near").to_pylist(), strict=True))[::250]:
+        assert [n["id"] for n in near] == np.argsort(((x - row) ** 2).sum(axis=1), kind="stable")[:7].tolist() and all(n["band"] == "LS"[n["id"] % 2] for n in near)
