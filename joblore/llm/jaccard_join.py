@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblore.llm import fingerprints as fp
-from joblore.llm.components import connected_components
+from joblore.llm.components import Forest, connected_components
 from joblore.llm.scratch import BATCH_ROWS, short_batches, stash
 
 #: Every byte but those of space and of tab to carriage return.
@@ -206,26 +206,6 @@ def _apart(x: bytes, y: bytes) -> int:
     return (int.from_bytes(_folded(x, size), "little") ^ int.from_bytes(_folded(y, size), "little")).bit_count()
 
 
-class _Forest:
-    """Union-find."""
-
-    def __init__(self):
-        self.above: dict = {}
-
-    def root(self, x):
-        while (up := self.above.get(x, x)) != x:
-            self.above[x] = self.above.get(up, up)
-            x = up
-        return x
-
-    def join(self, a, b) -> bool:
-        """Whether a and b were apart."""
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.above[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _crossing(num: int, den: int):
     """mapInArrow over rows sorted by (key, i, j): a forest that connects the documents of blocks i and j of
     a list that are in different components and clusters, and whose sizes and sketches allow a link."""
@@ -262,7 +242,7 @@ def _crossing(num: int, den: int):
         return few(left, right, same) if len(rows) < 16 or 2 * num <= den else many(left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, forest, found = None, [], _Forest(), []
+        group, rows, forest, found = None, [], Forest(), []
 
         def grow() -> None:
             for a, b in pairs(rows) if len(rows) > 1 else ():
@@ -280,7 +260,7 @@ def _crossing(num: int, den: int):
                 if (k, i, j) != group:
                     grow()
                     if len(forest.above) > 1_000_000:
-                        forest = _Forest()
+                        forest = Forest()
                     group, rows = (k, i, j), []
                 rows.append(tuple(row))
             yield flush()

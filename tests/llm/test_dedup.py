@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from joblore.llm import jaccard_join, suffix_dedup
+from joblore.llm import components, jaccard_join, suffix_dedup
 from joblore.llm.components import connected_components
 from joblore.llm.decontamination import contamination
 from joblore.llm.jaccard_join import choose_boundary, jaccard_groups, subset_count, subset_sizes
@@ -189,3 +189,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
     star = spark.range(1, 500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert connected_components(star).filter("component = 0").count() == 500
+
+
+@pytest.mark.parametrize(("few", "most"), [(1000, 1), (20, 100)])
+def test_components_of_few_edges(spark, few, most, monkeypatch):
+    """Few edges are written once and joined in one task, more go by rounds; both ways give the same."""
+    made, real = [], components.stash
+    monkeypatch.setattr(components, "stash", lambda df, name: (made.append(name), real(df, name))[1])
+    monkeypatch.setattr(components, "FEW", few, raising=False)
+    r = random.Random(6)
+    edges = [(100 - i, 99 - i) for i in range(60)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)] + [(5, None), (5, 5)]
+    expected = {}
+    for a, b in edges[:-2]:
+        if a != b:
+            group = expected.get(a, {a}) | expected.get(b, {b})
+            expected |= dict.fromkeys(group, group)
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3))
+    assert sorted(got.collect()) == sorted((x, min(group)) for x, group in expected.items())
+    assert len(made) <= most
