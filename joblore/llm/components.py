@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from joblore.llm.scratch import discard, stash
 
-#: Edges that one task joins at most, with about 200 bytes each; more go by rounds of star steps.
+#: Edges that one task joins at most, with about 360 bytes each; more go by rounds of star steps.
 FEW = 200_000
 
 
